@@ -1,0 +1,30 @@
+"""Broadcast only behind a size check.
+
+Two ways are offered:
+
+* ``bounded`` -- the caller states *why* the frame is small (e.g. one row per
+  shuffle partition). The bound is structural, not data dependent.
+* ``checked`` -- counts at most ``max_rows + 1`` rows of the frame (a cheap,
+  distributed job that stops early) and broadcasts only under the limit;
+  otherwise the frame is returned as is and Spark shuffles (sort-merge /
+  shuffled hash join, with AQE free to switch to broadcast at run time).
+
+Dimension look-ups whose size grows with the data are *not* hinted; AQE's
+run-time statistics decide (``spark.sql.adaptive.autoBroadcastJoinThreshold``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, reason: str) -> DataFrame:  # noqa: ARG001 - reason documents the bound
+    return F.broadcast(df)
+
+
+def checked(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

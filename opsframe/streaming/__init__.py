@@ -1,0 +1,4 @@
+"""Streaming: the reference has no stream sources, watermarks or state
+(every report reads batch tables), so nothing is built here. The reports
+are plain DataFrame functions; a caller that wants them incrementally can
+run one inside ``foreachBatch`` of a Structured Streaming query."""
