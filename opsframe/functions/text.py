@@ -44,7 +44,7 @@ def char_in(needle: str, s) -> Column:
 
 def like_contains(text, name) -> Column:
     """``text like '%' || name || '%'``; ``_``/``%`` in name stay wildcards."""
-    return _c(text).like(F.concat(F.lit("%"), _c(name), F.lit("%")))
+    return F.like(_c(text), F.concat(F.lit("%"), _c(name), F.lit("%")))
 
 
 # Access-list privilege letters and the privilege each grants,

@@ -161,10 +161,10 @@ def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: st
               .groupBy(rid).agg(F.min_by("_g", F.coalesce(F.col("_f"), F.lit(0))).alias("_g")))
     cand = text_grams.join(choice, "_g").select(lid, rid)
     long_pairs = (cand.join(L, lid).join(R, rid)
-                  .filter(F.col(text_col).like(F.concat(F.lit("%"), F.col(name_col), F.lit("%")))))
+                  .filter(F.like(F.col(text_col), F.concat(F.lit("%"), F.col(name_col), F.lit("%")))))
 
     short = R.filter(~long_ok)
     short = bc.checked(short, max_short_patterns)
-    short_pairs = L.join(short, L[text_col].like(F.concat(F.lit("%"), short[name_col], F.lit("%"))))
+    short_pairs = L.join(short, F.like(L[text_col], F.concat(F.lit("%"), short[name_col], F.lit("%"))))
     cols = [c for c in long_pairs.columns]
     return long_pairs.select(*cols).unionByName(short_pairs.select(*cols)).drop(lid, rid)

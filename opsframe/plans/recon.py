@@ -311,7 +311,8 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
         F.col("sale_number").alias("_sale"))
     tie = [F.col("_sale").asc(), F.col("description").asc_nulls_last(), F.col("cost").asc_nulls_last()]
     rows = surrogate_number(rows, [F.col("inventoryid").asc_nulls_last(), *tie], name="_n")
-    rows = row_numbers(rows, ["inventoryid"], [F.col("droppedoffon").desc_nulls_first(), *tie], name="row_order")
+    rows = row_numbers(rows, ["inventoryid"], [F.col("droppedoffon").desc_nulls_first(), *tie, F.col("_n").asc()],
+                       name="row_order")
     return rows.select(concat_strict("advent_shipping_outbound_", F.col("_n")).alias("maintid"),
                        "inventoryid", "typeid", "cost", "droppedoffon", "mainttype", "mainttypecategoryid",
                        "maint_category_name", "acct_category_name", "description", "workcompletedon", "row_order")
