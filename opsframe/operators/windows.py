@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +65,18 @@ def _ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> D
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *sort_cols)
+    # The range partitioner samples its input in a separate job; keep the
+    # input so the sample and the write below compute the upstream once.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *sort_cols)
               .sortWithinPartitions(*sort_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    # Pin partition ids and positions: every later read must see the same
-    # numbering, also after a lost executor recomputes a partition.
-    return ranged.checkpoint(eager=True)
+    # Pin partition ids and positions in the shared checkpoint folder: every
+    # later read sees the same numbering, also after a lost executor.
+    pinned = ranged.checkpoint(eager=True)
+    src.unpersist()
+    return pinned
 
 
 def surrogate_number(df: DataFrame, order_by: Sequence[Column], name: str = "row_number",
@@ -143,3 +149,23 @@ def with_first_last(df: DataFrame, keys: Sequence[str], value, condition: Column
         cond = c if cond is None else cond & c
     out = df.join(renamed, cond, "left")
     return out.drop(*[f"_flk{i}" for i in range(len(keys))])
+
+
+def prefix_sum(df: DataFrame, order_by: Sequence[Column], value, name: str = "prefix_sum",
+               inclusive: bool = False, partitions: int | None = None) -> DataFrame:
+    """Running total of ``value`` over one global order
+    (``sum(v) over (order by ... rows unbounded preceding ..)``) without a
+    single-task window: totals inside each range partition, plus the sum of
+    all earlier partitions (one row per partition, broadcast). Exclusive
+    by default (the total of the rows strictly before)."""
+    r = _ranged(df, list(order_by), partitions)
+    v = F.coalesce(_c(value), F.lit(0))
+    upper = Window.currentRow if inclusive else -1
+    local = F.coalesce(F.sum(v).over(Window.partitionBy("_pid").orderBy("_mid")
+                                     .rowsBetween(Window.unboundedPreceding, upper)), F.lit(0))
+    totals = r.groupBy("_pid").agg(F.sum(v).alias("_tot"))
+    offs = totals.withColumn(
+        "_off", F.coalesce(F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("_pid", "_off")
+    out = r.withColumn("_local", local).join(bc.bounded(offs, "one row per shuffle partition"), "_pid")
+    return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_mid", "_off", "_local")

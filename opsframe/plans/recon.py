@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzero
 from opsframe.operators.joins import join_earlier, left_join_where, star_left
-from opsframe.operators.windows import latest_per_key, row_numbers, surrogate_number
+from opsframe.operators.windows import prefix_sum, row_numbers, surrogate_number
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
 
@@ -173,39 +173,77 @@ def _cost(exp_total: Column, labor: Column, parts: Column, remote: Column) -> Co
             .otherwise(base))
 
 
-# column order of the R11 model; the number and the pick of one row per
-# inventory both order on these, so results are deterministic
+# column order of the R11 model: the source numbers its rows with
+# ``row_number() over ()`` (order left open) and keeps, per inventory, the
+# row with the latest recon date; both are fixed here to this order
 R11_ORDER = ("inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost", "remote_recon_cost",
              "actual_customer_concession_cost", "droppedoffon", "workcompletedon", "first_recon_date",
              "vlc_total_labor_cost", "vlc_total_parts_cost", "vlc_total_costs")
 
 
-def recon_model_rows(t: Tables) -> DataFrame:
-    """The final star join of R11 before numbering."""
+def recon_model(t: Tables) -> DataFrame:
+    """R11's final star join, computed without its per-inventory fan-out.
+
+    In the source the remote-site rows (several per inventory) and the
+    concession rows (several per inventory, Q11) multiply inside each
+    inventory before one row is kept. The kept row and its number follow
+    from per-inventory aggregates instead:
+
+    * every other input is single-valued per inventory;
+    * the numbering order is inventory first, then cost and remote cost
+      (which depend only on the remote row), then concession cost (only on
+      the concession row), then per-inventory constants -- so the first row
+      of an inventory pairs the best remote row with the smallest
+      concession, and the row-order pick (latest recon date, constant per
+      inventory, ties on the same columns) is that first row;
+    * its number is one plus the count of product rows of all earlier
+      inventories, ``max(1, #remote) * max(1, #concession)`` each, a prefix
+      sum over inventories.
+
+    Each side is reduced by a partial aggregate, so a hot inventory never
+    materialises its pairs. The source's join to per-inventory parts costs
+    is never read and cannot change row counts, so it is left out.
+    """
     inv = S.inventory(t).select("inventoryid")
     exp = inventory_clean_expense(t).withColumnRenamed("inventoryid", "exp_inv")
     ivl = inventory_vl_costs(t).withColumnRenamed("inventoryid", "ivl_inv")
-    rop = inventory_ro_parts(t).withColumnRenamed("inventoryid", "rop_inv")
-    rr = remote_recon_site_total_recon(t).withColumnRenamed("inventoryid", "rr_inv")
     vlc = vl_reported_costs(t).withColumnRenamed("inventoryid", "vlc_inv")
-    snl = S.stock_number_lookup(t).filter(F.col("stock_number").isNotNull()).withColumnRenamed("inventoryid", "snl_inv")
-    cc = concessions_costs(t).select(F.col("inventoryid").alias("cc_inv"), "actual_customer_concession_cost")
-    j = star_left(inv, [(exp, [("inventoryid", "exp_inv")]), (ivl, [("inventoryid", "ivl_inv")]),
-                        (rop, [("inventoryid", "rop_inv")]), (rr, [("inventoryid", "rr_inv")]),
-                        (vlc, [("inventoryid", "vlc_inv")])])
-    j = j.join(snl, F.col("inventoryid") == F.col("snl_inv"))                         # J7: stock number not null
-    j = j.join(cc, F.col("inventoryid") == F.col("cc_inv"), "left")
+    snl = S.stock_number_lookup(t).filter(F.col("stock_number").isNotNull()).select(F.col("inventoryid").alias("snl_inv"))
+    base = star_left(inv, [(exp, [("inventoryid", "exp_inv")]), (ivl, [("inventoryid", "ivl_inv")]),
+                           (vlc, [("inventoryid", "vlc_inv")])])
+    base = base.join(snl, F.col("inventoryid") == F.col("snl_inv"))                  # J7: stock number not null
     exp_total = F.col("total_actual_pre_advent_recon_cost")
+    consts = base.select(F.col("inventoryid").alias("k"), exp_total.alias("_exp"),
+                         F.col("totallaborcost").alias("_lab"), F.col("totalpartscost").alias("_par"))
+
+    # best remote row per inventory: lowest (cost nulls last, remote cost)
+    rr = remote_recon_site_total_recon(t).filter(F.col("inventoryid").isNotNull())
+    rr = rr.join(consts, rr.inventoryid == consts.k)
+    rr_cost = _cost(F.col("_exp"), F.col("_lab"), F.col("_par"), F.col("actual_recon_cost"))
+    rr_out = nvl(F.col("actual_recon_cost"), 0).cast("double")
+    rr_best = rr.groupBy(F.col("inventoryid").alias("rr_inv")).agg(
+        F.min(F.struct(rr_cost.isNull().alias("cnull"), rr_cost.alias("cost"), rr_out.alias("remote"))).alias("_best"),
+        F.count(F.lit(1)).alias("_rr_n"))
+
+    cc = concessions_costs(t)
+    cc_best = cc.groupBy(F.col("inventoryid").alias("cc_inv")).agg(
+        F.min(nvl(F.col("actual_customer_concession_cost"), 0).cast("double")).alias("_conc"),
+        F.count(F.lit(1)).alias("_cc_n"))
+
+    j = (base.join(rr_best, F.col("inventoryid") == F.col("rr_inv"), "left")
+         .join(cc_best, F.col("inventoryid") == F.col("cc_inv"), "left"))
+    has_rr = F.col("_rr_n").isNotNull()
     j = j.filter(present_nonzero(exp_total) | F.col("totallaborcost").isNotNull()
-                 | F.col("totalpartscost").isNotNull() | F.col("actual_recon_cost").isNotNull())
-    return j.select(
+                 | F.col("totalpartscost").isNotNull() | has_rr)
+    no_rr_cost = _cost(exp_total, F.col("totallaborcost"), F.col("totalpartscost"), F.lit(None).cast("double"))
+    rows = j.select(
         F.col("inventoryid").cast("int").alias("inventoryid"),
-        _cost(exp_total, F.col("totallaborcost"), F.col("totalpartscost"), F.col("actual_recon_cost")).alias("cost"),
+        F.when(has_rr, F.col("_best.cost")).otherwise(no_rr_cost).alias("cost"),
         nvl(exp_total.cast("double"), 0).alias("dms_cost"),
         nvl(F.col("totallaborcost"), 0).cast("double").alias("vl_labor_cost"),
         nvl(F.col("totalpartscost"), 0).cast("double").alias("parts_manager_cost"),
-        nvl(F.col("actual_recon_cost"), 0).cast("double").alias("remote_recon_cost"),
-        nvl(F.col("actual_customer_concession_cost"), 0).cast("double").alias("actual_customer_concession_cost"),
+        F.coalesce(F.col("_best.remote"), F.lit(0.0)).alias("remote_recon_cost"),
+        F.coalesce(F.col("_conc"), F.lit(0.0)).alias("actual_customer_concession_cost"),
         F.col("first_recon_tasked_date").alias("droppedoffon"),
         F.lit("Recon").alias("mainttype"),
         F.lit(2).alias("mainttypecategoryid"),
@@ -215,26 +253,23 @@ def recon_model_rows(t: Tables) -> DataFrame:
         F.col("totallaborcost").cast("double").alias("vlc_total_labor_cost"),
         F.col("totalpartscost").cast("double").alias("vlc_total_parts_cost"),
         F.col("totalcosts").cast("double").alias("vlc_total_costs"),
+        (F.greatest(F.coalesce(F.col("_rr_n"), F.lit(0)), F.lit(1))
+         * F.greatest(F.coalesce(F.col("_cc_n"), F.lit(0)), F.lit(1))).alias("_pairs"),
     )
-
-
-def _asc(cols) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in cols]
+    return rows
 
 
 def r11_recon_cost(t: Tables) -> DataFrame:
-    """One recon-cost row per inventory (W4 id, then W1 on the latest
-    recon date, ties broken on the remaining columns)."""
-    rows = recon_model_rows(t)
-    numbered = surrogate_number(rows, _asc(R11_ORDER), name="_n")
-    numbered = numbered.withColumn("maintid", concat_strict("advent_recon_", F.col("_n")))
-    order = [F.col("workcompletedon").desc_nulls_first(), *_asc(R11_ORDER[1:]), F.col("_n").asc()]
-    one = latest_per_key(numbered, ["inventoryid"], order, rn_col="row_order", keep_rn=True)
-    return one.select("maintid", "inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost",
-                      "remote_recon_cost", "actual_customer_concession_cost", "droppedoffon", "mainttype",
-                      "mainttypecategoryid", "maint_category_name", "workcompletedon", "first_recon_date",
-                      "vlc_total_labor_cost", "vlc_total_parts_cost", "vlc_total_costs",
-                      F.col("row_order").cast("long").alias("row_order"))
+    """One recon-cost row per inventory, with the source's surrogate id
+    (W4) and row order (W1) -- see ``recon_model``."""
+    rows = recon_model(t)
+    numbered = prefix_sum(rows, [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
+    return numbered.select(
+        concat_strict("advent_recon_", F.col("_before") + 1).alias("maintid"),
+        "inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost", "remote_recon_cost",
+        "actual_customer_concession_cost", "droppedoffon", "mainttype", "mainttypecategoryid",
+        "maint_category_name", "workcompletedon", "first_recon_date", "vlc_total_labor_cost",
+        "vlc_total_parts_cost", "vlc_total_costs", F.lit(1).cast("long").alias("row_order"))
 
 
 def r14_unique_inventory(t: Tables) -> DataFrame:

@@ -60,3 +60,13 @@ def test_first_last_equals_ignore_nulls_window(spark):
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
     kept = with_first_last(df, ["k"], "t", cond, "f", "l")
     assert kept.count() == df.count()
+
+
+def test_prefix_sum_matches_running_window(spark):
+    from opsframe.operators.windows import prefix_sum
+    df = skewed(spark).withColumn("v", (F.col("id") % 7))
+    order = [F.col("k").asc(), F.col("id").asc()]
+    got = prefix_sum(df, order, "v", name="ps", partitions=5)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("ps", F.coalesce(F.sum("v").over(w), F.lit(0)))
+    assert sorted(got.select("id", "ps").collect()) == sorted(want.select("id", "ps").collect())
