@@ -57,3 +57,17 @@ def duplicates(df: DataFrame, keys: Sequence[str], count_col: str | None = None,
 def count_by(df: DataFrame, keys: Sequence[str | Column], alias: str = "count") -> DataFrame:
     """Rows per key (keys may be expressions)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(alias))
+
+
+def counts_by_period(df: DataFrame, date_col: str, keys: Sequence[str], alias: str = "instances") -> DataFrame:
+    """Rows per key by day, week (Monday) and month in one aggregation: each
+    row is tagged with its three period starts and counted once per grain
+    (a grouping-sets style explode; partial aggregation as usual)."""
+    d = F.col(date_col).cast("date")
+    periods = F.array(
+        F.struct(F.lit("day").alias("grain"), d.alias("period_start")),
+        F.struct(F.lit("week").alias("grain"), F.date_trunc("week", d).cast("date").alias("period_start")),
+        F.struct(F.lit("month").alias("grain"), F.trunc(d, "month").alias("period_start")))
+    e = df.select(*keys, F.explode(periods).alias("_p"))
+    return e.groupBy(*keys, F.col("_p.grain").alias("grain"), F.col("_p.period_start").alias("period_start")).agg(
+        F.count(F.lit(1)).alias(alias))

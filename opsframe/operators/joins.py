@@ -168,3 +168,30 @@ def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: st
     short_pairs = L.join(short, F.like(L[text_col], F.concat(F.lit("%"), short[name_col], F.lit("%"))))
     cols = [c for c in long_pairs.columns]
     return long_pairs.select(*cols).unionByName(short_pairs.select(*cols)).drop(lid, rid)
+
+
+def _minute_bucket(ts: Column, bucket_minutes: int) -> Column:
+    """Monotone bucket number of a timestamp (no time zone involved)."""
+    secs = F.timestamp_diff("SECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return F.floor(secs / F.lit(bucket_minutes * 60)).cast("long")
+
+
+def within_after(left: DataFrame, right: DataFrame, on: Keys, left_time: str, right_time: str,
+                 max_minutes: int, bucket_minutes: int | None = None, how: str = "inner") -> DataFrame:
+    """Range join: ``right.t`` in ``[left.t, left.t + max_minutes]`` on equal keys.
+
+    A plain equi-join on the keys would pair every left row with every right
+    row of the key and then filter on time -- all pairs of a busy key. Here
+    both sides also carry a time bucket: each right row its own, each left
+    row the few buckets its window touches. The equi-join on (keys, bucket)
+    only meets rows that are close in time; the exact predicate then
+    decides. Every qualifying pair meets in exactly one bucket.
+    """
+    b = bucket_minutes or max_minutes
+    lt, rt = left[left_time], right[right_time]
+    lb = left.withColumn("_rjb", F.explode(F.sequence(
+        _minute_bucket(lt, b), _minute_bucket(F.timestamp_add("MINUTE", F.lit(max_minutes), lt), b))))
+    rb = right.withColumn("_rjb2", _minute_bucket(rt, b))
+    cond = _cond(lb, rb, on) & (lb["_rjb"] == rb["_rjb2"])
+    cond = cond & (rb[right_time] >= lb[left_time]) & (rb[right_time] <= F.timestamp_add("MINUTE", F.lit(max_minutes), lb[left_time]))
+    return lb.join(rb, cond, how).drop("_rjb", "_rjb2")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import at_most_flag, boundary_diff, left_chars, when_only
-from opsframe.operators.joins import distinct_lookup
+from opsframe.operators.aggs import counts_by_period
+from opsframe.operators.joins import distinct_lookup, within_after
 from opsframe.operators.windows import latest_per_key
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
@@ -128,15 +129,99 @@ def r4_appointment_detail(t: Tables, appointment_number: str | None = None) -> D
 
 
 def x1_quick_turnaround(t: Tables, within_minutes: int = 120, first="purchase", then="signup") -> DataFrame:
-    """A ``then`` event starting within ``within_minutes`` after a
-    ``first`` event of the same user on the same day (equi-join on user and
-    day, time range as a join filter)."""
+    """X1 on events: a ``then`` event within ``within_minutes`` after a
+    ``first`` event of the same user on the same day (bucketed range join)."""
     e = t["events"].select("event_id", "user_id", "ts", "event_type", F.to_date("ts").alias("day"))
-    a = e.filter(F.col("event_type") == first).alias("a")
-    b = e.filter(F.col("event_type") == then).alias("b")
-    cond = ((F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.day") == F.col("b.day"))
-            & (F.col("b.ts") >= F.col("a.ts"))
-            & (F.col("b.ts") <= F.timestamp_add("MINUTE", F.lit(within_minutes), F.col("a.ts"))))
-    return a.join(b, cond).select(F.col("a.user_id").alias("user_id"), F.col("a.day").alias("day"),
-                                  F.col("a.event_id").alias("first_event_id"), F.col("b.event_id").alias("then_event_id"),
-                                  F.col("a.ts").alias("first_ts"), F.col("b.ts").alias("then_ts"))
+    a = e.filter(F.col("event_type") == first).select(
+        F.col("user_id").alias("a_user"), F.col("day").alias("a_day"), F.col("event_id").alias("first_event_id"),
+        F.col("ts").alias("first_ts"))
+    b = e.filter(F.col("event_type") == then).select(
+        F.col("user_id").alias("b_user"), F.col("day").alias("b_day"), F.col("event_id").alias("then_event_id"),
+        F.col("ts").alias("then_ts"))
+    j = within_after(a, b, [("a_user", "b_user"), ("a_day", "b_day")], "first_ts", "then_ts", within_minutes)
+    return j.select(F.col("a_user").alias("user_id"), F.col("a_day").alias("day"), "first_event_id", "then_event_id",
+                    "first_ts", "then_ts")
+
+
+def _directed_appointments(t: Tables) -> DataFrame:
+    """Appointments with their latest driver, truck, hub, direction and zip."""
+    sa = S.service_appointments(t)
+    de = S.delivery_orders(t)
+    wo = S.work_orders(t).select(F.col("id").alias("wo_id"), "delivery_order_c")
+    lr = last_resource(t).withColumnRenamed("appointment_number", "lr_appt")
+    acc = S.accounts(t).select(F.col("id").alias("acc_id"), F.col("name").alias("customer_name"))
+    j = (sa.join(wo, F.col("wo_id") == sa.parent_record_id)
+         .join(de, de.id == F.col("delivery_order_c"))
+         .join(lr, F.col("lr_appt") == sa.appointment_number, "left")
+         .join(acc, F.col("acc_id") == sa.account_id, "left"))
+    direction = (F.when(de.transit_type_c == OUTBOUND, "outbound")
+                 .when(de.transit_type_c.isin(*INBOUND), "inbound"))
+    return j.select(sa.appointment_number, F.col("name").alias("driver"), sa.truck_number_c.alias("truck"),
+                    F.upper(de.managing_hub_facility_code_c).alias("hub"), direction.alias("direction"),
+                    de.vehicle_grade_c.alias("vehicle_grade"), left_chars(sa.postal_code, 3).alias("sub_zip"),
+                    sa.actual_start_time, sa.actual_end_time, "customer_name")
+
+
+def x1_outbound_then_inbound(t: Tables, within_minutes: int = 120) -> DataFrame:
+    """X1 as written down: an inbound appointment whose actual start is at
+    most ``within_minutes`` after the actual end of an outbound one, same
+    driver, same truck, same day."""
+    d = _directed_appointments(t).filter(F.col("driver").isNotNull())
+    out = d.filter((F.col("direction") == "outbound") & F.col("actual_end_time").isNotNull()).select(
+        F.col("appointment_number").alias("outbound_appointment"), F.col("driver").alias("o_driver"),
+        F.col("truck").alias("o_truck"), F.to_date("actual_end_time").alias("o_day"), F.col("hub"),
+        F.col("actual_end_time").alias("outbound_end"))
+    inb = d.filter((F.col("direction") == "inbound") & F.col("actual_start_time").isNotNull()).select(
+        F.col("appointment_number").alias("inbound_appointment"), F.col("driver").alias("i_driver"),
+        F.col("truck").alias("i_truck"), F.to_date("actual_start_time").alias("i_day"),
+        F.col("actual_start_time").alias("inbound_start"))
+    j = within_after(out, inb, [("o_driver", "i_driver"), ("o_truck", "i_truck"), ("o_day", "i_day")],
+                     "outbound_end", "inbound_start", within_minutes)
+    return j.select("outbound_appointment", "inbound_appointment", F.col("o_driver").alias("driver"),
+                    F.col("o_truck").alias("truck"), F.col("o_day").alias("day"), "hub", "outbound_end", "inbound_start")
+
+
+def x2_turnarounds_by_period(t: Tables) -> DataFrame:
+    """Quick turnarounds (X1) per hub by day, week and month. The hub of
+    a user is the nation of the customer with that key, as for delivery
+    orders."""
+    x = x1_quick_turnaround(t)
+    c, n = t["customer"], t["nation"]
+    hubs = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey"), F.upper("n_name").alias("hub"))
+    x = x.join(hubs, x.user_id == hubs.c_custkey, "left")
+    return counts_by_period(x, "day", ["hub"])
+
+
+def x2_appointment_turnarounds_by_period(t: Tables) -> DataFrame:
+    """X2 over the appointment form of X1, per managing hub."""
+    return counts_by_period(x1_outbound_then_inbound(t), "day", ["hub"])
+
+
+def x3_same_zip_share(t: Tables) -> DataFrame:
+    """Share of completed outbound appointments for which an inbound
+    appointment started in the same 3-digit zip on the same day (semi-join)."""
+    d = _directed_appointments(t)
+    out = d.filter((F.col("direction") == "outbound") & F.col("actual_end_time").isNotNull()).select(
+        "sub_zip", F.to_date("actual_end_time").alias("day"))
+    inb = (d.filter((F.col("direction") == "inbound") & F.col("actual_start_time").isNotNull())
+           .select(F.col("sub_zip").alias("i_zip"), F.to_date("actual_start_time").alias("i_day")).distinct())
+    flagged = out.join(inb, (F.col("sub_zip") == F.col("i_zip")) & (F.col("day") == F.col("i_day")), "left")
+    agg = flagged.agg(F.count(F.lit(1)).alias("outbound_completed"),
+                      F.count("i_zip").alias("with_inbound_nearby"))
+    return agg.withColumn("share", F.try_divide(F.col("with_inbound_nearby").cast("double"),
+                                                F.col("outbound_completed").cast("double")))
+
+
+def x4_wholesale_inbound(t: Tables) -> DataFrame:
+    """Wholesale-graded vehicles in inbound delivery orders, per hub."""
+    de = S.delivery_orders(t).filter(F.col("transit_type_c").isin(*INBOUND) & (F.col("vehicle_grade_c") == "wholesale"))
+    return de.groupBy(F.upper("managing_hub_facility_code_c").alias("hub")).agg(F.count(F.lit(1)).alias("wholesale_inbound"))
+
+
+def x5_repeat_customers(t: Tables) -> DataFrame:
+    """Customer names seen on more than one appointment or with more
+    than one driver (distinct counts; partial aggregation on the pairs)."""
+    d = _directed_appointments(t).filter(F.col("customer_name").isNotNull())
+    g = d.groupBy("customer_name").agg(F.countDistinct("appointment_number").alias("appointments"),
+                                      F.countDistinct("driver").alias("drivers"))
+    return g.filter((F.col("appointments") > 1) | (F.col("drivers") > 1))

@@ -351,3 +351,39 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
     return rows.select(concat_strict("advent_shipping_outbound_", F.col("_n")).alias("maintid"),
                        "inventoryid", "typeid", "cost", "droppedoffon", "mainttype", "mainttypecategoryid",
                        "maint_category_name", "acct_category_name", "description", "workcompletedon", "row_order")
+
+
+# Fixed value: the vendor name used for parts not ordered through a vendor.
+DEFAULT_PARTS_VENDOR = "ADVANCE AUTO PARTS INC"
+
+
+def x6_parts_accrual(t: Tables, task_status=3, own_vendor_type=1) -> DataFrame:
+    """X6 (parts accrual; cancelled in the source, built as written): parts
+    requests of completed tasks with no repair order yet, their credits
+    (pre-aggregated per request, then a left join), grouped on a CASE and a
+    cast; final cost is ``sum(coalesce(cost + credit, cost))``."""
+    r = S.parts_requests(t).filter(
+        ~F.col("requeststatus").isin(*CANCELLED_REQUEST_STATUSES) & (F.col("quoteind") == F.lit(False))
+        & ((F.col("adventronumber") == "") | F.col("adventronumber").isNull()) & (F.col("totalcost") > 0)).alias("r")
+    tk = S.recon_tasks(t).filter(F.col("taskstatus") == task_status).alias("t")
+    rs = S.inventory(t).select(F.col("inventoryid").alias("rs_inv"), "vin")
+    inv = S.inventory(t).select(F.col("inventoryid").alias("inv_inv"), "adventstockid")
+    credits = S.part_credits(t).groupBy("partrequestid").agg(F.sum("amount").alias("total_credit"))
+    v = S.vendors(t).select(F.col("vendorid").alias("v_id"), F.col("name").alias("v_name"))
+    tv = S.vendors(t).select(F.col("vendorid").alias("tv_id"), F.col("name").alias("tv_name"))
+    j = (r.join(tk, F.col("r.taskid") == F.col("t.taskid"))
+         .join(rs, F.col("t.inventoryid") == F.col("rs_inv"))
+         .join(inv, F.col("inv_inv") == F.col("t.inventoryid"))
+         .join(credits, F.col("partrequestid") == F.col("r.id"), "left")
+         .join(v, F.col("r.orderedfromvendorid") == F.col("v_id"), "left")
+         .join(tv, F.col("t.taskvendorid") == F.col("tv_id"), "left"))
+    vendor = F.when(F.col("r.parttypeid") == own_vendor_type, F.col("v_name")).otherwise(F.lit(DEFAULT_PARTS_VENDOR))
+    keys = [F.col("r.id").cast("string").alias("document_number"), F.col("r.taskid").alias("taskid"),
+            F.col("tv_name").alias("task_vendor"), vendor.alias("vendor_name"),
+            F.col("t.taskcompletedon").alias("task_first_completed_on"), F.col("vin"), F.col("adventstockid"),
+            F.col("r.cancelledon").alias("cancelled_on"), F.col("t.taskstatus").alias("task_status"),
+            F.col("r.receivedon").alias("received_on")]
+    cost = F.col("r.totalcost")
+    return j.groupBy(*keys).agg(
+        F.sum(cost).cast("double").alias("total_cost"),
+        F.sum(F.coalesce(cost + F.col("total_credit"), cost)).cast("double").alias("final_cost"))

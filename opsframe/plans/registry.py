@@ -54,6 +54,13 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "r31_update_then_bands": admin.r31_update_then_bands,
     "r32_running": basic.r32_running,
     "x1_quick_turnaround": fs.x1_quick_turnaround,
+    "x1_outbound_then_inbound": fs.x1_outbound_then_inbound,
+    "x2_turnarounds_by_period": fs.x2_turnarounds_by_period,
+    "x2_appointment_turnarounds_by_period": fs.x2_appointment_turnarounds_by_period,
+    "x3_same_zip_share": fs.x3_same_zip_share,
+    "x4_wholesale_inbound": fs.x4_wholesale_inbound,
+    "x5_repeat_customers": fs.x5_repeat_customers,
+    "x6_parts_accrual": recon.x6_parts_accrual,
     "a13_duplicate_lines": basic.a13_duplicate_lines,
     "j5_orders_with_earlier_lines": bb.j5_orders_with_earlier_lines,
     "j6_customers_urgent_orders": bb.j6_customers_urgent_orders,

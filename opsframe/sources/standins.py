@@ -329,12 +329,20 @@ def parts_requests(t: Tables) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("cancelledon"),
         F.concat(F.lit("part "), _s("l_partkey")).alias("description"),
         F.col("l_linestatus").alias("partsnotes"),
-        F.when(F.col("l_linenumber") == 1, "NO_RO").otherwise(F.concat(F.lit("RO-"), _s("l_orderkey"))).alias("adventronumber"),
+        F.when(F.col("l_linenumber") == 1, "NO_RO").when(F.col("l_linenumber") == 2, "")
+        .otherwise(F.concat(F.lit("RO-"), _s("l_orderkey"))).alias("adventronumber"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("totalcost"),
         quote.alias("quoteind"),
     )
 
 
+def part_credits(t: Tables) -> DataFrame:
+    """Credit lines against parts requests: the discount given on a line."""
+    li = t["lineitem"]
+    amount = -(F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(4,2)"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("partrequestid"), amount.alias("amount"))
+
+
 def part_types(t: Tables) -> DataFrame:
     p = t["part"]
     return p.select((F.col("p_size") % 10).alias("id"),

@@ -107,10 +107,12 @@ STANDINS: dict[str, str] = {
         l_suppkey as orderedfromvendorid, l_linenumber as requeststatus, l_shipdate - to_days(3) as enteredon,
         l_shipdate as receivedon, case when l_returnflag = 'R' then l_shipdate end as cancelledon,
         'part ' || cast(l_partkey as varchar) as description, l_linestatus as partsnotes,
-        case when l_linenumber = 1 then 'NO_RO' else 'RO-' || cast(l_orderkey as varchar) end as adventronumber,
+        case when l_linenumber = 1 then 'NO_RO' when l_linenumber = 2 then '' else 'RO-' || cast(l_orderkey as varchar) end as adventronumber,
         cast(l_extendedprice as decimal(18,2)) as totalcost,
         case when l_discount > 0.08 then true when l_discount >= 0.02 then false end as quoteind
         from lineitem""",
+    "part_credits": """select l_orderkey * 10 + l_linenumber as partrequestid,
+        -(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(4,2))) as amount from lineitem""",
     "part_types": "select distinct p_size % 10 as id, 'PT-' || cast(p_size % 10 as varchar) as typename from part",
     "vendors": "select s_suppkey as vendorid, s_name as name from supplier",
     "remote_recon": """select 'VIN-' || cast(o_custkey as varchar) as vin, 'SITE-' || cast(o_orderkey % 5 as varchar) as recon_site,

@@ -84,3 +84,14 @@ def test_append_adds_rows(spark, tmp_path):
     sinks.append(df, path)
     sinks.append(df, path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_counts_by_period(spark):
+    import datetime as dt
+
+    from opsframe.operators.aggs import counts_by_period
+    df = spark.createDataFrame([("h", dt.date(2024, 1, 1)), ("h", dt.date(2024, 1, 3)), ("h", dt.date(2024, 2, 5))],
+                               "hub string, day date")
+    got = {(r.grain, str(r.period_start)): r.instances for r in counts_by_period(df, "day", ["hub"]).collect()}
+    assert got[("week", "2024-01-01")] == 2 and got[("month", "2024-01-01")] == 2
+    assert got[("day", "2024-02-05")] == 1 and got[("week", "2024-02-05")] == 1

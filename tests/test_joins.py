@@ -75,3 +75,23 @@ def test_distinct_lookup_fan_out(spark):
     right = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "k2 long, v string")
     j = distinct_lookup(left, right, [("k", "k2")], ["v"])
     assert rows(j, "k", "v") == [(1, "a"), (1, "b"), (2, None)]
+
+
+def test_within_after_equals_brute_force_on_hot_key(spark):
+    import datetime as dt
+    import random
+
+    from opsframe.operators.joins import within_after
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    a = [(i, 0 if i % 3 == 0 else rnd.randint(1, 5), base + dt.timedelta(minutes=rnd.randint(0, 3000)))
+         for i in range(300)]
+    b = [(i, 0 if i % 2 == 0 else rnd.randint(1, 5), base + dt.timedelta(minutes=rnd.randint(0, 3000)))
+         for i in range(300)]
+    left = spark.createDataFrame(a, "a_id long, ka long, ta timestamp_ntz")
+    right = spark.createDataFrame(b, "b_id long, kb long, tb timestamp_ntz")
+    got = rows(within_after(left, right, [("ka", "kb")], "ta", "tb", 120, bucket_minutes=30), "a_id", "b_id")
+    brute = rows(left.crossJoin(right).filter(
+        (F.col("ka") == F.col("kb")) & (F.col("tb") >= F.col("ta"))
+        & (F.col("tb") <= F.timestamp_add("MINUTE", F.lit(120), F.col("ta")))), "a_id", "b_id")
+    assert got == brute and len(got) > 0
