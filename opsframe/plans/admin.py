@@ -33,7 +33,7 @@ def r23_open_sessions(t: Tables) -> DataFrame:
 
 def r25_user_groups(t: Tables) -> DataFrame:
     """R25 (J13, J10): users and the groups whose member array holds them."""
-    users = S.catalog_users(t)
+    users = S.member_users(t)
     groups = S.catalog_groups(t)
     named = semi(groups, groups.select(F.col("groname").alias("g")).distinct(), [("groname", "g")])
     return member_join(users, "usesysid", named, "grolist").select("usename", "groname")

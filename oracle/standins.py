@@ -172,8 +172,9 @@ STANDINS: dict[str, str] = {
     "activity": """select 'user_' || cast(user_id as varchar) as user_name, 'dev' as db_name, user_id as pid, props as query,
         case when event_type = 'view' then 'Running' else 'Done' end as status from events""",
     "catalog_users": "select s_suppkey as usesysid, s_name as usename from supplier",
-    "catalog_groups": """select 'grp_' || cast(l_orderkey as varchar) as groname, list_sort(list(distinct l_suppkey)) as grolist
-        from lineitem group by l_orderkey""",
+    "catalog_groups": """select 'grp_' || cast(o_orderkey as varchar) as groname,
+        [o_custkey, o_custkey + o_orderkey % 3, o_custkey] as grolist from orders""",
+    "member_users": "select c_custkey as usesysid, c_name as usename from customer",
     "acl_objects": """select n_nationkey as oid, lower(n_name) as relname, 'r' as relkind, n_regionkey as relowner,
         n_regionkey as relnamespace,
         case when n_nationkey % 6 != 5 then
