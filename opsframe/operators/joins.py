@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.operators import broadcast as bc
+from opsframe.session import pin
 
 Keys = Sequence[str] | Sequence[tuple[str, str]]
 
@@ -145,7 +146,7 @@ def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: st
     L = left.withColumn(lid, F.monotonically_increasing_id())
     R = right.withColumn(rid, F.monotonically_increasing_id())
     # pin the ids: both sides are read more than once below
-    L, R = L.checkpoint(eager=True), R.checkpoint(eager=True)
+    L, R = pin(L, "contains_left"), pin(R, "contains_right")
 
     text = F.col(text_col)
     name = F.col(name_col)

@@ -11,7 +11,8 @@ puts all its rows into one task.
   locally, and shifted by the count of the same key in earlier partitions.
   Only keys that cross a partition boundary get a shift, at most one per
   partition, so the shift table is bounded by the partition count and is
-  broadcast on that proof.
+  broadcast on that proof. The range-partitioned, numbered rows are pinned
+  as a parquet table in the shared checkpoint folder (``session.pin``).
 * ``first_last_non_null`` (W5-W9): whole-partition ``first/last ignore
   nulls`` ordered by the value itself equal ``min``/``max``; computed as a
   partial aggregate and, when kept per row, joined back.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.operators import broadcast as bc
-from opsframe.session import checkpoint_dir
+from opsframe.session import pin
 
 
 def _c(x) -> Column:
@@ -64,7 +65,6 @@ def latest_per_key(df: DataFrame, keys: Sequence, order_by: Sequence[Column], rn
 def _ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(spark)
     # The range partitioner samples its input in a separate job; keep the
     # input so the sample and the write below compute the upstream once.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -72,9 +72,10 @@ def _ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> D
               .sortWithinPartitions(*sort_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    # Pin partition ids and positions in the shared checkpoint folder: every
-    # later read sees the same numbering, also after a lost executor.
-    pinned = ranged.checkpoint(eager=True)
+    # Pin partition ids and positions as a table in the shared checkpoint
+    # folder: every later read sees the same numbering, also after a lost
+    # executor, and reads only the columns it needs.
+    pinned = pin(ranged, "ranged")
     src.unpersist()
     return pinned
 

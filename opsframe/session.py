@@ -59,3 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def pin(df, name: str):
+    """Cut lineage: write ``df`` as a parquet table in the shared checkpoint
+    folder and read it back. Values computed with non-deterministic
+    expressions (row ids, partition ids) stay fixed for every later read,
+    including recomputation after a lost executor."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
