@@ -14,20 +14,21 @@ from opsframe.sources.tables import Tables
 PLACEHOLDER_RO_NUMBERS = ("", "NO_RO", "CANCEL_PART", "NO_STOCK_ID", "NO_COST", "OLD_ACCIDENT")
 
 
-def partner_lookup(t: Tables) -> DataFrame:
-    """Distinct (partner, source, partner name) for sources that are set."""
+def partner_rows(t: Tables) -> DataFrame:
+    """Partner of every grouped source (before the DISTINCT)."""
     r = S.partner_sources(t).filter(F.col("source_grouped").isNotNull())
     p = S.partners(t).withColumnRenamed("partner_id", "p_partner_id")
     j = r.join(p, F.col("p_partner_id") == F.col("partner_id"), "left")
-    return j.select("partner_id", "source_grouped", F.col("name").alias("partner_name")).distinct()
+    return j.select("partner_id", "source_grouped", F.col("name").alias("partner_name"))
 
 
 def r16_theoretical_margin(t: Tables) -> DataFrame:
-    """R16 (A14, J16, P6): margin rows with the partner of their source; a
-    source with several partners repeats the row (kept, as in the source)."""
+    """R16 (A14, J16, P6): margin rows with the partner of their source. The
+    look-up is DISTINCT on (partner, source, name); a source with several
+    partners repeats the row (kept, as in the source)."""
     evcm = S.evcm(t)
-    pl = partner_lookup(t).select(F.col("source_grouped").alias("pl_source"), "partner_name")
-    j = evcm.join(pl, F.col("pl_source") == F.col("source_grouped"), "left")
+    pl = partner_rows(t).withColumnRenamed("source_grouped", "pl_source")
+    j = distinct_lookup(evcm, pl, [("source_grouped", "pl_source")], ["partner_id", "partner_name"])
     return j.select("evcm_id", "source_grouped", "sub_source", "vin_count", "base_avg_evcm", "theoretical_max_evcm",
                     (F.col("vin_count") * F.col("theoretical_max_evcm")).alias("total_theoretical_max_evcm"),
                     "partner_name")
