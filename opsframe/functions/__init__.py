@@ -6,7 +6,7 @@ from opsframe.functions.dates import (  # noqa: F401
 )
 from opsframe.functions.logic import (  # noqa: F401
     any_true, at_most_flag, bands, false_or_null, nvl, present_nonzero, ratio,
-    typed_null, when_only,
+    to_int, typed_null, when_only,
 )
 from opsframe.functions.text import (  # noqa: F401
     char_in, concat_strict, decode_access, drop_first_char, left_chars,

@@ -59,6 +59,12 @@ def bands(x, low_below=1000, high_from=5000, labels=("low", "middle", "high")) -
             .otherwise(F.lit(hi)))
 
 
+def to_int(x, dtype: str = "int") -> Column:
+    """``text::int`` on keys that may be dirty -- null instead of a
+    failed job when a value does not parse (ANSI casts raise)."""
+    return _c(x).try_cast(dtype)
+
+
 def ratio(num, den) -> Column:
     """``cast(a as float) / cast(b as float)``; null when ``b`` is null or 0."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))

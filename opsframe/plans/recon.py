@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzero
+from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzero, to_int
 from opsframe.operators.joins import join_earlier, left_join_where, star_left
 from opsframe.operators.windows import prefix_sum, row_numbers, surrogate_number
 from opsframe.sources import standins as S
@@ -288,10 +288,10 @@ def r12_inbound_shipping(t: Tables, inventory_id: str | None = None) -> DataFram
     inv = S.inventory(t).select("inventoryid").alias("inv")
     snl = S.stock_number_lookup(t).filter(F.col("stock_number").isNotNull()).alias("snl")
     j = (d.join(p, F.col("p.id") == F.col("d.vehicle_c"))
-         .join(inv, F.col("inv.inventoryid") == F.col("p.inventory_id_c").cast("long"))
+         .join(inv, F.col("inv.inventoryid") == to_int(F.col("p.inventory_id_c"), "long"))
          .join(snl, F.col("snl.inventoryid") == F.col("inv.inventoryid")))
     rows = j.select(
-        F.col("p.inventory_id_c").cast("int").alias("inventoryid"),
+        to_int(F.col("p.inventory_id_c")).alias("inventoryid"),
         F.col("d.id").alias("_did"),
         F.col("d.created_date").alias("_created"),
         F.col("d.carrier_c").alias("vendorid"),
