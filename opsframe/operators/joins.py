@@ -196,3 +196,16 @@ def within_after(left: DataFrame, right: DataFrame, on: Keys, left_time: str, ri
     cond = _cond(lb, rb, on) & (lb["_rjb"] == rb["_rjb2"])
     cond = cond & (rb[right_time] >= lb[left_time]) & (rb[right_time] <= F.timestamp_add("MINUTE", F.lit(max_minutes), lb[left_time]))
     return lb.join(rb, cond, how).drop("_rjb", "_rjb2")
+
+
+def ratio_to_days_before(daily: DataFrame, date_col: str, value_col: str, days: int = 7,
+                         prev_date: str = "prev_date", prev_value: str = "prev_count",
+                         ratio_col: str = "ratio") -> DataFrame:
+    """Each day's value against the value ``days`` earlier (left
+    self-join on the shifted date; the ratio is null when there is no
+    earlier day or it is zero). ``daily`` holds one row per date, so both
+    sides are as small as the calendar; AQE broadcasts one of them."""
+    a = daily.withColumn(prev_date, F.date_add(F.col(date_col).cast("date"), -int(days)))
+    b = daily.select(F.col(date_col).alias("_rdb_date"), F.col(value_col).alias(prev_value))
+    j = a.join(b, F.col("_rdb_date") == F.col(prev_date), "left").drop("_rdb_date")
+    return j.withColumn(ratio_col, F.try_divide(F.col(value_col).cast("double"), F.col(prev_value).cast("double")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.functions import day_of, days_before, ratio
+from opsframe.functions import day_of
 from opsframe.operators.aggs import count_by, duplicates, has_all
-from opsframe.operators.joins import unmatched
+from opsframe.operators.joins import ratio_to_days_before, unmatched
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables, lookup
 
@@ -76,15 +76,10 @@ def a13_duplicate_lines(t: Tables, since="2000-01-01") -> DataFrame:
 
 def r18_snapshot_ratio(t: Tables, days: int = 7) -> DataFrame:
     """R18 (T3, A6, A10, T6, J11, T21, O2): daily row count against the count
-    ``days`` earlier. The daily table has one row per calendar day, so the
-    self-join is between two small frames (AQE broadcasts one)."""
+    ``days`` earlier."""
     daily = count_by(t["events"], [day_of("ts").alias("curr_date")], "curr_count")
-    daily = daily.withColumn("prev_date", days_before("curr_date", days))
-    a = daily.alias("a")
-    b = daily.select(F.col("curr_date").alias("b_date"), F.col("curr_count").alias("prev_count"))
-    j = a.join(b, F.col("b_date") == F.col("a.prev_date"), "left")
-    return (j.select("curr_date", "curr_count", "prev_date", "prev_count",
-                     ratio(F.col("curr_count"), F.col("prev_count")).alias("ratio"))
+    out = ratio_to_days_before(daily, "curr_date", "curr_count", days)
+    return (out.select("curr_date", "curr_count", "prev_date", "prev_count", "ratio")
             .orderBy(F.col("curr_date").desc_nulls_first()))
 
 
