@@ -27,6 +27,40 @@ def _cond(left: DataFrame, right: DataFrame, on: Keys) -> Column:
     return reduce(and_, [left[a] == right[b] for a, b in _pairs(on)])
 
 
+def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None = None,
+               first_right: Column | None = None, matches_first=None) -> DataFrame:
+    """LEFT OUTER JOIN that survives a hot key on the *right* side.
+
+    AQE's skew handling may split only the left side of a left outer join,
+    so a key holding a third of the right rows would land in one task. The
+    same rows come from an inner join (AQE may split either side) plus the
+    left rows with no match, found against one row per right key:
+
+    * equality only: ``left_anti`` against the distinct right keys;
+    * with an extra condition, pass ``first_right`` (an aggregate over the
+      right rows of a key, e.g. ``min(t)``) and ``matches_first(left_cols,
+      agg_col)`` saying whether a left row has a match given that aggregate.
+
+    Column names of the two sides must be distinct.
+    """
+    pairs = _pairs(on)
+    clash = set(left.columns) & set(right.columns)
+    if clash:
+        raise ValueError(f"left_outer needs distinct column names, both sides have {sorted(clash)}")
+    cond = _cond(left, right, on)
+    inner = left.join(right, cond if extra is None else cond & extra, "inner")
+    rkeys = [b for _, b in pairs]
+    if extra is None:
+        keys = right.select(*rkeys).distinct()
+        unmatched = left.join(keys, _cond(left, keys, on), "left_anti")
+    else:
+        per_key = right.groupBy(*rkeys).agg(first_right.alias("_lo_first"))
+        j = left.join(per_key, _cond(left, per_key, on), "left")
+        has = F.col("_lo_first").isNotNull() & matches_first(j, F.col("_lo_first"))
+        unmatched = j.filter(~F.coalesce(has, F.lit(False))).select(*left.columns)
+    return inner.unionByName(unmatched, allowMissingColumns=True)
+
+
 def star_left(spine: DataFrame, lookups: Sequence[tuple[DataFrame, Keys | Column]]) -> DataFrame:
     """Chain of left look-up joins on one spine.
 
@@ -44,8 +78,7 @@ def star_left(spine: DataFrame, lookups: Sequence[tuple[DataFrame, Keys | Column
 def left_join_where(left: DataFrame, right: DataFrame, on: Keys, right_predicate: Column) -> DataFrame:
     """``left join r on k and <predicate on r>`` -- the predicate filters
     the right side *before* the join, so unmatched left rows are kept."""
-    r = right.filter(right_predicate)
-    return left.join(r, _cond(left, r, on), "left")
+    return left_outer(left, right.filter(right_predicate), on)
 
 
 def join_earlier(left: DataFrame, right: DataFrame, on: Keys, right_time: str, left_time: str,
@@ -54,12 +87,18 @@ def join_earlier(left: DataFrame, right: DataFrame, on: Keys, right_time: str, l
 
     Every earlier right row matches (this is not an as-of join); the
     fan-out is kept. Spark plans an equi-join on the keys with the
-    inequality as a join filter; a hot key is split by AQE's skew join.
+    inequality as a join filter. Written as ``left_outer``: the inner part
+    lets AQE split a hot key on either side; left rows with no earlier
+    right row are found against the earliest right time per key.
     """
-    r = right
-    cond = _cond(left, r, on)
-    cond = cond & ((r[right_time] < left[left_time]) if strict else (r[right_time] <= left[left_time]))
-    return left.join(r, cond, how)
+    lt, rt = left[left_time], right[right_time]
+    extra = (rt < lt) if strict else (rt <= lt)
+    if how == "inner":
+        return left.join(right, _cond(left, right, on) & extra, "inner")
+    if how != "left":
+        raise ValueError("join_earlier supports how='left' or 'inner'")
+    return left_outer(left, right, on, extra, first_right=F.min(right_time),
+                      matches_first=lambda j, first: (first < j[left_time]) if strict else (first <= j[left_time]))
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: Keys) -> DataFrame:
@@ -109,7 +148,7 @@ def distinct_lookup(left: DataFrame, right: DataFrame, on: Keys, cols: Sequence[
     """
     names = list(dict.fromkeys([b for _, b in _pairs(on)] + list(cols)))
     d = right.select(*names).distinct()
-    return left.join(d, _cond(left, d, on), "left")
+    return left_outer(left, d, on)
 
 
 def member_join(left: DataFrame, left_col: str, right: DataFrame, array_col: str,

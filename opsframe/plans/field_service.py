@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import at_most_flag, boundary_diff, left_chars, when_only
 from opsframe.operators.aggs import counts_by_period
-from opsframe.operators.joins import distinct_lookup, within_after
+from opsframe.operators.joins import distinct_lookup, left_outer, within_after
 from opsframe.operators.windows import latest_per_key
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
@@ -76,7 +76,10 @@ def r3_driver_day(t: Tables, limit_minutes: int = 120) -> DataFrame:
     j = (sa.join(wo, F.col("wo.id") == F.col("sa.parent_record_id"))
          .join(acc, F.col("acc.id") == F.col("sa.account_id"), "left")
          .join(de, F.col("del.id") == F.col("wo.delivery_order_c"))
-         .join(ar, F.col("ar.service_appointment_id") == F.col("sa.id"), "left")
+         # An appointment with no assignment has no latest driver and is
+         # dropped by the lr join below, so this left join is an inner one
+         # (and AQE may split a hot appointment on either side)
+         .join(ar, F.col("ar.service_appointment_id") == F.col("sa.id"))
          .join(sr, F.col("sr.id") == F.col("ar.service_resource_id"), "left")
          .join(dd, (F.col("dd.name") == F.col("sr.name")) & (F.col("dd.first_sa_start") == F.col("sa.actual_start_time")), "left")
          .join(lr, F.col("lr.appointment_number") == F.col("sa.appointment_number")))  # J7: lr.name not null
@@ -101,23 +104,24 @@ def r4_appointment_detail(t: Tables, appointment_number: str | None = None) -> D
     sa = S.service_appointments(t)
     if appointment_number is not None:
         sa = sa.filter(F.col("appointment_number") == appointment_number)
-    sa = sa.alias("sa")
     ser, aar = S.service_resources(t), S.assigned_resources(t)
     appt_res = distinct_lookup(ser, aar, [("id", "service_resource_id")], ["service_appointment_id"])
-    appt_res = appt_res.select("name", "service_appointment_id", "service_resource_id").distinct().alias("ar")
+    appt_res = appt_res.select(F.col("name").alias("ar_name"), F.col("service_appointment_id").alias("ar_appt"),
+                               F.col("service_resource_id").alias("ar_res")).distinct()
+    # several drivers per appointment: a hot appointment must not sit in one task
+    sa = left_outer(sa, appt_res, [("id", "ar_appt")]).alias("sa")
     wo = S.work_orders(t).alias("wo")
     acc = S.accounts(t).alias("acc")
     de = (S.delivery_orders(t)
           .filter(F.col("transit_type_c").isin(OUTBOUND, *INBOUND) & F.col("is_last_mile_c"))
           .alias("del"))
-    j = (sa.join(appt_res, F.col("ar.service_appointment_id") == F.col("sa.id"), "left")
-         .join(wo, F.col("wo.id") == F.col("sa.parent_record_id"))
+    j = (sa.join(wo, F.col("wo.id") == F.col("sa.parent_record_id"))
          .join(acc, F.col("acc.id") == F.col("sa.account_id"), "left")
          .join(de, F.col("del.id") == F.col("wo.delivery_order_c")))
     return j.select(
         F.col("del.managing_hub_facility_code_c").alias("delivery_order_managing_hub"),
         F.col("sa.appointment_number").alias("service_appointment"),
-        F.col("ar.name").alias("driver_name"),
+        F.col("sa.ar_name").alias("driver_name"),
         F.col("sa.truck_number_c").alias("service_resource_truck_id"),
         F.col("sa.actual_end_time").alias("actual_end_time"),
         F.col("sa.actual_start_time").alias("actual_start_time"),

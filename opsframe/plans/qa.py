@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import typed_null
-from opsframe.operators.joins import distinct_lookup, join_earlier, not_in, star_left, unmatched
+from opsframe.operators.joins import distinct_lookup, join_earlier, left_outer, not_in, star_left, unmatched
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
 
@@ -45,7 +45,7 @@ def advent_service_data(t: Tables, null_line: int | None = None) -> DataFrame:
         F.col("concern").alias("rli_concern"), F.col("status").alias("rli_status"),
         F.col("department").alias("rli_department"))
     open_ro = not_in(ro, "ro_repair_order_number", S.closed_repair_orders(t, null_line), "adventronumber")
-    j = open_ro.join(rli, F.col("rli_ro") == F.col("ro_repair_order_number"), "left")
+    j = left_outer(open_ro, rli, [("ro_repair_order_number", "rli_ro")])   # many lines per order
     return j.drop("rli_ro")
 
 

@@ -325,9 +325,9 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
     snl = S.stock_number_lookup(t).filter(F.col("stock_number").isNotNull()).select(F.col("inventoryid").alias("snl_inv"))
     o = S.deal_opportunities(t)
     od = S.sf_delivery_orders(t).select(F.col("opportunity_c"), F.col("delivery_cost_c"), F.col("shipment_record_type"))
-    j = left_join_where(adds, ad, [("sale_number", "sale_number")], F.col("type") != excluded_deal_type)
-    j = j.select("adds.*", F.col("sale_date"), F.col("ready_for_funding_date"), F.col("stock_number"),
-                 ad["sale_number"].alias("ad_sale_number"))
+    ad = ad.select(F.col("sale_number").alias("ad_sale_number"), "stock_number", "type", "sale_date",
+                   "ready_for_funding_date")
+    j = left_join_where(adds, ad, [("sale_number", "ad_sale_number")], F.col("type") != excluded_deal_type)
     j = j.join(inv, F.col("adventstockid") == F.col("stock_number"))     # J7 via snl
     j = j.join(snl, F.col("snl_inv") == F.col("inventoryid"))
     j = j.join(o, F.col("advent_sale_number_c") == F.col("ad_sale_number"), "left")
