@@ -105,14 +105,18 @@ def unmatched(left: DataFrame, right: DataFrame, on: Keys) -> DataFrame:
     """``left join r ... where r.k is null`` written as ``left_anti``.
 
     Catalyst does not rewrite the LEFT/IS NULL form into an anti-join; the
-    anti-join never materialises the joined rows.
+    anti-join never materialises the joined rows. The right keys are made
+    distinct first (a partial aggregate, whose hash partitioning the join
+    reuses), so a hot right key is one row per map task, not a buffered run.
     """
-    return left.join(right, _cond(left, right, on), "left_anti")
+    keys = right.select(*[b for _, b in _pairs(on)]).distinct()
+    return left.join(keys, _cond(left, keys, on), "left_anti")
 
 
 def semi(left: DataFrame, right: DataFrame, on: Keys) -> DataFrame:
-    """``k in (select ...)``."""
-    return left.join(right, _cond(left, right, on), "left_semi")
+    """``k in (select ...)`` (right keys made distinct first, as in ``unmatched``)."""
+    keys = right.select(*[b for _, b in _pairs(on)]).distinct()
+    return left.join(keys, _cond(left, keys, on), "left_semi")
 
 
 def not_in(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
@@ -135,7 +139,7 @@ def not_in(left: DataFrame, left_col: str, right: DataFrame, right_col: str) ->
         return left
     if stats["nulls"] > 0:
         return left.filter(F.lit(False))
-    nonnull = keys.filter(F.col("_nin_k").isNotNull())
+    nonnull = keys.filter(F.col("_nin_k").isNotNull()).distinct()
     kept = left.filter(F.col(left_col).isNotNull())
     return kept.join(nonnull, kept[left_col] == nonnull["_nin_k"], "left_anti")
 
