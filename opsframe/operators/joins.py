@@ -41,7 +41,9 @@ def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None
       right rows of a key, e.g. ``min(t)``) and ``matches_first(left_cols,
       agg_col)`` saying whether a left row has a match given that aggregate.
 
-    Column names of the two sides must be distinct.
+    Column names of the two sides must be distinct. The price is that the
+    left input is evaluated twice (once per branch), so keep it shallow --
+    join the multi-row side as early as its predicate allows.
     """
     pairs = _pairs(on)
     clash = set(left.columns) & set(right.columns)
