@@ -77,10 +77,16 @@ def star_left(spine: DataFrame, lookups: Sequence[tuple[DataFrame, Keys | Column
     return out
 
 
-def left_join_where(left: DataFrame, right: DataFrame, on: Keys, right_predicate: Column) -> DataFrame:
+def left_join_where(left: DataFrame, right: DataFrame, on: Keys, right_predicate: Column,
+                    right_unique: bool = False) -> DataFrame:
     """``left join r on k and <predicate on r>`` -- the predicate filters
-    the right side *before* the join, so unmatched left rows are kept."""
-    return left_outer(left, right.filter(right_predicate), on)
+    the right side *before* the join, so unmatched left rows are kept.
+    ``right_unique`` says the right side has at most one row per key (a
+    keyed look-up): then a plain left join, with no hot right key to split."""
+    r = right.filter(right_predicate)
+    if right_unique:
+        return left.join(r, _cond(left, r, on), "left")
+    return left_outer(left, r, on)
 
 
 def join_earlier(left: DataFrame, right: DataFrame, on: Keys, right_time: str, left_time: str,

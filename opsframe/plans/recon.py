@@ -327,11 +327,14 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
     od = S.sf_delivery_orders(t).select(F.col("opportunity_c"), F.col("delivery_cost_c"), F.col("shipment_record_type"))
     ad = ad.select(F.col("sale_number").alias("ad_sale_number"), "stock_number", "type", "sale_date",
                    "ready_for_funding_date")
-    j = left_join_where(adds, ad, [("sale_number", "ad_sale_number")], F.col("type") != excluded_deal_type)
+    # both look-ups are keyed (one deal per sale, one delivery order per opportunity)
+    j = left_join_where(adds, ad, [("sale_number", "ad_sale_number")], F.col("type") != excluded_deal_type,
+                        right_unique=True)
     j = j.join(inv, F.col("adventstockid") == F.col("stock_number"))     # J7 via snl
     j = j.join(snl, F.col("snl_inv") == F.col("inventoryid"))
     j = j.join(o, F.col("advent_sale_number_c") == F.col("ad_sale_number"), "left")
-    j = left_join_where(j, od, [("id", "opportunity_c")], F.col("shipment_record_type").isin(*record_types))
+    j = left_join_where(j, od, [("id", "opportunity_c")], F.col("shipment_record_type").isin(*record_types),
+                        right_unique=True)
     rows = j.select(
         F.col("inventoryid").cast("int").alias("inventoryid"),
         F.lit(352).alias("typeid"),
