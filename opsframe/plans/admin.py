@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import any_true, bands, concat_strict, decode_access
+from opsframe.operators.aggs import money_sum
 from opsframe.operators.joins import contains_join, member_join, not_in, semi
 from opsframe.operators.sets import union_distinct
 from opsframe.sources import sinks
@@ -138,7 +139,7 @@ def r30_customer_nation_store(t: Tables) -> DataFrame:
     c, n = S.customers(t), S.nations(t)
     agg = (c.join(n, "nationid")
            .groupBy("customername", "phone", "nationname", "marketsegment")
-           .agg(F.sum(F.col("accountbalance").cast("decimal(18,2)")).cast("double").alias("accountbalance")))
+           .agg(money_sum("accountbalance").alias("accountbalance")))
     return sinks.materialize(agg, "customernation_mv")
 
 
