@@ -13,6 +13,9 @@ puts all its rows into one task.
   partition, so the shift table is bounded by the partition count and is
   broadcast on that proof. The range-partitioned, numbered rows are pinned
   as a parquet table in the shared checkpoint folder (``session.pin``).
+  Inputs whose largest group (or whole input, for a global order) has at
+  most ``WINDOW_ROWS_LIMIT`` rows take a plain window instead, behind one
+  distributed size check.
 * ``first_last_non_null`` (W5-W9): whole-partition ``first/last ignore
   nulls`` ordered by the value itself equal ``min``/``max``; computed as a
   partial aggregate and, when kept per row, joined back.
@@ -54,6 +57,24 @@ def order_spec(cols: Sequence, descending: bool = True, nulls_first: bool | None
     return out
 
 
+# A plain window puts a whole group (or, for a global order, the whole
+# input) in one task. Below this many rows that is cheap and safe; above it
+# the range method is used. The check is one distributed aggregate.
+WINDOW_ROWS_LIMIT = 2_000_000
+
+
+def _fits_one_task(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
+    """True when no group of ``keys`` (all rows when there are no keys) has
+    more than ``limit`` rows."""
+    if not limit:
+        return False
+    if not keys:
+        return df.limit(limit + 1).count() <= limit
+    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.max("_n").alias("m")).first()["m"])
+    return (largest or 0) <= limit
+
+
 def latest_per_key(df: DataFrame, keys: Sequence, order_by: Sequence[Column], rn_col: str = "_rn",
                    keep_rn: bool = False) -> DataFrame:
     """One row per key, first in ``order_by`` (give full tie-breaks)."""
@@ -81,13 +102,16 @@ def _ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> D
 
 
 def surrogate_number(df: DataFrame, order_by: Sequence[Column], name: str = "row_number",
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, window_rows_limit: int | None = WINDOW_ROWS_LIMIT) -> DataFrame:
     """``row_number() over (order by ...)`` without a single-task sort.
 
     Position inside a range partition comes from the row id's low bits; the
     offset of each partition is the count of all earlier partitions (one
-    row per partition, broadcast).
+    row per partition, broadcast). Inputs of at most ``window_rows_limit``
+    rows use a plain window.
     """
+    if _fits_one_task(df, [], window_rows_limit):
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)).cast("long"))
     r = _ranged(df, list(order_by), partitions)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn(
@@ -99,13 +123,16 @@ def surrogate_number(df: DataFrame, order_by: Sequence[Column], name: str = "row
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], name: str = "row_number",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, window_rows_limit: int | None = WINDOW_ROWS_LIMIT) -> DataFrame:
     """``row_number() over (partition by keys order by ...)`` kept per row.
 
     Give ``order_by`` a full tie-break, or numbers among ties are arbitrary
-    (as they are in the source).
+    (as they are in the source). When no key holds more than
+    ``window_rows_limit`` rows, a plain window is used.
     """
     keys = list(keys)
+    if _fits_one_task(df, keys, window_rows_limit):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)).cast("long"))
     key_sort = [F.col(k).asc_nulls_first() for k in keys]
     r = _ranged(df, key_sort + list(order_by), partitions)
     local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid"))
@@ -153,15 +180,20 @@ def with_first_last(df: DataFrame, keys: Sequence[str], value, condition: Column
 
 
 def prefix_sum(df: DataFrame, order_by: Sequence[Column], value, name: str = "prefix_sum",
-               inclusive: bool = False, partitions: int | None = None) -> DataFrame:
+               inclusive: bool = False, partitions: int | None = None,
+               window_rows_limit: int | None = WINDOW_ROWS_LIMIT) -> DataFrame:
     """Running total of ``value`` over one global order
     (``sum(v) over (order by ... rows unbounded preceding ..)``) without a
     single-task window: totals inside each range partition, plus the sum of
     all earlier partitions (one row per partition, broadcast). Exclusive
-    by default (the total of the rows strictly before)."""
-    r = _ranged(df, list(order_by), partitions)
+    by default (the total of the rows strictly before). Inputs of at most
+    ``window_rows_limit`` rows use a plain window."""
     v = F.coalesce(_c(value), F.lit(0))
     upper = Window.currentRow if inclusive else -1
+    if _fits_one_task(df, [], window_rows_limit):
+        w = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, upper)
+        return df.withColumn(name, F.coalesce(F.sum(v).over(w), F.lit(0)))
+    r = _ranged(df, list(order_by), partitions)
     local = F.coalesce(F.sum(v).over(Window.partitionBy("_pid").orderBy("_mid")
                                      .rowsBetween(Window.unboundedPreceding, upper)), F.lit(0))
     totals = r.groupBy("_pid").agg(F.sum(v).alias("_tot"))
