@@ -59,7 +59,9 @@ def order_spec(cols: Sequence, descending: bool = True, nulls_first: bool | None
 
 # A plain window puts a whole group (or, for a global order, the whole
 # input) in one task. Below this many rows that is cheap and safe; above it
-# the range method is used. The check is one distributed aggregate.
+# the range method is used. The check is one distributed aggregate, which
+# evaluates the input once more: for an expensive input pass
+# ``window_rows_limit=None`` (range method, input evaluated once).
 WINDOW_ROWS_LIMIT = 2_000_000
 
 

@@ -263,7 +263,11 @@ def r11_recon_cost(t: Tables) -> DataFrame:
     """One recon-cost row per inventory, with the source's surrogate id
     (W4) and row order (W1) -- see ``recon_model``."""
     rows = recon_model(t)
-    numbered = prefix_sum(rows, [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
+    # the input is the whole cost model: skip the size check (it would
+    # evaluate the model once more) and number by range partitions, which
+    # evaluate it once
+    numbered = prefix_sum(rows, [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before",
+                          window_rows_limit=None)
     return numbered.select(
         concat_strict("advent_recon_", F.col("_before") + 1).alias("maintid"),
         "inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost", "remote_recon_cost",
