@@ -1,5 +1,9 @@
 """Reconditioning-cost and shipping-expense models: R11-R14.
 
+Inventory ids are 64-bit here: the source casts them with ``::int``, but
+at the target scale keys pass 2**31 and a 32-bit cast would fail the job
+(ANSI) or lose the id.
+
 R11 follows the source's CTE chain (clean expenses -> per-inventory
 expense, labor cost per task group, recon dates per inventory, parts,
 remote sites, reported costs, concessions -> final star join) with every
@@ -237,7 +241,7 @@ def recon_model(t: Tables) -> DataFrame:
                  | F.col("totalpartscost").isNotNull() | has_rr)
     no_rr_cost = _cost(exp_total, F.col("totallaborcost"), F.col("totalpartscost"), F.lit(None).cast("double"))
     rows = j.select(
-        F.col("inventoryid").cast("int").alias("inventoryid"),
+        F.col("inventoryid").cast("long").alias("inventoryid"),
         F.when(has_rr, F.col("_best.cost")).otherwise(no_rr_cost).alias("cost"),
         nvl(exp_total.cast("double"), 0).alias("dms_cost"),
         nvl(F.col("totallaborcost"), 0).cast("double").alias("vl_labor_cost"),
@@ -295,7 +299,7 @@ def r12_inbound_shipping(t: Tables, inventory_id: str | None = None) -> DataFram
          .join(inv, F.col("inv.inventoryid") == to_int(F.col("p.inventory_id_c"), "long"))
          .join(snl, F.col("snl.inventoryid") == F.col("inv.inventoryid")))
     rows = j.select(
-        to_int(F.col("p.inventory_id_c")).alias("inventoryid"),
+        to_int(F.col("p.inventory_id_c"), "long").alias("inventoryid"),
         F.col("d.id").alias("_did"),
         F.col("d.created_date").alias("_created"),
         F.col("d.carrier_c").alias("vendorid"),
@@ -340,7 +344,7 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
     j = left_join_where(j, od, [("id", "opportunity_c")], F.col("shipment_record_type").isin(*record_types),
                         right_unique=True)
     rows = j.select(
-        F.col("inventoryid").cast("int").alias("inventoryid"),
+        F.col("inventoryid").cast("long").alias("inventoryid"),
         F.lit(352).alias("typeid"),
         F.col("delivery_cost_c").cast("double").alias("cost"),
         F.col("sale_date").alias("droppedoffon"),
