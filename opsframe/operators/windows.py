@@ -138,7 +138,19 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     key_sort = [F.col(k).asc_nulls_first() for k in keys]
     r = _ranged(df, key_sort + list(order_by), partitions)
     local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid"))
-    counts = r.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # Only a partition's first and last key can reach into a neighbour, so
+    # count rows just for those (at most two keys per partition) instead of
+    # aggregating every key.
+    ks = F.struct(*[F.col(k) for k in keys])
+    bounds = r.groupBy("_pid").agg(F.min(ks).alias("_first"), F.max(ks).alias("_last"))
+    edge_keys = bounds.select(F.explode(F.array("_first", "_last")).alias("_k")).select("_k.*").distinct()
+    edge_keys = bc.bounded(edge_keys.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(keys)]),
+                           "two keys per partition")
+    on_edge = None
+    for i, k in enumerate(keys):
+        c = r[k].eqNullSafe(edge_keys[f"_ek{i}"])
+        on_edge = c if on_edge is None else on_edge & c
+    counts = r.join(edge_keys, on_edge, "left_semi").groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
     offs = (counts.withColumn("_off", before)
             .filter(F.col("_off") > 0)

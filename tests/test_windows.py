@@ -87,3 +87,14 @@ def test_small_inputs_take_the_plain_window_with_same_numbers(spark):
         else:
             assert (sorted(a.select("id", "rn").collect()), sorted(b.select("id", "n").collect()),
                     sorted(c.select("id", "ps").collect())) == ref
+
+
+def test_row_numbers_two_keys_with_nulls_range_path(spark):
+    rnd = random.Random(11)
+    data = [(i, rnd.choice([None, 0, 1]), rnd.choice([None, "a", "b"]) if i % 4 else "a", rnd.randint(0, 30))
+            for i in range(1500)]
+    df = spark.createDataFrame(data, "id long, k1 long, k2 string, t long")
+    order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
+    got = row_numbers(df, ["k1", "k2"], order, name="rn", partitions=7, window_rows_limit=0)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order)))
+    assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
