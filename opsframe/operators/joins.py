@@ -229,7 +229,7 @@ def _minute_bucket(ts: Column, bucket_minutes: int) -> Column:
 
 
 def within_after(left: DataFrame, right: DataFrame, on: Keys, left_time: str, right_time: str,
-                 max_minutes: int, bucket_minutes: int | None = None, how: str = "inner") -> DataFrame:
+                 max_minutes: int, bucket_minutes: int | None = None) -> DataFrame:
     """Range join: ``right.t`` in ``[left.t, left.t + max_minutes]`` on equal keys.
 
     A plain equi-join on the keys would pair every left row with every right
@@ -237,7 +237,9 @@ def within_after(left: DataFrame, right: DataFrame, on: Keys, left_time: str, ri
     both sides also carry a time bucket: each right row its own, each left
     row the few buckets its window touches. The equi-join on (keys, bucket)
     only meets rows that are close in time; the exact predicate then
-    decides. Every qualifying pair meets in exactly one bucket.
+    decides. Every qualifying pair meets in exactly one bucket. Inner join
+    only: a left row sits in several buckets, so an outer form would
+    null-extend it once per empty bucket.
     """
     b = bucket_minutes or max_minutes
     lt, rt = left[left_time], right[right_time]
@@ -246,7 +248,7 @@ def within_after(left: DataFrame, right: DataFrame, on: Keys, left_time: str, ri
     rb = right.withColumn("_rjb2", _minute_bucket(rt, b))
     cond = _cond(lb, rb, on) & (lb["_rjb"] == rb["_rjb2"])
     cond = cond & (rb[right_time] >= lb[left_time]) & (rb[right_time] <= F.timestamp_add("MINUTE", F.lit(max_minutes), lb[left_time]))
-    return lb.join(rb, cond, how).drop("_rjb", "_rjb2")
+    return lb.join(rb, cond, "inner").drop("_rjb", "_rjb2")
 
 
 def ratio_to_days_before(daily: DataFrame, date_col: str, value_col: str, days: int = 7,
