@@ -129,7 +129,7 @@ def inventory_ro_parts(t: Tables, **kw) -> DataFrame:
     return j.groupBy("inventoryid").agg(F.sum("totalcost").cast("double").alias("total_ro_parts_cost"))
 
 
-def remote_recon_site_total_recon(t: Tables, passed_since="1996-01-01") -> DataFrame:
+def remote_recon_site_total_recon(t: Tables, passed_since="1996-01-01", how: str = "left") -> DataFrame:
     """Remote recon costs matched to every inventory record of the same VIN
     purchased before the remote record was created (J5: all earlier, not
     the nearest; fan-out kept)."""
@@ -137,7 +137,8 @@ def remote_recon_site_total_recon(t: Tables, passed_since="1996-01-01") -> DataF
         F.col("actual_recon_cost").isNotNull()
         & (F.to_date(F.coalesce("rqc_pass_date", "zoned_date")) >= F.lit(passed_since).cast("date")))
     inv = S.inventory(t).select(F.col("vin").alias("inv_vin"), "inventoryid", "tdapurchaseddate")
-    j = join_earlier(rr, inv, [("vin", "inv_vin")], right_time="tdapurchaseddate", left_time="created_time", strict=True)
+    j = join_earlier(rr, inv, [("vin", "inv_vin")], right_time="tdapurchaseddate", left_time="created_time",
+                     strict=True, how=how)
     return j.select("inventoryid", "recon_site", "actual_recon_cost")
 
 
@@ -217,12 +218,16 @@ def recon_model(t: Tables) -> DataFrame:
                            (vlc, [("inventoryid", "vlc_inv")])])
     base = base.join(snl, F.col("inventoryid") == F.col("snl_inv"))                  # J7: stock number not null
     exp_total = F.col("total_actual_pre_advent_recon_cost")
-    consts = base.select(F.col("inventoryid").alias("k"), exp_total.alias("_exp"),
-                         F.col("totallaborcost").alias("_lab"), F.col("totalpartscost").alias("_par"))
-
-    # best remote row per inventory: lowest (cost nulls last, remote cost)
-    rr = remote_recon_site_total_recon(t).filter(F.col("inventoryid").isNotNull())
-    rr = rr.join(consts, rr.inventoryid == consts.k)
+    # best remote row per inventory: lowest (cost nulls last, remote cost).
+    # A remote row's cost needs only the inventory's expense total and
+    # reported labor and parts costs (both one row per inventory); remote
+    # rows that match no inventory never reach the result, so the join to
+    # inventory is inner here.
+    rr = remote_recon_site_total_recon(t, how="inner")
+    rr = (rr.join(exp.select(F.col("exp_inv"), F.col("total_actual_pre_advent_recon_cost").alias("_exp")),
+                  rr.inventoryid == F.col("exp_inv"), "left")
+          .join(vlc.select(F.col("vlc_inv"), F.col("totallaborcost").alias("_lab"), F.col("totalpartscost").alias("_par")),
+                rr.inventoryid == F.col("vlc_inv"), "left"))
     rr_cost = _cost(F.col("_exp"), F.col("_lab"), F.col("_par"), F.col("actual_recon_cost"))
     rr_out = nvl(F.col("actual_recon_cost"), 0).cast("double")
     rr_best = rr.groupBy(F.col("inventoryid").alias("rr_inv")).agg(
