@@ -144,6 +144,8 @@ def r30_customer_nation_store(t: Tables) -> DataFrame:
 
 
 def r31_update_then_bands(t: Tables, segment="BUILDING", balance=1000) -> DataFrame:
-    """R31 (S10, P9): set the balance of one segment, then band (1000 -> high, Q6)."""
+    """R31 (S10, P9): set the balance of one segment -- the table is rewritten
+    to a new path, as parquet has no in-place UPDATE -- then band through
+    the view (1000 -> high, Q6)."""
     c = sinks.rewrite_where(S.customers(t), {"accountbalance": balance}, F.col("marketsegment") == segment)
-    return customer_view(c)
+    return customer_view(sinks.materialize(c, "customer_updated"))
