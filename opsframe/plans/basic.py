@@ -99,8 +99,10 @@ def r21_distinct_type_names(t: Tables) -> DataFrame:
 
 
 def r22_row_lookup(t: Tables, completed_after="2001-06-01") -> DataFrame:
-    """R22 (S4): whole rows by a date predicate."""
-    return lookup(S.expenses(t), F.col("workcompletedon") > F.lit(completed_after).cast("timestamp_ntz"))
+    """R22 (S4): whole rows by a date predicate (money returned as DOUBLE,
+    like every other report)."""
+    rows = lookup(S.expenses(t), F.col("workcompletedon") > F.lit(completed_after).cast("timestamp_ntz"))
+    return rows.withColumn("cost", F.col("cost").cast("double"))
 
 
 def r24_recent_queries(t: Tables, k: int = 100) -> DataFrame:
