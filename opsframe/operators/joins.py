@@ -27,40 +27,83 @@ def _cond(left: DataFrame, right: DataFrame, on: Keys) -> Column:
     return reduce(and_, [left[a] == right[b] for a, b in _pairs(on)])
 
 
+# A right-side key with more rows than this is spread over SALT_BUCKETS
+# tasks by ``left_outer``. There are at most (right rows / HOT_KEY_ROWS)
+# such keys, which bounds the broadcast of the hot-key set.
+HOT_KEY_ROWS = 1_000_000
+SALT_BUCKETS = 64
+
+
 def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None = None,
-               first_right: Column | None = None, matches_first=None) -> DataFrame:
-    """LEFT OUTER JOIN that survives a hot key on the *right* side.
+               first_right: Column | None = None, matches_first=None,
+               hot_rows: int = HOT_KEY_ROWS, buckets: int = SALT_BUCKETS) -> DataFrame:
+    """LEFT OUTER JOIN that survives a hot key on the *right* side, in one
+    pass over the left input.
 
     AQE's skew handling may split only the left side of a left outer join,
-    so a key holding a third of the right rows would land in one task. The
-    same rows come from an inner join (AQE may split either side) plus the
-    left rows with no match, found against one row per right key:
-
-    * equality only: ``left_anti`` against the distinct right keys;
-    * with an extra condition, pass ``first_right`` (an aggregate over the
-      right rows of a key, e.g. ``min(t)``) and ``matches_first(left_cols,
-      agg_col)`` saying whether a left row has a match given that aggregate.
-
-    Column names of the two sides must be distinct. The price is that the
-    left input is evaluated twice (once per branch), so keep it shallow --
-    join the multi-row side as early as its predicate allows.
+    so a key holding a third of the right rows would land in one task.
+    Here right keys with more than ``hot_rows`` rows are salted: each of
+    their right rows goes to one of ``buckets`` buckets, each of their left
+    rows is repeated once per bucket, and the join runs on (key, bucket).
+    Every matching pair then meets exactly once, spread over ``buckets``
+    tasks. A repeated left row can meet an empty bucket; those null rows
+    are dropped, keeping one (bucket 0) only for a left row with no match
+    at all. With ``extra`` (a condition beyond the keys) that is decided
+    from ``first_right``, an aggregate over the key's right rows such as
+    ``min(t)``, and ``matches_first(frame, agg)``, which says whether a
+    left row matches given it.
+
+    When the whole right side has at most ``hot_rows`` rows no key can be
+    hot, and a plain left join is used (one bounded count decides).
+
+    Column names of the two sides must be distinct.
     """
     pairs = _pairs(on)
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"left_outer needs distinct column names, both sides have {sorted(clash)}")
-    cond = _cond(left, right, on)
-    inner = left.join(right, cond if extra is None else cond & extra, "inner")
+    if right.limit(hot_rows + 1).count() <= hot_rows:
+        cond = _cond(left, right, on)
+        return left.join(right, cond if extra is None else cond & extra, "left")
     rkeys = [b for _, b in pairs]
-    if extra is None:
-        keys = right.select(*rkeys).distinct()
-        unmatched = left.join(keys, _cond(left, keys, on), "left_anti")
+    aggs = [F.count(F.lit(1)).alias("_lo_n")]
+    if extra is not None:
+        aggs.append(first_right.alias("_lo_first"))
+    per_key = right.groupBy(*rkeys).agg(*aggs)
+    hot = per_key.filter(F.col("_lo_n") > hot_rows).select(
+        *[F.col(k).alias(f"_lo_h{i}") for i, k in enumerate(rkeys)], F.lit(True).alias("_lo_hot"))
+    hot = bc.bounded(hot, "keys with more than hot_rows right rows: at most rows / hot_rows")
+
+    def tag(df: DataFrame, cols: list[str]) -> DataFrame:
+        cond = None
+        for i, c in enumerate(cols):
+            e = df[c] == hot[f"_lo_h{i}"]
+            cond = e if cond is None else cond & e
+        return df.join(hot, cond, "left").drop(*[f"_lo_h{i}" for i in range(len(cols))])
+
+    L = tag(left, [a for a, _ in pairs]).withColumn("_lo_lhot", F.coalesce(F.col("_lo_hot"), F.lit(False))).drop("_lo_hot")
+    if extra is not None:
+        firsts = per_key.select(*[F.col(k).alias(f"_lo_f{i}") for i, k in enumerate(rkeys)], "_lo_first")
+        fcond = None
+        for i, (a, _) in enumerate(pairs):
+            e = L[a] == firsts[f"_lo_f{i}"]
+            fcond = e if fcond is None else fcond & e
+        L = L.join(firsts, fcond, "left").drop(*[f"_lo_f{i}" for i in range(len(pairs))])
+        L = L.withColumn("_lo_has", F.coalesce(matches_first(L, F.col("_lo_first")), F.lit(False))).drop("_lo_first")
     else:
-        per_key = right.groupBy(*rkeys).agg(first_right.alias("_lo_first"))
-        j = left.join(per_key, _cond(left, per_key, on), "left")
-        has = F.col("_lo_first").isNotNull() & matches_first(j, F.col("_lo_first"))
-        unmatched = j.filter(~F.coalesce(has, F.lit(False))).select(*left.columns)
-    return inner.unionByName(unmatched, allowMissingColumns=True)
+        L = L.withColumn("_lo_has", F.col("_lo_lhot"))
+    L = L.withColumn("_lo_salt", F.explode(
+        F.when(F.col("_lo_lhot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
+    R = tag(right, rkeys)
+    R = R.withColumn("_lo_rsalt", F.when(F.coalesce(F.col("_lo_hot"), F.lit(False)),
+                                         F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(buckets)))
+                     .otherwise(F.lit(0)).cast("int")).drop("_lo_hot").withColumn("_lo_r", F.lit(True))
+    cond = _cond(L, R, on) & (L["_lo_salt"] == R["_lo_rsalt"])
+    if extra is not None:
+        cond = cond & extra
+    j = L.join(R, cond, "left")
+    spurious = F.col("_lo_lhot") & F.col("_lo_r").isNull() & (F.col("_lo_has") | (F.col("_lo_salt") != 0))
+    return j.filter(~spurious).drop("_lo_lhot", "_lo_has", "_lo_salt", "_lo_rsalt", "_lo_r")
 
 
 def star_left(spine: DataFrame, lookups: Sequence[tuple[DataFrame, Keys | Column]]) -> DataFrame:

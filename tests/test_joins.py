@@ -102,14 +102,16 @@ def test_left_outer_equals_left_join_with_hot_right_key(spark):
 
     from opsframe.operators.joins import left_outer
     left = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(60)], "k long, lt long")
-    right = spark.createDataFrame([(0 if i % 3 == 0 else i % 9, i) for i in range(300)], "rk long, rt long")
-    plain = left.join(right, left.k == right.rk, "left")
-    got = left_outer(left, right, [("k", "rk")])
-    assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
-    extra = right.rt <= left.lt
-    plain = left.join(right, (left.k == right.rk) & extra, "left")
-    got = left_outer(left, right, [("k", "rk")], extra, first_right=F.min("rt"),
-                     matches_first=lambda j, first: first <= j["lt"])
-    assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
+    # key 0 holds a third of the right rows, some of them identical
+    right = spark.createDataFrame([(0 if i % 3 == 0 else i % 9, i if i % 2 else 7) for i in range(300)], "rk long, rt long")
+    for hot_rows in (1_000_000, 20):            # plain path, then salted path for hot keys
+        plain = left.join(right, left.k == right.rk, "left")
+        got = left_outer(left, right, [("k", "rk")], hot_rows=hot_rows, buckets=4)
+        assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
+        extra = right.rt <= left.lt
+        plain = left.join(right, (left.k == right.rk) & extra, "left")
+        got = left_outer(left, right, [("k", "rk")], extra, first_right=F.min("rt"),
+                         matches_first=lambda j, first: first <= j["lt"], hot_rows=hot_rows, buckets=4)
+        assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
     with pytest.raises(ValueError):
         left_outer(left, left, [("k", "k")])
