@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import at_most_flag, boundary_diff, left_chars, when_only
 from opsframe.operators.aggs import counts_by_period
-from opsframe.operators.joins import distinct_lookup, left_outer, within_after
+from opsframe.operators.joins import left_outer, within_after
 from opsframe.operators.windows import latest_per_key
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
@@ -105,9 +105,14 @@ def r4_appointment_detail(t: Tables, appointment_number: str | None = None) -> D
     if appointment_number is not None:
         sa = sa.filter(F.col("appointment_number") == appointment_number)
     ser, aar = S.service_resources(t), S.assigned_resources(t)
-    appt_res = distinct_lookup(ser, aar, [("id", "service_resource_id")], ["service_appointment_id"])
-    appt_res = appt_res.select(F.col("name").alias("ar_name"), F.col("service_appointment_id").alias("ar_appt"),
-                               F.col("service_resource_id").alias("ar_res")).distinct()
+    # distinct (driver, appointment, resource). The source left-joins the
+    # drivers to their assignments; a driver without one has a null
+    # appointment and can never meet an appointment below, so the join is
+    # inner here.
+    d = aar.select("service_appointment_id", "service_resource_id").distinct()
+    appt_res = (ser.join(d, ser.id == d.service_resource_id)
+                .select(F.col("name").alias("ar_name"), F.col("service_appointment_id").alias("ar_appt"),
+                        F.col("service_resource_id").alias("ar_res")).distinct())
     # several drivers per appointment: a hot appointment must not sit in one task
     sa = left_outer(sa, appt_res, [("id", "ar_appt")]).alias("sa")
     wo = S.work_orders(t).alias("wo")
