@@ -6,12 +6,14 @@ at the target scale keys pass 2**31 and a 32-bit cast would fail the job
 
 R11 follows the source's CTE chain (clean expenses -> per-inventory
 expense, labor cost per task group, recon dates per inventory, parts,
-remote sites, reported costs, concessions -> final star join) with every
-stage a lazy DataFrame; Catalyst sees the whole chain as one plan.
+remote sites, reported costs, concessions) with every stage a lazy
+DataFrame; its final step is computed from per-inventory aggregates
+instead of the source's per-inventory product (``recon_model``).
 
 Where the source numbers rows with ``row_number() over ()`` (W4) the order
 is unspecified; here it is the report's natural key with full tie-breaks,
-numbered by ``surrogate_number`` (no single-task sort).
+numbered without a single-task sort (``surrogate_number``; for R11, a
+``prefix_sum`` of the rows each inventory stands for).
 """
 
 from __future__ import annotations
