@@ -4,8 +4,11 @@
   *boundaries* crossed (10:00:59 -> 10:01:01 is 1), unlike Spark's
   ``timestamp_diff`` which counts whole elapsed minutes (0). ``boundary_diff``
   floors both ends to the unit first, so the two agree.
-* Floors are built from the calendar fields with ``make_timestamp_ntz`` so no
-  session time zone is involved (``date_trunc`` would return a zoned value).
+* Differences are counted on the calendar fields (days since 1970, hour,
+  minute, second), so no session time zone is involved: Spark's
+  ``timestamp_diff`` applies the session zone even to zone-less values, and
+  across a daylight-saving jump it is off by an hour. ``date_trunc`` would
+  likewise return a zoned value.
 """
 
 from __future__ import annotations
@@ -40,6 +43,26 @@ def floor_to(unit: str, ts) -> Column:
     raise ValueError(f"unsupported unit {unit!r}")
 
 
+def _epoch_days(ts: Column) -> Column:
+    return F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+
+
+def calendar_units(unit: str, ts) -> Column:
+    """Whole ``unit`` boundaries from 1970-01-01 to ``ts`` on the calendar
+    fields (HOUR, MINUTE or SECOND); time-zone free for zone-less values."""
+    ts = _c(ts)
+    unit = unit.upper()
+    hours = _epoch_days(ts) * 24 + F.hour(ts)
+    if unit == "HOUR":
+        return hours
+    minutes = hours * 60 + F.minute(ts)
+    if unit == "MINUTE":
+        return minutes
+    if unit == "SECOND":
+        return minutes * 60 + F.second(ts)
+    raise ValueError(f"unsupported unit {unit!r}")
+
+
 def boundary_diff(unit: str, start, end) -> Column:
     """T4/T5: ``datediff(unit, start, end)`` counting unit boundaries.
 
@@ -59,7 +82,7 @@ def boundary_diff(unit: str, start, end) -> Column:
         return ((F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)).cast("long")
     if unit == "YEAR":
         return (F.year(end) - F.year(start)).cast("long")
-    return F.timestamp_diff(unit, floor_to(unit, start), floor_to(unit, end))
+    return (calendar_units(unit, end) - calendar_units(unit, start)).cast("long")
 
 
 def day_of(ts) -> Column:

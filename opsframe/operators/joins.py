@@ -13,6 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.dates import calendar_units
 from opsframe.operators import broadcast as bc
 from opsframe.session import pin
 
@@ -266,9 +267,9 @@ def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: st
 
 
 def _minute_bucket(ts: Column, bucket_minutes: int) -> Column:
-    """Monotone bucket number of a timestamp (no time zone involved)."""
-    secs = F.timestamp_diff("SECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), ts)
-    return F.floor(secs / F.lit(bucket_minutes * 60)).cast("long")
+    """Monotone bucket number of a timestamp, on its calendar fields (no
+    time zone involved, so no daylight-saving jump)."""
+    return F.floor(calendar_units("MINUTE", ts) / F.lit(bucket_minutes)).cast("long")
 
 
 def within_after(left: DataFrame, right: DataFrame, on: Keys, left_time: str, right_time: str,

@@ -82,3 +82,16 @@ def test_decode_access(spark):
     row = ("NATION_10=RxtXUCT/asia", "NATION_10")
     assert one(spark, decode_access("acl", "g"), schema, row) == \
         "rule ,references ,trigger ,execute ,usage ,create ,temporary "
+
+
+def test_boundaries_ignore_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        schema = "a timestamp_ntz, b timestamp_ntz"
+        # 02:57 does not exist in Los Angeles on this day; zone-less values still differ by -54 minutes
+        row = (ts("1997-04-06 03:51:00"), ts("1997-04-06 02:57:00"))
+        assert one(spark, boundary_diff("MINUTE", "a", "b"), schema, row) == -54
+        assert one(spark, boundary_diff("HOUR", "a", "b"), schema, row) == -1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
