@@ -2,7 +2,7 @@
 expressions, so they stay inside whole-stage codegen; none is a Python UDF."""
 
 from opsframe.functions.dates import (  # noqa: F401
-    boundary_diff, canonical_zone, day_of, days_before, floor_to, zone_date,
+    boundary_diff, calendar_units, canonical_zone, day_of, days_before, floor_to, week_start, zone_date,
 )
 from opsframe.functions.logic import (  # noqa: F401
     any_true, at_most_flag, bands, false_or_null, nvl, present_nonzero, ratio,

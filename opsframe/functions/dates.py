@@ -77,7 +77,7 @@ def boundary_diff(unit: str, start, end) -> Column:
         return F.datediff(F.to_date(end), F.to_date(start)).cast("long")
     if unit == "WEEK":
         # weeks start on Monday; count Monday boundaries
-        return (F.datediff(F.date_trunc("week", end).cast("date"), F.date_trunc("week", start).cast("date")) / 7).cast("long")
+        return (F.datediff(week_start(end), week_start(start)) / 7).cast("long")
     if unit == "MONTH":
         return ((F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)).cast("long")
     if unit == "YEAR":
@@ -85,6 +85,12 @@ def boundary_diff(unit: str, start, end) -> Column:
     return (calendar_units(unit, end) - calendar_units(unit, start)).cast("long")
 
 
+def week_start(d) -> Column:
+    """The Monday on or before a date (calendar arithmetic, no time zone)."""
+    d = F.to_date(_c(d))
+    return F.date_sub(d, (F.dayofweek(d) + 5) % 7)
+
+
 def day_of(ts) -> Column:
     """``ts::date`` / ``trunc(ts)``."""
     return F.to_date(_c(ts))

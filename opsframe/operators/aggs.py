@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.dates import week_start
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -66,7 +68,7 @@ def counts_by_period(df: DataFrame, date_col: str, keys: Sequence[str], alias: s
     d = F.col(date_col).cast("date")
     periods = F.array(
         F.struct(F.lit("day").alias("grain"), d.alias("period_start")),
-        F.struct(F.lit("week").alias("grain"), F.date_trunc("week", d).cast("date").alias("period_start")),
+        F.struct(F.lit("week").alias("grain"), week_start(d).alias("period_start")),
         F.struct(F.lit("month").alias("grain"), F.trunc(d, "month").alias("period_start")))
     e = df.select(*keys, F.explode(periods).alias("_p"))
     return e.groupBy(*keys, F.col("_p.grain").alias("grain"), F.col("_p.period_start").alias("period_start")).agg(
