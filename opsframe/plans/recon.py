@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzero, to_int
 from opsframe.operators.joins import join_earlier, left_join_where, star_left
 from opsframe.operators.windows import prefix_sum, row_numbers, surrogate_number
+from opsframe.session import pin
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
 
@@ -273,12 +274,10 @@ def recon_model(t: Tables) -> DataFrame:
 def r11_recon_cost(t: Tables) -> DataFrame:
     """One recon-cost row per inventory, with the source's surrogate id
     (W4) and row order (W1) -- see ``recon_model``."""
-    rows = recon_model(t)
-    # the input is the whole cost model: skip the size check (it would
-    # evaluate the model once more) and number by range partitions, which
-    # evaluate it once
-    numbered = prefix_sum(rows, [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before",
-                          window_rows_limit=None)
+    # the model (one row per inventory) is written once, so the size check
+    # and the numbering read the table instead of recomputing the model
+    rows = pin(recon_model(t), "recon_model_rows")
+    numbered = prefix_sum(rows, [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
     return numbered.select(
         concat_strict("advent_recon_", F.col("_before") + 1).alias("maintid"),
         "inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost", "remote_recon_cost",
