@@ -318,6 +318,7 @@ def r12_inbound_shipping(t: Tables, inventory_id: str | None = None) -> DataFram
         F.lit("SG&A").alias("maint_category_name"),
         F.lit("Shipping").alias("acct_category_name"),
         F.col("d.actual_delivery_date_c").alias("workcompletedon"))
+    rows = pin(rows, "inbound_shipping_rows")   # numbered twice below: compute the joins once
     rows = surrogate_number(rows, [F.col("_did").asc()], name="_n")
     rows = row_numbers(rows, ["inventoryid"], [F.col("_created").desc_nulls_first(), F.col("_did").asc()], name="row_order")
     return rows.select(concat_strict("advent_shipping_inbound_", F.col("_n")).alias("maintid"),
@@ -362,6 +363,7 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
         F.col("ready_for_funding_date").alias("workcompletedon"),
         F.col("sale_number").alias("_sale"))
     tie = [F.col("_sale").asc(), F.col("description").asc_nulls_last(), F.col("cost").asc_nulls_last()]
+    rows = pin(rows, "outbound_shipping_rows")  # numbered twice below: compute the joins once
     rows = surrogate_number(rows, [F.col("inventoryid").asc_nulls_last(), *tie], name="_n")
     rows = row_numbers(rows, ["inventoryid"], [F.col("droppedoffon").desc_nulls_first(), *tie, F.col("_n").asc()],
                        name="row_order")
