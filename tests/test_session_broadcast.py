@@ -1,0 +1,29 @@
+from pyspark.sql import functions as F
+
+from opsframe.operators import broadcast as bc
+from opsframe.session import checkpoint_dir, pin
+
+
+def test_checked_broadcast_only_under_the_limit(spark):
+    small = spark.range(10)
+    big = spark.range(100)
+    left = spark.range(1000)
+    j_small = left.join(bc.checked(small, max_rows=50), "id")
+    j_big = left.join(bc.checked(big, max_rows=50), "id")
+    hint = "ResolvedHint (strategy=broadcast)"
+    assert hint in j_small._jdf.queryExecution().analyzed().toString()
+    assert hint not in j_big._jdf.queryExecution().analyzed().toString()
+    assert j_small.count() == 10 and j_big.count() == 100
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    configured = spark.sparkContext.getCheckpointDir()
+    assert configured and checkpoint_dir(spark) == configured
+
+
+def test_pin_keeps_values_of_nondeterministic_columns(spark):
+    df = spark.range(100).withColumn("r", F.rand(7))
+    pinned = pin(df, "pin_test")
+    first = sorted(pinned.collect())
+    assert first == sorted(pinned.collect())
+    assert pinned.count() == 100
