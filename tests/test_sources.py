@@ -7,15 +7,15 @@ from .conftest import SF_SMALL
 
 
 def test_bare_name_strips_schema_and_quotes():
-    assert bare_name('"dev"."dbt_big_db"."Orders"') == "orders"
-    assert bare_name("dbt_big_db.orders") == "orders"
+    assert bare_name('"warehouse"."analytics"."Orders"') == "orders"
+    assert bare_name("analytics.orders") == "orders"
     assert bare_name("`orders`") == "orders"
 
 
 def test_resolver_names_roles_and_frames(spark):
     sub = spark.createDataFrame([(1,)], "x long")
     t = Tables(spark, SF_SMALL, aliases={"ref:rpt_orders": "orders", "source:tiny": sub})
-    assert t['"dev"."dbt_big_db"."orders"'].columns == t["orders"].columns
+    assert t['"warehouse"."analytics"."orders"'].columns == t["orders"].columns
     assert t["ref:rpt_orders"].count() == t["orders"].count()
     assert t["source:tiny"].count() == 1
     assert set(resolve(spark, SF_SMALL, ["region", "nation"])) == {"region", "nation"}
