@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import suffix_dedup
+from opsframe.llm import bpe, line_dedup, mixing, simhash, suffix_dedup, topk
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,51 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of each document, with its source's target, and the shards they go to."""
+    drawn = mixing.drawn(read(spark, sf_dir, "documents"))
+    return drawn.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                        (F.col("size") * F.size("copies")).cast("long").alias("taken"), F.col("copies.shard").alias("shards"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows with the highest integer inner product with each query row."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated runs of lines."""
+    return line_dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of four-word shingles and component at four bits or fewer."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=4, distance=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the bytes they decode to."""
+    words = vocabulary()
+    found = bpe.decoded(bpe.encoded(read(spark, sf_dir, "documents"), words), words)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_mixing": op2_mixing,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

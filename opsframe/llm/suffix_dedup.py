@@ -32,8 +32,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from opsframe.llm.chunks import binary_parts, chunk_count, dealt, pack_binary, ranges
 
@@ -216,10 +216,12 @@ def _merged(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 
 def _sent_fragments(n: int, depth: int, gram: int):
-    """Two kinds of rows: fragments for an anchor's task (dest >= 0), and spans
-    that a smaller id of the same chunk already shows to be repeated (dest -1)."""
+    """Two kinds of rows: fragments for an anchor's task, and spans that a smaller id of
+    the same chunk already shows to be repeated (no anchors; passed through)."""
 
     def run(t: pa.Table, marks: pa.Table) -> pa.Table:
+        import zstandard
+
         if not t.num_rows or not marks.num_rows:
             return _FRAGMENT_SCHEMA.empty_table()
         ids, data, offsets, _ = _chunk(t)
@@ -235,9 +237,9 @@ def _sent_fragments(n: int, depth: int, gram: int):
         # equal fragments next to each other, the smallest id first
         order = np.lexsort((start, ids[row], whole, mine))
         row, start, count, offset, whole, mine = (x[order] for x in (row, start, count, offset, whole, mine))
-        chunk = t.column("chunk")[0].as_py()
         if not len(row):
             return _FRAGMENT_SCHEMA.empty_table()
+        chunk = t.column("chunk")[0].as_py()
         same = (mine[1:] == mine[:-1]) & (whole[1:] == whole[:-1]) & (count[1:] == count[:-1]) & (offset[1:] == offset[:-1])
         near = np.flatnonzero(same)
         same[near] = _same_bytes(data, start[near], start[near + 1], count[near] + depth - 1)
@@ -246,7 +248,7 @@ def _sent_fragments(n: int, depth: int, gram: int):
         own = ids[row] == ids[row][head][group]
         # a larger id of this chunk: its windows are repeated whatever other chunks hold
         r, a, b = _merged(row[~own], start[~own], start[~own] + count[~own] + depth - 1)
-        out = [(-1, b"", b"", b"", b"", b"", r.astype("<i4").tobytes(), (a - offsets[r]).astype("<i8").tobytes(),
+        out = [(chunk % n, b"", b"", b"", b"", b"", r.astype("<i4").tobytes(), (a - offsets[r]).astype("<i8").tobytes(),
                 (b - a).astype("<i8").tobytes())] if len(r) else []
         places = np.add.reduceat(own.astype(np.int64), head)
         row_o, start_o = row[own], (start - offsets[row])[own]
@@ -257,7 +259,7 @@ def _sent_fragments(n: int, depth: int, gram: int):
             out.append((d, (sent[s] & 0x7FFFFFFF).astype("<u4").tobytes(), f_id[s].astype("<i8").tobytes(),
                         f_off[s].astype("u1").tobytes(), f_count[s].astype("u1").tobytes(), places[s].astype("<i4").tobytes(),
                         row_o[p].astype("<i4").tobytes(), start_o[p].astype("<i8").tobytes(),
-                        data[ranges(f_start[s], f_count[s] + depth - 1)].tobytes()))
+                        zstandard.compress(data[ranges(f_start[s], f_count[s] + depth - 1)].tobytes(), 1)))
         if not out:
             return _FRAGMENT_SCHEMA.empty_table()
         columns = list(zip(*out))
@@ -305,17 +307,27 @@ _SPANS = "chunk int, rows binary, starts binary, lengths binary"
 
 def _repeated_windows(depth: int):
     def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
+        local = pc.equal(pc.binary_length(t.column("anchors")), 0)
+        passed, t = t.filter(local), t.filter(pc.invert(local))
+        out = list(zip(*(passed.column(c).to_pylist() for c in ("chunk", "rows", "starts", "body"))))
+        if t.num_rows:
+            out += found(t, b"".join(map(zstandard.decompress, t.column("body").to_pylist())))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({"chunk": pa.array(columns[0], pa.int32()), "rows": pa.array(columns[1], pa.binary()),
+                         "starts": pa.array(columns[2], pa.binary()), "lengths": pa.array(columns[3], pa.binary())})
+
+    def found(t: pa.Table, body: bytes) -> list[tuple]:
         def column(name: str, kind: str):
             each = [np.frombuffer(x, kind) for x in t.column(name).to_pylist()]
             return np.concatenate(each).astype(np.int64), np.array([len(x) for x in each], np.int64)
 
         chunks = np.array(t.column("chunk").to_pylist(), np.int64)
-        if t.column("dest")[0].as_py() < 0:
-            raise ValueError("spans of a chunk are no fragments")
         (anchors, per), (ids, _), (offset, _), (count, _), (places, _) = (
             column(*x) for x in (("anchors", "<u4"), ("ids", "<i8"), ("offset", "u1"), ("windows", "u1"), ("places", "<i4")))
         (rows, _), (starts, _) = column("rows", "<i4"), column("starts", "<i8")
-        data = np.concatenate([np.frombuffer(x, np.uint8) for x in t.column("body").to_pylist()])
+        data = np.frombuffer(body, np.uint8)
         size = count + depth - 1
         base = np.cumsum(size) - size
         # windows of each fragment, in order; the anchor's offset falls by one from window to window
@@ -346,9 +358,7 @@ def _repeated_windows(depth: int):
             o = order[s]
             r, a, b = _merged(rows[spot][o], begin[o], begin[o] + length[o])
             out.append((c, r.astype("<i4").tobytes(), a.astype("<i8").tobytes(), (b - a).astype("<i8").tobytes()))
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table({"chunk": pa.array(columns[0], pa.int32()), "rows": pa.array(columns[1], pa.binary()),
-                         "starts": pa.array(columns[2], pa.binary()), "lengths": pa.array(columns[3], pa.binary())})
+        return out
 
     return run
 
@@ -382,12 +392,10 @@ def repeated_removed(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id"
         raise ValueError("depth must be from 2 to 200 bytes")
     n = chunk_count(docs, text)
     texts = dealt(docs, n, id_col, text)
-    marks = (texts.groupBy("chunk").applyInArrow(_sent_anchors(n, depth, gram), _MARKS)
+    dests = 2 * n
+    marks = (texts.groupBy("chunk").applyInArrow(_sent_anchors(dests, depth, gram), _MARKS)
              .groupBy("dest").applyInArrow(_repeated_anchors, _MARKS))
-    fragments = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_sent_fragments(n, depth, gram), _FRAGMENTS)
-    from opsframe.llm.chunks import table
-
-    fragments = table(fragments, "fragments")
-    spans = (fragments.filter("dest >= 0").groupBy("dest").applyInArrow(_repeated_windows(depth), _SPANS)
-             .unionByName(fragments.filter("dest < 0").select("chunk", "rows", "starts", F.col("body").alias("lengths"))))
+    spans = (texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_sent_fragments(dests, depth, gram), _FRAGMENTS)
+             .groupBy("dest").applyInArrow(_repeated_windows(depth), _SPANS))
+    # one plan: the three uses of the chunks share one shuffle of the texts
     return texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_applied, _KEPT)
