@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import bpe, line_dedup, mixing, simhash, suffix_dedup, topk
+from opsframe.llm import bpe, line_dedup, mixing, simhash, suffix_dedup, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.size("copies")).cast("long").alias("taken"), F.col("copies.shard").alias("shards"))
 
 
+def _remainder(column: str, divisor: int):
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; labels of documents whose remainder is 2 are not learned from."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), _remainder("key", 4) != 2)
+    return toxicity.scores(docs, model).select(F.col("id").alias("doc_id"), (_remainder("id", 4) == 2).alias("held_out"), "score",
+                                               (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows with the highest integer inner product with each query row."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
@@ -62,6 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
+    "op4_toxicity": op4_toxicity,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
