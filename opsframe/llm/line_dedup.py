@@ -57,9 +57,9 @@ def _ranked(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
     sizes = sent.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = sent.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    ranks = inside.join(F.broadcast(offsets), "part").select(*keys, "first", (F.col("rank") + F.col("offset")).alias("rank"))
-    return table(suffixes.join(ranks, keys).drop(*keys), name)
+    inside = sent.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
+    ranks = inside.join(F.broadcast(offsets), "part").select(*keys, "first", (F.col("place") + F.col("offset")).alias("place"))
+    return table(suffixes.join(ranks, keys).drop(*keys).withColumnRenamed("place", "rank"), name)
 
 
 def repeated_suffixes(lines: DataFrame, depth: int) -> list[tuple[int, DataFrame]]:
