@@ -6,8 +6,7 @@ Sizes are counts of words. Targets share a multiple of all words by weight; a so
 * *Blocks.* A source's documents fall into blocks by a seeded hash; the blocks of
   an epoch are permuted by another. Whole epochs take every block; the last, partial
   epoch takes blocks in permuted order up to the target and cuts the block on the edge
-  document by document (up to the document that brings it nearest to the target). So every source has an exact
-  quota of blocks.
+  document by document. So every source has an exact quota of blocks.
 * *Splitting tree.* A node holds the quotas of all sources. It gives its left child half of its blocks;
   how many of each source is a multivariate-hypergeometric draw, made source by
   source by inverting the conditional distribution at a seeded uniform number. The right child has the
@@ -38,6 +37,8 @@ from opsframe.llm.chunks import table
 MAX_BLOCKS = 1 << 16
 BLOCK_WORDS = 1 << 15
 SHARDS = 16
+#: Passes over the block on the edge; what is left of the gap is less than any document they passed over.
+EDGE_PASSES = 3
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -52,10 +53,10 @@ def _uniform(*cols) -> Column:
     return (F.shiftrightunsigned(_hash(*cols), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(id, mark, source, size): ``mark`` tells rows with one id apart."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *more: str) -> DataFrame:
+    """(id, mark, source, size) and ``more`` columns: ``mark`` tells rows with one id apart."""
     body = F.col(text).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("mark"), F.col(source).cast("string").alias("source"),
+    return docs.select(*more, F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("mark"), F.col(source).cast("string").alias("source"),
                        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
@@ -153,8 +154,8 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def plan(sized: DataFrame, shards: int, share: float = 1.5, max_repeats: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Two small tables: (source, source_size, place, target, n_blocks) per source, and
-    (place, block, whole, cutoff, edge) per block that is used: its copies in
-    whole, and the copy of the edge block, of documents up to the hash ``cutoff``."""
+    (place, block, whole, edge, cutoff) per block that is used: its copies in
+    whole, and the copy of the edge block, of the documents that ``cutoff`` admits by hash and size."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = table(targets(totals, share, max_repeats).join(totals.select("source", "rows").withColumnRenamed("source", "_s"),
                                                              F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "sources")
@@ -175,12 +176,21 @@ def plan(sized: DataFrame, shards: int, share: float = 1.5, max_repeats: float =
     used = table(rows.withColumns({"is_whole": whole, "is_edge": edge}).filter("is_whole or is_edge"), "used")
     quotas = used.groupBy("place").agg(F.count(F.lit(1)).alias("quota"))
     shard = table(split_tree(quotas, shards).filter("quota > 0").select("place", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("slot")), "shards")
-    # the edge block by document: the hash up to which documents bring its source nearest to the target
-    edges = used.filter("is_edge").select("place", "block", (F.col("rest") - F.col("end") + F.col("words")).alias("want"))
-    inside = placed.join(edges, ["place", "block"]).groupBy("place", "block", "want", "hash").agg(F.sum("size").alias("size"))
-    up_to = F.sum("size").over(Window.partitionBy("place", "block").orderBy("hash"))
-    nearer = (F.col("up_to") <= F.col("want")) | (F.col("up_to") - F.col("want") < F.col("want") - F.col("up_to") + F.col("size"))
-    cutoffs = inside.withColumn("up_to", up_to).filter(nearer).groupBy("place", "block").agg(F.max("hash").alias("cutoff"))
+    # the edge block by document: in order of hash up to the target, then, of the documents beyond
+    # that still fit, in order again; each pass leaves a smaller gap
+    gaps = used.filter("is_edge").select("place", "block", (F.col("rest") - F.col("end") + F.col("words")).alias("gap"), F.lit(None).cast("long").alias("low"))
+    passes = None
+    for _ in range(EDGE_PASSES):
+        inside = (placed.join(gaps, ["place", "block"]).filter((F.col("size") <= F.col("gap")) & (F.col("low").isNull() | (F.col("hash") > F.col("low"))))
+                  .groupBy("place", "block", "gap", "low", "hash").agg(F.sum("size").alias("size")))
+        up_to = F.sum("size").over(Window.partitionBy("place", "block").orderBy("hash"))
+        step = (inside.withColumn("up_to", up_to).filter("up_to <= gap").groupBy("place", "block", "gap", "low")
+                .agg(F.max("hash").alias("high"), F.max("up_to").alias("got")))
+        step = table(step.select("place", "block", F.struct("low", "high", "gap").alias("pass"), (F.col("gap") - F.col("got")).alias("gap"),
+                                 F.col("high").alias("low")), "passes")
+        passes = step.select("place", "block", "pass") if passes is None else passes.union(step.select("place", "block", "pass"))
+        gaps = step.drop("pass")
+    cutoffs = passes.groupBy("place", "block").agg(F.collect_list("pass").alias("cutoff"))
     copy = F.struct("epoch", "shard")
     taken = (used.join(shard, ["place", "slot"]).groupBy("place", "block")
              .agg(F.sort_array(F.collect_list(F.when(F.col("is_whole"), copy))).alias("whole"), F.max(F.when(F.col("is_edge"), copy)).alias("edge")))
@@ -203,7 +213,9 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
 def _copies(sized: DataFrame, sources: DataFrame, taken: DataFrame) -> DataFrame:
     """With ``copies``: (epoch, shard) of each time the mix takes the document."""
     joined = _small(_placed(sized, sources), taken, ["place", "block"], "left")
-    edge = F.when(F.col("hash") <= F.col("cutoff"), F.array("edge")).otherwise(F.array().cast("array<struct<epoch:int,shard:int>>"))
+    fits = F.exists("cutoff", lambda p: (F.col("size") <= p["gap"]) & (F.col("hash") <= p["high"])
+                    & (p["low"].isNull() | (F.col("hash") > p["low"])))
+    edge = F.when(fits, F.array("edge")).otherwise(F.array().cast("array<struct<epoch:int,shard:int>>"))
     return joined.withColumn("copies", F.when(F.col("whole").isNull(), F.array().cast("array<struct<epoch:int,shard:int>>"))
                              .otherwise(F.concat("whole", edge)))
 
@@ -219,8 +231,7 @@ def mixed(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: s
     sized = table(sizes(docs, id_col, text, source), "sizes")
     sources, taken = plan(sized, shards)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"),
-                         F.col(source).cast("string").alias("source"))
+    packed = sizes(docs.select(row.alias("row")), f"row.{id_col}", f"row.{text}", f"row.{source}", "row")
     copies = _copies(packed, sources, taken).select("row", "id", "mark", F.inline("copies"))
     order = _hash(F.lit("order"), "epoch", "shard", "id", "mark")
     return (copies.repartition(shards, "shard").sortWithinPartitions("shard", order)
