@@ -3,11 +3,11 @@
 1. *Pre-tokens with positions.* Each task splits whole texts by the vocabulary's
    pattern and replaces every pre-token by its code in the chunk's dictionary (most
    frequent first). The codes keep the positions; the dictionary holds each word
-   of the chunk once. Both are written to the shared folder.
+   of the chunk once. Both are written to the shared folder, bucketed by chunk.
 2. *Each distinct word once.* Dictionaries are dealt by a hash of the word. The
    task that owns a word encodes it once, however many chunks, documents or
    places it has, and answers each chunk.
-3. *Reassembly.* Answers meet the codes by chunk; a document's ids are those of
+3. *Reassembly.* Answers go to the buckets of the codes, which do not move; a document's ids are those of
    its pre-tokens in order of position.
 
 A frequent word costs one entry for each chunk, not one for each use. Decoding
@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.chunks import pack_binary, parts, ranges, table
+from opsframe.llm.chunks import bucketed, pack_binary, parts, planes, ranges, unplaned
 
 #: Characters of text that one chunk gathers before it is written.
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 12 << 20
+#: Ids decoded at once.
+SLICE_IDS = 1 << 20
 #: Characters split at once.
 PIECE_CHARS = 1 << 20
 #: A vocabulary file travels with the tasks, so its size is checked.
@@ -93,20 +95,6 @@ _CODED_SCHEMA = pa.schema([("dest", pa.int32()), ("chunk", pa.int64()), ("words"
                            ("places", pa.binary())])
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Integers below 2**32 as four byte planes, compressed: high planes are nearly all zero."""
-    import zstandard
-
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
-
-
-def _unplaned(data: bytes) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 def _coded(pattern: str, dests: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -134,7 +122,7 @@ def _coded(pattern: str, dests: int):
                 sizes = np.array([len(k) for k in own], "<u4").tobytes()
                 rows.append((int(dest[order[a]]), number, zstandard.compress(sizes + b"".join(own), 3), int(b - a), None, None, None, None))
             # places: the code of each word in the order in which its answer will come
-            rows.append((None, number, None, None, ids, counts, _planes(code[used] if len(used) else used), _planes(code[order])))
+            rows.append((None, number, None, None, ids, counts, planes(code[used] if len(used) else used), planes(code[order])))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CODED_SCHEMA)], schema=_CODED_SCHEMA)
 
         for batch in batches:
@@ -174,8 +162,8 @@ def _encoded_words(vocabulary: Vocabulary):
                 if word not in once:
                     once[word] = array("I", encode(word.decode()))
             tokens = [once[word] for word in own]
-            out.append((chunk, _planes(np.array([len(x) for x in tokens], np.uint32)),
-                        _planes(np.frombuffer(b"".join(x.tobytes() for x in tokens), np.uint32))))
+            out.append((chunk, planes(np.array([len(x) for x in tokens], np.uint32)),
+                        planes(np.frombuffer(b"".join(x.tobytes() for x in tokens), np.uint32))))
         dest = t.column("dest")[0].as_py()
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "dest": pa.array([dest] * len(out), pa.int32()),
                          "sizes": pa.array([x[1] for x in out], pa.binary()), "tokens": pa.array([x[2] for x in out], pa.binary())})
@@ -190,9 +178,9 @@ def _reassembled(coded: pa.Table, answers: pa.Table) -> pa.Table:
     if not coded.num_rows:
         return _ENCODED_SCHEMA.empty_table()
     answers = answers.sort_by("dest")
-    codes, places = _unplaned(coded.column("codes")[0].as_py()), _unplaned(coded.column("places")[0].as_py())
-    sizes = [_unplaned(x) for x in answers.column("sizes").to_pylist()]
-    tokens = [_unplaned(x) for x in answers.column("tokens").to_pylist()]
+    codes, places = unplaned(coded.column("codes")[0].as_py()), unplaned(coded.column("places")[0].as_py())
+    sizes = [unplaned(x) for x in answers.column("sizes").to_pylist()]
+    tokens = [unplaned(x) for x in answers.column("tokens").to_pylist()]
     sizes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
     tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint32)
     start, length = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
@@ -209,7 +197,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     """(id, ids array<int>) of every row's whole text."""
     dests = parts(docs.sparkSession)
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-    coded = table(bodies.mapInArrow(_coded(vocabulary.pattern, dests), _CODED), "coded")
+    # in buckets of whole chunks, so that the codes stay where they are when the answers come
+    coded = bucketed(bodies.mapInArrow(_coded(vocabulary.pattern, dests), _CODED), "chunk", "coded")
     answers = (coded.filter("dest is not null").select("dest", "chunk", "words", "n_words")
                .groupBy("dest").applyInArrow(_encoded_words(vocabulary), _ANSWERED))
     codes = coded.filter("dest is null").select("chunk", "ids", "counts", "codes", "places")
@@ -223,16 +212,24 @@ def decoded(encodings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, lengths = vocabulary.token_bytes()
         for batch in batches:
-            lists = batch.column("ids")
-            counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            size = lengths[ids] if len(ids) else ids
-            if len(ids) and (ids.min() < 0 or size.min() < 0):
-                raise ValueError("an id is not in the vocabulary")
-            edges = np.concatenate(([0], np.cumsum(counts)))
-            ends = np.concatenate(([0], np.cumsum(size)))[edges]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts), pack_binary(ids.astype("<u4").view(np.uint8), edges * 4),
-                 pack_binary(data[ranges(starts[ids], size)], ends)], schema=kind)
+            edges = np.concatenate(([0], np.cumsum([n or 0 for n in batch.column("ids").value_lengths().to_pylist()])))
+            row = 0
+            while row < len(batch):  # some rows at a time, at least one
+                until = max(row + 1, int(np.searchsorted(edges, edges[row] + SLICE_IDS, "right")) - 1)
+                yield piece(batch.slice(row, until - row), data, starts, lengths)
+                row = until
+
+    def piece(batch: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column("ids")
+        counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        size = lengths[ids] if len(ids) else np.zeros(0, np.int64)
+        if len(ids) and (ids.min() < 0 or size.min() < 0):
+            raise ValueError("an id is not in the vocabulary")
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        ends = np.concatenate(([0], np.cumsum(size)))[edges]
+        bodies = data[ranges(starts[ids], size)] if len(ids) else np.zeros(0, np.uint8)
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pack_binary(ids.astype("<u4").view(np.uint8), edges * 4),
+                                           pack_binary(bodies, ends)], schema=kind)
 
     return encodings.select("id", "ids").mapInArrow(run, "id long, n_tokens long, ids_bytes binary, decoded binary")

@@ -50,6 +50,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like ``table``, in buckets of ``key``: grouping by the key then moves no row of it.
+    The catalog entry is dropped at once; the frame keeps the files and the buckets."""
+    spark, label = df.sparkSession, f"llm_{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}"
+    df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(label)
+    found = spark.table(label)
+    found.schema  # noqa: B018 - resolves the frame while the entry is there
+    spark.sql(f"DROP TABLE {label}")
+    return found
+
+
 def binary_parts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column end to end, and the n + 1 offsets between rows."""
     arrays = [c for c in column.chunks if len(c)]
@@ -81,3 +93,18 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     firsts = np.cumsum(lengths) - lengths
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - firsts, lengths)
+
+
+def planes(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Integers as byte planes, compressed: high planes are nearly all zero."""
+    import zstandard
+
+    width = np.dtype(kind).itemsize
+    return zstandard.compress(np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, width).T.tobytes(), 3)
+
+
+def unplaned(data: bytes, kind: str = "<u4") -> np.ndarray:
+    import zstandard
+
+    found = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(found.T).view(kind).ravel()
