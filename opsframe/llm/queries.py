@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import ann, bpe, line_dedup, mixing, simhash, suffix_dedup, topk, toxicity
+from opsframe.llm import ann, bpe, html_text, line_dedup, mixing, simhash, suffix_dedup, suffix_tree, topk, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def _remainder(column: str, divisor: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a suffix tree learned from those whose remainder is not 1."""
+    docs = read(spark, sf_dir, "documents")
+    found = suffix_tree.scored(docs, _remainder("doc_id", 5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (_remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels of documents whose remainder is 2 are not learned from."""
     docs = read(spark, sf_dir, "documents")
@@ -45,6 +53,12 @@ def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    found = html_text.extracted(read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows with the highest integer inner product with each query row."""
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
@@ -79,8 +93,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_mixing": op2_mixing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_toxicity": op4_toxicity,
     "op5_hilbert_neighbours": op5_hilbert_neighbours,
+    "op6_html_text": op6_html_text,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
