@@ -205,9 +205,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", tex
     return codes.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_reassembled, "id long, ids array<int>")
 
 
-def decoded(encodings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(id, n_tokens, ids_bytes, decoded): the ids as little-endian unsigned 32-bit integers, and the bytes they stand for."""
-    kind = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_bytes", pa.binary()), ("decoded", pa.binary())])
+def decoded(encodings: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_bytes, decoded): the ids as little-endian unsigned 32-bit integers, and
+    the bytes they stand for. With ``keep_ids`` the list is the column ``ids`` instead of bytes."""
+    shown = ("ids", pa.list_(pa.int32())) if keep_ids else ("ids_bytes", pa.binary())
+    kind = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), shown, ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, starts, lengths = vocabulary.token_bytes()
@@ -229,7 +231,8 @@ def decoded(encodings: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         edges = np.concatenate(([0], np.cumsum(counts)))
         ends = np.concatenate(([0], np.cumsum(size)))[edges]
         bodies = data[ranges(starts[ids], size)] if len(ids) else np.zeros(0, np.uint8)
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), pack_binary(ids.astype("<u4").view(np.uint8), edges * 4),
-                                           pack_binary(bodies, ends)], schema=kind)
+        same = (pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())) if keep_ids
+                else pack_binary(ids.astype("<u4").view(np.uint8), edges * 4))
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), same, pack_binary(bodies, ends)], schema=kind)
 
-    return encodings.select("id", "ids").mapInArrow(run, "id long, n_tokens long, ids_bytes binary, decoded binary")
+    return encodings.select("id", "ids").mapInArrow(run, f"id long, n_tokens long, {'ids array<int>' if keep_ids else 'ids_bytes binary'}, decoded binary")

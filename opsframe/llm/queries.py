@@ -28,23 +28,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.size("copies")).cast("long").alias("taken"), F.col("copies.shard").alias("shards"))
 
 
-def _remainder(column: str, divisor: int):
+def remainder(column: str, divisor: int):
+    """crc32 of an id as text, modulo ``divisor`` (-1 for a null id)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a suffix tree learned from those whose remainder is not 1."""
     docs = read(spark, sf_dir, "documents")
-    found = suffix_tree.scored(docs, _remainder("doc_id", 5) != 1)
-    return found.select(F.col("id").alias("doc_id"), (_remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known",
+    found = suffix_tree.scored(docs, remainder("doc_id", 5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (remainder("id", 5) == 1).alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document; labels of documents whose remainder is 2 are not learned from."""
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), _remainder("key", 4) != 2)
-    return toxicity.scores(docs, model).select(F.col("id").alias("doc_id"), (_remainder("id", 4) == 2).alias("held_out"), "score",
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder("key", 4) != 2)
+    return toxicity.scores(docs, model).select(F.col("id").alias("doc_id"), (remainder("id", 4) == 2).alias("held_out"), "score",
                                                (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

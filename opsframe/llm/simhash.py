@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.llm.chunks import parts, ranges, table
@@ -63,16 +63,18 @@ def fingerprint(text: str | None, words: int) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp) of every row; ``fp`` as a signed long."""
+def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text: str = "text", marked: bool = False) -> DataFrame:
+    """(id, fp) of every row; ``fp`` as a signed long. ``marked``: with ``mark``, a hash of the text."""
+    more = ["mark"] if marked else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column("body")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), *[batch.column(c) for c in more]], names=["id", "fp", *more])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
-            .mapInArrow(run, "id long, fp long"))
+    body = F.col(text).cast("string")
+    return (docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"), *[F.xxhash64(body).alias(c) for c in more])
+            .mapInArrow(run, ", ".join(["id long", "fp long", *[f"{c} long" for c in more]])))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -195,12 +197,33 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return units.withColumn("bin", dealt).groupBy("bin").applyInArrow(_linked(distance), "a long, b long")
 
 
+def _components(distinct: DataFrame, distance: int) -> DataFrame:
+    """With ``root``: the fingerprint that stands for the component of ``fp``."""
+    roots = components(links(distinct.select("fp"), distance))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int, distance: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component): every row with its fingerprint and the smallest id of its component."""
     rows = table(fingerprints(docs, words, id_col, text), "fingerprints")
-    distinct = table(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), distance))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known = _components(table(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct"), distance)
     least = known.groupBy("root").agg(F.min("least").alias("component"))
     named = known.join(least, "root").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
+
+
+def representatives(docs: DataFrame, words: int, distance: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, unchanged: that with the smallest id (null last), of rows
+    with one id that whose text has the smallest hash, and one of wholly equal texts."""
+    place = F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0)).alias("id"), F.col("mark"))
+    mark = F.xxhash64(F.col(text).cast("string"))
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
+    # one fingerprint for each (id, text); the shuffle carries hashes, not texts
+    rows = table(fingerprints(marked, words, "id", "body", marked=True), "fingerprints")
+    known = _components(table(rows.groupBy("fp").agg(F.min(place).alias("first")), "distinct"), distance)
+    chosen = known.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).isNull().alias("unnamed"),
+                         F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), mark.alias("mark"))
+    kept = packed.join(chosen, ["unnamed", "id", "mark"], "left_semi")
+    one = Window.partitionBy("unnamed", "id", "mark").orderBy(F.lit(0))
+    return kept.withColumn("nth", F.row_number().over(one)).filter("nth = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
