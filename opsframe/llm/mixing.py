@@ -26,8 +26,6 @@ by ``mixed``; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,35 +81,30 @@ def targets(totals: DataFrame, share: float = 1.5, max_repeats: float = 2.0, wei
             .select("source", "source_size", "place", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight"))).alias("target")))
 
 
-def _ln_factorial(n: Column) -> Column:
-    """ln n! : exact to 20, Stirling's series beyond (error below 1e-13)."""
-    x = n.cast("double") + 1.0
-    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    return F.when(n <= 20, F.ln(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
-
-
-def _ln_choose(n: Column, k: Column) -> Column:
-    return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-
-
 def _hypergeometric(all_: Column, own: Column, drawn: Column, u: Column) -> Column:
-    """How many of ``own`` are among ``drawn`` of ``all_``: the distribution function inverted at
-    ``u``. Values over 12 standard deviations from the mean (likelihood below 1e-30) are left out."""
+    """How many of ``own`` are among ``drawn`` of ``all_``: the distribution function inverted at ``u``.
+
+    Chances follow from one another by their ratio, from the smallest value on, and are divided by their
+    sum. Values over 12 standard deviations from the mean (likelihood below 1e-30) are left out."""
     total, good, size = (x.cast("double") for x in (all_, own, drawn))
     mean = F.when(all_ > 0, size * good / total).otherwise(0.0)
     spread = F.when(all_ > 1, F.sqrt(mean * (1 - good / total) * (total - size) / (total - 1))).otherwise(0.0)
     low = F.greatest(F.lit(0).cast("long"), drawn + own - all_, F.floor(mean - 12 * spread - 2))
     high = F.greatest(low, F.least(own, drawn, F.ceil(mean + 12 * spread + 2)))
-    chance = F.exp(_ln_choose(own, low) + _ln_choose(all_ - own, drawn - low) - _ln_choose(all_, drawn))
-    start = F.struct(F.lit(0.0).alias("below"), chance.alias("chance"), low.alias("value"))
 
-    def step(state: Column, k: Column) -> Column:
-        ratio = (good - k) * (size - k) / ((k + 1) * (total - good - size + k + 1))
-        return F.struct((state["below"] + state["chance"]).alias("below"),
-                        F.when(k < high, state["chance"] * ratio).otherwise(0.0).alias("chance"),
-                        F.when(state["below"] < u, k).otherwise(state["value"]).alias("value"))
+    def ratio(k: Column) -> Column:
+        return F.when(k < high, (good - k) * (size - k) / ((k + 1) * (total - good - size + k + 1))).otherwise(0.0)
+
+    def add(state: Column, k: Column) -> Column:
+        return F.struct((state["sum"] + state["chance"]).alias("sum"), (state["chance"] * ratio(k)).alias("chance"))
+
+    def pick(state: Column, k: Column) -> Column:
+        return F.struct((state["left"] - state["chance"]).alias("left"), (state["chance"] * ratio(k)).alias("chance"),
+                        F.when(state["left"] > 0, k).otherwise(state["value"]).alias("value"))
 
-    return F.aggregate(F.sequence(low, high), start, step)["value"]
+    values, one = F.sequence(low, high), F.lit(1.0).alias("chance")
+    whole = F.aggregate(values, F.struct(F.lit(0.0).alias("sum"), one), add)["sum"]
+    return F.aggregate(values, F.struct((u * whole).alias("left"), one, low.alias("value")), pick)["value"]
 
 
 def split_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
