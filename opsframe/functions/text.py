@@ -28,8 +28,9 @@ def concat_strict(*parts) -> Column:
 
 
 def drop_first_char(s) -> Column:
-    """``substring(s, 2, 10000)``."""
-    return F.substring(_c(s), 2, 10000)
+    """The text from its second character on, however long."""
+    text = _c(s)
+    return F.substr(text, F.lit(2), F.char_length(text))
 
 
 def split_part(s, sep: str, n: int) -> Column:
@@ -77,4 +78,4 @@ def decode_access(acl_text, grantee, letters: Mapping[str, str] = ACL_LETTERS) -
     flags = F.split_part(F.split_part(acl_text, grantee, F.lit(2)), F.lit("/"), F.lit(1))
     pieces = [F.when(F.locate(letter, flags) > 0, F.lit(f",{name} ")).otherwise(F.lit(""))
               for letter, name in letters.items()]
-    return F.substring(F.concat(*pieces), 2, 10000)
+    return drop_first_char(F.concat(*pieces))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.dates import calendar_units
-from opsframe.operators import broadcast as bc
 from opsframe.session import pin
 
 Keys = Sequence[str] | Sequence[tuple[str, str]]
@@ -29,8 +28,7 @@ def _cond(left: DataFrame, right: DataFrame, on: Keys) -> Column:
 
 
 # A right-side key with more rows than this is spread over SALT_BUCKETS
-# tasks by ``left_outer``. There are at most (right rows / HOT_KEY_ROWS)
-# such keys, which bounds the broadcast of the hot-key set.
+# tasks by ``left_outer``. The plan is the same whether there is one or not.
 HOT_KEY_ROWS = 1_000_000
 SALT_BUCKETS = 64
 
@@ -54,8 +52,8 @@ def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None
     ``min(t)``, and ``matches_first(frame, agg)``, which says whether a
     left row matches given it.
 
-    When the whole right side has at most ``hot_rows`` rows no key can be
-    hot, and a plain left join is used (one bounded count decides).
+    The hot keys come from one aggregate of the right keys and are joined
+    like any table (adaptive execution broadcasts them when they are few).
 
     Column names of the two sides must be distinct.
     """
@@ -63,9 +61,6 @@ def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"left_outer needs distinct column names, both sides have {sorted(clash)}")
-    if right.limit(hot_rows + 1).count() <= hot_rows:
-        cond = _cond(left, right, on)
-        return left.join(right, cond if extra is None else cond & extra, "left")
     rkeys = [b for _, b in pairs]
     aggs = [F.count(F.lit(1)).alias("_lo_n")]
     if extra is not None:
@@ -73,7 +68,6 @@ def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None
     per_key = right.groupBy(*rkeys).agg(*aggs)
     hot = per_key.filter(F.col("_lo_n") > hot_rows).select(
         *[F.col(k).alias(f"_lo_h{i}") for i, k in enumerate(rkeys)], F.lit(True).alias("_lo_hot"))
-    hot = bc.bounded(hot, "keys with more than hot_rows right rows: at most rows / hot_rows")
 
     def tag(df: DataFrame, cols: list[str]) -> DataFrame:
         cond = None
@@ -219,51 +213,80 @@ def member_join(left: DataFrame, left_col: str, right: DataFrame, array_col: str
     return out.drop("_member")
 
 
-def _grams(text: Column, q: int) -> Column:
-    """All distinct length-q substrings of a text (the whole text)."""
-    n = F.length(text) - q + 1
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                        lambda i: text.substr(i, F.lit(q))))
+GRAM = 3
 
 
-def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: str,
-                  q: int = 3, max_short_patterns: int = 100_000) -> DataFrame:
+def _text_keys(text: Column) -> Column:
+    """Keys under which a text can be found: its substrings of 1 to ``GRAM`` characters, those of
+    ``GRAM`` with any one character inside skipped (written as two parts), and the empty one."""
+    n = F.char_length(text)
+
+    def every(size: int, key) -> Column:
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, key)
+
+    def whole(size: int):
+        return lambda i: F.struct(text.substr(i, F.lit(size)).alias("a"), F.lit("").alias("b"))
+
+    def parted(k: int):
+        return lambda i: F.struct(text.substr(i, F.lit(k)).alias("a"), text.substr(i + k + 1, F.lit(GRAM - k)).alias("b"))
+
+    plain = [every(k, whole(k)) for k in range(1, GRAM + 1)]
+    skipped = [every(GRAM + 1, parted(k)) for k in range(1, GRAM)]
+    return F.array_distinct(F.concat(F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"))), *plain, *skipped))
+
+
+def _pattern_keys(pattern: Column) -> Column:
+    """Keys that every text matching the pattern has: of the keys above, those without a wildcard at a literal place. The
+    empty key is the only one of a pattern without literals, and of one with an escape."""
+    every = F.struct(F.lit("").alias("a"), F.lit("").alias("b"))
+    literal = lambda x: ~x.contains("%") & ~x.contains("_")
+    # a skipped place may hold "_" or a literal, but not "%", which stands for any number of characters
+    n = F.char_length(pattern)
+
+    def key(size: int, skip: int):
+        """At each place: ``size`` characters, the one after the first ``skip`` left out (0: none)."""
+        def at(i: Column) -> Column:
+            first = size if not skip else skip
+            a, b = pattern.substr(i, F.lit(first)), pattern.substr(i + skip + 1, F.lit(size - skip - 1)) if skip else F.lit("")
+            fits = literal(a) & literal(b)
+            if skip:
+                fits = fits & (pattern.substr(i + skip, F.lit(1)) != "%")
+            return F.when(fits, F.struct(a.alias("a"), b.alias("b")))
+        return at
+
+    keys = []
+    for size, skip in [(k, 0) for k in range(1, GRAM + 1)] + [(GRAM + 1, k) for k in range(1, GRAM)]:
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        keys.append(F.filter(F.transform(starts, key(size, skip)), lambda k: k.isNotNull()))
+    return F.when(pattern.contains("\\"), F.array(every)).otherwise(F.array_distinct(F.concat(F.array(every), *keys)))
+
+
+def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: str) -> DataFrame:
     """``left.text LIKE '%' || right.name || '%'`` without a cartesian product.
 
-    Exact method: every name whose literal runs (split on the ``_``/``%``
-    wildcards) include one of length >= q must have each q-gram of that run
-    in a matching text. For each such name pick its *rarest* q-gram (by
-    frequency over the texts), equi-join texts and names on it, and check
-    the LIKE on the candidates. Names with no literal run of length q (or
-    with an escape) go through a nested-loop join behind a size check.
+    Every name picks, of the short substrings that all texts matching it must have, the one that the fewest
+    texts have. ``_`` wildcards inside a substring are stepped over, so names like ``NATION_7`` are
+    found under what differs (``N_7``), not under what all share. Texts and names meet
+    in an equi-join on that key and the LIKE decides. A name without any
+    literal meets every text, as its result does. Crowded keys are split by adaptive
+    execution (an inner join).
     """
     lid, rid = "_cj_lid", "_cj_rid"
     L = left.withColumn(lid, F.monotonically_increasing_id())
     R = right.withColumn(rid, F.monotonically_increasing_id())
     # pin the ids: both sides are read more than once below
     L, R = pin(L, "contains_left"), pin(R, "contains_right")
-
-    text = F.col(text_col)
-    name = F.col(name_col)
-    runs = F.filter(F.split(name, "[_%]"), lambda r: F.length(r) >= q)
-    long_ok = (F.size(runs) > 0) & ~name.contains("\\")
-
-    text_grams = L.select(lid, F.explode(_grams(text, q)).alias("_g"))
-    freq = text_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    name_grams = (R.filter(long_ok)
-                  .select(rid, F.explode(F.flatten(F.transform(runs, lambda r: _grams(r, q)))).alias("_g"))
-                  .distinct())
-    choice = (name_grams.join(freq, "_g", "left")
-              .groupBy(rid).agg(F.min_by("_g", F.coalesce(F.col("_f"), F.lit(0))).alias("_g")))
-    cand = text_grams.join(choice, "_g").select(lid, rid)
-    long_pairs = (cand.join(L, lid).join(R, rid)
-                  .filter(F.like(F.col(text_col), F.concat(F.lit("%"), F.col(name_col), F.lit("%")))))
-
-    short = R.filter(~long_ok)
-    short = bc.checked(short, max_short_patterns)
-    short_pairs = L.join(short, F.like(L[text_col], F.concat(F.lit("%"), short[name_col], F.lit("%"))))
-    cols = [c for c in long_pairs.columns]
-    return long_pairs.select(*cols).unionByName(short_pairs.select(*cols)).drop(lid, rid)
+    of_text = L.select(lid, F.explode(_text_keys(F.col(text_col))).alias("_g"))
+    of_name = R.filter(F.col(name_col).isNotNull()).select(rid, F.explode(_pattern_keys(F.col(name_col))).alias("_g"))
+    often = of_text.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    choice = (of_name.join(often, "_g", "left")
+              .groupBy(rid).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_c"))
+              .select(rid, F.col("_c.g").alias("_g")))
+    met = of_text.join(choice, "_g").select(lid, rid)
+    return (met.join(L, lid).join(R, rid)
+            .filter(F.like(F.col(text_col), F.concat(F.lit("%"), F.col(name_col), F.lit("%"))))
+            .drop(lid, rid))
 
 
 def _minute_bucket(ts: Column, bucket_minutes: int) -> Column:

@@ -13,9 +13,7 @@ puts all its rows into one task.
   partition, so the shift table is bounded by the partition count and is
   broadcast on that proof. The range-partitioned, numbered rows are pinned
   as a parquet table in the shared checkpoint folder (``session.pin``).
-  Inputs whose largest group (or whole input, for a global order) has at
-  most ``WINDOW_ROWS_LIMIT`` rows take a plain window instead, behind one
-  distributed size check.
+  Inputs of every size take this way.
 * ``first_last_non_null`` (W5-W9): whole-partition ``first/last ignore
   nulls`` ordered by the value itself equal ``min``/``max``; computed as a
   partial aggregate and, when kept per row, joined back.
@@ -25,11 +23,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.operators import broadcast as bc
 from opsframe.session import pin
 
 
@@ -57,26 +53,6 @@ def order_spec(cols: Sequence, descending: bool = True, nulls_first: bool | None
     return out
 
 
-# A plain window puts a whole group (or, for a global order, the whole
-# input) in one task. Below this many rows that is cheap and safe; above it
-# the range method is used. The check is one distributed aggregate, which
-# evaluates the input once more: for an expensive input pass
-# ``window_rows_limit=None`` (range method, input evaluated once).
-WINDOW_ROWS_LIMIT = 2_000_000
-
-
-def _fits_one_task(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
-    """True when no group of ``keys`` (all rows when there are no keys) has
-    more than ``limit`` rows."""
-    if not limit:
-        return False
-    if not keys:
-        return df.limit(limit + 1).count() <= limit
-    largest = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .agg(F.max("_n").alias("m")).first()["m"])
-    return (largest or 0) <= limit
-
-
 def latest_per_key(df: DataFrame, keys: Sequence, order_by: Sequence[Column], rn_col: str = "_rn",
                    keep_rn: bool = False) -> DataFrame:
     """One row per key, first in ``order_by`` (give full tie-breaks)."""
@@ -88,53 +64,44 @@ def latest_per_key(df: DataFrame, keys: Sequence, order_by: Sequence[Column], rn
 def _ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The range partitioner samples its input in a separate job; keep the
-    # input so the sample and the write below compute the upstream once.
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (src.repartitionByRange(n, *sort_cols)
+    # The range partitioner samples its input in a separate job; shuffles
+    # below are reused, so only the input's last stage runs twice.
+    ranged = (df.repartitionByRange(n, *sort_cols)
               .sortWithinPartitions(*sort_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     # Pin partition ids and positions as a table in the shared checkpoint
     # folder: every later read sees the same numbering, also after a lost
     # executor, and reads only the columns it needs.
-    pinned = pin(ranged, "ranged")
-    src.unpersist()
-    return pinned
+    return pin(ranged, "ranged")
 
 
 def surrogate_number(df: DataFrame, order_by: Sequence[Column], name: str = "row_number",
-                     partitions: int | None = None, window_rows_limit: int | None = WINDOW_ROWS_LIMIT) -> DataFrame:
+                     partitions: int | None = None) -> DataFrame:
     """``row_number() over (order by ...)`` without a single-task sort.
 
     Position inside a range partition comes from the row id's low bits; the
     offset of each partition is the count of all earlier partitions (one
-    row per partition, broadcast). Inputs of at most ``window_rows_limit``
-    rows use a plain window.
+    row per partition, broadcast).
     """
-    if _fits_one_task(df, [], window_rows_limit):
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_by)).cast("long"))
     r = _ranged(df, list(order_by), partitions)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("_pid", "_off")
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1
-    out = r.join(bc.bounded(offs, "one row per shuffle partition"), "_pid")
+    out = r.join(F.broadcast(offs), "_pid")
     return out.withColumn(name, (local + F.col("_off")).cast("long")).drop("_pid", "_mid", "_off")
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], name: str = "row_number",
-                partitions: int | None = None, window_rows_limit: int | None = WINDOW_ROWS_LIMIT) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by ...)`` kept per row.
 
     Give ``order_by`` a full tie-break, or numbers among ties are arbitrary
-    (as they are in the source). When no key holds more than
-    ``window_rows_limit`` rows, a plain window is used.
+    (as they are in the source).
     """
     keys = list(keys)
-    if _fits_one_task(df, keys, window_rows_limit):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)).cast("long"))
     key_sort = [F.col(k).asc_nulls_first() for k in keys]
     r = _ranged(df, key_sort + list(order_by), partitions)
     local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid"))
@@ -144,8 +111,8 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     ks = F.struct(*[F.col(k) for k in keys])
     bounds = r.groupBy("_pid").agg(F.min(ks).alias("_first"), F.max(ks).alias("_last"))
     edge_keys = bounds.select(F.explode(F.array("_first", "_last")).alias("_k")).select("_k.*").distinct()
-    edge_keys = bc.bounded(edge_keys.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(keys)]),
-                           "two keys per partition")
+    # two keys per partition at most
+    edge_keys = F.broadcast(edge_keys.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(keys)]))
     on_edge = None
     for i, k in enumerate(keys):
         c = r[k].eqNullSafe(edge_keys[f"_ek{i}"])
@@ -160,7 +127,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     for c in on[1:]:
         cond = cond & c
     numbered = r.withColumn("_local", local).alias("l")
-    joined = numbered.join(bc.bounded(offs, "at most one crossing key per partition").alias("o"), cond, "left")
+    joined = numbered.join(F.broadcast(offs).alias("o"), cond, "left")
     return (joined.select("l.*", F.col("o._off"))
             .withColumn(name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("long"))
             .drop("_pid", "_mid", "_local", "_off"))
@@ -194,19 +161,14 @@ def with_first_last(df: DataFrame, keys: Sequence[str], value, condition: Column
 
 
 def prefix_sum(df: DataFrame, order_by: Sequence[Column], value, name: str = "prefix_sum",
-               inclusive: bool = False, partitions: int | None = None,
-               window_rows_limit: int | None = WINDOW_ROWS_LIMIT) -> DataFrame:
+               inclusive: bool = False, partitions: int | None = None) -> DataFrame:
     """Running total of ``value`` over one global order
     (``sum(v) over (order by ... rows unbounded preceding ..)``) without a
     single-task window: totals inside each range partition, plus the sum of
     all earlier partitions (one row per partition, broadcast). Exclusive
-    by default (the total of the rows strictly before). Inputs of at most
-    ``window_rows_limit`` rows use a plain window."""
+    by default (the total of the rows strictly before)."""
     v = F.coalesce(_c(value), F.lit(0))
     upper = Window.currentRow if inclusive else -1
-    if _fits_one_task(df, [], window_rows_limit):
-        w = Window.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, upper)
-        return df.withColumn(name, F.coalesce(F.sum(v).over(w), F.lit(0)))
     r = _ranged(df, list(order_by), partitions)
     local = F.coalesce(F.sum(v).over(Window.partitionBy("_pid").orderBy("_mid")
                                      .rowsBetween(Window.unboundedPreceding, upper)), F.lit(0))
@@ -214,5 +176,5 @@ def prefix_sum(df: DataFrame, order_by: Sequence[Column], value, name: str = "pr
     offs = totals.withColumn(
         "_off", F.coalesce(F.sum("_tot").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("_pid", "_off")
-    out = r.withColumn("_local", local).join(bc.bounded(offs, "one row per shuffle partition"), "_pid")
+    out = r.withColumn("_local", local).join(F.broadcast(offs), "_pid")
     return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_mid", "_off", "_local")

@@ -18,13 +18,14 @@ numbered without a single-task sort (``surrogate_number``; for R11, a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzero, to_int
 from opsframe.operators.joins import join_earlier, left_join_where, star_left
 from opsframe.operators.windows import prefix_sum, row_numbers, surrogate_number
-from opsframe.session import pin
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
 
@@ -37,6 +38,11 @@ RECON_TASK_TYPE = 57
 CANCELLED_REQUEST_STATUSES = (3, 4, 5)
 
 
+def _day(date: str) -> Column:
+    """Start of a day. ``date(ts) >= d`` equals ``ts >= d``, and the plain form reaches the scan."""
+    return F.lit(date).cast("date").cast("timestamp_ntz")
+
+
 def clean_expense(t: Tables) -> DataFrame:
     """System-prefixed id; a listing expense with no completion
     date takes its drop-off date."""
@@ -54,20 +60,25 @@ def inventory_clean_expense(t: Tables) -> DataFrame:
             .groupBy("inventoryid").agg(F.sum("cost").alias("total_actual_pre_advent_recon_cost")))
 
 
-def _recon_filter(tt_category: Column, taskid: Column) -> Column:
-    return tt_category.isin(*RECON_CATEGORIES) | taskid.isin(*RECON_TASK_IDS)
+def _recon_filter(tt_category: Column, taskid: Column, task_ids: tuple[int, ...] = RECON_TASK_IDS) -> Column:
+    return tt_category.isin(*RECON_CATEGORIES) | taskid.isin(*task_ids)
 
 
-def recon_cost_data(t: Tables) -> DataFrame:
-    """Labor sums per task group (A5, A11, J7). ``not tld.isdeleted`` drops
-    null flags, which also makes the labor join inner. The source's window
-    dates here are never read (Q13) and are left out."""
+def recon_labor(t: Tables, task_ids: tuple[int, ...] = RECON_TASK_IDS) -> DataFrame:
+    """Open reconditioning tasks with their type and their labor rows that are not deleted."""
     tasks, tt = S.recon_tasks(t).alias("tasks"), S.task_types(t).alias("tt")
     tld = S.task_labor(t).filter(~F.col("isdeleted") & false_or_null(F.col("isdeleted"))).alias("tld")
     j = (tasks.join(tt, F.col("tasks.tasktype") == F.col("tt.id"), "left")
          .join(tld, F.col("tasks.taskid") == F.col("tld.taskid")))
-    j = j.filter(_recon_filter(F.col("tt.category"), F.col("tasks.taskid"))
-                 & ~F.col("tasks.taskstatus").isin(*BOOKED_STATUSES))
+    return j.filter(_recon_filter(F.col("tt.category"), F.col("tasks.taskid"), task_ids)
+                    & ~F.col("tasks.taskstatus").isin(*BOOKED_STATUSES))
+
+
+def recon_cost_data(t: Tables) -> DataFrame:
+    """Labor sums per task group (A5, A11, J7). ``not tld.isdeleted`` drops
+    null flags, which also makes the labor join inner. The source's window
+    dates here are never read (Q13) and are left out."""
+    j = recon_labor(t)
     keys = [F.col("tasks.inventoryid").alias("inventoryid"), F.col("tasks.taskid").alias("taskid"),
             F.col("tasks.tasktype").alias("tasktype"), F.col("tt.type").alias("type"),
             F.col("tt.category").alias("category"), F.col("tasks.taskvendorid").alias("taskvendorid"),
@@ -80,7 +91,7 @@ def recon_cost_data(t: Tables) -> DataFrame:
         F.sum("tld.hour").alias("task_total_actual_recon_hours"))
 
 
-def recon_aggregate_data(t: Tables, tasked_since="1996-01-01") -> DataFrame:
+def recon_aggregate_data(t: Tables, tasked_since="1996-01-01", task_ids: tuple[int, ...] = RECON_TASK_IDS) -> DataFrame:
     """Per inventory: first tasked date and first/last recon completion
     (W5-W9). The source computes whole-partition first/last_value windows
     ordered by the value and then DISTINCTs them to one row per inventory;
@@ -88,8 +99,8 @@ def recon_aggregate_data(t: Tables, tasked_since="1996-01-01") -> DataFrame:
     aggregate (a hot inventory never lands whole in one task)."""
     tasks, tt = S.recon_tasks(t).alias("tasks"), S.task_types(t).alias("tt")
     j = tasks.join(tt, F.col("tasks.tasktype") == F.col("tt.id"), "left")
-    j = j.filter(_recon_filter(F.col("tt.category"), F.col("tasks.taskid"))
-                 & (F.to_date("tasks.taskenteredon") >= F.lit(tasked_since).cast("date")))
+    j = j.filter(_recon_filter(F.col("tt.category"), F.col("tasks.taskid"), task_ids)
+                 & (F.col("tasks.taskenteredon") >= _day(tasked_since)))
     recon_done = F.when(F.col("tasks.tasktype") == RECON_TASK_TYPE, F.col("tasks.taskcompletedon"))
     return j.groupBy(F.col("tasks.inventoryid").alias("inventoryid")).agg(
         F.min("tasks.taskenteredon").alias("first_recon_tasked_date"),
@@ -97,6 +108,14 @@ def recon_aggregate_data(t: Tables, tasked_since="1996-01-01") -> DataFrame:
         F.max(recon_done).alias("last_recon_date"))
 
 
+def recon_dates(t: Tables, settings: ReconSettings) -> DataFrame:
+    """What R11 reads of the vendor-lane costs: the dates of inventories that have any labor group.
+    The sums are not read there (``inventory_vl_costs`` has them)."""
+    with_labor = recon_labor(t, settings.task_ids).select(F.col("tasks.inventoryid").alias("inventoryid")).distinct()
+    dates = recon_aggregate_data(t, settings.tasked_since, settings.task_ids)
+    return dates.join(with_labor, "inventoryid", "left_semi")
+
+
 def inventory_vl_costs(t: Tables, **kw) -> DataFrame:
     """Sum of task-group sums per inventory with its recon dates."""
     rcd, rad = recon_cost_data(t), recon_aggregate_data(t, **kw)
@@ -114,7 +133,7 @@ def ro_parts(t: Tables, received_since="1996-01-01", invalid_task=4157350) -> Da
     b = S.part_types(t).alias("b")
     ven = S.vendors(t).alias("ven")
     tk = S.recon_tasks(t).filter(~F.col("taskstatus").isin(*BOOKED_STATUSES)).alias("t")   # J7
-    a = a.filter((F.to_date("receivedon") >= F.lit(received_since).cast("date")) & F.col("cancelledon").isNull()
+    a = a.filter((F.col("receivedon") >= _day(received_since)) & F.col("cancelledon").isNull()
                  & (F.col("taskid") != invalid_task) & (F.col("adventronumber") != "NO_RO")
                  & ~F.col("requeststatus").isin(*CANCELLED_REQUEST_STATUSES) & false_or_null(F.col("quoteind")))
     j = (a.join(b, F.col("a.parttypeid") == F.col("b.id"), "left")
@@ -138,7 +157,7 @@ def remote_recon_site_total_recon(t: Tables, passed_since="1996-01-01", how: str
     the nearest; fan-out kept)."""
     rr = S.remote_recon(t).filter(
         F.col("actual_recon_cost").isNotNull()
-        & (F.to_date(F.coalesce("rqc_pass_date", "zoned_date")) >= F.lit(passed_since).cast("date")))
+        & (F.coalesce("rqc_pass_date", "zoned_date") >= _day(passed_since)))
     inv = S.inventory(t).select(F.col("vin").alias("inv_vin"), "inventoryid", "tdapurchaseddate")
     j = join_earlier(rr, inv, [("vin", "inv_vin")], right_time="tdapurchaseddate", left_time="created_time",
                      strict=True, how=how)
@@ -147,12 +166,12 @@ def remote_recon_site_total_recon(t: Tables, passed_since="1996-01-01", how: str
 
 def vl_reported_costs(t: Tables, purchased_since="1996-01-01") -> DataFrame:
     vlc = S.cost_summary(t).alias("vlc")
-    inv = S.inventory(t).filter(F.to_date("tdapurchaseddate") >= F.lit(purchased_since).cast("date")).alias("inv")  # J7
+    inv = S.inventory(t).filter(F.col("tdapurchaseddate") >= _day(purchased_since)).alias("inv")  # J7
     j = vlc.join(inv, F.col("inv.inventoryid") == F.col("vlc.inventoryid"))
     return j.filter(F.col("vlc.totalcosts") != 0).select("vlc.*")
 
 
-def concessions_costs(t: Tables, excluded_vendor=44, type_pattern="We Owe -%") -> DataFrame:
+def concessions_costs(t: Tables, excluded_vendor=44, type_pattern="We Owe -%", task_ids: tuple[int, ...] = RECON_TASK_IDS) -> DataFrame:
     """Customer concessions per task group (several rows per inventory, Q11)."""
     tasks, tt = S.recon_tasks(t).alias("tasks"), S.task_types(t).alias("tt")
     tld = S.task_labor(t).alias("tld")
@@ -160,7 +179,7 @@ def concessions_costs(t: Tables, excluded_vendor=44, type_pattern="We Owe -%") -
          .join(tld, F.col("tasks.taskid") == F.col("tld.taskid")))
     j = j.filter(~F.col("tld.isdeleted")
                  & (~F.col("tld.isdisclosed") | (F.col("tld.isdisclosed") & F.col("tld.isperformwork")))
-                 & _recon_filter(F.col("tt.category"), F.col("tasks.taskid"))
+                 & _recon_filter(F.col("tt.category"), F.col("tasks.taskid"), task_ids)
                  & (F.col("tasks.taskvendorid") != excluded_vendor)
                  & F.col("tt.type").ilike(type_pattern))
     keys = [F.col("tasks.inventoryid").alias("inventoryid"), F.col("tasks.taskid").alias("taskid"),
@@ -189,107 +208,133 @@ R11_ORDER = ("inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_
              "vlc_total_labor_cost", "vlc_total_parts_cost", "vlc_total_costs")
 
 
-def recon_model(t: Tables) -> DataFrame:
-    """R11's final star join, computed without its per-inventory fan-out.
-
-    In the source the remote-site rows (several per inventory) and the
-    concession rows (several per inventory, Q11) multiply inside each
-    inventory before one row is kept. The kept row and its number follow
-    from per-inventory aggregates instead:
-
-    * every other input is single-valued per inventory;
-    * the numbering order is inventory first, then cost and remote cost
-      (which depend only on the remote row), then concession cost (only on
-      the concession row), then per-inventory constants -- so the first row
-      of an inventory pairs the best remote row with the smallest
-      concession, and the row-order pick (latest recon date, constant per
-      inventory, ties on the same columns) is that first row;
-    * its number is one plus the count of product rows of all earlier
-      inventories, ``max(1, #remote) * max(1, #concession)`` each, a prefix
-      sum over inventories.
-
-    Each side is reduced by a partial aggregate, so a hot inventory never
-    materialises its pairs. The source's join to per-inventory parts costs
-    is never read and cannot change row counts, so it is left out.
+@dataclass(frozen=True)
+class ReconSettings:
+    """R11's cut-off dates and fixed choices, one per place where the source writes them."""
+
+    tasked_since: str = "1996-01-01"
+    passed_since: str = "1996-01-01"
+    purchased_since: str = "1996-01-01"
+    excluded_vendor: int = 44
+    type_pattern: str = "We Owe -%"
+    task_ids: tuple[int, ...] = RECON_TASK_IDS
+
+
+def _two_smallest(df: DataFrame, key: str, order: Column, field: str, name: str) -> DataFrame:
+    """(key, name, name_n): the two smallest ``order`` structs of a key with different first fields (``field``),
+    and the number of rows. A key with any number of rows sends two to a task."""
+    rows = df.select(key, order.alias("_o"))
+    apart = rows.groupBy(key, F.col("_o")[field].alias("_v")).agg(F.min("_o").alias("_o"), F.count(F.lit(1)).alias("_n"))
+    n = apart.groupBy(key).agg(F.sum("_n").alias(f"{name}_n"))
+    first = Window.partitionBy(key).orderBy("_o")
+    two = (apart.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= 2)
+           .groupBy(key).agg(F.array_sort(F.collect_list("_o")).alias(name)))
+    return two.join(n.withColumnRenamed(key, "_k2"), F.col(key) == F.col("_k2")).drop("_k2")
+
+
+def recon_model(t: Tables, settings: ReconSettings = ReconSettings()) -> DataFrame:
+    """R11's final star join, one row per inventory, without its fan-out.
+
+    Inventory rows, stock numbers, reported costs, remote-site rows and
+    concessions may all repeat for an inventory, and the source multiplies them
+    before it numbers the rows and keeps one. Here each is reduced on its own:
+
+    * the kept row is the first by (cost, labor, parts, remote cost, concession, ...). Cost is base
+      (expenses + labor + parts) plus, without an expense total, the remote cost, and null where base and
+      remote cost add up to zero. So it is made of one of the two smallest bases and one of the two
+      smallest remote costs (the second for when the smallest pair adds up to zero), and the
+      smallest concession;
+    * its number is one plus the product rows of all earlier inventories,
+      a prefix sum over the products of the counts.
+
+    No pairs beyond two times two are made, however often a row repeats. The source's join to
+    per-inventory parts costs is never read and cannot change row counts, so it is left out.
     """
-    inv = S.inventory(t).select("inventoryid")
+    inv = S.inventory(t).groupBy("inventoryid").agg(F.count(F.lit(1)).alias("inv_n"))
+    snl = (S.stock_number_lookup(t).filter(F.col("stock_number").isNotNull())
+           .groupBy(F.col("inventoryid").alias("snl_inv")).agg(F.count(F.lit(1)).alias("snl_n")))
     exp = inventory_clean_expense(t).withColumnRenamed("inventoryid", "exp_inv")
-    ivl = inventory_vl_costs(t).withColumnRenamed("inventoryid", "ivl_inv")
-    vlc = vl_reported_costs(t).withColumnRenamed("inventoryid", "vlc_inv")
-    snl = S.stock_number_lookup(t).filter(F.col("stock_number").isNotNull()).select(F.col("inventoryid").alias("snl_inv"))
-    base = star_left(inv, [(exp, [("inventoryid", "exp_inv")]), (ivl, [("inventoryid", "ivl_inv")]),
-                           (vlc, [("inventoryid", "vlc_inv")])])
-    base = base.join(snl, F.col("inventoryid") == F.col("snl_inv"))                  # J7: stock number not null
+    dates = recon_dates(t, settings).withColumnRenamed("inventoryid", "ivl_inv")
+    rr = remote_recon_site_total_recon(t, passed_since=settings.passed_since, how="inner")
+    rr = _two_smallest(rr.select(F.col("inventoryid").alias("rr_inv"), "actual_recon_cost"), "rr_inv",
+                       F.struct(F.col("actual_recon_cost").cast("double").alias("remote")), "remote", "rr")
+    cc = (concessions_costs(t, settings.excluded_vendor, settings.type_pattern, settings.task_ids)
+          .groupBy(F.col("inventoryid").alias("cc_inv"))
+          .agg(F.min(nvl(F.col("actual_customer_concession_cost"), 0).cast("double")).alias("conc"), F.count(F.lit(1)).alias("cc_n")))
     exp_total = F.col("total_actual_pre_advent_recon_cost")
-    # best remote row per inventory: lowest (cost nulls last, remote cost).
-    # A remote row's cost needs only the inventory's expense total and
-    # reported labor and parts costs (both one row per inventory); remote
-    # rows that match no inventory never reach the result, so the join to
-    # inventory is inner here.
-    rr = remote_recon_site_total_recon(t, how="inner")
-    rr = (rr.join(exp.select(F.col("exp_inv"), F.col("total_actual_pre_advent_recon_cost").alias("_exp")),
-                  rr.inventoryid == F.col("exp_inv"), "left")
-          .join(vlc.select(F.col("vlc_inv"), F.col("totallaborcost").alias("_lab"), F.col("totalpartscost").alias("_par")),
-                rr.inventoryid == F.col("vlc_inv"), "left"))
-    rr_cost = _cost(F.col("_exp"), F.col("_lab"), F.col("_par"), F.col("actual_recon_cost"))
-    rr_out = nvl(F.col("actual_recon_cost"), 0).cast("double")
-    rr_best = rr.groupBy(F.col("inventoryid").alias("rr_inv")).agg(
-        F.min(F.struct(rr_cost.isNull().alias("cnull"), rr_cost.alias("cost"), rr_out.alias("remote"))).alias("_best"),
-        F.count(F.lit(1)).alias("_rr_n"))
-
-    cc = concessions_costs(t)
-    cc_best = cc.groupBy(F.col("inventoryid").alias("cc_inv")).agg(
-        F.min(nvl(F.col("actual_customer_concession_cost"), 0).cast("double")).alias("_conc"),
-        F.count(F.lit(1)).alias("_cc_n"))
-
-    j = (base.join(rr_best, F.col("inventoryid") == F.col("rr_inv"), "left")
-         .join(cc_best, F.col("inventoryid") == F.col("cc_inv"), "left"))
-    has_rr = F.col("_rr_n").isNotNull()
-    j = j.filter(present_nonzero(exp_total) | F.col("totallaborcost").isNotNull()
-                 | F.col("totalpartscost").isNotNull() | has_rr)
-    no_rr_cost = _cost(exp_total, F.col("totallaborcost"), F.col("totalpartscost"), F.lit(None).cast("double"))
-    rows = j.select(
+    vlc = vl_reported_costs(t, purchased_since=settings.purchased_since).withColumnRenamed("inventoryid", "vlc_inv")
+    # a reported row without labor and parts counts only beside an expense total or a remote row
+    usable = F.col("totallaborcost").isNotNull() | F.col("totalpartscost").isNotNull()
+    number = lambda c: F.col(c).cast("double")
+    last = lambda c: F.struct(number(c).isNull().alias("none"), number(c).alias("value"))  # noqa: E731 nulls last
+    order = F.struct((nvl(number("totallaborcost"), 0) + nvl(number("totalpartscost"), 0)).alias("base"),
+                     nvl(number("totallaborcost"), 0).alias("labor"), nvl(number("totalpartscost"), 0).alias("parts"),
+                     last("totallaborcost").alias("l"), last("totalpartscost").alias("p"), last("totalcosts").alias("c"))
+    some = _two_smallest(vlc.filter(usable), "vlc_inv", order, "base", "some")
+    blank = _two_smallest(vlc.filter(~usable), "vlc_inv", order, "base", "blank").withColumnRenamed("vlc_inv", "blank_inv")
+
+    j = star_left(inv.join(snl, F.col("inventoryid") == F.col("snl_inv")),                 # J7: stock number not null
+                  [(exp, [("inventoryid", "exp_inv")]), (dates, [("inventoryid", "ivl_inv")]), (rr, [("inventoryid", "rr_inv")]),
+                   (cc, [("inventoryid", "cc_inv")]), (some, [("inventoryid", "vlc_inv")]), (blank, [("inventoryid", "blank_inv")])])
+    also = present_nonzero(exp_total) | F.col("rr_n").isNotNull()
+    n_some, n_blank = (F.coalesce(F.col(c), F.lit(0)) for c in ("some_n", "blank_n"))
+    n_vlc = F.when(also, F.greatest(n_some + n_blank, F.lit(1))).otherwise(n_some)
+    j = j.withColumn("vlc_n", n_vlc).filter("vlc_n > 0")
+    no_costs = F.struct(F.lit(0.0).alias("base"), F.lit(0.0).alias("labor"), F.lit(0.0).alias("parts"),
+                        *[F.struct(F.lit(True).alias("none"), F.lit(None).cast("double").alias("value")).alias(c) for c in "lpc"])
+    none = F.array().cast(j.schema["some"].dataType)
+    reported = F.concat(F.coalesce("some", none), F.when(also, F.coalesce("blank", none)).otherwise(none))
+    reported = F.when(F.size(reported) > 0, reported).otherwise(F.array(no_costs))
+    remote = F.coalesce("rr", F.array(F.struct(F.lit(None).cast("double").alias("remote"))))
+
+    def row(v: Column, r: Column) -> Column:
+        cost = _cost(exp_total, v["labor"], v["parts"], r["remote"])
+        return F.struct(cost.isNull().alias("cnull"), cost.alias("cost"), v["labor"].alias("labor"), v["parts"].alias("parts"),
+                        nvl(r["remote"], 0).alias("remote"), v["l"].alias("l"), v["p"].alias("p"), v["c"].alias("c"))
+
+    best = F.array_min(F.flatten(F.transform(reported, lambda v: F.transform(remote, lambda r: row(v, r)))))
+    j = j.withColumn("best", best)
+    product = F.lit(1)
+    for c in ("inv_n", "snl_n", "vlc_n", "rr_n", "cc_n"):
+        product = product * F.coalesce(F.col(c), F.lit(1))
+    return j.select(
         F.col("inventoryid").cast("long").alias("inventoryid"),
-        F.when(has_rr, F.col("_best.cost")).otherwise(no_rr_cost).alias("cost"),
+        F.col("best.cost").alias("cost"),
         nvl(exp_total.cast("double"), 0).alias("dms_cost"),
-        nvl(F.col("totallaborcost"), 0).cast("double").alias("vl_labor_cost"),
-        nvl(F.col("totalpartscost"), 0).cast("double").alias("parts_manager_cost"),
-        F.coalesce(F.col("_best.remote"), F.lit(0.0)).alias("remote_recon_cost"),
-        F.coalesce(F.col("_conc"), F.lit(0.0)).alias("actual_customer_concession_cost"),
+        F.col("best.labor").alias("vl_labor_cost"),
+        F.col("best.parts").alias("parts_manager_cost"),
+        F.col("best.remote").alias("remote_recon_cost"),
+        F.coalesce(F.col("conc"), F.lit(0.0)).alias("actual_customer_concession_cost"),
         F.col("first_recon_tasked_date").alias("droppedoffon"),
         F.lit("Recon").alias("mainttype"),
         F.lit(2).alias("mainttypecategoryid"),
         F.lit("Recon").alias("maint_category_name"),
         F.col("last_recon_date").alias("workcompletedon"),
         F.col("first_recon_date").alias("first_recon_date"),
-        F.col("totallaborcost").cast("double").alias("vlc_total_labor_cost"),
-        F.col("totalpartscost").cast("double").alias("vlc_total_parts_cost"),
-        F.col("totalcosts").cast("double").alias("vlc_total_costs"),
-        (F.greatest(F.coalesce(F.col("_rr_n"), F.lit(0)), F.lit(1))
-         * F.greatest(F.coalesce(F.col("_cc_n"), F.lit(0)), F.lit(1))).alias("_pairs"),
+        F.col("best.l.value").alias("vlc_total_labor_cost"),
+        F.col("best.p.value").alias("vlc_total_parts_cost"),
+        F.col("best.c.value").alias("vlc_total_costs"),
+        product.alias("_pairs"),
     )
-    return rows
 
 
-def r11_recon_cost(t: Tables) -> DataFrame:
+def r11_recon_cost(t: Tables, settings: ReconSettings = ReconSettings()) -> DataFrame:
     """One recon-cost row per inventory, with the source's surrogate id
     (W4) and row order (W1) -- see ``recon_model``."""
-    # the model (one row per inventory) is written once, so the size check
-    # and the numbering read the table instead of recomputing the model
-    rows = pin(recon_model(t), "recon_model_rows")
-    numbered = prefix_sum(rows, [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
-    return numbered.select(
+    numbered = prefix_sum(recon_model(t, settings), [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
+    order = F.row_number().over(Window.partitionBy("inventoryid").orderBy("_before"))  # W1
+    return numbered.withColumn("row_order", order.cast("long")).filter("row_order = 1").select(
         concat_strict("advent_recon_", F.col("_before") + 1).alias("maintid"),
         "inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost", "remote_recon_cost",
         "actual_customer_concession_cost", "droppedoffon", "mainttype", "mainttypecategoryid",
         "maint_category_name", "workcompletedon", "first_recon_date", "vlc_total_labor_cost",
-        "vlc_total_parts_cost", "vlc_total_costs", F.lit(1).cast("long").alias("row_order"))
+        "vlc_total_parts_cost", "vlc_total_costs", "row_order")
 
 
 def r14_unique_inventory(t: Tables) -> DataFrame:
     """R14 (W1, A13): inventories with more than one R11 row -- expected empty."""
     from opsframe.operators.aggs import duplicates
-    return duplicates(r11_recon_cost(t), ["inventoryid"], count_col="inventoryid", count_alias="n")
+    return duplicates(recon_model(t), ["inventoryid"], count_col="inventoryid", count_alias="n")
 
 
 def r12_inbound_shipping(t: Tables, inventory_id: str | None = None) -> DataFrame:
@@ -318,7 +363,6 @@ def r12_inbound_shipping(t: Tables, inventory_id: str | None = None) -> DataFram
         F.lit("SG&A").alias("maint_category_name"),
         F.lit("Shipping").alias("acct_category_name"),
         F.col("d.actual_delivery_date_c").alias("workcompletedon"))
-    rows = pin(rows, "inbound_shipping_rows")   # numbered twice below: compute the joins once
     rows = surrogate_number(rows, [F.col("_did").asc()], name="_n")
     rows = row_numbers(rows, ["inventoryid"], [F.col("_created").desc_nulls_first(), F.col("_did").asc()], name="row_order")
     return rows.select(concat_strict("advent_shipping_inbound_", F.col("_n")).alias("maintid"),
@@ -363,7 +407,6 @@ def r13_outbound_shipping(t: Tables, inventory_id: int | None = None, shipping_c
         F.col("ready_for_funding_date").alias("workcompletedon"),
         F.col("sale_number").alias("_sale"))
     tie = [F.col("_sale").asc(), F.col("description").asc_nulls_last(), F.col("cost").asc_nulls_last()]
-    rows = pin(rows, "outbound_shipping_rows")  # numbered twice below: compute the joins once
     rows = surrogate_number(rows, [F.col("inventoryid").asc_nulls_last(), *tie], name="_n")
     rows = row_numbers(rows, ["inventoryid"], [F.col("droppedoffon").desc_nulls_first(), *tie, F.col("_n").asc()],
                        name="row_order")

@@ -4,7 +4,9 @@ shared checkpoint folder the cluster names in ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,11 +38,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only when none is set.
+    """Return the shared checkpoint folder, setting one only where that is harmless.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/object-store)
-    folder and is used as is. Only when it is unset -- local tests -- a fresh
-    scratch folder is made.
+    folder and is used as is; without it this is an error, as every executor would
+    write to its own disk. Only a local master (tests, the bench) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="opsframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -55,12 +59,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
-    import uuid
-
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths of pinned tables that are not released yet, by application.
+_PINNED: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``pin`` has written for this application, once the frames
+    read from them are no longer needed; returns how many."""
+    paths = _PINNED.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)
+
+
 def pin(df, name: str):
     """Cut lineage: write ``df`` as a parquet table in the shared checkpoint
     folder and read it back. Values computed with non-deterministic
@@ -68,5 +85,6 @@ def pin(df, name: str):
     including recomputation after a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _PINNED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -8,7 +8,6 @@ resolver from a name to a parquet scan, so Catalyst sees a plain
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,38 +25,15 @@ def bare_name(name: str) -> str:
     return last.strip().strip('"').strip("`").lower()
 
 
-# Scans already resolved in this process: (session, path) -> (stamp, frame).
-# A parquet read lists files and reads a footer on the driver; reports
-# built one after another reuse the lazy scan instead. Only local paths are
-# kept, and only while the file's size and modification time are unchanged.
-_SCANS: dict[tuple[int, str], tuple[tuple[int, int], DataFrame]] = {}
-
-
-def _stamp(path: str) -> tuple[int, int] | None:
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" in local or not os.path.exists(local):
-        return None
-    st = os.stat(local)
-    return (st.st_mtime_ns, st.st_size)
-
-
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet scan, reused within the process while the file is unchanged."""
-    stamp = _stamp(path)
-    key = (id(spark), path)
-    hit = _SCANS.get(key)
-    if stamp is not None and hit is not None and hit[0] == stamp:
-        return hit[1]
-    df = spark.read.parquet(path)
-    if stamp is not None:
-        _SCANS[key] = (stamp, df)
-    return df
+    """A parquet scan (``Tables`` keeps one per table)."""
+    return spark.read.parquet(path)
 
 
 class Tables(Mapping):
     """Lazy name -> DataFrame resolver over one folder of parquet tables.
 
-    ``aliases`` maps a role or foreign name (S3, e.g. ``"ref:rpt_dms_expenses"``)
+    ``aliases`` maps a role or foreign name (S3, e.g. ``"role:expenses"``)
     onto a table name or onto a DataFrame that stands in for it.
     """
 

@@ -104,7 +104,7 @@ def test_left_outer_equals_left_join_with_hot_right_key(spark):
     left = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(60)], "k long, lt long")
     # key 0 holds a third of the right rows, some of them identical
     right = spark.createDataFrame([(0 if i % 3 == 0 else i % 9, i if i % 2 else 7) for i in range(300)], "rk long, rt long")
-    for hot_rows in (1_000_000, 20):            # plain path, then salted path for hot keys
+    for hot_rows in (1_000_000, 20):            # without and with hot keys
         plain = left.join(right, left.k == right.rk, "left")
         got = left_outer(left, right, [("k", "rk")], hot_rows=hot_rows, buckets=4)
         assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
@@ -115,3 +115,14 @@ def test_left_outer_equals_left_join_with_hot_right_key(spark):
         assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
     with pytest.raises(ValueError):
         left_outer(left, left, [("k", "k")])
+
+
+def test_contains_join_steps_over_wildcards(spark):
+    texts = ["NATION_1", "NATION_12", "NATIONX7", "ab", "a", "", None, "x_y%z", "aXb", "back\\slash", "NATION_1"]
+    names = ["NATION_1", "NATION_7", "N_T", "_", "%", "", "a_b", "ab", "y%z", "b", "__", None, "ION%1", "q"]
+    left = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    right = spark.createDataFrame([(n,) for n in names], "name string")
+    left.createOrReplaceTempView("cj_l")
+    right.createOrReplaceTempView("cj_r")
+    want = spark.sql("select id, name from cj_l join cj_r on text like concat('%', name, '%')")
+    assert rows(contains_join(left, "text", right, "name"), "id", "name") == rows(want, "id", "name")

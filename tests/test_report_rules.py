@@ -36,3 +36,51 @@ def test_compliance_status_p10(spark):
     got = [r.s for r in df.select(compliance_status(F.col("ph"), F.col("ob"), F.col("ib"),
                                                     "1996-01-01 00:00:00").alias("s")).collect()]
     assert got == [c[3] for c in cases]
+
+
+def test_recon_model_keeps_one_row_when_inputs_repeat(spark, monkeypatch):
+    """Repeated inventory, stock, cost, remote and concession rows: the kept row and
+    its number equal those of the full product."""
+    import itertools
+    import math
+
+    from opsframe.plans import recon
+    from opsframe.plans.recon import S
+
+    inv = [1, 2, 2, 3, 4, 5, 6]
+    snl = [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e"), (5, None), (6, "f"), (6, "f")]
+    exp = {1: 10.0, 4: 0.0}
+    vlc = [(1, 5.0, None, 9.0), (1, 5.0, 0.0, 8.0), (1, 1.0, 2.0, 3.0), (2, 4.0, -4.0, 1.0), (2, 3.0, 3.0, 2.0), (2, 3.0, 3.0, 2.0), (3, None, None, 7.0), (6, 2.0, 1.0, 1.0)]
+    rr = [(2, 0.0), (2, 6.0), (2, 9.0), (3, 4.0), (3, 4.0), (6, -3.0), (6, 5.0)]
+    cc = [(1, 3.0), (1, 1.0), (6, None)]
+    dates = [(1, None, None, None), (6, None, None, None)]
+    frame = spark.createDataFrame
+    monkeypatch.setattr(S, "inventory", lambda t: frame([(i,) for i in inv], "inventoryid long"))
+    monkeypatch.setattr(S, "stock_number_lookup", lambda t: frame(snl, "inventoryid long, stock_number string"))
+    monkeypatch.setattr(recon, "inventory_clean_expense", lambda t: frame(list(exp.items()), "inventoryid long, total_actual_pre_advent_recon_cost double"))
+    monkeypatch.setattr(recon, "recon_dates", lambda t, s: frame(
+        dates, "inventoryid long, first_recon_tasked_date timestamp_ntz, first_recon_date timestamp_ntz, last_recon_date timestamp_ntz"))
+    monkeypatch.setattr(recon, "vl_reported_costs", lambda t, **kw: frame(vlc, "inventoryid long, totallaborcost double, totalpartscost double, totalcosts double"))
+    monkeypatch.setattr(recon, "remote_recon_site_total_recon", lambda t, **kw: frame([(i, "s", c) for i, c in rr], "inventoryid long, recon_site string, actual_recon_cost double"))
+    monkeypatch.setattr(recon, "concessions_costs", lambda t, *a: frame(cc, "inventoryid long, actual_customer_concession_cost double"))
+
+    nulls = lambda x: math.inf if x is None else x
+    product = []
+    for i, (si, stock) in itertools.product(inv, snl):
+        if si != i or stock is None:
+            continue
+        for v, r, c in itertools.product([x[1:] for x in vlc if x[0] == i] or [(None,) * 3], [x[1] for x in rr if x[0] == i] or [None], [x[1] for x in cc if x[0] == i] or [None]):
+            e = exp.get(i)
+            if not (e or v[0] is not None or v[1] is not None or r is not None):
+                continue
+            base, remote = (e or 0) + (v[0] or 0) + (v[1] or 0), r or 0
+            cost = None if base + remote == 0 else base + remote if e is None else base
+            product.append((i, nulls(cost), e or 0, v[0] or 0, v[1] or 0, remote, c or 0, nulls(v[0]), nulls(v[1]), nulls(v[2])))
+    product.sort()
+    want = {}
+    for n, row in enumerate(product, 1):
+        want.setdefault(row[0], (f"advent_recon_{n}", *row))
+    got = {r.inventoryid: (r.maintid, r.inventoryid, nulls(r.cost), r.dms_cost, r.vl_labor_cost, r.parts_manager_cost, r.remote_recon_cost,
+                           r.actual_customer_concession_cost, nulls(r.vlc_total_labor_cost), nulls(r.vlc_total_parts_cost), nulls(r.vlc_total_costs))
+           for r in recon.r11_recon_cost(None).collect()}
+    assert got == want and recon.r14_unique_inventory(None).count() == 0

@@ -22,21 +22,21 @@ def skewed(spark, n=3000, seed=7):
 def test_row_numbers_equal_window_on_hot_key(spark):
     df = skewed(spark)
     order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
-    got = row_numbers(df, ["k"], order, name="rn", partitions=6, window_rows_limit=0)
+    got = row_numbers(df, ["k"], order, name="rn", partitions=6)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
     assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
 
 
 def test_row_numbers_null_keys_form_one_group(spark):
     df = spark.createDataFrame([(1, None, 3), (2, None, 1), (3, 1, 2)], "id long, k long, t long")
-    got = row_numbers(df, ["k"], [F.col("t").asc()], name="rn", partitions=2, window_rows_limit=0)
+    got = row_numbers(df, ["k"], [F.col("t").asc()], name="rn", partitions=2)
     assert sorted((r.id, r.rn) for r in got.collect()) == [(1, 2), (2, 1), (3, 1)]
 
 
 def test_surrogate_number_is_global_row_number(spark):
     df = skewed(spark)
     order = [F.col("t").asc_nulls_last(), F.col("id").asc()]
-    got = surrogate_number(df, order, name="n", partitions=5, window_rows_limit=0)
+    got = surrogate_number(df, order, name="n", partitions=5)
     want = df.withColumn("n", F.row_number().over(Window.orderBy(*order)))
     assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
     assert got.count() == df.count()
@@ -66,35 +66,18 @@ def test_prefix_sum_matches_running_window(spark):
     from opsframe.operators.windows import prefix_sum
     df = skewed(spark).withColumn("v", (F.col("id") % 7))
     order = [F.col("k").asc(), F.col("id").asc()]
-    got = prefix_sum(df, order, "v", name="ps", partitions=5, window_rows_limit=0)
+    got = prefix_sum(df, order, "v", name="ps", partitions=5)
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("ps", F.coalesce(F.sum("v").over(w), F.lit(0)))
     assert sorted(got.select("id", "ps").collect()) == sorted(want.select("id", "ps").collect())
 
 
-def test_small_inputs_take_the_plain_window_with_same_numbers(spark):
-    from opsframe.operators.windows import _fits_one_task, prefix_sum
-    df = skewed(spark, n=600).withColumn("v", F.col("id") % 5)
-    order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
-    assert _fits_one_task(df, ["k"], 1000) and not _fits_one_task(df, ["k"], 100)
-    for limit in (0, 10_000):
-        a = row_numbers(df, ["k"], order, name="rn", partitions=3, window_rows_limit=limit)
-        b = surrogate_number(df, order, name="n", partitions=3, window_rows_limit=limit)
-        c = prefix_sum(df, order, "v", name="ps", partitions=3, window_rows_limit=limit)
-        if limit == 0:
-            ref = (sorted(a.select("id", "rn").collect()), sorted(b.select("id", "n").collect()),
-                   sorted(c.select("id", "ps").collect()))
-        else:
-            assert (sorted(a.select("id", "rn").collect()), sorted(b.select("id", "n").collect()),
-                    sorted(c.select("id", "ps").collect())) == ref
-
-
 def test_row_numbers_two_keys_with_nulls_range_path(spark):
     rnd = random.Random(11)
     data = [(i, rnd.choice([None, 0, 1]), rnd.choice([None, "a", "b"]) if i % 4 else "a", rnd.randint(0, 30))
             for i in range(1500)]
     df = spark.createDataFrame(data, "id long, k1 long, k2 string, t long")
     order = [F.col("t").desc_nulls_first(), F.col("id").asc()]
-    got = row_numbers(df, ["k1", "k2"], order, name="rn", partitions=7, window_rows_limit=0)
+    got = row_numbers(df, ["k1", "k2"], order, name="rn", partitions=7)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order)))
     assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
