@@ -19,7 +19,8 @@ document with a smaller id. Windows are the suffixes, compared only through
 
 Equal fragments of a chunk are sent once, with their smallest id, so a passage
 that a third of all documents share costs one row for each chunk. Hashes only
-route; equality is decided on bytes.
+route; equality is decided on bytes. The three steps that need the texts share one shuffle of them,
+and fragments travel compressed.
 
 Defined cases: null text counts as empty; a text shorter than ``depth`` keeps
 all bytes; a null id counts as larger than every id; rows with one id are
