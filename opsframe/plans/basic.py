@@ -105,6 +105,21 @@ def r22_row_lookup(t: Tables, completed_after="2001-06-01") -> DataFrame:
     return rows.withColumn("cost", F.col("cost").cast("double"))
 
 
+def r22_inventory_lookup(t: Tables, inventoryid=1) -> DataFrame:
+    """R22 (S4): rows of one inventory item."""
+    return lookup(S.expenses(t), F.col("inventoryid") == inventoryid).withColumn("cost", F.col("cost").cast("double"))
+
+
+def r22_vin_lookup(t: Tables, vin="VIN-1") -> DataFrame:
+    """R22 (S4): title records of one vehicle."""
+    return lookup(S.titles_registrations(t), F.col("vin_c") == vin)
+
+
+def r22_appointment_lookup(t: Tables, number="SA-1") -> DataFrame:
+    """R22 (S4): one appointment by its number."""
+    return lookup(S.service_appointments(t), F.col("appointment_number") == number)
+
+
 def r24_recent_queries(t: Tables, k: int = 100) -> DataFrame:
     """R24 (O5): the k most recent log entries. ``orderBy().limit()`` plans a
     per-partition top-k and a merge (TakeOrderedAndProject), no full sort."""

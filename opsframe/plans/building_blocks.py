@@ -6,13 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.functions import boundary_diff, zone_date
+from opsframe.functions import any_true, boundary_diff, zone_date
+from opsframe.operators.aggs import count_by
 from opsframe.operators.joins import contains_join, join_earlier, left_join_where
 from opsframe.operators.sets import union_distinct
 from opsframe.operators.windows import (
     first_last_non_null, latest_per_key, row_numbers, surrogate_number, with_first_last,
 )
 from opsframe.plans.qa import advent_service_data
+from opsframe.session import scratch_path
+from opsframe.sources.sinks import append, enforce_not_null
 from opsframe.sources.tables import Tables
 
 LINE_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
@@ -104,3 +107,38 @@ def u1_object_names(t: Tables) -> DataFrame:
     """Region names UNION nation names."""
     return union_distinct(t["region"].select(F.col("r_name").alias("name")),
                           t["nation"].select(F.col("n_name").alias("name")))
+
+
+def f14_flagged_lines(t: Tables) -> DataFrame:
+    """Lines with any of three flags, and the flags as booleans (a null flag counts as false)."""
+    flags = {"returned": F.col("l_returnflag") == "R", "discounted": F.when(F.col("l_linenumber") != 3, F.col("l_discount") > 0.07),
+             "large": F.col("l_quantity") > 45}
+    li = t["lineitem"].select("l_orderkey", "l_linenumber", *[v.alias(c) for c, v in flags.items()])
+    return li.filter(any_true(*flags)).select("l_orderkey", "l_linenumber", *[F.coalesce(c, F.lit(False)).alias(c) for c in flags])
+
+
+def w8_first_last_over_groups(t: Tables) -> DataFrame:
+    """first/last urgent day of the customer on every row of a grouped query (orders per customer, day and priority)."""
+    grouped = t["orders"].groupBy("o_custkey", "o_orderdate", "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+    return with_first_last(grouped, ["o_custkey"], "o_orderdate", _urgent(), "first_urgent", "last_urgent")
+
+
+def s2_three_part_name(t: Tables) -> DataFrame:
+    """A quoted three-part name read as its table."""
+    return count_by(t['"dev"."public"."orders"'], ["o_orderstatus"], "orders")
+
+
+def s3_role_reference(t: Tables) -> DataFrame:
+    """S3: two role names bound to a table and to a frame."""
+    roles = Tables(t.spark, t.folder, aliases={"role:buyers": "customer", "role:places": t["nation"]})
+    joined = roles["role:buyers"].join(roles["role:places"], F.col("c_nationkey") == F.col("n_nationkey"))
+    return count_by(joined, ["n_name"], "buyers")
+
+
+def s7_appended_orders(t: Tables) -> DataFrame:
+    """Orders written by status in two appends to one table, keys NOT NULL, then counted."""
+    path = scratch_path(t.spark, "appended_orders")
+    orders = enforce_not_null(t["orders"].select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    append(orders.filter("o_orderstatus = 'F'"), path)
+    append(orders.filter("o_orderstatus <> 'F'"), path)
+    return count_by(t.spark.read.parquet(path), ["o_orderstatus"], "orders")

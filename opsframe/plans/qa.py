@@ -14,6 +14,19 @@ from opsframe.sources.tables import Tables
 PLACEHOLDER_RO_NUMBERS = ("", "NO_RO", "CANCEL_PART", "NO_STOCK_ID", "NO_COST", "OLD_ACCIDENT")
 
 
+# R17's columns of repair orders and of their lines.
+ORDER_COLUMNS = ("vin", "repair_order_number", "status", "open_date", "closed_date", "accounting_date", "mileage_in", "mileage_out", "advisor")
+LINE_COLUMNS = ("job_number", "concern", "cause", "correction", "status", "sale_type", "sub_sale_type", "department")
+SD_COLUMNS = (*(f"ro_{c}" for c in ORDER_COLUMNS), *(f"rli_{c}" for c in LINE_COLUMNS))
+
+# R20's columns of vendor tasks, in the report's order; those without a value are typed nulls (P5).
+TASK_COLUMNS = ("taskowner", "taskdescription", "tasktype", "taskstatus", "taskenteredon", "taskcompletedon", "inventoryid", "taskid",
+                "taskstartedon", "taskvendorid", "priority", "taskreadyforpickupon", "taskvendorstatus", "taskvendorcomment",
+                "taskvendorapprovedon", "taskestimatedreadytime", "estimatedcost", "resourceid", "estimatedhours", "inttaskerid",
+                "exttaskerid", "enteredby", "passed", "reasoncodeid", "adventronumber", "bookdate", "senttobookingon")
+EMPTY_TASK_COLUMNS = {"taskvendorwaitingonapprovaldate": "timestamp_ntz", "taskapprovalcomment": "string", "taskapprovedby": "string", "parenttaskid": "bigint"}
+
+
 def partner_rows(t: Tables) -> DataFrame:
     """Partner of every grouped source (before the DISTINCT)."""
     r = S.partner_sources(t).filter(F.col("source_grouped").isNotNull())
@@ -29,25 +42,20 @@ def r16_theoretical_margin(t: Tables) -> DataFrame:
     evcm = S.evcm(t)
     pl = partner_rows(t).withColumnRenamed("source_grouped", "pl_source")
     j = distinct_lookup(evcm, pl, [("source_grouped", "pl_source")], ["partner_id", "partner_name"])
-    return j.select("evcm_id", "source_grouped", "sub_source", "vin_count", "base_avg_evcm", "theoretical_max_evcm",
-                    (F.col("vin_count") * F.col("theoretical_max_evcm")).alias("total_theoretical_max_evcm"),
-                    "partner_name")
+    total = (F.col("vin_count") * F.col("theoretical_max_evcm")).alias("total_theoretical_max_evcm")
+    return j.select(*evcm.columns, total, "partner_name")
 
 
 def _open_repair_orders(t: Tables, null_line: int | None = None) -> DataFrame:
     """Repair orders not yet in the other system (J9, null-aware NOT IN)."""
-    ro = S.repair_orders(t).select(
-        F.col("vin").alias("ro_vin"), F.col("repair_order_number").alias("ro_repair_order_number"),
-        F.col("status").alias("ro_status"), F.col("open_date").alias("ro_open_date"),
-        F.col("closed_date").alias("ro_closed_date"), F.col("advisor").alias("ro_advisor"))
+    ro = S.repair_orders(t)
+    ro = ro.select(*[F.col(c).alias(f"ro_{c}") for c in ORDER_COLUMNS])
     return not_in(ro, "ro_repair_order_number", S.closed_repair_orders(t, null_line), "adventronumber")
 
 
 def _with_lines(open_ro: DataFrame, t: Tables) -> DataFrame:
-    rli = S.repair_order_lines(t).select(
-        F.col("repair_order_number").alias("rli_ro"), F.col("job_number").alias("rli_job_number"),
-        F.col("concern").alias("rli_concern"), F.col("status").alias("rli_status"),
-        F.col("department").alias("rli_department"))
+    rli = S.repair_order_lines(t)
+    rli = rli.select(F.col("repair_order_number").alias("rli_ro"), *[F.col(c).alias(f"rli_{c}") for c in LINE_COLUMNS])
     return left_outer(open_ro, rli, [("ro_repair_order_number", "rli_ro")]).drop("rli_ro")  # many lines per order
 
 
@@ -56,10 +64,6 @@ def advent_service_data(t: Tables, null_line: int | None = None) -> DataFrame:
     return _with_lines(_open_repair_orders(t, null_line), t)
 
 
-SD_COLUMNS = ("ro_vin", "ro_repair_order_number", "ro_status", "ro_open_date", "ro_closed_date", "ro_advisor",
-              "rli_job_number", "rli_concern", "rli_status", "rli_department")
-
-
 def r17_open_repair_orders(t: Tables, null_line: int | None = None) -> DataFrame:
     """R17 (J9, J5, J2, P2, O3): open repair orders (with their lines) and
     every stock record of the VIN received on or before the opening (all
@@ -90,10 +94,5 @@ def r20_vendor_tasks_without_closed_order(t: Tables, status=10, excluded_vendor=
     ven = S.vendors(t).select(F.col("vendorid"), F.col("name").alias("vendor_name"))
     j = star_left(tb, [(tt, [("tasktype", "tt_id")]), (inv, [("inventoryid", "inv_id")]),
                        (ven, [("taskvendorid", "vendorid")])])
-    return j.select("vin", "taskid", "tasktype", "taskstatus", "taskenteredon", "taskcompletedon", "inventoryid",
-                    "taskvendorid", "taskvendorcomment",
-                    typed_null("timestamp_ntz").alias("taskvendorwaitingonapprovaldate"),
-                    typed_null("string").alias("taskapprovalcomment"),
-                    typed_null("string").alias("taskapprovedby"),
-                    typed_null("bigint").alias("parenttaskid"),
-                    "estimatedcost", "passed", "adventronumber", "task_name", "recon_type", "vendor_name")
+    return j.select("vin", *TASK_COLUMNS, *[typed_null(kind).alias(c) for c, kind in EMPTY_TASK_COLUMNS.items()],
+                    "task_name", "recon_type", "vendor_name")

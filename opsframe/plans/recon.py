@@ -430,6 +430,8 @@ def x6_parts_accrual(t: Tables, task_status=3, own_vendor_type=1) -> DataFrame:
     tk = S.recon_tasks(t).filter(F.col("taskstatus") == task_status).alias("t")
     rs = S.inventory(t).select(F.col("inventoryid").alias("rs_inv"), "vin")
     inv = S.inventory(t).select(F.col("inventoryid").alias("inv_inv"), "adventstockid")
+    first = (S.invoice_downloads(t).groupBy(F.col("invoicefileid").alias("f_id"))
+             .agg(F.min("datedownloaded").alias("first_download_date")))
     credits = S.part_credits(t).groupBy("partrequestid").agg(F.sum("amount").alias("total_credit"))
     v = S.vendors(t).select(F.col("vendorid").alias("v_id"), F.col("name").alias("v_name"))
     tv = S.vendors(t).select(F.col("vendorid").alias("tv_id"), F.col("name").alias("tv_name"))
@@ -438,14 +440,33 @@ def x6_parts_accrual(t: Tables, task_status=3, own_vendor_type=1) -> DataFrame:
          .join(inv, F.col("inv_inv") == F.col("t.inventoryid"))
          .join(credits, F.col("partrequestid") == F.col("r.id"), "left")
          .join(v, F.col("r.orderedfromvendorid") == F.col("v_id"), "left")
-         .join(tv, F.col("t.taskvendorid") == F.col("tv_id"), "left"))
+         .join(tv, F.col("t.taskvendorid") == F.col("tv_id"), "left")
+         .join(first, F.col("r.invoicefileid") == F.col("f_id"), "left"))
     vendor = F.when(F.col("r.parttypeid") == own_vendor_type, F.col("v_name")).otherwise(F.lit(DEFAULT_PARTS_VENDOR))
     keys = [F.col("r.id").cast("string").alias("document_number"), F.col("r.taskid").alias("taskid"),
             F.col("tv_name").alias("task_vendor"), vendor.alias("vendor_name"),
             F.col("t.taskcompletedon").alias("task_first_completed_on"), F.col("vin"), F.col("adventstockid"),
             F.col("r.cancelledon").alias("cancelled_on"), F.col("t.taskstatus").alias("task_status"),
-            F.col("r.receivedon").alias("received_on")]
+            F.col("r.receivedon").alias("received_on"), F.col("r.senttobookingon").alias("approved_date"), F.col("r.bookedon").alias("booked_date"),
+            F.col("r.partvendorinvoicenumber").alias("part_vendor_invoice_number"), F.col("first_download_date")]
     cost = F.col("r.totalcost")
     return j.groupBy(*keys).agg(
         F.sum(cost).cast("double").alias("total_cost"),
         F.sum(F.coalesce(cost + F.col("total_credit"), cost)).cast("double").alias("final_cost"))
+
+
+def clean_expenses(t: Tables) -> DataFrame:
+    """Every clean expense with its prefixed id and completion date."""
+    return clean_expense(t).select("maintid", "inventoryid", "mainttype", "droppedoffon", "workcompletedon", F.col("cost").cast("double").alias("cost"))
+
+
+def keyed_parts_requests(t: Tables) -> DataFrame:
+    """Parts requests of open tasks with type, vendor and text key."""
+    return ro_parts(t).select("id", "taskid", "typename", "ordered_from_vendor", "primary_key")
+
+
+def vendor_lane_costs(t: Tables) -> DataFrame:
+    """Sums of task-group sums per inventory, with its recon dates."""
+    costs = inventory_vl_costs(t)
+    sums = [c for c in costs.columns if c.startswith("total_")]
+    return costs.select(*[F.col(c).cast("double").alias(c) if c in sums else F.col(c) for c in costs.columns])

@@ -31,6 +31,9 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "r11_recon_cost": recon.r11_recon_cost,
     "r11_inventory_ro_parts": recon.inventory_ro_parts,
     "r11_concessions_costs": recon.concessions_costs,
+    "r11_clean_expenses": recon.clean_expenses,
+    "r11_parts_requests": recon.keyed_parts_requests,
+    "r11_vendor_lane_costs": recon.vendor_lane_costs,
     "r12_inbound_shipping": recon.r12_inbound_shipping,
     "r13_outbound_shipping": recon.r13_outbound_shipping,
     "r14_unique_inventory": recon.r14_unique_inventory,
@@ -43,6 +46,9 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "r21_distinct_record_types": basic.r21_distinct_record_types,
     "r21_distinct_type_names": basic.r21_distinct_type_names,
     "r22_row_lookup": basic.r22_row_lookup,
+    "r22_inventory_lookup": basic.r22_inventory_lookup,
+    "r22_vin_lookup": basic.r22_vin_lookup,
+    "r22_appointment_lookup": basic.r22_appointment_lookup,
     "r23_open_sessions": admin.r23_open_sessions,
     "r24_recent_queries": basic.r24_recent_queries,
     "r25_user_groups": admin.r25_user_groups,
@@ -73,6 +79,11 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "w9_first_last_collapsed": bb.w9_first_last_collapsed,
     "t4_minute_boundaries": bb.t4_minute_boundaries,
     "t7_events_per_local_day": bb.t7_events_per_local_day,
+    "f14_flagged_lines": bb.f14_flagged_lines,
+    "w8_first_last_over_groups": bb.w8_first_last_over_groups,
+    "s2_three_part_name": bb.s2_three_part_name,
+    "s3_role_reference": bb.s3_role_reference,
+    "s7_appended_orders": bb.s7_appended_orders,
     "u1_object_names": bb.u1_object_names,
 }
 

@@ -30,9 +30,7 @@ def _s(c) -> Column:
 # ---------------------------------------------------------------- skills
 def candidates(t: Tables) -> DataFrame:
     o = t["orders"]
-    return (o.filter(F.year("o_orderdate") == 1998)
-            .select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderpriority").alias("skill"))
-            .distinct())
+    return o.select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderpriority").alias("skill")).distinct()
 
 
 # ------------------------------------------------------- field service
@@ -333,9 +331,19 @@ def parts_requests(t: Tables) -> DataFrame:
         .otherwise(F.concat(F.lit("RO-"), _s("l_orderkey"))).alias("adventronumber"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("totalcost"),
         quote.alias("quoteind"),
+        _plus("DAY", 1, "l_shipdate").alias("senttobookingon"),
+        F.when(F.col("l_linenumber") != 5, _plus("DAY", 2, "l_shipdate")).alias("bookedon"),
+        F.concat(F.lit("INV-"), _s("l_suppkey"), F.lit("-"), _s("l_linenumber")).alias("partvendorinvoicenumber"),
+        F.when(F.col("l_linenumber") != 4, F.col("l_suppkey")).alias("invoicefileid"),
     )
 
 
+def invoice_downloads(t: Tables) -> DataFrame:
+    """Downloads of invoice files: one per part of the lines' suppliers (many per file)."""
+    li = t["lineitem"]
+    return li.select(F.col("l_suppkey").alias("invoicefileid"), F.col("l_shipdate").alias("datedownloaded"))
+
+
 def part_credits(t: Tables) -> DataFrame:
     """Credit lines against parts requests: the discount given on a line."""
     li = t["lineitem"]
@@ -421,25 +429,44 @@ def deal_opportunities(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------- QA checks
+def _partner(p_brand: str, p_size: str) -> Column:
+    return F.concat(F.lit("P-"), F.col(p_brand), F.lit("-"), _s(F.col(p_size) % 3))
+
+
 def partner_sources(t: Tables) -> DataFrame:
+    """Three partners to a brand; a ninth of the parts name no source."""
     p = t["part"]
-    return p.select(F.col("p_type").alias("partner_id"),
-                    F.when(F.col("p_size") < 2, F.col("p_brand")).alias("source_grouped"))
+    return p.select(_partner("p_brand", "p_size").alias("partner_id"),
+                    F.when(F.col("p_partkey") % 9 != 0, F.col("p_brand")).alias("source_grouped"))
 
 
 def partners(t: Tables) -> DataFrame:
     p = t["part"]
-    return p.select(F.col("p_type").alias("partner_id"), F.concat(F.lit("Partner "), F.col("p_type")).alias("name")).distinct()
+    return p.select(_partner("p_brand", "p_size").alias("partner_id"),
+                    F.concat(F.lit("Partner "), F.col("p_brand"), F.lit(" "), _s(F.col("p_size") % 3)).alias("name")).distinct()
 
 
 def evcm(t: Tables) -> DataFrame:
     p = t["part"]
-    return p.select(F.col("p_partkey").alias("evcm_id"),
+    key, size, price = F.col("p_partkey"), F.col("p_size"), F.col("p_retailprice")
+    return p.select(_plus("DAY", size, F.lit("1998-01-01").cast("timestamp_ntz")).alias("csv_upload_date"),
+                    F.concat(F.lit("M"), _s(size % 7)).alias("rooftop_market_code"),
                     F.col("p_brand").alias("source_grouped"),
                     F.col("p_type").alias("sub_source"),
-                    F.col("p_size").alias("vin_count"),
-                    (F.col("p_retailprice") / 2).alias("base_avg_evcm"),
-                    F.col("p_retailprice").alias("theoretical_max_evcm"))
+                    F.concat(F.lit("S"), _s(key % 50)).alias("state"),
+                    F.lpad(_s(key % 100000), 5, "0").alias("clean_zipcodes"),
+                    F.concat(F.lit("DMA "), _s(key % 210)).alias("dma"),
+                    size.alias("vin_count"),
+                    (size % 5).alias("count_of_positive_evcm"),
+                    (size * 4).alias("all_combination_count"),
+                    (price / 2).alias("base_avg_evcm"),
+                    (price / 4).alias("current_avg_evcm"),
+                    price.alias("theoretical_max_evcm"),
+                    (key % 3).alias("unplaced_negative_evcm_count"),
+                    (key % 4).alias("unplaced_neutral_evcm_count"),
+                    (key % 5).alias("unplaced_positive_evcm_count"),
+                    (price / 8).alias("unplaced_avg_evcm"),
+                    F.when(size % 2 == 0, "sold").otherwise("open").alias("sale_status_flag"))
 
 
 def repair_orders(t: Tables) -> DataFrame:
@@ -449,6 +476,9 @@ def repair_orders(t: Tables) -> DataFrame:
                     F.col("o_orderstatus").alias("status"),
                     F.col("o_orderdate").alias("open_date"),
                     F.when(F.col("o_orderstatus") == "F", _plus("DAY", 2, "o_orderdate")).alias("closed_date"),
+                    F.when(F.col("o_orderstatus") == "F", _plus("DAY", 3, "o_orderdate")).alias("accounting_date"),
+                    (F.col("o_custkey") % 100000).alias("mileage_in"),
+                    (F.col("o_custkey") % 100000 + F.col("o_orderkey") % 50).alias("mileage_out"),
                     F.col("o_orderpriority").alias("advisor"))
 
 
@@ -457,7 +487,11 @@ def repair_order_lines(t: Tables) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("repair_order_number"),
                      F.col("l_linenumber").alias("job_number"),
                      F.concat(F.lit("concern "), _s("l_partkey")).alias("concern"),
+                     F.concat(F.lit("cause "), _s("l_suppkey")).alias("cause"),
+                     F.concat(F.lit("correction "), _s("l_linenumber")).alias("correction"),
                      F.col("l_linestatus").alias("status"),
+                     F.when(F.col("l_linestatus") == "O", "retail").otherwise("internal").alias("sale_type"),
+                     F.concat("l_returnflag", "l_linestatus").alias("sub_sale_type"),
                      F.col("l_returnflag").alias("department"))
 
 
@@ -495,6 +529,22 @@ def vendor_tasks(t: Tables) -> DataFrame:
         F.col("l_extendedprice").alias("estimatedcost"),
         F.when(F.col("l_returnflag") == "A", "Yes").otherwise("No").alias("passed"),
         ro.alias("adventronumber"),
+        (F.col("l_suppkey") % 100).alias("taskowner"),
+        F.concat(F.lit("task "), _s("l_partkey")).alias("taskdescription"),
+        _plus("DAY", 1, "l_shipdate").alias("taskstartedon"),
+        (F.col("l_linenumber") % 3).alias("priority"),
+        _plus("DAY", 3, "l_shipdate").alias("taskreadyforpickupon"),
+        F.col("l_linestatus").alias("taskvendorstatus"),
+        F.when(F.col("l_returnflag") == "A", _plus("DAY", 1, "l_shipdate")).alias("taskvendorapprovedon"),
+        _plus("DAY", 4, "l_shipdate").alias("taskestimatedreadytime"),
+        (F.col("l_partkey") % 1000).alias("resourceid"),
+        F.col("l_linenumber").alias("estimatedhours"),
+        (F.col("l_orderkey") % 500).alias("inttaskerid"),
+        F.col("l_suppkey").alias("exttaskerid"),
+        (F.col("l_orderkey") % 100).alias("enteredby"),
+        (F.col("l_linenumber") % 5).alias("reasoncodeid"),
+        _plus("DAY", 5, "l_shipdate").alias("bookdate"),
+        _plus("DAY", 4, "l_shipdate").alias("senttobookingon"),
     )
 
 

@@ -1,8 +1,7 @@
 """DuckDB SQL for the stand-in tables (same rules as opsframe.sources.standins)."""
 
 STANDINS: dict[str, str] = {
-    "candidates": """select distinct o_custkey as candidate_id, o_orderpriority as skill
-        from orders where year(o_orderdate) = 1998""",
+    "candidates": """select distinct o_custkey as candidate_id, o_orderpriority as skill from orders""",
     "service_appointments": """select o_orderkey as id,
         'SA-' || cast(o_orderkey as varchar) as appointment_number,
         o_orderkey as parent_record_id, o_custkey as account_id,
@@ -109,8 +108,11 @@ STANDINS: dict[str, str] = {
         'part ' || cast(l_partkey as varchar) as description, l_linestatus as partsnotes,
         case when l_linenumber = 1 then 'NO_RO' when l_linenumber = 2 then '' else 'RO-' || cast(l_orderkey as varchar) end as adventronumber,
         cast(l_extendedprice as decimal(18,2)) as totalcost,
-        case when l_discount > 0.08 then true when l_discount >= 0.02 then false end as quoteind
+        case when l_discount > 0.08 then true when l_discount >= 0.02 then false end as quoteind,
+        l_shipdate + to_days(1) as senttobookingon, if(l_linenumber != 5, l_shipdate + to_days(2), null) as bookedon,
+        'INV-' || l_suppkey || '-' || l_linenumber as partvendorinvoicenumber, if(l_linenumber != 4, l_suppkey, null) as invoicefileid
         from lineitem""",
+    "invoice_downloads": "select l_suppkey as invoicefileid, l_shipdate as datedownloaded from lineitem",
     "part_credits": """select l_orderkey * 10 + l_linenumber as partrequestid,
         -(cast(l_extendedprice as decimal(18,2)) * cast(l_discount as decimal(4,2))) as amount from lineitem""",
     "part_types": "select distinct p_size % 10 as id, 'PT-' || cast(p_size % 10 as varchar) as typename from part",
@@ -139,15 +141,23 @@ STANDINS: dict[str, str] = {
     "deal_adds": """select l_orderkey as sale_number, case when l_linenumber <= 2 then 'SHIPPING' else 'OTHER' end as code,
         'add ' || cast(l_linenumber as varchar) as description from lineitem""",
     "deal_opportunities": "select 'OPP-' || cast(o_orderkey as varchar) as id, o_orderkey as advent_sale_number_c from orders",
-    "partner_sources": "select p_type as partner_id, case when p_size < 2 then p_brand end as source_grouped from part",
-    "partners": "select distinct p_type as partner_id, 'Partner ' || p_type as name from part",
-    "evcm": """select p_partkey as evcm_id, p_brand as source_grouped, p_type as sub_source, p_size as vin_count,
-        p_retailprice / 2 as base_avg_evcm, p_retailprice as theoretical_max_evcm from part""",
+    "partner_sources": "select 'P-' || p_brand || '-' || p_size % 3 as partner_id, if(p_partkey % 9 != 0, p_brand, null) as source_grouped from part",
+    "partners": "select distinct 'P-' || p_brand || '-' || p_size % 3 as partner_id, 'Partner ' || p_brand || ' ' || p_size % 3 as name from part",
+    "evcm": """select timestamp '1998-01-01' + to_days(p_size::integer) as csv_upload_date, 'M' || p_size % 7 as rooftop_market_code,
+        p_brand as source_grouped, p_type as sub_source, 'S' || p_partkey % 50 as state, lpad((p_partkey % 100000)::varchar, 5, '0') as clean_zipcodes,
+        'DMA ' || p_partkey % 210 as dma, p_size as vin_count, p_size % 5 as count_of_positive_evcm, p_size * 4 as all_combination_count,
+        p_retailprice / 2 as base_avg_evcm, p_retailprice / 4 as current_avg_evcm, p_retailprice as theoretical_max_evcm,
+        p_partkey % 3 as unplaced_negative_evcm_count, p_partkey % 4 as unplaced_neutral_evcm_count, p_partkey % 5 as unplaced_positive_evcm_count,
+        p_retailprice / 8 as unplaced_avg_evcm, if(p_size % 2 = 0, 'sold', 'open') as sale_status_flag from part""",
     "repair_orders": """select o_orderkey as repair_order_number, 'VIN-' || cast(o_custkey as varchar) as vin,
         o_orderstatus as status, o_orderdate as open_date,
-        case when o_orderstatus = 'F' then o_orderdate + to_days(2) end as closed_date, o_orderpriority as advisor from orders""",
+        case when o_orderstatus = 'F' then o_orderdate + to_days(2) end as closed_date, o_orderpriority as advisor,
+        if(o_orderstatus = 'F', o_orderdate + to_days(3), null) as accounting_date, o_custkey % 100000 as mileage_in,
+        o_custkey % 100000 + o_orderkey % 50 as mileage_out from orders""",
     "repair_order_lines": """select l_orderkey as repair_order_number, l_linenumber as job_number,
-        'concern ' || cast(l_partkey as varchar) as concern, l_linestatus as status, l_returnflag as department from lineitem""",
+        'concern ' || cast(l_partkey as varchar) as concern, l_linestatus as status, l_returnflag as department,
+        'cause ' || l_suppkey as cause, 'correction ' || l_linenumber as correction, if(l_linestatus = 'O', 'retail', 'internal') as sale_type,
+        l_returnflag || l_linestatus as sub_sale_type from lineitem""",
     "closed_repair_orders": "select l_orderkey as adventronumber from lineitem where l_returnflag = 'R'",
     "closed_repair_orders_null7": """select case when l_linenumber != 7 then l_orderkey end as adventronumber
         from lineitem where l_returnflag = 'R'""",
@@ -158,7 +168,12 @@ STANDINS: dict[str, str] = {
         l_shipdate + to_days(2) as taskcompletedon, l_partkey as inventoryid, l_suppkey as taskvendorid,
         l_returnflag as taskvendorcomment, l_extendedprice as estimatedcost,
         case when l_returnflag = 'A' then 'Yes' else 'No' end as passed,
-        case when l_linenumber = 7 then 'NO_RO' when l_linenumber = 6 then '' else cast(l_orderkey as varchar) end as adventronumber
+        case when l_linenumber = 7 then 'NO_RO' when l_linenumber = 6 then '' else cast(l_orderkey as varchar) end as adventronumber,
+        l_suppkey % 100 as taskowner, 'task ' || l_partkey as taskdescription, l_shipdate + to_days(1) as taskstartedon,
+        l_linenumber % 3 as priority, l_shipdate + to_days(3) as taskreadyforpickupon, l_linestatus as taskvendorstatus,
+        if(l_returnflag = 'A', l_shipdate + to_days(1), null) as taskvendorapprovedon, l_shipdate + to_days(4) as taskestimatedreadytime,
+        l_partkey % 1000 as resourceid, l_linenumber as estimatedhours, l_orderkey % 500 as inttaskerid, l_suppkey as exttaskerid,
+        l_orderkey % 100 as enteredby, l_linenumber % 5 as reasoncodeid, l_shipdate + to_days(5) as bookdate, l_shipdate + to_days(4) as senttobookingon
         from lineitem""",
     "closed_orders": "select cast(o_orderkey as varchar) as adventronumber from orders where o_orderstatus = 'F'",
     "connection_log": """select ts as recordtime, 'user_' || cast(user_id as varchar) as username, 'dev' as dbname,
