@@ -104,4 +104,31 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL where it can express the operator.
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_top_k": """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as w from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.w, v.w)::bigint as score
+  from whole q join whole v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank, vec_id, score
+from scored qualify rank <= 5""",
+    "op8_line_dedup": """
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
+pairs as (select *, lead(line) over (partition by doc_id order by pos) as below from lines),
+seen as (
+  select *, length(line) >= 40 and row_number() over (partition by line order by doc_id, pos) > 1 as alone,
+    below is not null and row_number() over (partition by line, below order by doc_id, pos) > 1 as paired
+  from pairs),
+marked as (select *, alone or paired or coalesce(lag(paired) over (partition by doc_id order by pos), false) as gone from seen),
+started as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as starts from marked),
+cut as (
+  select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text, count(*) as n_lines,
+    count(*) filter (gone) as n_removed, count(*) filter (starts) as n_runs
+  from started group by doc_id)
+select doc_id, cut.text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs
+from documents left join cut using (doc_id)""",
+}
