@@ -15,7 +15,7 @@ joins ids with the token-byte table, whose size the vocabulary fixes.
 
 Defined cases: null text is encoded as empty (no ids); null and repeated document ids are
 kept, one row out for each row in; a very long text is split at places where no
-pre-token can cross (before a space that follows a non-space), so memory follows
+pre-token can cross (before a space or newline that follows a non-space), so memory follows
 the chunk size; other columns are ignored; an empty table gives no rows; decoding
 drops nothing: a null list of ids decodes to empty bytes, and an id that the
 vocabulary lacks raises an error.
@@ -24,6 +24,7 @@ vocabulary lacks raises an error.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -75,17 +76,20 @@ class Vocabulary:
         return np.frombuffer(b"".join(data), np.uint8), starts, lengths
 
 
+_CUT = re.compile("[ \n]")
+
+
 def _pieces(text: str) -> Iterator[str]:
-    """The text in parts that split alike: each cut is before a space that follows a non-space."""
+    """The text in parts that split alike: each cut is before a space or newline that follows a non-space."""
     at = 0
     while len(text) - at > PIECE_CHARS:
-        cut = text.find(" ", at + PIECE_CHARS)
-        while cut > 0 and text[cut - 1].isspace():
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
+        cut = _CUT.search(text, at + PIECE_CHARS)
+        while cut and text[cut.start() - 1].isspace():
+            cut = _CUT.search(text, cut.end())
+        if not cut:
             break
-        yield text[at:cut]
-        at = cut
+        yield text[at:cut.start()]
+        at = cut.start()
     yield text[at:] if at else text
 
 
@@ -225,9 +229,9 @@ def decoded(encodings: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False
         lists = batch.column("ids")
         counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
         ids = lists.flatten().to_numpy(zero_copy_only=False)
-        size = lengths[ids] if len(ids) else np.zeros(0, np.int64)
-        if len(ids) and (ids.min() < 0 or size.min() < 0):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or lengths[ids].min() < 0):
             raise ValueError("an id is not in the vocabulary")
+        size = lengths[ids] if len(ids) else np.zeros(0, np.int64)
         edges = np.concatenate(([0], np.cumsum(counts)))
         ends = np.concatenate(([0], np.cumsum(size)))[edges]
         bodies = data[ranges(starts[ids], size)] if len(ids) else np.zeros(0, np.uint8)

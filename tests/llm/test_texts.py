@@ -92,6 +92,7 @@ def test_simhash_components(spark, docs):
     least = {}
     for k, (i, _) in enumerate(docs):
         least[root[k]] = min(x for x in (least.get(root[k], float("inf")), float("inf") if i is None else i))
+    least = {r: None if i == float("inf") else i for r, i in least.items()}  # null: no row of the component has an id
     assert sorted((key(r.id), r.fp % (1 << 64), r.component) for r in got) == sorted((key(i), fps[k], least[root[k]]) for k, (i, _) in enumerate(docs))
 
 
@@ -139,7 +140,8 @@ def test_bpe_round_trip(spark, docs):
 def test_bpe_cuts_long_texts_where_nothing_crosses(monkeypatch):
     import regex
 
-    text = "".join(random.Random(3).choice(["word", " ", "  ", "\n", "'s", "12", "é", " ?!"]) for _ in range(4000))
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "'s", "12", "é", " ?!"]) for _ in range(4000))
     monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
     split = regex.compile(queries.vocabulary().pattern).findall
     pieces = list(bpe._pieces(text))
@@ -202,9 +204,9 @@ def test_toxicity_held_out(spark):
 def test_toxicity_without_both_labels(spark):
     docs, labels = labelled(20)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert {r.score for r in toxicity.scores(frame(spark, docs), toxicity.fit(frame(spark, docs), none)).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(r.score < 1e-9 for r in toxicity.scores(frame(spark, docs), toxicity.fit(frame(spark, docs), none)).collect())
     only = spark.createDataFrame([(k, 0, 1) for k in range(5)], "doc_id long, quality int, toxic int")
-    assert {r.score for r in toxicity.scores(frame(spark, docs), toxicity.fit(frame(spark, docs), only)).collect()} == {pytest.approx(1)}
+    assert all(r.score > 0.99 for r in toxicity.scores(frame(spark, docs), toxicity.fit(frame(spark, docs), only)).collect())
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>One</a>
