@@ -11,7 +11,7 @@ then compress alike under both, and a window with toxic words is shorter under t
 spaces, compresses each with both dictionaries, and takes a few figures of the differences
 (largest, mean of the largest, shares over thresholds). A logistic curve
 turns them into a score; it is calibrated on documents whose differences come from
-dictionaries that did not see them (two folds).
+dictionaries that did not see them (two folds), and moved to the share of toxic rows among all usable labels.
 
 Only the text is an input of a score. Defined cases: null and empty text have one empty window and get a score
 like any other; rows with a null id are scored but never fitted on; labels without a document, null labels, and
@@ -39,7 +39,7 @@ MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1500, 3000, 20_000
 WINDOW = 64
 LEVEL = 5
 SHARED_BYTES, TOXIC_BYTES = 15 << 10, 768
-#: A toxic word recurs in this share of toxic documents, and is so many times as frequent there as elsewhere.
+#: A toxic word recurs (after different words) in this share of toxic documents, and is so many times as frequent there as elsewhere.
 RECUR, CONTRAST = 0.015, 8
 THRESHOLD = 0.3
 
@@ -74,9 +74,16 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 def train(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """(ordinary dictionary, toxic dictionary), as raw content of one size."""
     in_toxic, in_ordinary = (Counter(w for text in texts for w in set(_words(text))) for texts in (toxic, ordinary))
-    least = max(3, RECUR * len(toxic))
-    marked = {w for w, n in in_toxic.items() if w and n >= least
-              and n / len(toxic) >= CONTRAST * (in_ordinary.get(w, 0) + 1) / (len(ordinary) + 1)}
+    often = {w for w, n in in_toxic.items() if w and n >= max(3, RECUR * len(toxic))
+             and n / len(toxic) >= CONTRAST * (in_ordinary.get(w, 0) + 1) / (len(ordinary) + 1)}
+    # copies of one document make its words recur: a word counts once after each different word
+    after: dict[bytes, set[bytes]] = {w: set() for w in often}
+    for text in toxic:
+        words = _words(text)
+        for before, word in zip([b"", *words], words):
+            if word in often:
+                after[word].add(before)
+    marked = {w for w, n in after.items() if len(n) >= max(3, RECUR * len(toxic))}
     samples = [b" ".join(w for w in _words(text) if w in marked) for text in toxic]
     pieces = [w for text in ordinary for w in windows(text, 256)]
     pieces = [pieces[i] for i in np.random.default_rng(1).permutation(len(pieces))]
@@ -136,7 +143,7 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """``usable``: a condition on the column ``key`` (the id) for labels that may be learned from."""
-    marks = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("mark")).filter("key is not null and mark is not null")
+    marks = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("mark")).filter("key is not null and mark in (0, 1)")
     marks = (marks if usable is None else marks.filter(usable)).groupBy("key").agg(F.max("mark").alias("mark"))
     order = [F.xxhash64("key"), F.col("key")]
     chosen = (marks.filter("mark = 1").orderBy(*order).limit(MAX_TOXIC)
@@ -161,8 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
 
     found = sample.repartition(12).mapInArrow(measured, "x array<double>, mark int").collect()
     found = sorted((tuple(r.x), r.mark) for r in found)
-    curve = _calibrated(np.array([x for x, _ in found]), np.array([m for _, m in found], float))
-    return Model(*train(pick(1, [False, True]), pick(0, [False, True])), *curve)
+    mean, spread, weights = _calibrated(np.array([x for x, _ in found]), np.array([m for _, m in found], float))
+    # the sample holds more toxic rows than the labels do: move the curve to their share
+    counts = {r.mark: r["count"] for r in marks.groupBy("mark").count().collect()}
+    weights[0] += math.log(counts[1] / counts[0]) - math.log(len(pick(1, [False, True])) / len(pick(0, [False, True])))
+    return Model(*train(pick(1, [False, True]), pick(0, [False, True])), mean, spread, weights)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
