@@ -16,14 +16,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def money_sum(x, scale: int = 2) -> Column:
+def money_sum(x, scale: int = 6) -> Column:
     """Sum of a money column, exact: add as DECIMAL, return DOUBLE.
 
-    Floating-point sums depend on the order rows arrive in; summing the
-    two-decimal amounts as decimals gives the same answer on every engine
+    Floating-point sums depend on the order rows arrive in; summing amounts of
+    up to ``scale`` decimals as decimals gives the same answer on every engine
     and every partitioning.
     """
-    return F.sum(_c(x).cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(_c(x).cast(f"decimal(28,{scale})")).cast("double")
 
 
 def has_all(df: DataFrame, entity: str, item: str, required: Sequence, distinct: bool = False) -> DataFrame:

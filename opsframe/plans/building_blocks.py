@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import any_true, boundary_diff, zone_date
 from opsframe.operators.aggs import count_by
-from opsframe.operators.joins import contains_join, join_earlier, left_join_where
+from opsframe.operators.joins import contains_join, join_earlier, left_join_where, semi
 from opsframe.operators.sets import union_distinct
 from opsframe.operators.windows import (
     first_last_non_null, latest_per_key, row_numbers, surrogate_number, with_first_last,
@@ -142,3 +142,9 @@ def s7_appended_orders(t: Tables) -> DataFrame:
     append(orders.filter("o_orderstatus = 'F'"), path)
     append(orders.filter("o_orderstatus <> 'F'"), path)
     return count_by(t.spark.read.parquet(path), ["o_orderstatus"], "orders")
+
+
+def j10_customers_with_urgent_orders(t: Tables) -> DataFrame:
+    """Customers whose key is among those of urgent orders (many orders per customer)."""
+    urgent = t["orders"].filter(_urgent())
+    return semi(t["customer"].select("c_custkey", "c_name"), urgent, [("c_custkey", "o_custkey")])

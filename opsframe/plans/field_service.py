@@ -152,23 +152,27 @@ def x1_quick_turnaround(t: Tables, within_minutes: int = 120, first="purchase",
                     "first_ts", "then_ts")
 
 
-def _directed_appointments(t: Tables) -> DataFrame:
-    """Appointments with their latest driver, truck, hub, direction and zip."""
+def _directed_appointments(t: Tables, people: bool = True) -> DataFrame:
+    """Appointments with their truck, hub, direction and zip, and, with ``people``, the
+    latest driver and the customer (look-ups of one row each, so they change no row count)."""
     sa = S.service_appointments(t)
     de = S.delivery_orders(t)
     wo = S.work_orders(t).select(F.col("id").alias("wo_id"), "delivery_order_c")
-    lr = last_resource(t).withColumnRenamed("appointment_number", "lr_appt")
-    acc = S.accounts(t).select(F.col("id").alias("acc_id"), F.col("name").alias("customer_name"))
     j = (sa.join(wo, F.col("wo_id") == sa.parent_record_id)
-         .join(de, de.id == F.col("delivery_order_c"))
-         .join(lr, F.col("lr_appt") == sa.appointment_number, "left")
-         .join(acc, F.col("acc_id") == sa.account_id, "left"))
+         .join(de, de.id == F.col("delivery_order_c")))
+    named = []
+    if people:
+        lr = last_resource(t).withColumnRenamed("appointment_number", "lr_appt")
+        acc = S.accounts(t).select(F.col("id").alias("acc_id"), F.col("name").alias("customer_name"))
+        j = (j.join(lr, F.col("lr_appt") == sa.appointment_number, "left")
+             .join(acc, F.col("acc_id") == sa.account_id, "left"))
+        named = [F.col("name").alias("driver"), F.col("customer_name")]
     direction = (F.when(de.transit_type_c == OUTBOUND, "outbound")
                  .when(de.transit_type_c.isin(*INBOUND), "inbound"))
-    return j.select(sa.appointment_number, F.col("name").alias("driver"), sa.truck_number_c.alias("truck"),
+    return j.select(sa.appointment_number, sa.truck_number_c.alias("truck"),
                     F.upper(de.managing_hub_facility_code_c).alias("hub"), direction.alias("direction"),
                     de.vehicle_grade_c.alias("vehicle_grade"), left_chars(sa.postal_code, 3).alias("sub_zip"),
-                    sa.actual_start_time, sa.actual_end_time, "customer_name")
+                    sa.actual_start_time, sa.actual_end_time, *named)
 
 
 def x1_outbound_then_inbound(t: Tables, within_minutes: int = 120) -> DataFrame:
@@ -209,7 +213,7 @@ def x2_appointment_turnarounds_by_period(t: Tables) -> DataFrame:
 def x3_same_zip_share(t: Tables) -> DataFrame:
     """Share of completed outbound appointments for which an inbound
     appointment started in the same 3-digit zip on the same day (semi-join)."""
-    d = _directed_appointments(t)
+    d = _directed_appointments(t, people=False)
     out = d.filter((F.col("direction") == "outbound") & F.col("actual_end_time").isNotNull()).select(
         "sub_zip", F.to_date("actual_end_time").alias("day"))
     inb = (d.filter((F.col("direction") == "inbound") & F.col("actual_start_time").isNotNull())

@@ -79,6 +79,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "w9_first_last_collapsed": bb.w9_first_last_collapsed,
     "t4_minute_boundaries": bb.t4_minute_boundaries,
     "t7_events_per_local_day": bb.t7_events_per_local_day,
+    "j10_customers_with_urgent_orders": bb.j10_customers_with_urgent_orders,
     "f14_flagged_lines": bb.f14_flagged_lines,
     "w8_first_last_over_groups": bb.w8_first_last_over_groups,
     "s2_three_part_name": bb.s2_three_part_name,
