@@ -38,6 +38,8 @@ from opsframe.llm.chunks import bucketed, parts, planes, unplaned
 #: Characters of text that one chunk gathers before it is written.
 CHUNK_CHARS = 10 << 20
 DEPTH = 2
+#: Entries of contexts of two words that are tested together.
+TOGETHER = 1 << 19
 PSEUDO = 1.0
 PENALTY = 3.0
 
@@ -124,29 +126,29 @@ class _Chunk:
     """A chunk's tokens with the ids and training counts of their words, and its
     different (before last, last, token) triples in the order of their owners."""
 
-    def __init__(self, coded: pa.Table, words: pa.Table, dests: int, owners: int) -> None:
-        words = words.sort_by("dest")
-        codes = unplaned(coded.column("codes")[0].as_py()).astype(np.int64)
+    def __init__(self, coded: pa.Table, dests: int, owners: int) -> None:
+        words = sorted(coded.column("words")[0].as_py(), key=lambda w: w["dest"])
+        codes = unplaned(coded.column("codes")[0].as_py()).astype(np.int32)
         places = unplaned(coded.column("places")[0].as_py())
-        number = [unplaned(x).astype(np.int64) * dests + d for x, d in zip(words.column("first").to_pylist(), words.column("dest").to_pylist())]
         self.number, self.total = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
-        self.number[places] = np.concatenate(number)
-        self.total[places] = np.concatenate([unplaned(x, "<u8") for x in words.column("second").to_pylist()]).astype(np.int64)
+        self.number[places] = np.concatenate([unplaned(w["first"]).astype(np.int64) * dests + w["dest"] for w in words])
+        self.total[places] = np.concatenate([unplaned(w["second"], "<u8") for w in words]).astype(np.int64)
         self.ids = coded.column("ids").combine_chunks().flatten()
         self.counts = np.array(coded.column("counts")[0].as_py(), np.int64)
         self.codes = codes
         train = np.repeat(np.array(coded.column("train")[0].as_py(), bool), self.counts)
         starts = np.cumsum(self.counts) - self.counts
         n, size = len(codes), len(places) + 1
-        last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)  # code + 1; 0: nothing there
+        last, before = np.zeros(n, np.int32), np.zeros(n, np.int32)  # code + 1; 0: nothing there
         last[1:] = codes[:-1] + 1
         before[2:] = codes[:-2] + 1
         last[starts] = 0
         before[starts] = 0
         before[(starts + 1)[self.counts > 1]] = 0
-        self.inner = np.flatnonzero(last > 0)  # a text's first token has no context
-        pair, of_pair = np.unique(last[self.inner] * size + codes[self.inner], return_inverse=True)
+        self.inner = np.flatnonzero(last > 0).astype(np.int32)  # a text's first token has no context
+        pair, of_pair = np.unique(last[self.inner].astype(np.int64) * size + codes[self.inner], return_inverse=True)
         triple, of_triple = np.unique(of_pair * size + before[self.inner], return_inverse=True)
+        del of_pair, last, before
         pair, self.before = pair[triple // size], triple % size
         self.last, self.token = pair // size, pair % size
         count = np.bincount(of_triple, train[self.inner], len(triple)).astype(np.int64)
@@ -163,10 +165,8 @@ _TRIPLES_SCHEMA = pa.schema([("dest", pa.int32()), ("chunk", pa.int64())] + [(c,
 
 
 def _sent_triples(dests: int, owners: int):
-    def run(coded: pa.Table, words: pa.Table) -> pa.Table:
-        if not coded.num_rows:
-            return _TRIPLES_SCHEMA.empty_table()
-        c = _Chunk(coded, words, dests, owners)
+    def run(coded: pa.Table) -> pa.Table:
+        c = _Chunk(coded, dests, owners)
         before = np.where(c.before > 0, c.number[c.before - 1] + 1, 0)
         cuts = _runs(c.owner)
         rows = []
@@ -184,7 +184,8 @@ def _sent_triples(dests: int, owners: int):
 def grown(last, token, before, count, root) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) of each different (before, last, token) with its training count: P = a + b * root.
 
-    ``root``: the root's probability of the token; ``before`` 0: no second word. All triples with one ``last`` must be here."""
+    ``root``: the root's probability of the token; ``before`` 0: no second word. The triples are in
+    order of (last, token, before), and all with one ``last`` are here."""
 
     def states(context: np.ndarray, n: np.ndarray, parent: np.ndarray, some: np.ndarray):
         """(kept, numerator, share of the parent) for entries (context number, count)."""
@@ -199,53 +200,57 @@ def grown(last, token, before, count, root) -> tuple[np.ndarray, np.ndarray]:
         kept = (gain > 0) & (seen > 0) & some
         return kept[context], counted / whole, (rest + PSEUDO) / whole
 
-    order = np.lexsort((before, token, last))
-    last, token, before, count, root = (x[order] for x in (last, token, before, count, root))
     new_last = np.concatenate(([True], last[1:] != last[:-1]))
     new_pair = new_last | np.concatenate(([True], token[1:] != token[:-1]))
     head, pair = np.flatnonzero(new_pair), np.cumsum(new_pair) - 1
     one = (np.cumsum(new_last) - 1)[head]
     kept, a, b = states(one, np.add.reduceat(count, head).astype(float), root[head], np.ones(int(one[-1]) + 1, bool))
     a, b = np.where(kept, a, 0.0)[pair], np.where(kept, b, 1.0)[pair]
-    # contexts of two words, each beside the state (or the root) of its last word
+    # contexts of two words, each beside the state (or the root) of its last word; some contexts at a time
     by = np.lexsort((before, last))
-    fresh = np.concatenate(([True], (last[by][1:] != last[by][:-1]) | (before[by][1:] != before[by][:-1])))
-    two = np.empty(len(by), np.int64)
-    two[by] = np.cumsum(fresh) - 1
-    there = np.zeros(int(two.max()) + 1, bool)
-    there[two] = before > 0
-    kept, own, share = states(two, count.astype(float), a + b * root, there)
-    a, b = np.where(kept, own + share * a, a), np.where(kept, share * b, b)
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return a[back], b[back]
+    fresh = np.flatnonzero(np.concatenate(([True], (last[by][1:] != last[by][:-1]) | (before[by][1:] != before[by][:-1]))))
+    at = 0
+    while at < len(fresh):
+        until = max(at + 1, int(np.searchsorted(fresh, fresh[at] + TOGETHER, "right")))
+        end = int(fresh[until]) if until < len(fresh) else len(by)
+        some, starts = by[fresh[at]:end], fresh[at:until] - fresh[at]
+        two = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(some))))
+        kept, own, share = states(two, count[some].astype(float), a[some] + b[some] * root[some], before[some[starts]] > 0)
+        a[some], b[some] = np.where(kept, own + share * a[some], a[some]), np.where(kept, share * b[some], b[some])
+        at = until
+    return a, b
 
 
-_ANSWERS = "chunk long, dest int, first binary, second binary, tokens long, known long"
+_ANSWERS = "chunk long, dest int, first binary, second binary"
+_ANSWERS_SCHEMA = pa.schema([("chunk", pa.int64()), ("dest", pa.int32()), ("first", pa.binary()), ("second", pa.binary())])
 
 
 def _grown_contexts(tokens: int, known: int):
     def run(t: pa.Table) -> pa.Table:
-        def column(name: str, kind: str):
-            return [unplaned(x, kind).astype(np.int64) for x in t.column(name).to_pylist()]
+        def column(name: str, kind: str) -> np.ndarray:
+            each = [unplaned(x, kind) for x in t.column(name).to_pylist()]
+            small = max(int(x.max()) for x in each) < 1 << 32
+            return np.concatenate([x.astype(np.uint32) for x in each] if small else each)
 
-        last, token, total, before = (column(c, "<u8") for c in ("last", "token", "total", "before"))
-        counts, ends = column("count", "<u4"), np.cumsum([len(x) for x in last])
-        last, token, total, before, count = map(np.concatenate, (last, token, total, before, counts))
+        sizes = [len(unplaned(x)) for x in t.column("count").to_pylist()]
+        last, token, before = (column(c, "<u8") for c in ("last", "token", "before"))
         order = np.lexsort((before, token, last))
-        fresh = np.concatenate(([True], (last[order][1:] != last[order][:-1]) | (token[order][1:] != token[order][:-1])
-                                | (before[order][1:] != before[order][:-1])))
-        head, inverse = order[fresh], np.empty(len(order), np.int64)
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = False
+        for x in (last, token, before):
+            fresh[1:] |= x[order][1:] != x[order][:-1]
+        head = order[fresh]
+        summed = np.add.reduceat(column("count", "<u4")[order].astype(np.int64), np.flatnonzero(fresh))
+        inverse = np.empty(len(order), np.uint32)
         inverse[order] = np.cumsum(fresh) - 1
-        summed = np.add.reduceat(count[order], np.flatnonzero(fresh))
-        root = (total[head] + 0.5) / (tokens + 0.5 * (known + 1))
-        a, b = grown(last[head], token[head], before[head], summed, root)
-        a, b = a.astype("<f4")[inverse], b.astype("<f4")[inverse]
-        n = len(ends)
-        own = [slice(e - len(x), e) for x, e in zip(counts, ends)]
-        return pa.table([t.column("chunk").combine_chunks(), pa.array([t.column("dest")[0].as_py()] * n, pa.int32()),
-                         pa.array([planes(a[s].view("<u4")) for s in own], pa.binary()), pa.array([planes(b[s].view("<u4")) for s in own], pa.binary()),
-                         pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_WORDS_SCHEMA)
+        del order, fresh
+        last, token, before = last[head], token[head], before[head]
+        root = (column("total", "<u8")[head] + 0.5) / (tokens + 0.5 * (known + 1))
+        a, b = grown(last, token, before, summed, root)
+        own = [slice(e - n, e) for n, e in zip(sizes, np.cumsum(sizes))]
+        return pa.table([t.column("chunk").combine_chunks(), pa.array([t.column("dest")[0].as_py()] * len(own), pa.int32()),
+                         *[pa.array([planes(x[inverse[s]].view("<u4")) for s in own], pa.binary()) for x in (a.astype("<f4"), b.astype("<f4"))]],
+                        schema=_ANSWERS_SCHEMA)
 
     return run
 
@@ -259,11 +264,8 @@ def _scored(dests: int, owners: int, tokens: int, known: int):
     def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
         if not coded.num_rows:
             return kind.empty_table()
-        import pyarrow.compute as pc
-
-        is_word = pc.is_valid(answers.column("tokens"))
-        c = _Chunk(coded, answers.filter(is_word), dests, owners)
-        states = answers.filter(pc.invert(is_word)).sort_by("dest")
+        c = _Chunk(coded, dests, owners)
+        states = answers.sort_by("dest")
         a, b = (np.concatenate([unplaned(x).view("<f4") for x in states.column(s).to_pylist()] or [np.zeros(0, "<f4")]).astype(float) for s in ("first", "second"))
         root = ((c.total + 0.5) / (tokens + 0.5 * (known + 1)))[c.codes]
         p = root.copy()
@@ -285,9 +287,10 @@ def scored(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text: s
                      .applyInArrow(_counted_words, _WORDS), "chunk", "words")
     totals = words.groupBy("dest").agg(F.first("tokens").alias("tokens"), F.first("known").alias("known")).agg(F.sum("tokens"), F.sum("known")).first()
     tokens, known = (int(x or 0) for x in totals)
-    texts = coded.filter("dest is null").select("chunk", "ids", "train", "counts", "codes", "places")
-    answers = (texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_sent_triples(dests, owners), _TRIPLES)
+    own = words.groupBy("chunk").agg(F.collect_list(F.struct("dest", "first", "second")).alias("words"))  # a row per owner
+    # both tables are bucketed by chunk: neither moves for the join, nor when the answers come
+    chunks = coded.filter("dest is null").select("chunk", "ids", "train", "counts", "codes", "places").join(own, "chunk")
+    answers = (chunks.groupBy("chunk").applyInArrow(_sent_triples(dests, owners), _TRIPLES)
                .groupBy("dest").applyInArrow(_grown_contexts(tokens, known), _ANSWERS))
-    both = words.select(*[F.col(c).alias(c) for c in words.columns]).unionByName(answers)
-    found = texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(_scored(dests, owners, tokens, known), _SCORED)
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(dests, owners, tokens, known), _SCORED)
     return found.withColumn("train_tokens", F.lit(tokens).cast("long"))
