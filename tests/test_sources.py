@@ -34,15 +34,11 @@ def test_to_int_is_null_on_dirty_text(spark):
     assert [r.v for r in df.select(to_int("s").alias("v")).collect()] == [12, None, None]
 
 
-def test_scan_cache_rereads_a_changed_file(spark, tmp_path):
-    import time
-
-    from opsframe.sources.tables import read_parquet
-    path = str(tmp_path / "t.parquet")
-    spark.createDataFrame([(1,)], "a long").coalesce(1).write.parquet(path)
-    first = read_parquet(spark, path)
-    assert read_parquet(spark, path) is first
-    time.sleep(0.01)
-    spark.createDataFrame([(1,), (2,)], "a long").coalesce(1).write.mode("overwrite").parquet(path)
-    again = read_parquet(spark, path)
-    assert again is not first and again.count() == 2
+def test_scans_are_kept_per_resolver_and_see_a_changed_file(spark, tmp_path):
+    from opsframe.sources.tables import Tables
+
+    spark.range(3).write.parquet(f"{tmp_path}/orders.parquet")
+    first = Tables(spark, str(tmp_path))
+    assert first["orders"] is first["orders"] and first["orders"].count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert Tables(spark, str(tmp_path))["orders"].count() == 5
