@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from opsframe.llm.chunks import bucketed, pack_binary, parts, planes, ranges, unplaned
 
 #: Characters of text that one chunk gathers before it is written.
-CHUNK_CHARS = 12 << 20
+CHUNK_CHARS = 6 << 20
 #: Ids decoded at once.
 SLICE_IDS = 1 << 20
 #: Characters split at once.
@@ -118,10 +118,11 @@ def _coded(pattern: str, dests: int):
             code[by_use] = np.arange(len(words))
             keys = [w.encode() for w in words]
             dest = np.array([xxhash.xxh64_intdigest(k) % dests for k in keys], np.int64)
-            order = np.array(sorted(range(len(keys)), key=lambda i: (dest[i], keys[i])), np.int64)
+            order = np.argsort(dest, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(dest[order]) != 0))) if len(order) else order
             rows = []
             for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+                order[a:b] = sorted(order[a:b].tolist(), key=keys.__getitem__)
                 own = [keys[i] for i in order[a:b]]
                 sizes = np.array([len(k) for k in own], "<u4").tobytes()
                 rows.append((int(dest[order[a]]), number, zstandard.compress(sizes + b"".join(own), 3), int(b - a), None, None, None, None))
