@@ -5,8 +5,8 @@ Sizes are counts of words. Targets share a multiple of all words by weight; a so
 
 * *Blocks.* A source's documents fall into blocks by a seeded hash; the blocks of
   an epoch are permuted by another. Whole epochs take every block; the last, partial
-  epoch takes blocks in permuted order up to the target and cuts the block on the edge
-  document by document. So every source has an exact quota of blocks.
+  epoch takes blocks in permuted order up to the target and goes on document by document, through the block on the edge and
+  those after it, until no unused document fits the gap. So every source has an exact quota of blocks.
 * *Splitting tree.* A node holds the quotas of all sources. It gives its left child half of its blocks;
   how many of each source is a multivariate-hypergeometric draw, made source by
   source by inverting the conditional distribution at a seeded uniform number. The right child has the
@@ -35,11 +35,10 @@ from opsframe.llm.chunks import table
 MAX_BLOCKS = 1 << 16
 BLOCK_WORDS = 1 << 15
 SHARDS = 16
-#: Passes over the block on the edge; what is left of the gap is less than any document they passed over.
-EDGE_PASSES = 3
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+_LAST = (1 << 63) - 1
 
 
 def _hash(*cols) -> Column:
@@ -147,8 +146,8 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def plan(sized: DataFrame, shards: int, share: float = 1.5, max_repeats: float = 2.0) -> tuple[DataFrame, DataFrame]:
     """Two small tables: (source, source_size, place, target, n_blocks) per source, and
-    (place, block, whole, edge, cutoff) per block that is used: its copies in
-    whole, and the copy of the edge block, of the documents that ``cutoff`` admits by hash and size."""
+    (place, block, whole, edge, cutoff, skipped) per block that is used: its copies in whole, and the
+    copy of the documents that ``cutoff`` admits by hash and size and ``skipped`` does not name."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = table(targets(totals, share, max_repeats).join(totals.select("source", "rows").withColumnRenamed("source", "_s"),
                                                              F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "sources")
@@ -165,29 +164,64 @@ def plan(sized: DataFrame, shards: int, share: float = 1.5, max_repeats: float =
     partial = F.when(F.col("epoch") == F.col("epochs"), F.col("words")).otherwise(0)
     rows = rows.withColumns({"slot": F.row_number().over(permuted) - 1, "end": F.sum(partial).over(permuted)})
     whole = (F.col("epoch") < F.col("epochs")) | (F.col("end") <= F.col("rest"))
-    edge = ~whole & (F.col("end") - F.col("words") < F.col("rest"))
-    used = table(rows.withColumns({"is_whole": whole, "is_edge": edge}).filter("is_whole or is_edge"), "used")
+    rows = table(rows.withColumn("is_whole", whole), "slots")
+    edges = table(_edges(placed, rows.filter("not is_whole and rest > 0")), "edges")
+    used = rows.join(edges.select("place", "slot", F.lit(True).alias("is_edge")), ["place", "slot"], "left").filter("is_whole or is_edge")
+    # a block of the rest of the epoch of which nothing is taken has no place in the shards
+    kept = Window.partitionBy("place").orderBy("slot")
+    used = table(used.withColumn("slot", F.row_number().over(kept) - 1), "used")
     quotas = used.groupBy("place").agg(F.count(F.lit(1)).alias("quota"))
     shard = table(split_tree(quotas, shards).filter("quota > 0").select("place", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("slot")), "shards")
-    # the edge block by document: in order of hash up to the target, then, of the documents beyond
-    # that still fit, in order again; each pass leaves a smaller gap
-    gaps = used.filter("is_edge").select("place", "block", (F.col("rest") - F.col("end") + F.col("words")).alias("gap"), F.lit(None).cast("long").alias("low"))
-    passes = None
-    for _ in range(EDGE_PASSES):
-        inside = (placed.join(gaps, ["place", "block"]).filter((F.col("size") <= F.col("gap")) & (F.col("low").isNull() | (F.col("hash") > F.col("low"))))
-                  .groupBy("place", "block", "gap", "low", "hash").agg(F.sum("size").alias("size")))
-        up_to = F.sum("size").over(Window.partitionBy("place", "block").orderBy("hash"))
-        step = (inside.withColumn("up_to", up_to).filter("up_to <= gap").groupBy("place", "block", "gap", "low")
-                .agg(F.max("hash").alias("high"), F.max("up_to").alias("got")))
-        step = table(step.select("place", "block", F.struct("low", "high", "gap").alias("pass"), (F.col("gap") - F.col("got")).alias("gap"),
-                                 F.col("high").alias("low")), "passes")
-        passes = step.select("place", "block", "pass") if passes is None else passes.union(step.select("place", "block", "pass"))
-        gaps = step.drop("pass")
-    cutoffs = passes.groupBy("place", "block").agg(F.collect_list("pass").alias("cutoff"))
     copy = F.struct("epoch", "shard")
     taken = (used.join(shard, ["place", "slot"]).groupBy("place", "block")
              .agg(F.sort_array(F.collect_list(F.when(F.col("is_whole"), copy))).alias("whole"), F.max(F.when(F.col("is_edge"), copy)).alias("edge")))
-    return sources, table(taken.join(cutoffs, ["place", "block"], "left"), "taken")
+    return sources, table(taken.join(edges.drop("slot"), ["place", "block"], "left"), "taken")
+
+
+def _edges(placed: DataFrame, later: DataFrame) -> DataFrame:
+    """(place, slot, block, cutoff, skipped) per block of the rest of the partial epoch of which documents are taken.
+
+    The order is that of the permuted blocks, and of the hash in a block. A pass takes, of the documents that fit the gap, as
+    many as reach up to it; the next begins after them with the gap that is left, until no document after them fits. Documents
+    passed over are larger than the gap was then, so at the end no unused one fits. ``cutoff`` has a block's
+    passes and ``skipped`` the hashes of equal rows that fit one by one and not together."""
+    later = table(later.select("place", "block", "slot", "rest", "end", "words"), "later")
+    units = table(_small(placed, later.select("place", "block", "slot"), ["place", "block"], "inner").filter("size > 0")
+                  .groupBy("place", "block", "slot", "hash").agg(F.sum("size").alias("size"), F.max("size").alias("row")), "units")
+    # the edge block's gap; no block before it is open
+    gaps = later.groupBy("place").agg(F.min(F.struct("slot", (F.col("rest") - F.col("end") + F.col("words")).alias("gap")))["gap"].alias("gap"))
+    gaps = table(gaps.select("place", "gap", F.lit(-1).alias("low_slot"), F.lit(_LAST).alias("low_hash")), "gaps")
+    state, passes = gaps.columns, []
+    while not gaps.isEmpty():
+        after = (F.col("slot") > F.col("low_slot")) | ((F.col("slot") == F.col("low_slot")) & (F.col("hash") > F.col("low_hash")))
+        fits = _small(units, gaps, ["place"], "inner").filter((F.col("size") <= F.col("gap")) & after)
+        up_to = F.sum("words").over(Window.partitionBy("place").orderBy("slot"))
+        by_block = fits.groupBy(*state, "slot").agg(F.sum("size").alias("words")).withColumn("up_to", up_to)
+        full = F.col("up_to") <= F.col("gap")
+        found = table(by_block.groupBy(*state).agg(F.max(F.when(full, F.col("slot"))).alias("last"), F.min(F.when(~full, F.col("slot"))).alias("open"),
+                                                   F.coalesce(F.max(F.when(full, F.col("up_to"))), F.lit(0)).alias("got")), "found")
+        # the block that crosses the target, by document
+        opened = fits.join(F.broadcast(found.select("place", F.col("open").alias("slot"), "got")), ["place", "slot"])
+        reach = F.col("got") + F.sum("size").over(Window.partitionBy("place").orderBy("hash"))
+        inside = opened.withColumn("reach", reach).filter("reach <= gap").groupBy("place").agg(F.max("hash").alias("hash"), F.max("reach").alias("reach"))
+        step = found.join(inside, "place", "left")
+        step = table(step.select(*state, "open", F.when(F.col("hash").isNull(), F.col("last")).otherwise(F.col("open")).alias("high_slot"),
+                                 F.coalesce("hash", F.lit(_LAST)).alias("high_hash"),
+                                 (F.col("gap") - F.coalesce("reach", "got")).alias("left")), "passes")
+        passes.append(step.select(*state, "high_slot", "high_hash"))
+        gaps = step.filter("open is not null and left >= 1").select("place", F.col("left").alias("gap"), F.col("high_slot").alias("low_slot"),
+                                                                    F.col("high_hash").alias("low_hash"))
+    every = gaps.withColumns({"high_slot": F.col("low_slot"), "high_hash": F.col("low_hash")})
+    for one in passes:
+        every = every.union(one)
+    after = (F.col("slot") > F.col("low_slot")) | ((F.col("slot") == F.col("low_slot")) & (F.col("hash") > F.col("low_hash")))
+    until = (F.col("slot") < F.col("high_slot")) | ((F.col("slot") == F.col("high_slot")) & (F.col("hash") <= F.col("high_hash")))
+    met = _small(units, table(every, "every"), ["place"], "inner").filter(after & until & (F.col("row") <= F.col("gap")))
+    bounds = F.struct(F.when(F.col("slot") == F.col("low_slot"), F.col("low_hash")).alias("low"),
+                      F.when(F.col("slot") == F.col("high_slot"), F.col("high_hash")).otherwise(_LAST).alias("high"), "gap")
+    fit = F.col("size") <= F.col("gap")
+    return (met.groupBy("place", "slot", "block").agg(F.collect_set(F.when(fit, bounds)).alias("cutoff"),
+                                                      F.collect_list(F.when(~fit, F.col("hash"))).alias("skipped")).filter(F.size("cutoff") > 0))
 
 
 def _small(df: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -206,8 +240,8 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
 def _copies(sized: DataFrame, sources: DataFrame, taken: DataFrame) -> DataFrame:
     """With ``copies``: (epoch, shard) of each time the mix takes the document."""
     joined = _small(_placed(sized, sources), taken, ["place", "block"], "left")
-    fits = F.exists("cutoff", lambda p: (F.col("size") <= p["gap"]) & (F.col("hash") <= p["high"])
-                    & (p["low"].isNull() | (F.col("hash") > p["low"])))
+    fits = (F.col("size") > 0) & ~F.array_contains("skipped", F.col("hash")) & F.exists(
+        "cutoff", lambda p: (F.col("size") <= p["gap"]) & (F.col("hash") <= p["high"]) & (p["low"].isNull() | (F.col("hash") > p["low"])))
     edge = F.when(fits, F.array("edge")).otherwise(F.array().cast("array<struct<epoch:int,shard:int>>"))
     return joined.withColumn("copies", F.when(F.col("whole").isNull(), F.array().cast("array<struct<epoch:int,shard:int>>"))
                              .otherwise(F.concat("whole", edge)))

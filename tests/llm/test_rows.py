@@ -54,6 +54,43 @@ def test_mixed_rows(spark, monkeypatch):
     assert {k: v for k, v in counts.items() if k not in twice} == {k: v for k, v in drawn.items() if v and k not in twice}
 
 
+def _left_open(got):
+    """Per source in a partial epoch: what is missing of its target, and its smallest document that could have filled it."""
+    missing, unused = {}, {}
+    for r in got:
+        missing[r.source] = missing.get(r.source, r.target) - r.size * len(r.copies)
+        if r.size and len(r.copies) <= int(r.target // r.source_size):
+            unused[r.source] = min(unused.get(r.source, r.size), r.size)
+    return {s: (missing[s], unused[s]) for s in unused}
+
+
+def test_mix_goes_on_after_a_long_document(spark):
+    rng = random.Random(5)
+    # blocks of the production size, in each source a document of several of them
+    rows = [(1000 * s + k, "w " * (120_000 if k == 0 else rng.randint(200, 1500)), f"s{s}") for s in range(9) for k in range(200)]
+    got = mixing.drawn(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=4).collect()
+    left = _left_open(got)
+    assert len(left) >= 3
+    for s, (missing, smallest) in left.items():
+        assert 0 <= missing < smallest, (s, missing, smallest)
+
+
+def test_mix_passes_over_equal_rows_that_do_not_fit_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
+    rng = random.Random(6)
+    rows = [(k, " ".join(["w"] * rng.randint(3, 40)), f"s{k % 7}") for k in range(700)]
+    docs = spark.createDataFrame(rows + rows[::2], "doc_id long, text string, source string")
+    got = mixing.drawn(docs, shards=4).collect()
+    copies = {}
+    for r in got:
+        assert copies.setdefault(r.id, r.copies) == r.copies
+    twice = {r[0] for r in rows[::2]}
+    for s, (missing, smallest) in _left_open(r for r in got if r.id not in twice).items():
+        taken = sum(r.size * len(r.copies) for r in got if r.source == s)
+        target = next(r.target for r in got if r.source == s)
+        assert 0 <= target - taken < smallest, (s, target, taken, smallest)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {1: 40, 2: 13, 3: 1, 4: 0}
     for shards in (1, 2, 5, 8):
