@@ -12,7 +12,8 @@ Sizes are counts of words. Targets share a multiple of all words by weight; a so
   source by inverting the conditional distribution at a seeded uniform number. The right child has the
   rest. Leaves are output shards, whose sizes differ by one block at most.
 * *Shards.* A shard takes the next disjoint stretch of each source's permuted blocks, as
-  long as its quota, and orders its documents by a seeded hash (a local shuffle).
+  long as its quota, and orders its documents by a seeded hash (a local shuffle). ``mixed`` cuts that order
+  into stretches of about ``PIECE_BYTES`` of text, one partition each.
 
 Only DataFrame operations are used. The number of blocks is bounded (``MAX_BLOCKS`` plus one
 for each source and epoch), so blocks grow with the input and windows over them do not. A source that holds a
@@ -35,6 +36,8 @@ from opsframe.llm.chunks import table
 MAX_BLOCKS = 1 << 16
 BLOCK_WORDS = 1 << 15
 SHARDS = 16
+#: Text bytes that a partition of the mixed rows holds on average. The number of partitions of a shard grows with the input.
+PIECE_BYTES = 16 << 20
 SEED = 20240229
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -254,12 +257,20 @@ def drawn(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: s
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, dealt to their shards and shuffled in each."""
-    sized = table(sizes(docs, id_col, text, source), "sizes")
+    """The rows of ``docs`` as often as the mix takes them, dealt to their shards and shuffled in each.
+
+    A shard is one or more partitions, each a stretch of its order, in sequence: their number grows with the bytes of the mix."""
+    bytes_of = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("bytes")
+    sized = table(sizes(docs.select(id_col, text, source, bytes_of), id_col, text, source, "bytes"), "sizes")
     sources, taken = plan(sized, shards)
+    total = _copies(sized, sources, taken).agg(F.sum(F.col("bytes") * F.size("copies"))).first()[0] or 0
+    pieces = max(1, -(-total // (shards * PIECE_BYTES)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = sizes(docs.select(row.alias("row")), f"row.{id_col}", f"row.{text}", f"row.{source}", "row")
     copies = _copies(packed, sources, taken).select("row", "id", "mark", F.inline("copies"))
-    order = _hash(F.lit("order"), "epoch", "shard", "id", "mark")
-    return (copies.repartition(shards, "shard").sortWithinPartitions("shard", order)
+    copies = copies.select("row", "shard", _hash(F.lit("order"), "epoch", "shard", "id", "mark").alias("order"))
+    # hashes are spread evenly, so stretches of equal width hold equal shares of a shard
+    stretch = F.least(F.lit(pieces - 1), F.floor((F.col("order") / float(1 << 64) + 0.5) * pieces))
+    return (copies.withColumn("piece", (F.col("shard") * pieces + stretch).cast("int"))
+            .repartitionById(shards * pieces, "piece").sortWithinPartitions("shard", "order")
             .select(*[F.col("row")[c].alias(c) for c in docs.columns]))

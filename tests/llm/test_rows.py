@@ -91,6 +91,22 @@ def test_mix_passes_over_equal_rows_that_do_not_fit_together(spark, monkeypatch)
         assert 0 <= target - taken < smallest, (s, target, taken, smallest)
 
 
+def test_mixed_partitions_grow_with_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 64)
+    rows, docs = documents(spark, n=1500)
+    whole = mixing.mixed(docs, shards=8)  # a partition for each shard
+    parts = [[tuple(r) for r in p] for p in whole.rdd.glom().collect()]
+    assert len(parts) == 8 and all(parts)
+    monkeypatch.setattr(mixing, "PIECE_BYTES", 1024)
+    cut = mixing.mixed(docs, shards=8)
+    pieces = [[tuple(r) for r in p] for p in cut.rdd.glom().collect()]
+    k, total = len(pieces) // 8, sum(len(r[1] or "") for p in parts for r in p)
+    assert k == -(-total // (8 * 1024)) > 1 and len(pieces) == 8 * k
+    for shard, rows in enumerate(parts):  # the pieces of a shard end to end are its order
+        assert [r for p in pieces[shard * k:shard * k + k] for r in p] == rows
+    assert max(sum(len(r[1] or "") for r in p) for p in pieces) <= 4 * 1024
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {1: 40, 2: 13, 3: 1, 4: 0}
     for shards in (1, 2, 5, 8):
