@@ -5,9 +5,9 @@
 2. Each of ``CURVES`` curves projects the unit vectors on its own ``DIMS`` random orthogonal directions, shifts them
    by its own offset, and gives every entry the Hilbert key of its cell.
 3. Spark range-partitions (curve, key) and numbers each curve's entries.
-4. A query meets the entries at most half a window before or after it on each curve. Stretches of a curve
-   are units of work; entries near a stretch's ends also go to the neighbouring one, so
-   windows that cross an end are whole. Every unit reranks by the exact cosine, and results merge.
+4. A query meets the entries at most half a window before or after it on each curve. Stretches of ``STRETCH`` entries of a curve
+   are units of work, whatever the size of the input; a query goes to every stretch that its window touches, and where more
+   than ``STRETCH`` queries meet one, they are dealt into blocks. Every unit reranks by the exact cosine, and results merge.
 
 A window is ``SHARE`` of all entries (``LEAST`` at least). Only the scale of the projections is fitted, on the
 ``SAMPLE`` entries whose hashes are smallest; every row is indexed. On vectors without any structure (the hardest case) 36 curves with
@@ -32,6 +32,7 @@ from opsframe.llm.vectors import clean, largest, matrix, merged
 
 CURVES, DIMS, BITS = 36, 8, 7
 SHARE, LEAST = 0.02, 64
+STRETCH = 1 << 14
 SAMPLE = 4096
 SEED = 11
 
@@ -146,14 +147,18 @@ def nearest(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", v
 
     keys = some.select("entry", "vector").mapInArrow(_keys(width, low, high), "curve int, key long, entry long")
     half = max(LEAST, int(np.ceil(SHARE * n / 2)))
-    stretch = 4 * half
     placed = table(_numbered(keys), "places").join(some.select("entry", "vector"), "entry")
-    at = (F.col("place") / stretch).cast("long")
-    ends = [((F.col("place") + d) / stretch).cast("long") for d in (-half, half)]
-    near = placed.withColumn("unit", F.explode(F.array_distinct(F.array(F.greatest(ends[0], F.lit(0)), at, ends[1]))))
-    asked = placed.join(asking.select("entry").distinct(), "entry", "left_semi").withColumn("unit", at)
+    unit = lambda place: (place / STRETCH).cast("long")
+    first, last = F.greatest(F.col("place") - half, F.lit(0)), F.least(F.col("place") + half, F.lit(n - 1))
+    asked = placed.join(asking.select("entry").distinct(), "entry", "left_semi")
+    asked = table(asked.withColumn("unit", F.explode(F.sequence(unit(first), unit(last)))), "asked")
+    # a row per stretch that a query meets
+    counts = table(asked.groupBy("curve", "unit").agg(F.ceil(F.count(F.lit(1)) / STRETCH).cast("int").alias("blocks")), "blocks")
+    near = (placed.withColumn("unit", unit(F.col("place"))).join(counts, ["curve", "unit"])
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
+    asked = asked.join(counts, ["curve", "unit"]).withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own beside those of near
-    found = (asked.groupBy("curve", "unit").cogroup(near.groupBy("curve", "unit"))
+    found = (asked.groupBy("curve", "unit", "block").cogroup(near.groupBy("curve", "unit", "block"))
              .applyInArrow(_window(half, k + 1), "query long, entry long, score double")
              .groupBy("query", "entry").agg(F.max("score").alias("score")))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "entry")

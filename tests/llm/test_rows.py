@@ -194,6 +194,30 @@ def test_neighbours(spark):
     assert not got and hits / total >= 0.9
 
 
+def test_neighbours_in_stretches_of_a_fixed_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = frame(spark, [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(600)])
+    want = sorted(map(tuple, ann.nearest(docs, F.col("id") % 3 == 0, 5).collect()))
+    sizes, window = spark.sparkContext.accumulator(0), ann._window
+    largest = 50
+
+    def watched(half, keep):
+        run = window(half, keep)
+
+        def counted(q, r):
+            if max(q.num_rows, r.num_rows) > largest:
+                sizes.add(1)
+            return run(q, r)
+
+        return counted
+
+    monkeypatch.setattr(ann, "STRETCH", 40, raising=False)
+    monkeypatch.setattr(ann, "_window", watched)
+    got = sorted(map(tuple, ann.nearest(docs, F.col("id") % 3 == 0, 5).collect()))
+    assert sizes.value == 0
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+
+
 def test_few_rows(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (50, [0.0, -1.0], 0)]
     for found in (topk.top_k(frame(spark, rows), F.col("id") % 50 == 0, 5), ann.nearest(frame(spark, rows), F.col("id") % 50 == 0, 5)):
