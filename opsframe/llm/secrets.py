@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.chunks import table
+from opsframe.llm.chunks import chunk_count, table
 
 #: Strings that a part of a rule may stand for before it counts as unknown, and alternatives of a query.
 MOST = 64
@@ -197,7 +197,8 @@ def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_i
     asking = {r for _, r, *_ in _terms(rules)}
     rows = _keyed(docs, id_col, text)
     if grams:
-        rows = rows.join(candidates(indexed(docs, grams, id_col, text), rules), "key", "left")
+        # as many partitions as the texts need, so that a task sorts one chunk of text
+        rows = rows.repartition(chunk_count(docs, text), "key").join(candidates(indexed(docs, grams, id_col, text), rules), "key", "left")
     none = F.array().cast("array<struct<start:int,rule:int,stop:int>>")
     found = []
     for number, rule in enumerate(rules):
