@@ -4,13 +4,13 @@ A text is cut into pieces and words; every word of a piece starts a suffix of at
 
 * Word counts come first: the words of each language with all their occurrences (``word_counts``). Words with more than
   ``OWNER_TOKENS`` occurrences are *hot*; there is at most one for so many tokens of the corpus, and only they are sent to all tasks.
-* Chunks of text sort their suffix pointers (``partitioned``) and send each different suffix once, with its count. A suffix is
-  routed by its leading words, up to and including the first that is not hot. So no owner of a route gets more than
-  ``OWNER_TOKENS`` suffixes behind one route, whatever word or pair of words fills the corpus, and all suffixes that share these words meet.
-* An owner sorts what it got by the same quicksort: a segment of suffixes that agree in d words is split at a pivot into the parts with
-  a smaller, an equal and a greater next word. An equal part of depth d holds all suffixes that start with one phrase of d words,
-  so its size, counts added, is the phrase's frequency. Parts below the threshold are abandoned. Where the route is longer than the
-  phrase (hot words only), several owners hold parts of it: they report their sizes unabandoned and the sums decide.
+* Chunks of text send each different suffix once, with its count (``merged``). A suffix is routed by its leading words, up to and
+  including the first that is not hot. So no owner gets more than ``OWNER_TOKENS`` suffixes behind one route, whatever word or
+  pair of words fills the corpus, and all suffixes that share these words meet.
+* An owner sorts pointers to the suffixes it got by the quicksort (``partitioned``): a segment of suffixes that agree in d words is
+  split at a pivot into the parts with a smaller, an equal and a greater next word. An equal part of depth d holds all suffixes that
+  start with one phrase of d words, so its size, counts added, is the phrase's frequency. Parts below the threshold are abandoned. Where
+  the route is longer than the phrase (hot words only), several owners hold parts of it: they report their sizes unabandoned and the sums decide.
 * Candidates are joined with the counts of their parts and scored in DECIMAL(38, 0), which is exact up to frequencies of 10**16.
 
 A (chunk, owner) fragment is one row of compressed arrays, so there are never more rows than different suffixes. Words are
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from opsframe.llm.chunks import binary_parts, pack_binary, parts, planes, table, unplaned
 
 #: Bytes of text that a chunk gathers before it sends what it counted.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Suffixes that one owner holds on average, and that one route may hold at most.
 OWNER_TOKENS = 1 << 20
 
@@ -159,6 +159,28 @@ def partitioned(keys: np.ndarray, weights: np.ndarray, least: int = 0,
         order = order[np.repeat(start - starts, size) + np.arange(int(size.sum()))]
 
 
+def merged(rows: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows (language, then word codes below ``words`` or -1) in order, and how often each is there."""
+    if not len(rows):
+        return rows, np.zeros(0, np.int64)
+    if (int(rows[:, 0].max()) + 1) * (words + 1) ** (rows.shape[1] - 1) < 1 << 63:
+        key = rows[:, 0].astype(np.int64)
+        for c in range(1, rows.shape[1]):
+            key = key * (words + 1) + (rows[:, c] + 1)
+        key.sort()
+        cuts = np.flatnonzero(np.diff(key, prepend=-1))
+        key, out = key[cuts], np.empty((len(cuts), rows.shape[1]), np.int32)
+        for c in range(rows.shape[1] - 1, 0, -1):
+            key, code = np.divmod(key, words + 1)
+            out[:, c] = code - 1
+        out[:, 0] = key
+    else:  # codes too large for one number
+        rows = rows[np.lexsort(rows.T[::-1])]
+        cuts = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
+        out = rows[cuts]
+    return out, np.diff(np.append(cuts, len(rows)))
+
+
 def _hashes(words: pa.Array) -> np.ndarray:
     import xxhash
 
@@ -188,12 +210,9 @@ def _fragments(owners: int, depth: int, hot: set[tuple[str, str]]):
         for texts, names in _chunks(batches):
             chunk = _Coded(texts, names)
             rows = chunk.suffixes(depth)
-            rows = rows[rows[:, 2] >= 0]
-            leaves = [(r[e | (d > depth)], w[e | (d > depth)]) for d, r, w, e in partitioned(rows, np.ones(len(rows), np.int64))]
-            if not leaves:
+            rows, counts = merged(rows[rows[:, 2] >= 0], len(chunk.words))
+            if not len(rows):
                 continue
-            at, counts = (np.concatenate(x) for x in zip(*leaves))
-            rows = rows[at]
             # the route: leading words, the first one that is not hot included
             longer = _all_hot(rows, _hot_codes(hot, chunk.langs, chunk.words), len(chunk.words))
             mixed = _hashes(pa.array([x.encode() for x in chunk.langs], pa.binary()))[rows[:, 0]]
@@ -232,8 +251,8 @@ def _owner(depth: int, least: int, hot: set[tuple[str, str]]):
         for names, size, packed in zip(t.column("langs").to_pylist(), lengths, t.column("suffixes").to_pylist()):
             own = np.concatenate(([-1], code[at:at + len(size)])).astype(np.int32)
             lang = np.array([langs.setdefault(x, len(langs)) for x in json.loads(names)], np.int32)
-            parts_of = unplaned(packed).reshape(depth + 1, -1).astype(np.int64)
-            rows.append(np.column_stack((lang[parts_of[0]], own[parts_of[1:]].T)))
+            columns = unplaned(packed).reshape(depth + 1, -1)
+            rows.append(np.column_stack((lang[columns[0]], *[own[c] for c in columns[1:]])))
             at += len(size)
         rows = np.concatenate(rows)
         weights = np.concatenate([unplaned(x) for x in t.column("counts").to_pylist()]).astype(np.int64)
