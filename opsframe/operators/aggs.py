@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.dates import week_start
@@ -73,3 +73,33 @@ def counts_by_period(df: DataFrame, date_col: str, keys: Sequence[str], alias: s
     e = df.select(*keys, F.explode(periods).alias("_p"))
     return e.groupBy(*keys, F.col("_p.grain").alias("grain"), F.col("_p.period_start").alias("period_start")).agg(
         F.count(F.lit(1)).alias(alias))
+
+
+def key_violations(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], sample: int = 3,
+                   n_name: str = "copies", rank_name: str = "copy") -> DataFrame:
+    """Rows that break the uniqueness of ``keys`` in any stored model -- for each key that occurs more than once the number of its
+    rows and the first ``sample`` of them in ``order_by``; empty where the key is unique.
+
+    Null keys count as one key, as in GROUP BY. The counts are a partial aggregate; of a hot key, every task keeps ``sample``
+    rows before they move (WindowGroupLimit), and only keys that fail are looked up.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_name)).filter(F.col(n_name) > 1)
+    counts = counts.select(*[F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)], n_name)
+    first = Window.partitionBy(*keys).orderBy(*order_by)
+    some = df.withColumn(rank_name, F.row_number().over(first)).filter(F.col(rank_name) <= sample)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & some[k].eqNullSafe(counts[f"_v{i}"])
+    return some.join(counts, same).drop(*[f"_v{i}" for i in range(len(keys))])
+
+
+class NotUnique(ValueError):
+    """A stored model repeats a key that it declares unique."""
+
+
+def assert_unique(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], sample: int = 3) -> DataFrame:
+    """``df`` itself, or ``NotUnique`` with a few failing rows in its message."""
+    failing = key_violations(df, keys, order_by, sample).limit(sample).collect()
+    if failing:
+        raise NotUnique(f"{', '.join(keys)} not unique: " + "; ".join(str(r.asDict()) for r in failing))
+    return df

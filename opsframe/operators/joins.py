@@ -262,12 +262,41 @@ def _pattern_keys(pattern: Column) -> Column:
     return F.when(pattern.contains("\\"), F.array(every)).otherwise(F.array_distinct(F.concat(F.array(every), *keys)))
 
 
+#: Hash values of the mask below: so many rows it has at most, whatever the number of names.
+MASK = 1 << 20
+
+
+def _masked(of_text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Text keys whose hash a wanted key has. The mask holds one long for each hash value, ``MASK`` at most, and is
+    broadcast on that proof; a key that slips through by its hash meets nothing later."""
+    bit = lambda: F.pmod(F.xxhash64("_g"), F.lit(MASK))
+    return of_text.join(F.broadcast(wanted.select(bit().alias("_bit")).distinct()), bit() == F.col("_bit"), "left_semi")
+
+
+def contains_keys(L: DataFrame, text_col: str, R: DataFrame, name_col: str, lid: str, rid: str) -> tuple[DataFrame, DataFrame]:
+    """((lid, key) of the texts, (rid, key) of the names): the names' side first. Every name brings the keys that all its
+    matches have, only its longest ones; texts count those alone; every name keeps its rarest; and texts send the keys kept."""
+    keys = F.explode(_pattern_keys(F.col(name_col)))
+    size = F.char_length("_g.a") + F.char_length("_g.b")
+    of_name = R.filter(F.col(name_col).isNotNull()).select(rid, keys.alias("_g")).withColumn("_size", size)
+    longest = of_name.groupBy(rid).agg(F.max("_size").alias("_most")).withColumnRenamed(rid, "_rid")
+    of_name = of_name.join(longest, (F.col(rid) == F.col("_rid")) & (F.col("_size") == F.col("_most"))).select(rid, "_g")
+    of_text = L.select(lid, F.explode(_text_keys(F.col(text_col))).alias("_g"))
+    often = _masked(of_text, of_name).groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    choice = (of_name.join(often, "_g", "left")
+              .groupBy(rid).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_c"))
+              .filter("_c.f > 0").select(rid, F.col("_c.g").alias("_g")))
+    choice = pin(choice, "contains_choice")
+    return _masked(of_text, choice), choice
+
+
 def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: str) -> DataFrame:
     """``left.text LIKE '%' || right.name || '%'`` without a cartesian product.
 
     Every name picks, of the short substrings that all texts matching it must have, the one that the fewest
     texts have. ``_`` wildcards inside a substring are stepped over, so names like ``NATION_7`` are
-    found under what differs (``N_7``), not under what all share. Texts and names meet
+    found under what differs (``N_7``), not under what all share. Texts send only the substrings that some name has picked
+    (``contains_keys``), so the rows that move are bounded by what the names can match. Texts and names meet
     in an equi-join on that key and the LIKE decides. A name without any
     literal meets every text, as its result does. Crowded keys are split by adaptive
     execution (an inner join).
@@ -277,12 +306,7 @@ def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: st
     R = right.withColumn(rid, F.monotonically_increasing_id())
     # pin the ids: both sides are read more than once below
     L, R = pin(L, "contains_left"), pin(R, "contains_right")
-    of_text = L.select(lid, F.explode(_text_keys(F.col(text_col))).alias("_g"))
-    of_name = R.filter(F.col(name_col).isNotNull()).select(rid, F.explode(_pattern_keys(F.col(name_col))).alias("_g"))
-    often = of_text.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    choice = (of_name.join(often, "_g", "left")
-              .groupBy(rid).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_c"))
-              .select(rid, F.col("_c.g").alias("_g")))
+    of_text, choice = contains_keys(L, text_col, R, name_col, lid, rid)
     met = of_text.join(choice, "_g").select(lid, rid)
     return (met.join(L, lid).join(R, rid)
             .filter(F.like(F.col(text_col), F.concat(F.lit("%"), F.col(name_col), F.lit("%"))))

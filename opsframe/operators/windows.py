@@ -61,7 +61,8 @@ def latest_per_key(df: DataFrame, keys: Sequence, order_by: Sequence[Column], rn
     return out if keep_rn else out.drop(rn_col)
 
 
-def _ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> DataFrame:
+def ranged(df: DataFrame, sort_cols: list[Column], partitions: int | None) -> DataFrame:
+    """Rows in one global order: pinned, with ``_pid`` (range partition) and ``_mid`` (row id, ascending with the order)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The range partitioner samples its input in a separate job; shuffles
@@ -84,7 +85,7 @@ def surrogate_number(df: DataFrame, order_by: Sequence[Column], name: str = "row
     offset of each partition is the count of all earlier partitions (one
     row per partition, broadcast).
     """
-    r = _ranged(df, list(order_by), partitions)
+    r = ranged(df, list(order_by), partitions)
     counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -103,7 +104,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     """
     keys = list(keys)
     key_sort = [F.col(k).asc_nulls_first() for k in keys]
-    r = _ranged(df, key_sort + list(order_by), partitions)
+    r = ranged(df, key_sort + list(order_by), partitions)
     local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid"))
     # Only a partition's first and last key can reach into a neighbour, so
     # count rows just for those (at most two keys per partition) instead of
@@ -169,7 +170,7 @@ def prefix_sum(df: DataFrame, order_by: Sequence[Column], value, name: str = "pr
     by default (the total of the rows strictly before)."""
     v = F.coalesce(_c(value), F.lit(0))
     upper = Window.currentRow if inclusive else -1
-    r = _ranged(df, list(order_by), partitions)
+    r = ranged(df, list(order_by), partitions)
     local = F.coalesce(F.sum(v).over(Window.partitionBy("_pid").orderBy("_mid")
                                      .rowsBetween(Window.unboundedPreceding, upper)), F.lit(0))
     totals = r.groupBy("_pid").agg(F.sum(v).alias("_tot"))

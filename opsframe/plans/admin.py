@@ -40,7 +40,7 @@ def r25_user_groups(t: Tables) -> DataFrame:
     return member_join(users, "usesysid", groups, "grolist").select("usename", "groname")
 
 
-def r26_column_acls(t: Tables, relnames=("nation_1", "nation_10", "nation_3")) -> DataFrame:
+def r26_column_acls(t: Tables, relnames=("supplier#000000001", "supplier#000000010", "supplier#000000003")) -> DataFrame:
     """R26 (J1, F3, F6, O3): columns with their own access list."""
     b = S.column_acls(t)
     c = S.acl_objects(t).select("oid", "relname")

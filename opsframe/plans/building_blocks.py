@@ -45,9 +45,9 @@ def j9_not_in_with_null(t: Tables) -> DataFrame:
 
 
 def j14_names_inside_names(t: Tables) -> DataFrame:
-    """Nation names containing another nation name as a LIKE pattern."""
-    a = t["nation"].select(F.col("n_name").alias("text_name"))
-    b = t["nation"].select(F.col("n_name").alias("pattern_name"))
+    """Customer names that contain a supplier's number, its last digit left open (a LIKE pattern)."""
+    a = t["customer"].select(F.col("c_name").alias("text_name"))
+    b = t["supplier"].select(F.concat(F.lit("#"), F.substring("s_name", 10, 8), F.lit("_")).alias("pattern_name"))
     return contains_join(a, "text_name", b, "pattern_name")
 
 
@@ -104,9 +104,9 @@ def t7_events_per_local_day(t: Tables, zone="America/new_york") -> DataFrame:
 
 
 def u1_object_names(t: Tables) -> DataFrame:
-    """Region names UNION nation names."""
-    return union_distinct(t["region"].select(F.col("r_name").alias("name")),
-                          t["nation"].select(F.col("n_name").alias("name")))
+    """Names of suppliers UNION names of the suppliers that lines name."""
+    named = F.concat(F.lit("Supplier#"), F.lpad(F.col("l_suppkey").cast("string"), 9, "0"))
+    return union_distinct(t["supplier"].select(F.col("s_name").alias("name")), t["lineitem"].select(named.alias("name")))
 
 
 def f14_flagged_lines(t: Tables) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzero, to_int
 from opsframe.operators.joins import join_earlier, left_join_where, star_left
+from opsframe.operators.prefix import summary_of_earlier
 from opsframe.operators.windows import prefix_sum, row_numbers, surrogate_number
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
@@ -164,6 +165,23 @@ def remote_recon_site_total_recon(t: Tables, passed_since="1996-01-01", how: str
     return j.select("inventoryid", "recon_site", "actual_recon_cost")
 
 
+def remote_costs(t: Tables, passed_since="1996-01-01") -> DataFrame:
+    """(rr_inv, rr, rr_n): per inventory the number of its remote rows (``remote_recon_site_total_recon``) and the two smallest
+    different costs among them, without the rows: every inventory record asks what its VIN's later remote records add up to."""
+    remote = S.remote_recon(t).filter(F.col("actual_recon_cost").isNotNull() & (F.coalesce("rqc_pass_date", "zoned_date") >= _day(passed_since)))
+    remote = remote.select("vin", "created_time", F.col("actual_recon_cost").cast("double").alias("cost"))
+    inv = S.inventory(t).select(F.col("vin").alias("inv_vin"), "inventoryid", "tdapurchaseddate")
+    found = summary_of_earlier(inv, remote, [("inv_vin", "vin")], "tdapurchaseddate", "created_time", "cost", strict=True, later=True)
+    found = found.filter("n > 0")
+    counts = found.groupBy("inventoryid").agg(F.sum("n").alias("rr_n"))
+    # of an inventory with several records, the two smallest of their two smallest
+    apart = found.select("inventoryid", F.explode("least").alias("remote")).distinct()
+    first = Window.partitionBy("inventoryid").orderBy("remote")
+    two = (apart.withColumn("_rn", F.row_number().over(first)).filter("_rn <= 2").groupBy(F.col("inventoryid").alias("rr_inv"))
+           .agg(F.array_sort(F.collect_list(F.struct("remote"))).alias("rr")))
+    return two.join(counts, F.col("rr_inv") == F.col("inventoryid")).drop("inventoryid")
+
+
 def vl_reported_costs(t: Tables, purchased_since="1996-01-01") -> DataFrame:
     vlc = S.cost_summary(t).alias("vlc")
     inv = S.inventory(t).filter(F.col("tdapurchaseddate") >= _day(purchased_since)).alias("inv")  # J7
@@ -255,9 +273,7 @@ def recon_model(t: Tables, settings: ReconSettings = ReconSettings()) -> DataFra
            .groupBy(F.col("inventoryid").alias("snl_inv")).agg(F.count(F.lit(1)).alias("snl_n")))
     exp = inventory_clean_expense(t).withColumnRenamed("inventoryid", "exp_inv")
     dates = recon_dates(t, settings).withColumnRenamed("inventoryid", "ivl_inv")
-    rr = remote_recon_site_total_recon(t, passed_since=settings.passed_since, how="inner")
-    rr = _two_smallest(rr.select(F.col("inventoryid").alias("rr_inv"), "actual_recon_cost"), "rr_inv",
-                       F.struct(F.col("actual_recon_cost").cast("double").alias("remote")), "remote", "rr")
+    rr = remote_costs(t, settings.passed_since)
     cc = (concessions_costs(t, settings.excluded_vendor, settings.type_pattern, settings.task_ids)
           .groupBy(F.col("inventoryid").alias("cc_inv"))
           .agg(F.min(nvl(F.col("actual_customer_concession_cost"), 0).cast("double")).alias("conc"), F.count(F.lit(1)).alias("cc_n")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.plans import admin, basic, building_blocks as bb, crm, field_service as fs, qa, recon
+from opsframe.plans import admin, basic, building_blocks as bb, crm, field_service as fs, qa, recon, stored
 from opsframe.sources.tables import Tables
 
 REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
@@ -86,6 +86,18 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "s3_role_reference": bb.s3_role_reference,
     "s7_appended_orders": bb.s7_appended_orders,
     "u1_object_names": bb.u1_object_names,
+    "s4_clustered_lookup": stored.s4_clustered_lookup,
+    "s4_bloom_lookup": stored.s4_bloom_lookup,
+    "s6_typed_documents": stored.s6_typed_documents,
+    "s6_rejected_documents": stored.s6_rejected_documents,
+    "s7_repeated_batches": stored.s7_repeated_batches,
+    "s9_refreshed_balances": stored.s9_refreshed_balances,
+    "s10_updated_files": stored.s10_updated_files,
+    "j3_bucketed_driver_day": stored.j3_bucketed_driver_day,
+    "j3_bucketed_appointments": stored.j3_bucketed_appointments,
+    "j5_earlier_lines_summary": stored.j5_earlier_lines_summary,
+    "w4_stable_ids": stored.w4_stable_ids,
+    "r14_repeated_inventory": stored.r14_repeated_inventory,
 }
 
 

@@ -41,7 +41,7 @@ def service_appointments(t: Tables) -> DataFrame:
         F.concat(F.lit("SA-"), _s("o_orderkey")).alias("appointment_number"),
         F.col("o_orderkey").alias("parent_record_id"),
         F.col("o_custkey").alias("account_id"),
-        F.concat(F.lit("TRK-"), _s(F.col("o_custkey") % 40)).alias("truck_number_c"),
+        F.concat(F.lit("TRK-"), _s(F.dayofyear("o_orderdate") % 40)).alias("truck_number_c"),
         F.lpad(_s((F.col("o_custkey") * 37) % 100000), 5, "0").alias("postal_code"),
         F.when(F.col("o_orderstatus") == "F", "Completed").otherwise("Scheduled").alias("status"),
         F.col("o_orderdate").alias("created_date"),
@@ -612,40 +612,36 @@ def member_users(t: Tables) -> DataFrame:
 
 
 def acl_objects(t: Tables) -> DataFrame:
-    """pg_class stand-in: one object per nation with an access list."""
-    n, r = t["nation"], t["region"]
-    letters = F.substring(F.lit("rwadRxtXUCT"), F.lit(1), (F.col("n_nationkey") % 11 + 1).cast("int"))
-    acl = F.array(F.concat(F.col("n_name"), F.lit("="), letters, F.lit("/"), F.lower("r_name")),
-                  F.concat(F.lit("group "), F.col("r_name"), F.lit("=r/"), F.lower("r_name")))
-    j = n.join(r, n.n_regionkey == r.r_regionkey)
-    return j.select(F.col("n_nationkey").alias("oid"),
-                    F.lower("n_name").alias("relname"),
-                    F.lit("r").alias("relkind"),
-                    F.col("n_regionkey").alias("relowner"),
-                    F.col("n_regionkey").alias("relnamespace"),
-                    F.when(F.col("n_nationkey") % 6 != 5, acl).alias("relacl"))
+    """pg_class stand-in: one object per supplier, owned by its nation, with an access list for the nation and the supplier."""
+    s, n = t["supplier"], t["nation"]
+    letters = F.substring(F.lit("rwadRxtXUCT"), F.lit(1), (F.col("s_suppkey") % 11 + 1).cast("int"))
+    acl = F.array(F.concat(F.col("n_name"), F.lit("="), letters, F.lit("/"), F.lower("n_name")),
+                  F.concat(F.lit("group "), F.col("s_name"), F.lit("=r/"), F.lower("n_name")))
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(
+        F.col("s_suppkey").alias("oid"), F.lower("s_name").alias("relname"), F.lit("r").alias("relkind"),
+        F.col("s_nationkey").alias("relowner"), F.col("s_nationkey").alias("relnamespace"),
+        F.when(F.col("s_suppkey") % 6 != 5, acl).alias("relacl"))
 
 
 def acl_users(t: Tables) -> DataFrame:
-    r = t["region"]
-    return r.select(F.col("r_regionkey").alias("usesysid"), F.lower("r_name").alias("usename"))
+    return t["nation"].select(F.col("n_nationkey").alias("usesysid"), F.lower("n_name").alias("usename"))
 
 
 def acl_namespaces(t: Tables) -> DataFrame:
-    r = t["region"]
-    return r.select(F.col("r_regionkey").alias("oid"), F.concat(F.lit("ns_"), F.lower("r_name")).alias("nspname"))
+    return t["nation"].select(F.col("n_nationkey").alias("oid"), F.concat(F.lit("ns_"), F.lower("n_name")).alias("nspname"))
 
 
 def acl_groups(t: Tables) -> DataFrame:
-    n = t["nation"]
-    return n.select(F.col("n_name").alias("groname"), F.array(F.col("n_regionkey")).alias("grolist"))
+    """Groups: one per nation and one per supplier."""
+    of_nations = t["nation"].select(F.col("n_name").alias("groname"), F.array(F.col("n_nationkey").cast("long")).alias("grolist"))
+    return of_nations.unionByName(t["supplier"].select(F.col("s_name").alias("groname"), F.array(F.col("s_suppkey")).alias("grolist")))
 
 
 def column_acls(t: Tables) -> DataFrame:
-    """Column-level access lists: one column per supplier on its nation."""
-    s = t["supplier"]
-    acl = F.when(F.col("s_acctbal") > 5000, F.array(F.concat(F.lit("u"), _s("s_suppkey"), F.lit("=r/owner"))))
-    return s.select(F.col("s_nationkey").alias("attrelid"), F.col("s_name").alias("attname"), acl.alias("attacl"))
+    """Column-level access lists: one column per line on its supplier's object."""
+    li = t["lineitem"]
+    acl = F.when(F.col("l_tax") >= 0.05, F.array(F.concat(F.lit("u"), _s("l_partkey"), F.lit("=r/owner"))))
+    return li.select(F.col("l_suppkey").alias("attrelid"), F.concat_ws("_", F.lit("c"), _s("l_orderkey"), _s("l_linenumber")).alias("attname"), acl.alias("attacl"))
 
 
 def customers(t: Tables) -> DataFrame:

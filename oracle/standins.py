@@ -5,7 +5,7 @@ STANDINS: dict[str, str] = {
     "service_appointments": """select o_orderkey as id,
         'SA-' || cast(o_orderkey as varchar) as appointment_number,
         o_orderkey as parent_record_id, o_custkey as account_id,
-        'TRK-' || cast(o_custkey % 40 as varchar) as truck_number_c,
+        'TRK-' || cast(dayofyear(o_orderdate) % 40 as varchar) as truck_number_c,
         lpad(cast((o_custkey * 37) % 100000 as varchar), 5, '0') as postal_code,
         case when o_orderstatus = 'F' then 'Completed' else 'Scheduled' end as status,
         o_orderdate as created_date,
@@ -190,17 +190,17 @@ STANDINS: dict[str, str] = {
     "catalog_groups": """select 'grp_' || cast(o_orderkey as varchar) as groname,
         [o_custkey, o_custkey + o_orderkey % 3, o_custkey] as grolist from orders""",
     "member_users": "select c_custkey as usesysid, c_name as usename from customer",
-    "acl_objects": """select n_nationkey as oid, lower(n_name) as relname, 'r' as relkind, n_regionkey as relowner,
-        n_regionkey as relnamespace,
-        case when n_nationkey % 6 != 5 then
-          [n_name || '=' || substring('rwadRxtXUCT', 1, cast(n_nationkey % 11 + 1 as integer)) || '/' || lower(r_name),
-           'group ' || r_name || '=r/' || lower(r_name)] end as relacl
-        from nation join region on n_regionkey = r_regionkey""",
-    "acl_users": "select r_regionkey as usesysid, lower(r_name) as usename from region",
-    "acl_namespaces": "select r_regionkey as oid, 'ns_' || lower(r_name) as nspname from region",
-    "acl_groups": "select n_name as groname, [n_regionkey] as grolist from nation",
-    "column_acls": """select s_nationkey as attrelid, s_name as attname,
-        case when s_acctbal > 5000 then ['u' || cast(s_suppkey as varchar) || '=r/owner'] end as attacl from supplier""",
+    "acl_objects": """select s_suppkey as oid, lower(s_name) as relname, 'r' as relkind, s_nationkey as relowner,
+        s_nationkey as relnamespace,
+        case when s_suppkey % 6 != 5 then
+          [n_name || '=' || substring('rwadRxtXUCT', 1, cast(s_suppkey % 11 + 1 as integer)) || '/' || lower(n_name),
+           'group ' || s_name || '=r/' || lower(n_name)] end as relacl
+        from supplier join nation on s_nationkey = n_nationkey""",
+    "acl_users": "select n_nationkey as usesysid, lower(n_name) as usename from nation",
+    "acl_namespaces": "select n_nationkey as oid, 'ns_' || lower(n_name) as nspname from nation",
+    "acl_groups": "select n_name as groname, [cast(n_nationkey as bigint)] as grolist from nation union all select s_name, [s_suppkey] from supplier",
+    "column_acls": """select l_suppkey as attrelid, 'c_' || l_orderkey || '_' || l_linenumber as attname,
+        case when l_tax >= 0.05 then ['u' || cast(l_partkey as varchar) || '=r/owner'] end as attacl from lineitem""",
     "customers": """select c_custkey as customerid, c_name as customername,
         cast(c_nationkey + 10 as varchar) || '-' || cast(c_custkey as varchar) as phone, c_nationkey as nationid,
         c_mktsegment as marketsegment, c_acctbal as accountbalance from customer""",

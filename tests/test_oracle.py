@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as E
 from opsframe.plans.registry import REPORTS
 from opsframe.sources.tables import BASE_TABLES
-from tools.check_oracle import bag
+from oracle.queries import ORDERED
+from tools.check_oracle import bag, in_order
 
 from .conftest import SF_SMALL
 
@@ -39,6 +40,8 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert bag(srows, df.columns) == bag(drows, dcols)
+    if name in ORDERED:
+        assert in_order(srows, df.columns, ORDERED[name]) == in_order(drows, dcols, ORDERED[name])
 
 
 def test_entry_smoke(spark):

@@ -61,7 +61,9 @@ def test_recon_model_keeps_one_row_when_inputs_repeat(spark, monkeypatch):
     monkeypatch.setattr(recon, "recon_dates", lambda t, s: frame(
         dates, "inventoryid long, first_recon_tasked_date timestamp_ntz, first_recon_date timestamp_ntz, last_recon_date timestamp_ntz"))
     monkeypatch.setattr(recon, "vl_reported_costs", lambda t, **kw: frame(vlc, "inventoryid long, totallaborcost double, totalpartscost double, totalcosts double"))
-    monkeypatch.setattr(recon, "remote_recon_site_total_recon", lambda t, **kw: frame([(i, "s", c) for i, c in rr], "inventoryid long, recon_site string, actual_recon_cost double"))
+    of = {i: [c for k, c in rr if k == i] for i, _ in rr}
+    monkeypatch.setattr(recon, "remote_costs", lambda t, since: frame(
+        [(i, [(c,) for c in sorted(set(cs))[:2]], len(cs)) for i, cs in of.items()], "rr_inv long, rr array<struct<remote:double>>, rr_n long"))
     monkeypatch.setattr(recon, "concessions_costs", lambda t, *a: frame(cc, "inventoryid long, actual_customer_concession_cost double"))
 
     nulls = lambda x: math.inf if x is None else x
@@ -84,3 +86,30 @@ def test_recon_model_keeps_one_row_when_inputs_repeat(spark, monkeypatch):
                            r.actual_customer_concession_cost, nulls(r.vlc_total_labor_cost), nulls(r.vlc_total_parts_cost), nulls(r.vlc_total_costs))
            for r in recon.r11_recon_cost(None).collect()}
     assert got == want and recon.r14_unique_inventory(None).count() == 0
+
+
+def test_remote_costs_equal_those_of_the_pairs(spark, monkeypatch):
+    """Counts and two smallest costs per inventory are those of all (remote, inventory) pairs; half of all rows have one VIN, and
+    no pair is made."""
+    import datetime as dt
+    import random
+
+    from opsframe.plans import recon
+    from opsframe.plans.recon import S
+
+    rng = random.Random(4)
+    day = lambda: dt.datetime(1996, 1, 1) + dt.timedelta(days=rng.randint(0, 60))
+    vin = lambda: rng.choice(["hot", *[f"v{k}" for k in range(40)]] + ["hot"] * 40)
+    inv = [(vin() if k % 17 else None, k % 300, day() if k % 13 else None) for k in range(400)]
+    remote = [(vin() if k % 19 else None, day() if k % 23 else None, float(rng.randint(0, 30)) if k % 7 else None, day(), None, "s") for k in range(500)]
+    monkeypatch.setattr(S, "inventory", lambda t: spark.createDataFrame(inv, "vin string, inventoryid long, tdapurchaseddate timestamp_ntz"))
+    monkeypatch.setattr(S, "remote_recon", lambda t: spark.createDataFrame(
+        remote, "vin string, created_time timestamp_ntz, actual_recon_cost double, rqc_pass_date timestamp_ntz, zoned_date timestamp_ntz, recon_site string"))
+    pairs = {}
+    for r in recon.remote_recon_site_total_recon(None, how="inner").collect():
+        pairs.setdefault(r.inventoryid, []).append(r.actual_recon_cost)
+    found = recon.remote_costs(None)
+    got = {r.rr_inv: (r.rr_n, [x.remote for x in r.rr]) for r in found.collect()}
+    assert got == {i: (len(cs), sorted(set(cs))[:2]) for i, cs in pairs.items()} and sum(map(len, pairs.values())) > 10_000
+    plan = found._jdf.queryExecution().toString()
+    assert "created_time" not in plan.split("Physical Plan")[-1]  # what is joined there comes from the pinned order
