@@ -138,3 +138,56 @@ def tree_scores(docs: list[tuple[str | None, bool]], pseudo: float, penalty: flo
             states[context] = p
     return [(len(w), sum(count[x] > 0 for x in w), sum(math.log10(root(x)) for x in w),
              sum(math.log10(state(tuple(w[max(0, k - 2):k]))(x)) for k, x in enumerate(w))) for w in rows]
+
+
+def secrets(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, kind, stop) of the base kinds: all matches of the stated expressions, those that are too short dropped."""
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    keys = assign[1:assign.index(")")]
+    assign = assign.replace(keys, "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in keys))
+    found = []
+    for kind, (pattern, group, least) in enumerate([(assign, 2, 8), ("AKIA[A-Z0-9]+", 0, 16), ("[0-9a-f]+", 0, 32)]):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(found)
+
+
+def collocations(docs: list[tuple[str | None, str | None]], words: int, least: int, share: int, first: int) -> list[tuple]:
+    freq: dict[str, Counter] = defaultdict(Counter)
+    total: Counter = Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for m in range(1, words + 1):
+                freq[lang].update(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    out = []
+    for lang, f in freq.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longer: Counter = Counter()
+        for p, a in candidates.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    longer[p[i:i + m]] = max(longer[p[i:i + m]], a)
+        rows = []
+        for p, a in candidates.items():
+            if p in longer and 100 * longer[p] >= share * a:
+                continue
+            score, k = min((1000000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(rows)[:first], 1):
+            out.append((lang, rank, phrase.decode(), -a, l, r, total[lang], -score))
+    return out
+
+
+def hard_negatives(rows: dict[int, tuple[list[int], int]], anchors: list[int], positives: int, negatives: int, share: int) -> set[tuple]:
+    """``rows``: id to integer vector and label."""
+    out = set()
+    for a in anchors:
+        vector, label = rows[a]
+        score = {i: sum(x * y for x, y in zip(vector, v)) for i, (v, _) in rows.items() if i != a}
+        ranked = sorted(score, key=lambda i: (-score[i], i))
+        for p in [i for i in ranked if rows[i][1] == label][:positives]:
+            inside = [i for i in ranked if rows[i][1] != label and share * score[p] <= 100 * score[i] <= 100 * score[p]]
+            out |= {(a, p, rank, n, score[p], score[n]) for rank, n in enumerate(inside[:negatives], 1)}
+    return out

@@ -175,6 +175,16 @@ def test_top_k_is_exact(spark):
     assert not got
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    of = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_k(of([(0, [1e17, 1.0]), (1, [1e17, 2.0])]), F.col("id") == 0, k=5)
+    with pytest.raises(ValueError, match="64-bit"):
+        topk.top_k(of([(0, [-1e9, 1.0]), (1, [1.0, 2.0])]), F.col("id") == 0, k=5)
+    got = topk.top_k(of([(0, [4e6, 1.0]), (1, [-4e6, 2.0])]), F.col("id") == 0, k=5).collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, -(256 * 4_000_000) ** 2 + 256 * 512)]
+
+
 def test_neighbours(spark):
     rows = vectors()
     known = usable(rows, False)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,21 @@ def test_line_dedup(spark, docs):
         assert null.text is None and null.n_lines == 0 and null.n_removed == 0 and (null.cut, null.row) == ("c", "r")
 
 
+def test_rows_equal_in_id_and_text_are_one_document(spark):
+    """Their suffixes are there once, however many rows there are."""
+    text = "\n".join(f"a line that is long enough to count {k}" for k in range(6))
+    sizes = []
+    for copies in (10, 1000):
+        rows = [(None, text)] * copies + [(1, text), (2, "one\ntwo")]
+        docs = frame(spark, rows)
+        lines = line_dedup.line_ids(docs)
+        sizes.append([found.count() for _, found in line_dedup.repeated_suffixes(lines, 2)])
+        got = line_dedup.deduplicated(docs).collect()
+        assert len(got) == copies + 2
+        assert {(r.doc_id, r.text) for r in got} == {(None, ""), (1, text), (2, "one\ntwo")}
+    assert sizes[0] == sizes[1]
+
+
 def test_suffix_ranks_are_in_order(spark):
     rows = [(1, "b\na\nb\na"), (2, "a\nb\na\nc"), (3, "b\na")]
     lines = line_dedup.line_ids(frame(spark, rows))
@@ -201,6 +217,33 @@ def test_toxicity_held_out(spark):
     assert sorted(key(r.doc_id) for r in kept.collect()) == sorted(key(r.id) for r in got if r.score < 0.3)
 
 
+def test_toxicity_learns_from_long_documents(spark):
+    """Labelled texts of any length count, and so does the end of a long one."""
+    docs, labels = labelled()
+    filler = "some quiet words that say nothing at all about anyone " * 700
+    long = [(i, (filler + " " + (t + " ") * 40 if i % 2 else (t + " ") * 40 + filler)) for i, t in docs]
+    assert min(len(t) for _, t in long) > toxicity.MAX_CHARS
+    model = toxicity.fit(spark.createDataFrame(long, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    found = {r.id: r.score for r in toxicity.scores(spark.createDataFrame(long, "doc_id long, text string"), model).collect()}
+    marked = {i: m for i, _, m in labels if m is not None}
+    pairs = [(found[i] > found[j]) for i in marked for j in marked if i in found and j in found and marked[i] == 1 and marked[j] == 0]
+    assert np.mean(pairs) > 0.9
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """One row for an id, however often it is there; labels without a document take no place in the sample."""
+    docs, labels = labelled()
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 30)
+    monkeypatch.setattr(toxicity, "MAX_ORDINARY", 40)
+    seen = []
+    plain = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary: seen.append((len(toxic), len(ordinary))) or plain(toxic, ordinary))
+    again = [(labels[0][0], f"{k} words of a row with the same id") for k in range(2000)]
+    absent = [(10**6 + k, 0, k % 2) for k in range(3000)]
+    toxicity.fit(spark.createDataFrame(docs + again, "doc_id long, text string"), spark.createDataFrame(labels + absent, "doc_id long, quality int, toxic int"))
+    assert seen[-1] == (30, 40)
+
+
 def test_toxicity_without_both_labels(spark):
     docs, labels = labelled(20)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
