@@ -54,7 +54,7 @@ def indexed_rows(rows: DataFrame, id_col: str, vector: str, label: Column, scale
     one = found.groupBy("id").agg(F.min(F.struct("vector", "label")).alias("row"))
     known = table(one.select("id", "row.label", "row.vector"), "clean")
     width, top = known.agg(F.max(F.size("vector")), F.max(F.array_max(F.transform("vector", F.abs)))).first()
-    if top is not None and (top * scale + 1) ** 2 * width >= 2 ** 62:
+    if top is not None and (top * abs(scale) + 1) ** 2 * width >= 2 ** 62:  # a factor of two for what doubles round off
         raise ValueError(f"a component of {top} times {scale} in {width} dimensions may pass 64-bit scores")
     return known.select("id", "label", F.transform("vector", lambda x: F.floor(x * scale).cast("long")).alias("weights"))
 
