@@ -13,7 +13,7 @@ Defined cases: vectors null or holding null or non-finite components take no par
 null id; of rows with one id the smallest vector stands for it; shorter vectors count as ending in
 zeros, an empty one scores 0 with all; ties go to the smaller id; with fewer than k other
 rows all come; extra columns are ignored; an empty table gives no rows. Weights and scores are
-64-bit integers; components must stay below 2**31 in absolute value.
+64-bit integers: if the largest weight, squared, times the longest vector's length may pass 2**63, ValueError is raised.
 """
 
 from __future__ import annotations
@@ -68,8 +68,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vec
     """(query_id, rank, vec_id, score) of the k best rows of each query. ``is_query`` is a condition on
     the column ``id``; weights are floor(scale * component)."""
     weights = F.transform("vector", lambda x: F.floor(x * scale).cast("long"))
-    known = table(clean(rows, id_col, vector).select("id", weights.alias("weights")), "weights")
-    n, asked = known.count(), known.filter(is_query)
+    largest_part = F.array_max(F.transform("vector", F.abs))
+    known = table(clean(rows, id_col, vector).select("id", weights.alias("weights"), largest_part.alias("top")), "weights")
+    n, top, width = known.agg(F.count("id"), F.max("top"), F.max(F.size("weights"))).first()
+    if top is not None and (top * abs(scale) + 1) ** 2 * width >= 2 ** 62:  # a factor of two for what doubles round off
+        raise ValueError(f"a component of {top} times {scale} in {width} dimensions may pass 64-bit scores")
+    known = known.drop("top")
+    asked = known.filter(is_query)
     blocks = max(1, -(-asked.count() // BLOCK))
     sections = max(parts(rows.sparkSession), -(-n // SECTION))
     deal = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
