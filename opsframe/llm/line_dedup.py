@@ -47,7 +47,7 @@ def line_ids(docs: DataFrame, id_col: str = "doc_id", text: str = "text", long_l
             .select(*_KEY, "pos", F.unhex(F.md5("_line")).alias("line"), (F.char_length("_line") >= long_line).alias("long")))
 
 
-def _ranked(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _ranked(suffixes: DataFrame, keys: list[str], name: str, once: bool = False) -> DataFrame:
     """Suffixes that share their ``keys`` with another, with the keys' rank in
     order and the first of the suffixes that share them."""
     first = F.min(F.struct(*_KEY, "pos")).alias("first")
@@ -59,13 +59,15 @@ def _ranked(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
     offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     inside = sent.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
     ranks = inside.join(F.broadcast(offsets), "part").select(*keys, "first", (F.col("place") + F.col("offset")).alias("place"))
-    return table(suffixes.join(ranks, keys).drop(*keys).withColumnRenamed("place", "rank"), name)
+    ranked = suffixes.join(ranks, keys).drop(*keys).withColumnRenamed("place", "rank")
+    # rows equal in id and text are one document; only what is shared is looked through for them
+    return table(ranked.dropDuplicates([*_KEY, "pos"]) if once else ranked, name)
 
 
 def repeated_suffixes(lines: DataFrame, depth: int) -> list[tuple[int, DataFrame]]:
     """[(prefix length, (_id, _text, pos, long, rank, first))] for each doubling
     up to ``depth``: the suffixes that share that many lines with another."""
-    at, found = 1, [(1, _ranked(lines, ["line"], "ranks"))]
+    at, found = 1, [(1, _ranked(lines, ["line"], "ranks", once=True))]
     while at < depth:
         step = min(at, depth - at)  # the last step may overlap
         here = found[-1][1]
