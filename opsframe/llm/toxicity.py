@@ -1,8 +1,8 @@
 """Operator 4: toxicity by compression distance with two zstandard dictionaries.
 
-*Fitting* uses a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY``
-documents, in order of a hash of the id, of at most ``MAX_CHARS`` characters; the only bound on
-data here). One dictionary is trained on ordinary text. The other is trained on toxic
+*Fitting* uses a bounded sample of labelled rows: ``MAX_TOXIC`` and ``MAX_ORDINARY``
+documents, in order of a hash of the id, one row for each id. A text of more than ``MAX_CHARS`` characters is represented there by
+``PIECES`` pieces of it, evenly spread from its start to its end. Nothing else here is bounded. One dictionary is trained on ordinary text. The other is trained on toxic
 text: on those words of it that recur among toxic documents and are at least
 ``CONTRAST`` times as frequent there, set before the same ordinary content. Windows of ordinary text
 then compress alike under both, and a window with toxic words is shorter under the toxic one.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from opsframe.llm.chunks import table
 
 #: The bound of the sample that the classifier is fitted on.
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1500, 3000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, PIECES = 1500, 3000, 20_000, 10
 WINDOW = 64
 LEVEL = 5
 SHARED_BYTES, TOXIC_BYTES = 15 << 10, 768
@@ -141,16 +141,26 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mean, spread, w
 
 
+def _represented(body: Column) -> Column:
+    """The text itself, or ``PIECES`` pieces of a text that is too long, from its start to its end."""
+    size = MAX_CHARS // PIECES
+    at = [F.floor((F.char_length(body) - size) * (i / (PIECES - 1))).cast("int") + 1 for i in range(PIECES)]
+    return F.when(F.char_length(body) <= MAX_CHARS, body).otherwise(F.concat_ws(" ", *[F.substring(body, a, size) for a in at]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """``usable``: a condition on the column ``key`` (the id) for labels that may be learned from."""
     marks = labels.select(F.col(id_col).alias("key"), F.col(label).cast("int").alias("mark")).filter("key is not null and mark in (0, 1)")
     marks = (marks if usable is None else marks.filter(usable)).groupBy("key").agg(F.max("mark").alias("mark"))
+    bodies = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    marks = table(marks.join(bodies.select("key").distinct(), "key", "left_semi"), "marks")  # labels that have a document
     order = [F.xxhash64("key"), F.col("key")]
     chosen = (marks.filter("mark = 1").orderBy(*order).limit(MAX_TOXIC)
               .union(marks.filter("mark = 0").orderBy(*order).limit(MAX_ORDINARY)))
-    bodies = docs.select(F.col(id_col).alias("key"), F.col(text).cast("string").alias("body")).filter(F.char_length("body") <= MAX_CHARS)
-    sample = table(bodies.join(F.broadcast(chosen), "key")  # at most MAX_TOXIC + MAX_ORDINARY rows
-                   .select("body", "mark", F.xxhash64("key").bitwiseAND(F.lit(1 << 20)).cast("boolean").alias("fold")), "sample")
+    found = bodies.join(F.broadcast(chosen), "key").select("key", "mark", _represented(F.col("body")).alias("body"))
+    # of rows with one id the one with the smallest hash: at most MAX_TOXIC + MAX_ORDINARY rows
+    one = found.groupBy("key", "mark").agg(F.min(F.struct(F.xxhash64("body"), "body"))["body"].alias("body"))
+    sample = table(one.select("body", "mark", F.xxhash64("key").bitwiseAND(F.lit(1 << 20)).cast("boolean").alias("fold")), "sample")
     rows = sample.orderBy(F.xxhash64("body"), "body").collect()
     pick = lambda mark, folds: [r.body for r in rows if r.mark == mark and r.fold in folds]
     both = [(len(pick(1, [f])), len(pick(0, [f]))) for f in (False, True)]
