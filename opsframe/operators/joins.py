@@ -27,78 +27,28 @@ def _cond(left: DataFrame, right: DataFrame, on: Keys) -> Column:
     return reduce(and_, [left[a] == right[b] for a, b in _pairs(on)])
 
 
-# A right-side key with more rows than this is spread over SALT_BUCKETS
-# tasks by ``left_outer``. The plan is the same whether there is one or not.
-HOT_KEY_ROWS = 1_000_000
-SALT_BUCKETS = 64
-
-
 def left_outer(left: DataFrame, right: DataFrame, on: Keys, extra: Column | None = None,
-               first_right: Column | None = None, matches_first=None,
-               hot_rows: int = HOT_KEY_ROWS, buckets: int = SALT_BUCKETS) -> DataFrame:
-    """LEFT OUTER JOIN that survives a hot key on the *right* side, in one
-    pass over the left input.
-
-    AQE's skew handling may split only the left side of a left outer join,
-    so a key holding a third of the right rows would land in one task.
-    Here right keys with more than ``hot_rows`` rows are salted: each of
-    their right rows goes to one of ``buckets`` buckets, each of their left
-    rows is repeated once per bucket, and the join runs on (key, bucket).
-    Every matching pair then meets exactly once, spread over ``buckets``
-    tasks. A repeated left row can meet an empty bucket; those null rows
-    are dropped, keeping one (bucket 0) only for a left row with no match
-    at all. With ``extra`` (a condition beyond the keys) that is decided
-    from ``first_right``, an aggregate over the key's right rows such as
-    ``min(t)``, and ``matches_first(frame, agg)``, which says whether a
-    left row matches given it.
-
-    The hot keys come from one aggregate of the right keys and are joined
-    like any table (adaptive execution broadcasts them when they are few).
+               first_right: Column | None = None, matches_first=None) -> DataFrame:
+    """LEFT OUTER JOIN that survives a hot key on either side.
+
+    Adaptive execution may split only the left side of a left outer join, so a key holding a third of the right rows would
+    land in one task. An inner join it splits on both sides. So the matches come from an inner join, and the
+    left rows without one from an anti-join against one row per right key (a partial aggregate). Both take the left side in the same
+    partitioning, which is shuffled once. With ``extra`` (a condition beyond the keys) that row holds ``first_right``, an
+    aggregate over the key's right rows such as ``min(t)``, and ``matches_first(left, agg)`` says whether a left row matches given it.
 
     Column names of the two sides must be distinct.
     """
-    pairs = _pairs(on)
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"left_outer needs distinct column names, both sides have {sorted(clash)}")
-    rkeys = [b for _, b in pairs]
-    aggs = [F.count(F.lit(1)).alias("_lo_n")]
-    if extra is not None:
-        aggs.append(first_right.alias("_lo_first"))
-    per_key = right.groupBy(*rkeys).agg(*aggs)
-    hot = per_key.filter(F.col("_lo_n") > hot_rows).select(
-        *[F.col(k).alias(f"_lo_h{i}") for i, k in enumerate(rkeys)], F.lit(True).alias("_lo_hot"))
-
-    def tag(df: DataFrame, cols: list[str]) -> DataFrame:
-        cond = None
-        for i, c in enumerate(cols):
-            e = df[c] == hot[f"_lo_h{i}"]
-            cond = e if cond is None else cond & e
-        return df.join(hot, cond, "left").drop(*[f"_lo_h{i}" for i in range(len(cols))])
-
-    L = tag(left, [a for a, _ in pairs]).withColumn("_lo_lhot", F.coalesce(F.col("_lo_hot"), F.lit(False))).drop("_lo_hot")
-    if extra is not None:
-        firsts = per_key.select(*[F.col(k).alias(f"_lo_f{i}") for i, k in enumerate(rkeys)], "_lo_first")
-        fcond = None
-        for i, (a, _) in enumerate(pairs):
-            e = L[a] == firsts[f"_lo_f{i}"]
-            fcond = e if fcond is None else fcond & e
-        L = L.join(firsts, fcond, "left").drop(*[f"_lo_f{i}" for i in range(len(pairs))])
-        L = L.withColumn("_lo_has", F.coalesce(matches_first(L, F.col("_lo_first")), F.lit(False))).drop("_lo_first")
-    else:
-        L = L.withColumn("_lo_has", F.col("_lo_lhot"))
-    L = L.withColumn("_lo_salt", F.explode(
-        F.when(F.col("_lo_lhot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))))
-    R = tag(right, rkeys)
-    R = R.withColumn("_lo_rsalt", F.when(F.coalesce(F.col("_lo_hot"), F.lit(False)),
-                                         F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(buckets)))
-                     .otherwise(F.lit(0)).cast("int")).drop("_lo_hot").withColumn("_lo_r", F.lit(True))
-    cond = _cond(L, R, on) & (L["_lo_salt"] == R["_lo_rsalt"])
-    if extra is not None:
-        cond = cond & extra
-    j = L.join(R, cond, "left")
-    spurious = F.col("_lo_lhot") & F.col("_lo_r").isNull() & (F.col("_lo_has") | (F.col("_lo_salt") != 0))
-    return j.filter(~spurious).drop("_lo_lhot", "_lo_has", "_lo_salt", "_lo_rsalt", "_lo_r")
+    pairs = _pairs(on)
+    found = left.join(right, _cond(left, right, on) if extra is None else _cond(left, right, on) & extra, "inner")
+    keys = right.select(*[b for _, b in pairs]).distinct() if extra is None else right.groupBy(*[b for _, b in pairs]).agg(first_right.alias("_lo_first"))
+    keys = keys.select(*[F.col(b).alias(f"_lo_k{i}") for i, (_, b) in enumerate(pairs)], *([] if extra is None else ["_lo_first"]))
+    same = reduce(and_, [left[a] == keys[f"_lo_k{i}"] for i, (a, _) in enumerate(pairs)])
+    alone = left.join(keys, same if extra is None else same & matches_first(left, keys["_lo_first"]), "left_anti")
+    return found.unionByName(alone.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]))
 
 
 def star_left(spine: DataFrame, lookups: Sequence[tuple[DataFrame, Keys | Column]]) -> DataFrame:
@@ -135,7 +85,7 @@ def join_earlier(left: DataFrame, right: DataFrame, on: Keys, right_time: str, l
     fan-out is kept. Spark plans an equi-join on the keys with the
     inequality as a join filter. Written as ``left_outer``: the inner part
     lets AQE split a hot key on either side; left rows with no earlier
-    right row are found against the earliest right time per key.
+    right row are found by an anti-join against the earliest right time per key.
     """
     lt, rt = left[left_time], right[right_time]
     extra = (rt < lt) if strict else (rt <= lt)

@@ -101,22 +101,49 @@ def test_left_outer_equals_left_join_with_hot_right_key(spark):
     import pytest
 
     from opsframe.operators.joins import left_outer
-    left = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(60)], "k long, lt long")
+    left = spark.createDataFrame([(i % 7 if i % 5 else None, i if i % 11 else None) for i in range(60)], "k long, lt long")
     # key 0 holds a third of the right rows, some of them identical
-    right = spark.createDataFrame([(0 if i % 3 == 0 else i % 9, i if i % 2 else 7) for i in range(300)], "rk long, rt long")
-    for hot_rows in (1_000_000, 20):            # without and with hot keys
-        plain = left.join(right, left.k == right.rk, "left")
-        got = left_outer(left, right, [("k", "rk")], hot_rows=hot_rows, buckets=4)
-        assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
-        extra = right.rt <= left.lt
-        plain = left.join(right, (left.k == right.rk) & extra, "left")
-        got = left_outer(left, right, [("k", "rk")], extra, first_right=F.min("rt"),
-                         matches_first=lambda j, first: first <= j["lt"], hot_rows=hot_rows, buckets=4)
+    right = spark.createDataFrame([(0 if i % 3 == 0 else i % 9 if i % 13 else None, i if i % 2 else 7 if i % 17 else None) for i in range(300)], "rk long, rt long")
+    plain = left.join(right, left.k == right.rk, "left")
+    assert rows(left_outer(left, right, [("k", "rk")]), "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
+    for n in (300, 1):  # many right rows, and one
+        some = right.filter("rk = 3 and rt = 7") if n == 1 else right
+        extra = some.rt <= left.lt
+        plain = left.join(some, (left.k == some.rk) & extra, "left")
+        got = left_outer(left, some, [("k", "rk")], extra, first_right=F.min("rt"), matches_first=lambda j, first: first <= j["lt"])
         assert rows(got, "k", "lt", "rk", "rt") == rows(plain, "k", "lt", "rk", "rt")
     with pytest.raises(ValueError):
         left_outer(left, left, [("k", "k")])
 
 
+def test_left_outer_shuffles_the_left_side_once(spark):
+    from opsframe.operators.joins import left_outer
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows the reused exchange in the plan before it runs
+    try:
+        left, right = spark.range(1000).selectExpr("id as k", "id % 3 as v"), spark.range(5000).selectExpr("id % 700 as rk", "id as rt")
+        plan = left_outer(left, right, [("k", "rk")])._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in plan and "LeftOuter" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_texts_send_only_keys_that_names_have_picked(spark):
+    """Key rows of the texts are bounded by what the names can match, not by the texts' length."""
+    from opsframe.operators.joins import _text_keys, contains_keys
+    texts = spark.range(2000).select(F.col("id").alias("t"), F.concat(F.lit("some long text that all have, number "), F.format_string("%06d", "id")).alias("text"))
+    names = spark.createDataFrame([(0, "number 0012"), (1, "_00077"), (2, "no such name"), (3, "1999")], "n long, name string")
+    keys, choice = contains_keys(texts, "text", names, "name", "t", "n")
+    assert choice.count() == 3  # no text holds what the third name needs
+    every = texts.select(F.explode(_text_keys(F.col("text")))).count()
+    assert keys.count() < every / 50
+    plan = keys.groupBy("_g").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")  # the mask is applied below the shuffle
+    found = contains_join(texts, "text", names, "name").groupBy("n").count()
+    assert rows(found, "n", "count") == [(0, 100), (1, 11), (3, 1)]
+
+
 def test_contains_join_steps_over_wildcards(spark):
     texts = ["NATION_1", "NATION_12", "NATIONX7", "ab", "a", "", None, "x_y%z", "aXb", "back\\slash", "NATION_1"]
     names = ["NATION_1", "NATION_7", "N_T", "_", "%", "", "a_b", "ab", "y%z", "b", "__", None, "ION%1", "q"]
