@@ -6,7 +6,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import SparkSession
 
@@ -63,19 +65,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Paths of pinned tables that are not released yet, by application.
-_PINNED: dict[str, list[str]] = {}
+#: Paths of written intermediate tables that are not released yet, by application and thread, oldest first.
+_PINNED: dict[tuple[str, int], list[str]] = {}
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``pin`` has written for this application, once the frames
+def _mine(spark: SparkSession) -> tuple[str, int]:
+    return spark.sparkContext.applicationId, threading.get_ident()
+
+
+def pinned_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table, which ``release`` deletes."""
+    path = scratch_path(spark, name)
+    _PINNED.setdefault(_mine(spark), []).append(path)
+    return path
+
+
+def pinned(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables that this thread has written and not released yet, oldest first."""
+    return list(_PINNED.get(_mine(spark), []))
+
+
+def release(spark: SparkSession, keep: Collection[str] = ()) -> int:
+    """Delete the intermediate tables that this thread has written, but those to ``keep``, once the frames
     read from them are no longer needed; returns how many."""
-    paths = _PINNED.pop(spark.sparkContext.applicationId, [])
+    kept = set(keep)
+    paths = pinned(spark)
+    _PINNED[_mine(spark)] = [p for p in paths if p in kept]
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    gone = [p for p in paths if p not in kept]
+    for path in gone:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(hadoop).delete(where, True)
-    return len(paths)
+    return len(gone)
 
 
 def pin(df, name: str):
@@ -84,7 +105,6 @@ def pin(df, name: str):
     expressions (row ids, partition ids) stay fixed for every later read,
     including recomputation after a lost executor."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _PINNED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = pinned_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -3,7 +3,7 @@ import types
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.session import checkpoint_dir, pin, release
+from opsframe.session import checkpoint_dir, pin, pinned, release
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
@@ -28,6 +28,15 @@ def test_release_leaves_no_pinned_table(spark):
     assert release(spark) == 0
 
 
+def test_release_keeps_what_it_is_told_to(spark):
+    release(spark)
+    first = pin(spark.range(5), "first")
+    kept = pinned(spark)[-1]
+    pin(spark.range(6), "second")
+    assert release(spark, keep=[kept]) == 1 and pinned(spark) == [kept] and first.count() == 5
+    assert release(spark) == 1
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     conf = types.SimpleNamespace(get=lambda *a: None)
     context = types.SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
