@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.session import checkpoint_dir
+from opsframe.session import pinned_path
 
 #: Text bytes a chunk holds on average. The number of chunks grows with the input.
 CHUNK_BYTES = 12 << 20
@@ -45,7 +45,7 @@ def dealt(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text") -
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends
     there, and a lost executor costs no recomputation of what came before."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = pinned_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,7 +54,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """Like ``table``, in buckets of ``key``: grouping by the key then moves no row of it.
     The catalog entry is dropped at once; the frame keeps the files and the buckets."""
     spark, label = df.sparkSession, f"llm_{name}_{uuid.uuid4().hex[:12]}"
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{label}"
+    path = pinned_path(spark, label)
     df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(label)
     found = spark.table(label)
     found.schema  # noqa: B018 - resolves the frame while the entry is there
@@ -79,7 +79,9 @@ def binary_parts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary column from bytes end to end and n + 1 offsets."""
+    """A binary column from bytes end to end and n + 1 offsets. What one task packs stays below 2 GiB; more is an error."""
+    if len(offsets) and int(offsets[-1]) >= 1 << 31:
+        raise ValueError(f"{int(offsets[-1])} bytes for one binary column; use smaller chunks")
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
                                  [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)),
                                   pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
