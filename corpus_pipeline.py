@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm import bpe, line_dedup, mixing, queries, simhash, toxicity
 from opsframe.llm.chunks import table
+from opsframe.session import pinned, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.read(spark, sf_dir, "documents")
+    docs, before = queries.read(spark, sf_dir, "documents"), pinned(spark)
     for name, stage in STAGES[:-1]:
         docs = table(stage(spark, docs, sf_dir), name)
+        # the stage's result is written: what it and the stage before have left behind goes
+        release(spark, keep=[*before, pinned(spark)[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
