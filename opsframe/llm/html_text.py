@@ -10,7 +10,7 @@ Pages are independent, so this is one pass without a shuffle.
 Defined cases: null html gives null text, and empty html empty text; unclosed and stray tags are mended;
 unfinished tags and comments at the end are dropped; unknown elements are inline; a table cell
 wider than ``MAX_COLUMN`` is shown whole but doesn't widen its column, so alignment never multiplies a
-long text; nesting of any depth is walked without recursion, and indents stop growing at ``MAX_INDENT``; null and repeated ids and urls are kept, one row out for each row in; extra
+long text; a cell that spans rows shows in its first row and keeps its columns empty below; nesting of any depth is walked without recursion, and indents stop growing at ``MAX_INDENT``; null and repeated ids and urls are kept, one row out for each row in; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_COLUMN, MAX_INDENT = 60, 40
+#: Rows that a cell may span, and columns of a table that cells from above can take (as HTML bounds both spans).
+MAX_ROWS, MAX_TAKEN = 65_534, 1000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|"""
                     r"""<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)""", re.S)
@@ -54,7 +56,7 @@ HEAD = frozenset("head html title meta link style script base template noscript"
 
 
 class Node:
-    __slots__ = ("tag", "hidden", "start", "marked", "span", "children")
+    __slots__ = ("tag", "hidden", "start", "marked", "span", "down", "children")
 
     def __init__(self, tag: str, attributes: dict[str, str]) -> None:
         self.tag, self.children = tag, []
@@ -64,6 +66,8 @@ class Node:
         self.marked = "open" in attributes
         self.start = _number(attributes.get("start"), 1) if tag == "ol" else 1
         self.span = min(1000, max(1, _number(attributes.get("colspan"), 1))) if tag in ("td", "th") else 1
+        down = _number(attributes.get("rowspan"), 1) if tag in ("td", "th") else 1
+        self.down = min(MAX_ROWS, down) if down > 0 else MAX_ROWS if down == 0 else 1  # 0: to the end of the table
 
 
 def _number(text: str | None, default: int) -> int:
@@ -191,6 +195,25 @@ class _Lines:
         self.blank = self.blank or margin
 
 
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int]]]:
+    """Rows of (text, columns, rows it spans) as (text, columns), with empty cells where one from above reaches down."""
+    taken: dict[int, int] = {}  # rows for which a column is still taken
+    out = []
+    for row in rows:
+        at, line, new = 0, [], {}
+        for text, span, down in row:
+            while taken.get(at):
+                line.append(("", 1))
+                at += 1
+            line.append((text, span))
+            if down > 1:
+                new |= dict.fromkeys(range(at, min(at + span, MAX_TAKEN)), down)
+            at += span
+        out.append(line)
+        taken = {c: n - 1 for c, n in (taken | new).items() if n > 1}
+    return out
+
+
 def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
     """Rows of (text, columns it spans) as lines with aligned columns."""
     widths: dict[int, int] = {}
@@ -216,7 +239,7 @@ def render(root: Node) -> str:
     page = _Lines()
     flows, indents, keeps = [page], [""], [False]
     lists: list[list] = []
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[tuple[str, int, int]]]] = []
     steps: list[tuple[Node | str, bool]] = [(root, False)]
     while steps:
         node, entered = steps.pop()
@@ -229,9 +252,9 @@ def render(root: Node) -> str:
             if tag in ("td", "th") and tables:
                 flow.end()
                 flows.pop()
-                tables[-1][-1].append((" ".join(x.strip() for x in flow.done if x.strip()), node.span))
+                tables[-1][-1].append((" ".join(x.strip() for x in flow.done if x.strip()), node.span, node.down))
             elif tag == "table":
-                lines = _table(tables.pop())
+                lines = _table(_placed(tables.pop()))
                 flow.end()
                 for line in lines:
                     flow._put(line, indents[-1])
