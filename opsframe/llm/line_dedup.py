@@ -4,14 +4,15 @@ Documents become sequences of line ids. Prefix doubling gives every suffix (a
 place in a document) its rank among all suffixes by the first 1, 2, 4, ... lines:
 the rank at 2h is the order of the pairs (rank at h here, rank at h
 h lines on). A suffix whose rank is shared by no other leaves, since
-no longer prefix of it can be shared. Doubling stops at ``min_lines``; the
-suffixes of one rank are then the intervals of the suffix array whose longest
-common prefix is at least ``min_lines``, and consecutive places in such intervals
-make the maximal repeated runs. The first copy of a run (by id, then place)
-stays and lines that only later copies cover are deleted.
+no longer prefix of it can be shared. Suffixes of one rank are the intervals of the suffix array whose longest
+common prefix is at least h lines.
 
-A run counts from ``min_lines`` lines on, or as one line of at least
-``long_line`` characters; shorter single lines may well repeat by chance.
+A run of lines counts as repeated from ``LONG`` characters on, whether it is one long line or several short ones: short lines may
+well repeat by chance, and so may two of them. Every line asks for the shortest run from it on, and the shortest one that ends with
+it, that is long enough (``LONG`` + 1 lines at most, since a line's end counts as a character). Two runs of L lines are equal if
+their ranks at the largest h <= L agree here and L - h lines on, so doubling goes on to the longest run that is asked for. Together
+the repeated ones of these runs cover exactly the maximal repeated runs of ``LONG`` characters and more. The first copy of a run (by
+id, then place) stays, and lines that only later copies cover are deleted.
 
 Only DataFrame operations are used. A line that a third of all documents hold is reduced to a
 count and a first place by partial aggregates; joins are of many rows to one.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.chunks import parts, table
 
-MIN_LINES = 2
-LONG_LINE = 40
+#: Characters of a line, or of a run of lines with the line ends between them.
+LONG = 40
 _LAST = (1 << 63) - 1
 _KEY = ["_id", "_text"]
 
@@ -40,18 +41,38 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_text": F.xxhash64(F.col(text))})
 
 
-def line_ids(docs: DataFrame, id_col: str = "doc_id", text: str = "text", long_line: int = LONG_LINE) -> DataFrame:
-    """(_id, _text, pos, line, long): one row per line; ``line`` is a 128-bit digest of it."""
-    return (_keyed(docs.select(F.col(id_col), F.col(text)), id_col, text)
-            .select(*_KEY, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "_line"))
-            .select(*_KEY, "pos", F.unhex(F.md5("_line")).alias("line"), (F.char_length("_line") >= long_line).alias("long")))
+def _lines_of(sizes: Column, long: int) -> Column:
+    """How many of the first lines together have ``long`` + 1 characters, line ends counted; 0: all of them have fewer."""
+    def add(state: Column, size: Column) -> Column:
+        reached = state["sum"] + size
+        more = F.struct(reached.alias("sum"), (state["n"] + 1).alias("n"), (reached > long).alias("done"))
+        return F.when(state["done"], state).otherwise(more)
+
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    return F.aggregate(sizes, start, add, lambda s: F.when(s["done"], s["n"]).otherwise(0))
+
+
+def line_ids(docs: DataFrame, id_col: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
+    """(_id, _text, pos, line, ahead, back): one row per line; ``line`` is a 128-bit digest of it, ``ahead`` and ``back`` the
+    lines of the shortest long run that starts, and that ends, with it (0: none)."""
+    rows = _keyed(docs.select(F.col(id_col), F.col(text)), id_col, text).select(*_KEY, F.split(F.col(text), "\n", -1).alias("lines"))
+    rows = rows.withColumn("sizes", F.transform("lines", lambda x: F.char_length(x) + 1))
+    ahead = F.transform("sizes", lambda x, i: F.when(x > long, 1).otherwise(_lines_of(F.slice("sizes", i + 1, long + 1), long)))
+    first = lambda i: F.greatest(i - long, F.lit(0))
+    back = F.transform("sizes", lambda x, i: F.when(x > long, 1).otherwise(
+        _lines_of(F.reverse(F.slice("sizes", first(i) + 1, i - first(i) + 1)), long)))
+    each = rows.select(*_KEY, F.posexplode(F.arrays_zip(F.col("lines").alias("line"), ahead.alias("ahead"), back.alias("back"))).alias("pos", "one"))
+    return each.select(*_KEY, "pos", F.unhex(F.md5("one.line")).alias("line"), "one.ahead", "one.back")
+
+
+def _first_copy(pos: str) -> Column:
+    return F.min(F.struct(*_KEY, F.col(pos).alias("pos")))
 
 
 def _ranked(suffixes: DataFrame, keys: list[str], name: str, once: bool = False) -> DataFrame:
     """Suffixes that share their ``keys`` with another, with the keys' rank in
     order and the first of the suffixes that share them."""
-    first = F.min(F.struct(*_KEY, "pos")).alias("first")
-    shared = suffixes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), first).filter("n > 1")
+    shared = suffixes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _first_copy("pos").alias("first")).filter("n > 1")
     # ranks: numbered inside ranges of the keys, then moved on by the sizes of earlier ranges
     sent = table(shared.repartitionByRange(parts(suffixes.sparkSession), *keys).withColumn("part", F.spark_partition_id()), name)
     sizes = sent.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
@@ -64,35 +85,40 @@ def _ranked(suffixes: DataFrame, keys: list[str], name: str, once: bool = False)
     return table(ranked.dropDuplicates([*_KEY, "pos"]) if once else ranked, name)
 
 
-def repeated_suffixes(lines: DataFrame, depth: int) -> list[tuple[int, DataFrame]]:
-    """[(prefix length, (_id, _text, pos, long, rank, first))] for each doubling
-    up to ``depth``: the suffixes that share that many lines with another."""
-    at, found = 1, [(1, _ranked(lines, ["line"], "ranks", once=True))]
-    while at < depth:
-        step = min(at, depth - at)  # the last step may overlap
-        here = found[-1][1]
-        ahead = here.select(*_KEY, (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
-        pairs = here.drop("first").join(ahead, [*_KEY, "pos"])
-        at += step
-        found.append((at, _ranked(pairs, ["rank", "next"], "ranks")))
-    return found
+def doubled(ranks: DataFrame, at: int) -> DataFrame:
+    """The suffixes that share twice ``at`` lines with another, from those that share ``at``."""
+    ahead = ranks.select(*_KEY, (F.col("pos") - at).alias("pos"), F.col("rank").alias("next"))
+    return _ranked(ranks.select(*_KEY, "pos", "rank").join(ahead, [*_KEY, "pos"]), ["rank", "next"], "ranks")
 
 
-def _later(first: Column) -> Column:
-    return first != F.struct(*_KEY, "pos")
+def _later_windows(windows: DataFrame, ranks: DataFrame, at: int) -> DataFrame:
+    """Windows of ``at`` to 2 ``at`` - 1 lines that have an earlier copy."""
+    here = ranks.select(*_KEY, F.col("pos").alias("start"), F.col("rank").alias("here"))
+    there = ranks.select(*_KEY, F.col("pos").alias("last"), F.col("rank").alias("there"))
+    known = (windows.filter(F.col("size").between(at, 2 * at - 1)).join(here, [*_KEY, "start"])
+             .withColumn("last", F.col("start") + F.col("size") - at).join(there, [*_KEY, "last"]))
+    same = ["size", "here", "there"]
+    firsts = known.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), _first_copy("start").alias("first")).filter("n > 1").drop("n")
+    later = F.col("first") != F.struct(*_KEY, F.col("start").alias("pos"))
+    return known.join(firsts, same).filter(later).select(*_KEY, "start", "size")
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE,
-                 id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def later_copies(docs: DataFrame, long: int = LONG, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _text, cut): per document with any, the sorted places of the lines that later copies cover."""
-    if min_lines < 1:
-        raise ValueError("min_lines must be at least 1")
-    lines = table(line_ids(docs, id_col, text, long_line), "lines")
-    ranks = repeated_suffixes(lines, min_lines)
-    deep = ranks[-1][1].filter(_later(F.col("first")))
-    cut = deep.select(*_KEY, F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
-    single = ranks[0][1].filter(F.col("long") & _later(F.col("first"))).select(*_KEY, "pos")
-    return cut.union(single).groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("cut"))
+    if long < 1:
+        raise ValueError("long must be at least 1")
+    ranks = _ranked(table(line_ids(docs, id_col, text, long), "lines"), ["line"], "ranks", once=True)
+    later = F.col("first") != F.struct(*_KEY, "pos")
+    found = ranks.filter((F.col("ahead") == 1) & later).select(*_KEY, F.col("pos").alias("start"), F.lit(1).alias("size"))
+    windows = (ranks.filter("ahead > 1").select(*_KEY, F.col("pos").alias("start"), F.col("ahead").alias("size"))
+               .union(ranks.filter("back > 1").select(*_KEY, (F.col("pos") - F.col("back") + 1).alias("start"), F.col("back").alias("size"))).distinct())
+    longest, at = ranks.agg(F.max(F.greatest("ahead", "back"))).first()[0] or 0, 1
+    while 2 * at <= longest:  # long + 1 at most, so some six rounds
+        ranks = doubled(ranks, at)
+        at *= 2
+        found = found.union(_later_windows(windows, ranks, at))
+    cut = found.select(*_KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos"))
+    return cut.groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("cut"))
 
 
 def _spans(cut: Column, n: Column) -> Column:
@@ -102,12 +128,11 @@ def _spans(cut: Column, n: Column) -> Column:
     return F.filter(spans, lambda s: s["size"] > 0)
 
 
-def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE,
-                 id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, long: int = LONG, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its text cut, and ``n_lines``, ``n_removed``, ``n_runs`` (maximal runs removed)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("row"), F.col(id_col).alias("key"), F.col(text).cast("string").alias("body"))
-    cut = later_copies(packed, min_lines, long_line, "key", "body")
+    cut = later_copies(packed, long, "key", "body")
     lines, none = F.split("body", "\n", -1), F.array().cast("array<int>")
     joined = (_keyed(packed, "key", "body").join(cut, _KEY, "left")
               .withColumns({"gone": F.coalesce("cut", none), "lines": lines}))

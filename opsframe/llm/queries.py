@@ -169,19 +169,24 @@ from scored qualify rank <= 5""",
     "op8_line_dedup": """
 with lines as (
   select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-pairs as (select *, lead(line) over (partition by doc_id order by pos) as below from lines),
-seen as (
-  select *, length(line) >= 40 and row_number() over (partition by line order by doc_id, pos) > 1 as alone,
-    below is not null and row_number() over (partition by line, below order by doc_id, pos) > 1 as paired
-  from pairs),
-marked as (select *, alone or paired or coalesce(lag(paired) over (partition by doc_id order by pos), false) as gone from seen),
+sized as (select *, sum(length(line) + 1) over (partition by doc_id order by pos) as upto, length(line) + 1 as size from lines),
+long as (
+  select a.doc_id, a.pos as start, b.pos as stop from sized a
+  join sized b on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + 40 and b.upto - a.upto + a.size > 40),
+runs as (select doc_id, start, min(stop) as stop from long group by all union select doc_id, max(start), stop from long group by all),
+told as (
+  select r.doc_id, r.start, r.stop, string_agg(line, chr(10) order by pos) as run
+  from runs r join lines l on l.doc_id = r.doc_id and l.pos between r.start and r.stop group by all),
+later as (select * from told qualify row_number() over (partition by run order by doc_id, start) > 1),
+cut as (select distinct doc_id, unnest(range(start, stop + 1)) as pos from later),
+marked as (select lines.*, cut.pos is not null as gone from lines left join cut using (doc_id, pos)),
 started as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) as starts from marked),
-cut as (
+whole as (
   select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '') as text, count(*) as n_lines,
     count(*) filter (gone) as n_removed, count(*) filter (starts) as n_runs
   from started group by doc_id)
-select doc_id, cut.text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs
-from documents left join cut using (doc_id)""",
+select doc_id, whole.text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, coalesce(n_runs, 0) as n_runs
+from documents left join whole using (doc_id)""",
     "op11_secret_scan": _secrets_sql(),
     "op12_collocations": r"""
 with pieces as (

@@ -63,26 +63,16 @@ def components(fps: list[int], distance: int) -> list[int]:
     return [find(a) for a in range(len(fps))]
 
 
-def kept_lines(docs: list[tuple[int | None, str | None]], min_lines: int, long_line: int) -> dict[int, list[str]]:
-    """Lines that stay, by position in ``docs``; ids must be different."""
+def kept_lines(docs: list[tuple[int | None, str | None]], long: int) -> dict[int, list[str]]:
+    """Lines that stay, by position in ``docs``; ids must be different. Every run of lines that is long enough is looked at, of any length."""
     order = sorted((k for k, d in enumerate(docs) if d[1] is not None), key=lambda k: float("inf") if docs[k][0] is None else docs[k][0])
-    runs: dict[tuple, tuple[int, int]] = {}
     lines = {k: docs[k][1].split("\n") for k in order}
-    for k in order:
-        for p, _ in enumerate(lines[k]):
-            for n in {1, min_lines}:
-                if p + n <= len(lines[k]):
-                    runs.setdefault(tuple(lines[k][p:p + n]), (k, p))
-    out = {}
-    for k in order:
-        gone = set()
-        for p, line in enumerate(lines[k]):
-            if len(line) >= long_line and runs[(line,)] != (k, p):
-                gone.add(p)
-            if p + min_lines <= len(lines[k]) and runs[tuple(lines[k][p:p + min_lines])] != (k, p):
-                gone |= set(range(p, p + min_lines))
-        out[k] = [x for p, x in enumerate(lines[k]) if p not in gone]
-    return out
+    runs = [(k, p, e) for k in order for p in range(len(lines[k])) for e in range(p + 1, len(lines[k]) + 1) if len("\n".join(lines[k][p:e])) >= long]
+    first: dict[tuple, tuple[int, int]] = {}
+    for k, p, e in runs:
+        first.setdefault(tuple(lines[k][p:e]), (k, p))
+    gone = {(k, x) for k, p, e in runs if first[tuple(lines[k][p:e])] != (k, p) for x in range(p, e)}
+    return {k: [x for p, x in enumerate(lines[k]) if (k, p) not in gone] for k in order}
 
 
 def targets(sizes: dict[str | None, int], share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:

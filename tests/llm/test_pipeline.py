@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path):
     low = {r.id for r in toxicity.scores(first, model).collect() if r.score < 0.3}
     assert sorted(map(str, clean)) == sorted(str(r) for r in rows if r[0] in low)
 
-    lines = brute.kept_lines([r[:2] for r in clean], 2, 40)
+    lines = brute.kept_lines([r[:2] for r in clean], 40)
     want = {clean[k][0]: "\n".join(x) for k, x in lines.items() if x}
     assert {r[0]: r[1] for r in cut if r[1] is not None} == want
     assert all(r[4] == len(r[1]) for r in cut if r[1] is not None)

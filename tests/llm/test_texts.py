@@ -64,9 +64,9 @@ def test_windows_across_slices(spark, monkeypatch):
 
 
 def test_line_dedup(spark, docs):
-    for least, long_line in ((2, 40), (3, 1000), (1, 1)):
-        got = line_dedup.deduplicated(frame(spark, docs), least, long_line).collect()
-        kept = brute.kept_lines(docs, least, long_line)
+    for long in (40, 25, 1, 200):
+        got = line_dedup.deduplicated(frame(spark, docs), long).collect()
+        kept = brute.kept_lines(docs, long)
         want = {docs[k][0]: "\n".join(x) for k, x in kept.items()}
         assert {r.doc_id: r.text for r in got if r.text is not None or r.doc_id != 43} == want
         assert {r.doc_id: (r.n_lines, r.n_removed) for r in got if r.doc_id != 43} == \
@@ -75,6 +75,24 @@ def test_line_dedup(spark, docs):
         assert null.text is None and null.n_lines == 0 and null.n_removed == 0 and (null.cut, null.row) == ("c", "r")
 
 
+def test_runs_of_short_lines(spark):
+    """Runs of any number of lines, empty ones among them; every way of being just long enough, or just too short."""
+    rng = random.Random(2)
+    pool = ["", "", "a", "bb", "ccc", "dddd", "e" * 9, "f" * 24, "g" * 39, "h" * 40]
+    docs = [(k, "\n".join(rng.choices(pool, k=rng.randint(0, 40)))) for k in range(60)]
+    song = "\n".join(f"la {k % 3}" for k in range(30))
+    docs += [(100 + k, f"only here {k}\n{song}\nends {k}") for k in range(4)] + [(200, "\n" * 50), (201, "\n" * 60 + "x")]
+    for long in (40, 12):
+        got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), long).collect()}
+        assert got == {docs[k][0]: "\n".join(x) for k, x in brute.kept_lines(docs, long).items()}
+    assert got[101] == "only here 1\nends 1"
+
+
+def test_short_lines_that_meet_by_chance_stay(spark):
+    docs = [(1, "And ornd.\nEresnt.\nfirst of its kind, and long enough to count"), (2, "And ornd.\nEresnt.\nanother text, which is nobody's copy at all")]
+    assert {r.doc_id: r.n_removed for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {1: 0, 2: 0}
+
+
 def test_rows_equal_in_id_and_text_are_one_document(spark):
     """Their suffixes are there once, however many rows there are."""
     text = "\n".join(f"a line that is long enough to count {k}" for k in range(6))
@@ -82,8 +100,8 @@ def test_rows_equal_in_id_and_text_are_one_document(spark):
     for copies in (10, 1000):
         rows = [(None, text)] * copies + [(1, text), (2, "one\ntwo")]
         docs = frame(spark, rows)
-        lines = line_dedup.line_ids(docs)
-        sizes.append([found.count() for _, found in line_dedup.repeated_suffixes(lines, 2)])
+        ranks = line_dedup._ranked(line_dedup.line_ids(docs), ["line"], "ranks", once=True)
+        sizes.append([ranks.count(), line_dedup.doubled(ranks, 1).count()])
         got = line_dedup.deduplicated(docs).collect()
         assert len(got) == copies + 2
         assert {(r.doc_id, r.text) for r in got} == {(None, ""), (1, text), (2, "one\ntwo")}
@@ -92,10 +110,9 @@ def test_rows_equal_in_id_and_text_are_one_document(spark):
 
 def test_suffix_ranks_are_in_order(spark):
     rows = [(1, "b\na\nb\na"), (2, "a\nb\na\nc"), (3, "b\na")]
-    lines = line_dedup.line_ids(frame(spark, rows))
-    depths = dict(line_dedup.repeated_suffixes(lines, 2))
-    one = {(r["_id"], r.pos): r["rank"] for r in depths[1].collect()}
-    two = {(r["_id"], r.pos): r["rank"] for r in depths[2].collect()}
+    ranks = line_dedup._ranked(line_dedup.line_ids(frame(spark, rows)), ["line"], "ranks", once=True)
+    one = {(r["_id"], r.pos): r["rank"] for r in ranks.collect()}
+    two = {(r["_id"], r.pos): r["rank"] for r in line_dedup.doubled(ranks, 1).collect()}
     assert set(two) == {(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0)}
     order = lambda p: (one[p], one[p[0], p[1] + 1])
     assert all((two[a] < two[b]) == (order(a) < order(b)) for a in two for b in two)
@@ -300,6 +317,40 @@ def test_html_cases(html, text):
     assert html_text.extract(html) == text
 
 
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[dict[int, str]]:
+    """Plain version: each cell written into all places of a grid that it spans; (row) column -> text of cells that start there."""
+    grid: dict[tuple[int, int], str | None] = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, wide, down in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(down):
+                for j in range(wide):
+                    grid[r + i, c + j] = text if i == j == 0 else None
+            c += wide
+    return [{c: t for (r, c), t in sorted(grid.items()) if r == k and t is not None} for k in range(len(rows))]
+
+
+def test_cells_that_span_rows_keep_their_columns():
+    assert html_text.extract("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a | b\n  | c"
+    assert html_text.extract("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>") == "a | b\n  | c\n  | d"
+    rng = random.Random(3)
+    for _ in range(200):
+        rows = [[(f"{r}{chr(97 + c)}", 1, rng.choice([1, 1, 1, 2, 3])) for c in range(rng.randint(1, 4))] for r in range(5)]
+        found = []
+        for line in html_text._placed(rows):
+            at, cells = 0, {}
+            for text, span in line:
+                if text:
+                    cells[at] = text
+                at += span
+            found.append(cells)
+        assert found == _grid(rows)
+    many = "<table>" + "<tr>" + "<td rowspan=9999 colspan=1000>x" * 50 + "<tr><td>y" * 3000 + "</table>"
+    assert html_text.extract(many).count("y") == 3000
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((key(r.id), r.text) for r in html_text.extracted(pages).collect() if r.text is not None) == [((False, 1), SHOWN)] * 2 + [((False, 2), "")]
