@@ -9,8 +9,10 @@ document with a smaller id. Windows are the suffixes, compared only through
    equal anchors at equal offsets, so (anchor, offset) is a digit of the key
    that never parts equal windows. Neighbouring windows share an anchor, so one
    fragment of text carries about 15 windows.
-2. *Singletons leave.* Chunks send only 32 bits for each different anchor;
+2. *Singletons leave.* Chunks send only 32 bits for each different anchor, and the number of its different fragments there;
    anchors seen in one document of one chunk drop out before any text moves.
+   An anchor with more than ``HOT_FRAGMENTS`` different fragments in all (a short string between ever new surroundings) is hot: its
+   windows are dealt one by one, by a hash of all their bytes, so that only equal windows must meet.
 3. *Further digits, in the task.* The fragments of what is left are dealt by
    anchor. Each pass splits the groups of equal (anchor, offset) by the next eight
    bytes in big-endian order; groups of one leave at each pass. After
@@ -36,13 +38,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from opsframe.llm.chunks import binary_parts, chunk_count, dealt, pack_binary, ranges
+from opsframe.llm.chunks import binary_parts, chunk_count, dealt, pack_binary, planes, ranges, unplaned
 
 DEPTH = 50
 #: Bytes of an anchor.
 GRAM = 20
 #: Windows handled at once in a task: bounds memory for texts of any length.
 SLICE = 1 << 20
+#: Different fragments around one anchor that may meet in a task.
+HOT_FRAGMENTS = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -149,43 +153,53 @@ def _by(dest: np.ndarray):
         yield int(dest[a]), slice(int(a), int(b))
 
 
-_MARKS = "dest int, chunk int, marks binary"
+_MARKS = "dest int, chunk int, marks binary, counts binary"
+_REPEATED = "dest int, chunk int, marks binary"
 
 
 def _sent_anchors(n: int, depth: int, gram: int):
+    """For each different anchor 31 bits, whether documents of the chunk share it, and its different fragments there."""
     def run(t: pa.Table) -> pa.Table:
         ids, data, offsets, _ = _chunk(t)
-        row, _, _, _, hashes, _ = _anchored(data, offsets, depth, gram, _Hasher())
+        row, _, _, _, hashes, whole = _anchored(data, offsets, depth, gram, _Hasher())
         dest, bits = _routes(hashes, n)
-        order = np.argsort((dest << 31) | bits)
-        key, own = ((dest << 31) | bits)[order], ids[row][order]
+        key = (dest << 31) | bits
+        order = np.lexsort((whole, key))
+        key, own, whole = key[order], ids[row][order], whole[order]
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        shared = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head) if len(head) else np.zeros(0, bool)
+        shared, counts = np.zeros(0, bool), np.zeros(0, np.int64)
+        if len(head):
+            shared = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head)
+            counts = np.add.reduceat(np.concatenate(([True], (whole[1:] != whole[:-1]) | (key[1:] != key[:-1]))).astype(np.int64), head)
         key = key[head]
         marks = (((key & 0x7FFFFFFF) << 1) | shared).astype("<u4")
-        out = [(d, marks[s].tobytes()) for d, s in _by(key >> 31)]
+        out = [(d, marks[s].tobytes(), planes(counts[s])) for d, s in _by(key >> 31)]
         chunk = t.column("chunk")[0].as_py()
-        return pa.table({"dest": pa.array([d for d, _ in out], pa.int32()),
-                         "chunk": pa.array([chunk] * len(out), pa.int32()),
-                         "marks": pa.array([m for _, m in out], pa.binary())})
+        return pa.table({"dest": pa.array([d for d, _, _ in out], pa.int32()), "chunk": pa.array([chunk] * len(out), pa.int32()),
+                         "marks": pa.array([m for _, m, _ in out], pa.binary()), "counts": pa.array([c for _, _, c in out], pa.binary())})
 
     return run
 
 
-def _repeated_anchors(t: pa.Table) -> pa.Table:
-    dest, chunks = t.column("dest")[0].as_py(), t.column("chunk").to_pylist()
-    marks = [np.frombuffer(m, "<u4") for m in t.column("marks").to_pylist()]
-    values = np.concatenate(marks)
-    bits, shared = values >> np.uint32(1), (values & np.uint32(1)).astype(bool)
-    found, inverse, counts = np.unique(bits, return_inverse=True, return_counts=True)
-    keep = counts > 1
-    keep[inverse[shared]] = True
-    keep = keep[inverse]
-    ends = np.cumsum([len(m) for m in marks])
-    out = [(c, bits[e - len(m):e][keep[e - len(m):e]].astype("<u4").tobytes()) for c, m, e in zip(chunks, marks, ends)]
-    out = [x for x in out if x[1]]
-    return pa.table({"dest": pa.array([dest] * len(out), pa.int32()), "chunk": pa.array([c for c, _ in out], pa.int32()),
-                     "marks": pa.array([m for _, m in out], pa.binary())})
+def _repeated_anchors(hot: int):
+    """To each chunk its anchors that others share, with a bit for those of more than ``hot`` different fragments."""
+    def run(t: pa.Table) -> pa.Table:
+        dest, chunks = t.column("dest")[0].as_py(), t.column("chunk").to_pylist()
+        marks = [np.frombuffer(m, "<u4") for m in t.column("marks").to_pylist()]
+        values = np.concatenate(marks)
+        bits, shared = values >> np.uint32(1), (values & np.uint32(1)).astype(bool)
+        found, inverse, counts = np.unique(bits, return_inverse=True, return_counts=True)
+        keep = counts > 1
+        keep[inverse[shared]] = True
+        total = np.bincount(inverse, np.concatenate([unplaned(c) for c in t.column("counts").to_pylist()]), len(found))
+        keep, values = keep[inverse], ((bits << np.uint32(1)) | (total > hot)[inverse]).astype("<u4")
+        ends = np.cumsum([len(m) for m in marks])
+        out = [(c, values[e - len(m):e][keep[e - len(m):e]].tobytes()) for c, m, e in zip(chunks, marks, ends)]
+        out = [x for x in out if x[1]]
+        return pa.table({"dest": pa.array([dest] * len(out), pa.int32()), "chunk": pa.array([c for c, _ in out], pa.int32()),
+                         "marks": pa.array([m for _, m in out], pa.binary())})
+
+    return run
 
 
 _FRAGMENTS = ("dest int, chunk int, anchors binary, ids binary, offset binary, windows binary, places binary, "
@@ -216,6 +230,23 @@ def _merged(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return rows[head], starts[head], np.append(reach[head[1:] - 1], reach[-1]) - rows[head] * top
 
 
+def _one_by_one(fragments: tuple, hot: np.ndarray, data: np.ndarray, n: int, depth: int, hasher: _Hasher) -> tuple:
+    """Fragments (row, start, count, offset, hash of the bytes, route) with the hot ones as single windows, routed by all their bytes."""
+    row, start, count, offset, whole, mine = (x[hot] for x in fragments)
+    at = ranges(start, count)
+    hashes = np.empty(len(at), np.uint64)
+    # rolling hashes slice by slice of the data; fragments come in the order of their starts
+    by = np.argsort(at, kind="stable")
+    for low in range(0, len(data), SLICE):
+        part = by[np.searchsorted(at[by], low):np.searchsorted(at[by], low + SLICE)]
+        if len(part):
+            sums = hasher.prefixes(data[low:low + SLICE + depth])
+            hashes[part] = hasher.spans(sums, at[part] - low, at[part] - low + depth)
+    dest, bits = _routes(_mixed(hashes, 0xD6E8FEB86659FD93), n)
+    single = (np.repeat(row, count), at, np.ones(len(at), np.int64), np.zeros(len(at), np.int64), hashes, (dest << 31) | bits)
+    return tuple(np.concatenate((x[~hot], y)) for x, y in zip(fragments, single))
+
+
 def _sent_fragments(n: int, depth: int, gram: int):
     """Two kinds of rows: fragments for an anchor's task, and spans that a smaller id of
     the same chunk already shows to be repeated (no anchors; passed through)."""
@@ -226,15 +257,19 @@ def _sent_fragments(n: int, depth: int, gram: int):
         if not t.num_rows or not marks.num_rows:
             return _FRAGMENT_SCHEMA.empty_table()
         ids, data, offsets, _ = _chunk(t)
-        row, start, count, offset, hashes, whole = _anchored(data, offsets, depth, gram, _Hasher())
+        hasher = _Hasher()
+        row, start, count, offset, hashes, whole = _anchored(data, offsets, depth, gram, hasher)
         dest, bits = _routes(hashes, n)
-        known = np.concatenate([(np.int64(d) << 31) | np.frombuffer(m, "<u4").astype(np.int64)
+        known = np.concatenate([(np.int64(d) << 32) | np.frombuffer(m, "<u4").astype(np.int64)
                                 for d, m in zip(marks.column("dest").to_pylist(), marks.column("marks").to_pylist())])
         known.sort()
         mine = (dest << 31) | bits
-        at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-        live = known[at] == mine
-        row, start, count, offset, whole, mine = (x[live] for x in (row, start, count, offset, whole, mine))
+        at = np.minimum(np.searchsorted(known, mine << 1), len(known) - 1)
+        live = known[at] >> 1 == mine
+        hot = (known[at] & 1).astype(bool)[live]
+        row, start, count, offset, whole, mine = fragments = tuple(x[live] for x in (row, start, count, offset, whole, mine))
+        if hot.any():
+            row, start, count, offset, whole, mine = _one_by_one(fragments, hot, data, n, depth, hasher)
         # equal fragments next to each other, the smallest id first
         order = np.lexsort((start, ids[row], whole, mine))
         row, start, count, offset, whole, mine = (x[order] for x in (row, start, count, offset, whole, mine))
@@ -395,7 +430,7 @@ def repeated_removed(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id"
     texts = dealt(docs, n, id_col, text)
     dests = 2 * n
     marks = (texts.groupBy("chunk").applyInArrow(_sent_anchors(dests, depth, gram), _MARKS)
-             .groupBy("dest").applyInArrow(_repeated_anchors, _MARKS))
+             .groupBy("dest").applyInArrow(_repeated_anchors(HOT_FRAGMENTS), _REPEATED))
     spans = (texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(_sent_fragments(dests, depth, gram), _FRAGMENTS)
              .groupBy("dest").applyInArrow(_repeated_windows(depth), _SPANS))
     # one plan: the three uses of the chunks share one shuffle of the texts

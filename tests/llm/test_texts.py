@@ -63,6 +63,31 @@ def test_windows_across_slices(spark, monkeypatch):
     assert got == {i: kept for (i, _), (_, kept) in zip(rows, brute.repeated_spans(rows, 50))}
 
 
+def test_a_short_string_between_ever_new_surroundings(spark, monkeypatch):
+    """Its fragments are as many as its surroundings; none of its windows meets more than its equals."""
+    rng = random.Random(12)
+    noise = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    hot = "the one string of them all"  # shorter than a window
+    rows = [(k, noise(20) + hot.join(noise(60) for _ in range(25))) for k in range(400)]
+    rows += [(500 + k, noise(30) + hot + "and what follows it here is the same again" + noise(30)) for k in range(5)] + [(600, rows[3][1][100:400])]
+    want = {i: kept for (i, _), (_, kept) in zip(rows, brute.repeated_spans(rows, 50))}
+    docs, crowds = frame(spark, rows), []
+    for most in (1 << 17, 100):
+        monkeypatch.setattr(suffix_dedup, "HOT_FRAGMENTS", most)
+        assert {r.id: bytes(r.kept) for r in suffix_dedup.repeated_removed(docs, depth=50).collect()} == want
+        n = 8
+        texts = chunks.dealt(docs, n)
+        marks = (texts.groupBy("chunk").applyInArrow(suffix_dedup._sent_anchors(n, 50, 20), suffix_dedup._MARKS)
+                 .groupBy("dest").applyInArrow(suffix_dedup._repeated_anchors(most), suffix_dedup._REPEATED))
+        sent = texts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(suffix_dedup._sent_fragments(n, 50, 20), suffix_dedup._FRAGMENTS)
+        met = {}
+        for r in sent.select("dest", "anchors").collect():
+            for a in np.frombuffer(r.anchors, "<u4").tolist():
+                met[r.dest, a] = met.get((r.dest, a), 0) + 1
+        crowds.append(max(met.values()))
+    assert crowds[0] > 5000 and crowds[1] <= 100
+
+
 def test_line_dedup(spark, docs):
     for long in (40, 25, 1, 200):
         got = line_dedup.deduplicated(frame(spark, docs), long).collect()
