@@ -37,6 +37,8 @@ from opsframe.llm.chunks import binary_parts, pack_binary, parts, planes, table,
 CHUNK_BYTES = 8 << 20
 #: Suffixes that one owner holds on average, and that one route may hold at most.
 OWNER_TOKENS = 1 << 20
+#: Shares of a language's phrases that are ranked apart before they are ranked together.
+SHARES = 64
 
 _GAP = np.isin(np.arange(256), list(b"\x20\x09"))
 _BREAK = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
@@ -241,9 +243,13 @@ def _fragments(owners: int, depth: int, hot: set[tuple[str, str]]):
 
 def _owner(depth: int, least: int, hot: set[tuple[str, str]]):
     """Phrases of two words and more among an owner's suffixes, with their frequencies there."""
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        fragments = [b for b in batches if b.num_rows]
+        if not fragments:
+            return
+        t = pa.Table.from_batches(fragments)
         letters = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in t.column("letters").to_pylist()]
         lengths = [unplaned(x).astype(np.int64) for x in t.column("lengths").to_pylist()]
         found = pack_binary(np.concatenate(letters), np.concatenate(([0], np.cumsum(np.concatenate(lengths))))).dictionary_encode()
@@ -256,16 +262,15 @@ def _owner(depth: int, least: int, hot: set[tuple[str, str]]):
             at += len(size)
         rows = np.concatenate(rows)
         weights = np.concatenate([unplaned(x) for x in t.column("counts").to_pylist()]).astype(np.int64)
-        words, names, out = found.dictionary.cast(pa.string()), np.array(list(langs), object), []
+        words, names = found.dictionary.cast(pa.string()), np.array(list(langs), object)
         unsure = _all_hot(rows, _hot_codes(hot, names, found.dictionary), len(words))
         for d, row, weight, ended in partitioned(rows, weights, least, unsure):
             row, weight = row[~ended], weight[~ended]
             if d < 3 or not len(row):
                 continue
             phrase = pa.compute.binary_join_element_wise(*[words.take(pa.array(rows[row, c])) for c in range(1, d)], " ")
-            out.append(pa.table([pa.array(names[rows[row, 0]], pa.string()), phrase, pa.array(np.full(len(row), d - 1), pa.int32()), pa.array(weight)],
-                                schema=_COUNT_SCHEMA))
-        return pa.concat_tables(out) if out else _COUNT_SCHEMA.empty_table()
+            yield pa.RecordBatch.from_arrays([pa.array(names[rows[row, 0]], pa.string()), phrase, pa.array(np.full(len(row), d - 1), pa.int32()),
+                                              pa.array(weight)], schema=_COUNT_SCHEMA)
 
     return run
 
@@ -294,8 +299,8 @@ def phrase_counts(texts: DataFrame, singles: DataFrame, words: int, least: int)
     total = singles.agg(F.sum("n")).first()[0] or 0
     hot = {(r.lang, r.phrase) for r in singles.filter(F.col("n") > OWNER_TOKENS).toLocalIterator()}  # total / OWNER_TOKENS words at most
     owners = max(parts(texts.sparkSession), -(-total // OWNER_TOKENS))
-    sent = texts.mapInArrow(_fragments(owners, words, hot), _FRAGMENT)
-    return _summed(sent.groupBy("owner").applyInArrow(_owner(words, least, hot), _COUNT)).filter(F.col("n") >= least)
+    sent = texts.mapInArrow(_fragments(owners, words, hot), _FRAGMENT).repartitionById(owners, F.col("owner"))  # a partition for each owner
+    return _summed(sent.mapInArrow(_owner(words, least, hot), _COUNT)).filter(F.col("n") >= least)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -328,7 +333,11 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, share: int =
             .join(known.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"]))
     lowest = F.min(F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "k", "l", "r"))
     scored = cuts.groupBy("lang", "phrase", "a").agg(lowest.alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
+    # the best of each share of a language's phrases, then the best of those: no task gets more than SHARES * first rows
+    shared = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    for keys in (["lang", "share"], ["lang"]):
+        shared = shared.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= first)
+    best = shared
     totals = singles.groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
