@@ -87,6 +87,11 @@ def pack_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
                                   pa.py_buffer(np.ascontiguousarray(data, np.uint8))])
 
 
+def give_back() -> None:
+    """Hand freed Arrow memory back to the system at the end of a task: its worker lives on, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The integers of [start, start + length) of every row, end to end."""
     lengths = np.asarray(lengths, np.int64)

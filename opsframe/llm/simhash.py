@@ -2,10 +2,10 @@
 
 1. A task turns each whole text into a 64-bit fingerprint of its word shingles.
    Equal fingerprints become one entry, so copies cost nothing further.
-2. Two fingerprints within ``distance`` bits agree wholly on one of
-   ``distance + 1`` blocks of bits (pigeonhole). Each entry is sent once for each
-   block, to the section of the index that holds its value there. Sections of over
-   ``SECTION`` entries are cut by a hash, and each pair of pieces becomes a unit
+2. Of ``distance + k`` blocks of bits, two fingerprints within ``distance`` bits agree wholly on k (pigeonhole). Each entry is sent once
+   for each choice of k blocks, to the section of the index that holds its values there. k grows with the number of
+   entries, so that a section of evenly spread fingerprints stays at ``SECTION`` entries: for a distance of 4, five keys of 12 bits up to 4
+   million entries, 15 of 21 bits up to 2 billion, 35 of 27 bits beyond. Sections that hold more all the same (likenesses) are cut by a hash, and each pair of pieces becomes a unit
    of its own, so a crowded section is spread over tasks without losing a pair.
 3. In a unit, entries are sorted by Gray rank. A leaf stands for one entry, a node for a
    run of ``FAN`` children, and holds the bits that all below it share (mask
@@ -23,13 +23,16 @@ one row, repeated rows and ids included; other columns are ignored; an empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.llm.chunks import parts, ranges, table
+from opsframe.llm.chunks import give_back, parts, ranges, table
 from opsframe.llm.components import components
 
 #: Entries of a section that one piece holds.
@@ -71,6 +74,8 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text: str
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), words) for x in batch.column("body")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), *[batch.column(c) for c in more]], names=["id", "fp", *more])
+            del batch
+        give_back()
 
     body = F.col(text).cast("string")
     return (docs.select(F.col(id_col).cast("long").alias("id"), body.alias("body"), *[F.xxhash64(body).alias(c) for c in more])
@@ -170,18 +175,25 @@ def _linked(distance: int):
     return run
 
 
+def block_masks(distance: int, entries: int) -> list[int]:
+    """Masks (signed 64-bit) of the choices of k out of ``distance + k`` blocks, for the smallest k that leaves ``SECTION`` entries to a value."""
+    for k in range(1, 9):
+        ends = [64 * (b + 1) // (distance + k) for b in range(distance + k)]
+        blocks = [((1 << e) - 1) ^ ((1 << a) - 1) for a, e in zip([0, *ends], ends)]
+        masks = [reduce(or_, choice) for choice in combinations(blocks, k)]
+        if entries <= SECTION << min(m.bit_count() for m in masks):
+            break
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """(a, b) fingerprints whose components are those of all pairs within ``distance`` bits.
     ``fps``: one column ``fp`` of distinct values."""
     if not 0 <= distance < 16:
         raise ValueError("distance must be from 0 to 15 bits")
-    blocks, at = [], 0
-    for b in range(distance + 1):
-        width = 64 // (distance + 1) + (b < 64 % (distance + 1))
-        blocks.append((b, at, width))
-        at += width
-    bits = [F.struct(F.lit(b).alias("block"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("value"))
-            if width < 64 else F.struct(F.lit(b).alias("block"), F.col("fp").alias("value")) for b, low, width in blocks]
+    entries = fps.count()
+    masks = block_masks(distance, entries)
+    bits = [F.struct(F.lit(b).alias("block"), F.col("fp").bitwiseAND(F.lit(mask)).alias("value")) for b, mask in enumerate(masks)]
     sent = fps.select("fp", F.inline(F.array(*bits)))
     crowded = (sent.groupBy("block", "value").count().filter(F.col("count") > SECTION)
                .select("block", "value", F.ceil(F.col("count") / SECTION).cast("int").alias("pieces")))
@@ -192,7 +204,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
              .select("fp", "block", "value", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"),
                      F.when(F.col("piece") == F.col("other"), 2).otherwise((F.col("piece") > F.col("other")).cast("int")).alias("side")))
-    n = max(parts(fps.sparkSession), fps.count() * len(blocks) // (16 * SECTION))
+    n = max(parts(fps.sparkSession), entries * len(masks) // (16 * SECTION))
     dealt = F.pmod(F.xxhash64("block", "value", "i", "j"), F.lit(n)).cast("int")
     return units.withColumn("bin", dealt).groupBy("bin").applyInArrow(_linked(distance), "a long, b long")
 

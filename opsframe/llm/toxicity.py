@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.chunks import table
+from opsframe.llm.chunks import give_back, table
 
 #: The bound of the sample that the classifier is fitted on.
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, PIECES = 1500, 3000, 20_000, 10
@@ -192,6 +192,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "t
         score = model.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([score(x.as_py()) for x in b.column("body")], pa.float64())], names=["id", "score"])
+            del b
+        give_back()
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("body"))
             .mapInArrow(run, "id long, score double"))
@@ -205,5 +207,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
         score = model.scorer()
         for b in batches:
             yield b.filter(pa.array([score(x.as_py()) < threshold for x in b.column(at)], pa.bool_()))
+            del b
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

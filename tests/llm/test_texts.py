@@ -170,6 +170,36 @@ def test_simhash_crowded_sections(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("entries, keys", [(1000, 5), (1 << 22, 5), (1 << 23, 15), (1 << 31, 35)])
+def test_near_fingerprints_agree_on_some_choice_of_blocks(entries, keys):
+    masks = [m & (1 << 64) - 1 for m in simhash.block_masks(4, entries)]
+    assert len(masks) == keys and len(set(masks)) == keys
+    rng = random.Random(entries)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << i for i in rng.sample(range(64), 4))
+        assert any(a & m == b & m for m in masks)
+
+
+def test_simhash_with_longer_keys(spark, monkeypatch):
+    """The same components whatever the number of blocks that must agree."""
+    rng = random.Random(21)
+    fps = [rng.getrandbits(64) for _ in range(60)]
+    fps += [f ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 6))) for f in fps for _ in range(3)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in dict.fromkeys(fps)]
+    frame_of = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want = brute.components([f & (1 << 64) - 1 for f in signed], 4)
+    for entries in (1, 1 << 23, 1 << 31):
+        plain = simhash.block_masks
+        monkeypatch.setattr(simhash, "block_masks", lambda distance, _, e=entries: plain(distance, e))
+        roots = {r.node: r.root for r in simhash.components(simhash.links(frame_of, 4)).collect()}
+        monkeypatch.setattr(simhash, "block_masks", plain)
+        groups = {}
+        for f, c in zip(signed, want):
+            groups.setdefault(c, set()).add(roots.get(f, f))
+        assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
 def test_one_representative_for_each_component(spark, docs):
     rows = docs + [(41, docs[3][1]), (3, docs[3][1])]
     kept = simhash.representatives(frame(spark, rows), words=4, distance=4).collect()
