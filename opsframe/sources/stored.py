@@ -203,15 +203,18 @@ class StoredAggregate:
     merged. ``read`` adds them up. Sums are DECIMAL, so that what is taken off is exactly what was added; a group
     whose rows have all gone disappears, and a sum over nulls only is null, as in SQL.
 
-    ``prepare`` turns rows of the source into rows with the keys and measures (joins to look-ups that do not change; after a change of
-    theirs call ``rebuild``). Source files must not be vacuumed before the refresh that takes them off; if they were, the
-    refresh is a rebuild.
+    ``prepare`` turns rows of the source into rows with the keys and measures. Stored tables that it joins are named in
+    ``lookups``: a refresh after a change of one of them is a rebuild, as every sum may lie under another key then. Source files must
+    not be vacuumed before the refresh that takes them off; if they were, the refresh is a rebuild too. Two refreshes at once
+    publish one version after the other; the slower one starts again from the faster one's.
     """
 
     def __init__(self, source: StoredTable, path: str, keys: Sequence[str], sums: Mapping[str, Column],
-                 prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, scale: int = 6, merge_after: int = 8) -> None:
+                 prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, lookups: Sequence[StoredTable] = (), scale: int = 6,
+                 merge_after: int = 8) -> None:
         self.source, self.table = source, StoredTable(source.spark, path)
         self.keys, self.sums, self.prepare, self.merge_after = list(keys), dict(sums), prepare, merge_after
+        self.lookups = list(lookups)
         self.kind = f"decimal(38,{scale})"
 
     def _partial(self, files: Sequence[str], schema: str, sign: int) -> DataFrame:
@@ -228,30 +231,40 @@ class StoredAggregate:
 
     def refresh(self) -> int:
         """Bring the aggregate to the source's last version; a reader meanwhile sees the version before, whole."""
-        last, now = self.table.manifest(), self.source.manifest()
+        while True:
+            try:
+                return self._refreshed(self.table.manifest(), self.source.manifest(), [t.version() for t in self.lookups])
+            except Conflict:
+                continue
+
+    def rebuild(self) -> int:
+        """Everything from the source's last version, published in one step."""
+        return self._rebuilt(self.table.manifest(), self.source.manifest(), [t.version() for t in self.lookups])
+
+    def _refreshed(self, last: dict, now: dict, lookups: list[int]) -> int:
         then = set(last["more"].get("source_files", []))
         came, went = [f for f in now["files"] if f not in then], sorted(then - set(now["files"]))
-        if last["version"] and not came and not went:
+        known = last["version"] and last["more"]["lookups"] == lookups
+        if known and not came and not went:
             return last["version"]
-        if not last["version"] or any(not self.source.folder.exists(f"data/{f}") for f in went):
-            return self.rebuild()
+        if not known or any(not self.source.folder.exists(f"data/{f}") for f in went):
+            return self._rebuilt(last, now, lookups)
         found = self._partial(came, now["schema"], 1)
         if went:
             found = self._added(found.unionByName(self._partial(went, now["schema"], -1)))
-        files, refreshes = self.table.write_files(found, "partial"), last["more"].get("refreshes", 0) + 1
+        files, refreshes = self.table.write_files(found, "partial"), last["more"]["refreshes"] + 1
         if refreshes >= self.merge_after:
             merged = self._added(self.table.scan([*last["files"], *files], last["schema"])).filter("_rows > 0")
-            return self._publish(last, now, last["schema"], self.table.write_files(merged, "merged"), 0)
-        return self._publish(last, now, last["schema"], [*last["files"], *files], refreshes)
+            return self._publish(last, now, lookups, last["schema"], self.table.write_files(merged, "merged"), 0)
+        return self._publish(last, now, lookups, last["schema"], [*last["files"], *files], refreshes)
 
-    def rebuild(self) -> int:
-        """Everything from the source's last version, published in one step."""
-        last, now = self.table.manifest(), self.source.manifest()
+    def _rebuilt(self, last: dict, now: dict, lookups: list[int]) -> int:
         whole = self._partial(now["files"], now["schema"], 1)
-        return self._publish(last, now, whole.schema.json(), self.table.write_files(whole, "whole"), 0)
+        return self._publish(last, now, lookups, whole.schema.json(), self.table.write_files(whole, "whole"), 0)
 
-    def _publish(self, last: dict, now: dict, schema: str, files: Sequence[str], refreshes: int) -> int:
-        return self.table.commit(last, schema, files, more={"source_version": now["version"], "source_files": now["files"], "refreshes": refreshes})
+    def _publish(self, last: dict, now: dict, lookups: list[int], schema: str, files: Sequence[str], refreshes: int) -> int:
+        return self.table.commit(last, schema, files, more={
+            "source_version": now["version"], "source_files": now["files"], "lookups": lookups, "refreshes": refreshes})
 
     def read(self, version: int | None = None) -> DataFrame:
         """(keys, sums) of one version, the last by default."""

@@ -167,6 +167,39 @@ def test_a_reader_sees_one_whole_version(spark, tmp_path):
     assert [r[:2] for r in stored(view)] == [("a", 6), ("b", 2), ("c", 5)]
 
 
+def test_a_changed_look_up_means_a_rebuild(spark, tmp_path):
+    table, names = StoredTable(spark, str(tmp_path / "rows")), StoredTable(spark, str(tmp_path / "names"))
+    names.append(spark.createDataFrame([("a", "Alpha"), ("b", "Beta")], "g string, name string"), "one")
+    view = StoredAggregate(table, str(tmp_path / "sums"), ["name"], {"v": F.col("v")}, prepare=lambda rows: rows.join(names.read(), "g"), lookups=[names])
+    table.append(frame(spark, [(1, "a", 1.0), (2, "b", 2.0), (3, "a", 4.0)]), "one")
+    view.refresh()
+    assert stored(view) == [("Alpha", Decimal(5)), ("Beta", Decimal(2))]
+    names.update({"name": "Gamma"}, F.col("g") == "b")
+    table.append(frame(spark, [(4, "b", 8.0)]), "two")
+    view.refresh()
+    assert stored(view) == [("Alpha", Decimal(5)), ("Gamma", Decimal(10))]
+    version = view.table.version()
+    assert view.refresh() == version
+
+
+def test_two_refreshes_at_once_count_a_batch_once(spark, tmp_path, monkeypatch):
+    table, view = balances(spark, tmp_path)
+    table.append(frame(spark, [(1, "a", 1.0)]), "one")
+    view.refresh()
+    table.append(frame(spark, [(2, "a", 2.0)]), "two")
+    plain, calls = StoredTable.write_files, []
+
+    def write_files(self, df, label, *a):
+        if label == "partial" and not calls:
+            calls.append(1)
+            balances(spark, tmp_path)[1].refresh()  # another process is faster
+        return plain(self, df, label, *a)
+
+    monkeypatch.setattr(StoredTable, "write_files", write_files)
+    view.refresh()
+    assert stored(view) == recomputed(table) == [("a", Decimal(3), Decimal(6))]
+
+
 def test_files_vacuumed_before_the_refresh_mean_a_rebuild(spark, tmp_path):
     table, view = balances(spark, tmp_path)
     table.append(frame(spark, [(1, "a", 1.0), (2, "b", 2.0)]), "one")
