@@ -3,8 +3,7 @@
 ``summary_of_earlier`` answers "how many right rows of my key lie before me, and which are the two smallest different values among
 them" without joining a single pair. Both sides go into one order (key, time) that is range-partitioned, so a key of any size
 spreads over partitions. Inside a partition running aggregates per key give each left row its answer; what a key has in earlier
-partitions comes from one row for each partition that the key reaches into -- at most two keys a partition cross an edge --
-and is broadcast on that proof.
+partitions comes from the last rows of these, one row a partition, and is broadcast on that proof.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.operators.windows import ranged
+from opsframe.operators.windows import carried, join_carried, ranged
 
 
 def _smallest_two(arrays: Column) -> Column:
@@ -51,22 +50,11 @@ def summary_of_earlier(left: DataFrame, right: DataFrame, on: Sequence[tuple[str
            .withColumn("_next", F.when(F.col("_v") < F.col("_old"), F.col("_old")).when(F.col("_v") > F.col("_old"), F.col("_v")))
            .withColumn("_second", F.min("_next").over(upto)))
 
-    # keys that reach over an edge: the first and the last of a partition
-    named = F.struct(*keys)
-    edge = r.groupBy("_pid").agg(F.min(named).alias("_a"), F.max(named).alias("_b")).select(F.explode(F.array("_a", "_b")).alias("_k"))
-    edge = edge.select("_k.*").distinct().filter(" and ".join(f"{k} is not null" for k in keys))
-    parts = r.filter(~F.col("_left")).join(F.broadcast(edge), keys).groupBy("_pid", *keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    first = Window.partitionBy("_pid", *keys).orderBy(F.col("_v").asc_nulls_last())
-    totals = (parts.withColumn("_rank", F.row_number().over(first)).groupBy("_pid", *keys)
-              .agg(F.sum("_n").alias("_n"), F.collect_list(F.when(F.col("_rank") <= 2, F.col("_v"))).alias("_two")))
-    # a row for each partition that holds right rows of an edge key: at most two a partition
-    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    reach = edge.join(F.broadcast(r.select("_pid").distinct()))
-    held = (reach.join(totals, ["_pid", *keys], "left")
-            .withColumn("_before_n", F.sum("_n").over(earlier)).withColumn("_before_two", _smallest_two(F.flatten(F.collect_list("_two").over(earlier)))))
-    held = held.filter("_before_n > 0").select("_pid", *keys, "_before_n", "_before_two")
-    joined = run.filter("_left").join(F.broadcast(held), ["_pid", *keys], "left")
-    none = F.array().cast(joined.schema["_before_two"].dataType)
+    # what earlier partitions hold of a partition's first key: their running values at their last rows
+    held = (carried(run, keys, ["_n", "_first", "_second"]).groupBy("_pid", *keys)
+            .agg(F.sum("_held._n").alias("_before_n"), F.collect_list(F.array("_held._first", "_held._second")).alias("_before")))
+    joined = join_carried(run.filter("_left"), held, keys)
+    none = F.array().cast(joined.schema["_before"].dataType.elementType)
     n = F.when(whole, F.col("_n") + F.coalesce("_before_n", F.lit(0))).otherwise(0).cast("long")
-    least = F.when(whole, _smallest_two(F.concat(F.array("_first", "_second"), F.coalesce("_before_two", none)))).otherwise(none)
-    return joined.select("_row.*", n.alias(n_name), least.alias(least_name))
+    least = F.concat(F.array("_first", "_second"), F.coalesce(F.flatten("_before"), none))
+    return joined.select("_row.*", n.alias(n_name), F.when(whole, _smallest_two(least)).otherwise(none).alias(least_name))

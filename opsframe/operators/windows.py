@@ -9,9 +9,9 @@ puts all its rows into one task.
   table) in one task. Instead rows are range-partitioned on
   (keys, order) -- a hot key spreads over many partitions -- numbered
   locally, and shifted by the count of the same key in earlier partitions.
-  Only keys that cross a partition boundary get a shift, at most one per
-  partition, so the shift table is bounded by the partition count and is
-  broadcast on that proof. The range-partitioned, numbered rows are pinned
+  Only the first key of a partition gets a shift, from partitions whose last
+  key it is (``carried``), so the shift table has at most one row per
+  partition and is broadcast on that proof. The range-partitioned, numbered rows are pinned
   as a parquet table in the shared checkpoint folder (``session.pin``).
   Inputs of every size take this way.
 * ``first_last_non_null`` (W5-W9): whole-partition ``first/last ignore
@@ -103,37 +103,42 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     (as they are in the source).
     """
     keys = list(keys)
-    key_sort = [F.col(k).asc_nulls_first() for k in keys]
-    r = ranged(df, key_sort + list(order_by), partitions)
-    local = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid"))
-    # Only a partition's first and last key can reach into a neighbour, so
-    # count rows just for those (at most two keys per partition) instead of
-    # aggregating every key.
-    ks = F.struct(*[F.col(k) for k in keys])
-    bounds = r.groupBy("_pid").agg(F.min(ks).alias("_first"), F.max(ks).alias("_last"))
-    edge_keys = bounds.select(F.explode(F.array("_first", "_last")).alias("_k")).select("_k.*").distinct()
-    # two keys per partition at most
-    edge_keys = F.broadcast(edge_keys.select(*[F.col(k).alias(f"_ek{i}") for i, k in enumerate(keys)]))
-    on_edge = None
-    for i, k in enumerate(keys):
-        c = r[k].eqNullSafe(edge_keys[f"_ek{i}"])
-        on_edge = c if on_edge is None else on_edge & c
-    counts = r.join(edge_keys, on_edge, "left_semi").groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    offs = (counts.withColumn("_off", before)
-            .filter(F.col("_off") > 0)
-            .select("_pid", *keys, "_off"))
-    on = [F.col("l._pid") == F.col("o._pid")] + [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    numbered = r.withColumn("_local", local).alias("l")
-    joined = numbered.join(F.broadcast(offs).alias("o"), cond, "left")
-    return (joined.select("l.*", F.col("o._off"))
+    r = ranged(df, [F.col(k).asc_nulls_first() for k in keys] + list(order_by), partitions)
+    numbered = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy("_mid")))
+    # the last row of a partition tells how many rows its last key has there
+    before = carried(numbered, keys, ["_local"])
+    offs = before.groupBy("_pid", *keys).agg(F.sum("_held._local").alias("_off"))
+    return (join_carried(numbered, offs, keys)
             .withColumn(name, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("long"))
             .drop("_pid", "_mid", "_local", "_off"))
 
 
+def carried(rows: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """(_pid, keys, _held): for partitions of ``ranged`` rows that begin with a key of earlier partitions, a row with the
+    ``totals`` of each of these, as its last row has them (running values, ``rows`` being in order).
+
+    Only the last key of a partition can go on into the next ones and only the first can come from before, so both sides of the
+    join have one row for each partition; they come from one aggregate.
+    """
+    ends = rows.groupBy("_pid").agg(F.min(F.struct("_mid", *keys)).alias("_a"), F.max(F.struct("_mid", *keys, *totals)).alias("_b"))
+    here = ends.select("_pid", *[F.col("_a")[k].alias(k) for k in keys])
+    there = ends.select(F.col("_pid").alias("_from"), F.col("_b").alias("_held"))
+    same = F.col("_from") < F.col("_pid")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_held")[k])
+    return here.join(F.broadcast(there), same)
+
+
+def join_carried(rows: DataFrame, before: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``before``, one row for each (_pid, keys) and one key a partition at most: broadcast on that bound."""
+    other = before.select(F.col("_pid").alias("_c"), *[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)],
+                          *[c for c in before.columns if c != "_pid" and c not in keys])
+    same = F.col("_pid") == F.col("_c")
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(other[f"_c{i}"])
+    return rows.join(F.broadcast(other), same, "left").drop("_c", *[f"_c{i}" for i in range(len(keys))])
+
+
 def first_last_non_null(df: DataFrame, keys: Sequence[str], value, condition: Column | None = None,
                         first_name: str = "first_value", last_name: str = "last_value") -> DataFrame:
     """Per key, the first and last non-null ``value`` in value order

@@ -27,6 +27,7 @@ from opsframe.functions import concat_strict, false_or_null, nvl, present_nonzer
 from opsframe.operators.joins import join_earlier, left_join_where, star_left
 from opsframe.operators.prefix import summary_of_earlier
 from opsframe.operators.windows import prefix_sum, row_numbers, surrogate_number
+from opsframe.session import pin
 from opsframe.sources import standins as S
 from opsframe.sources.tables import Tables
 
@@ -337,9 +338,10 @@ def recon_model(t: Tables, settings: ReconSettings = ReconSettings()) -> DataFra
 def r11_recon_cost(t: Tables, settings: ReconSettings = ReconSettings()) -> DataFrame:
     """One recon-cost row per inventory, with the source's surrogate id
     (W4) and row order (W1) -- see ``recon_model``."""
-    numbered = prefix_sum(recon_model(t, settings), [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
-    order = F.row_number().over(Window.partitionBy("inventoryid").orderBy("_before"))  # W1
-    return numbered.withColumn("row_order", order.cast("long")).filter("row_order = 1").select(
+    # the range partitioner reads its input twice: the model is written first
+    numbered = prefix_sum(pin(recon_model(t, settings), "recon_model"), [F.col("inventoryid").asc_nulls_last()], "_pairs", name="_before")
+    # the model has one row an inventory: the first of the rows it stands for
+    return numbered.withColumn("row_order", F.lit(1).cast("long")).select(
         concat_strict("advent_recon_", F.col("_before") + 1).alias("maintid"),
         "inventoryid", "cost", "dms_cost", "vl_labor_cost", "parts_manager_cost", "remote_recon_cost",
         "actual_customer_concession_cost", "droppedoffon", "mainttype", "mainttypecategoryid",
