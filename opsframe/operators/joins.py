@@ -231,8 +231,10 @@ def contains_keys(L: DataFrame, text_col: str, R: DataFrame, name_col: str, lid:
     of_name = R.filter(F.col(name_col).isNotNull()).select(rid, keys.alias("_g")).withColumn("_size", size)
     longest = of_name.groupBy(rid).agg(F.max("_size").alias("_most")).withColumnRenamed(rid, "_rid")
     of_name = of_name.join(longest, (F.col(rid) == F.col("_rid")) & (F.col("_size") == F.col("_most"))).select(rid, "_g")
-    of_text = L.select(lid, F.explode(_text_keys(F.col(text_col))).alias("_g"))
-    often = _masked(of_text, of_name).groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
+    of_name = pin(of_name, "contains_names")
+    # cut out of the texts once: counted here, sent below
+    of_text = pin(_masked(L.select(lid, F.explode(_text_keys(F.col(text_col))).alias("_g")), of_name), "contains_keys")
+    often = of_text.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     choice = (of_name.join(often, "_g", "left")
               .groupBy(rid).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_c"))
               .filter("_c.f > 0").select(rid, F.col("_c.g").alias("_g")))
