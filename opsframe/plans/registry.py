@@ -91,6 +91,7 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "s6_typed_documents": stored.s6_typed_documents,
     "s6_rejected_documents": stored.s6_rejected_documents,
     "s7_repeated_batches": stored.s7_repeated_batches,
+    "s7_moved_table": stored.s7_moved_table,
     "s9_refreshed_balances": stored.s9_refreshed_balances,
     "s10_updated_files": stored.s10_updated_files,
     "j3_bucketed_driver_day": stored.j3_bucketed_driver_day,

@@ -49,6 +49,17 @@ def s7_repeated_batches(t: Tables) -> DataFrame:
     return table.read().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), money_sum("o_totalprice").alias("total"))
 
 
+def s7_moved_table(t: Tables) -> DataFrame:
+    """A table like another takes over its rows, twice asked and once done; what both hold then."""
+    old, new = StoredTable(t.spark, scratch_path(t.spark, "old_customers")), StoredTable(t.spark, scratch_path(t.spark, "new_customers"))
+    old.append(S.customers(t).select("customerid", "marketsegment"), "all")
+    new.create_like(old)
+    new.append_from(old)
+    new.append_from(old)
+    held = new.read().withColumn("held_by", F.lit("new")).unionByName(old.read().withColumn("held_by", F.lit("old")))
+    return held.groupBy("held_by", "marketsegment").agg(F.count(F.lit(1)).alias("customers"))
+
+
 def s9_refreshed_balances(t: Tables) -> DataFrame:
     """R30's aggregate, refreshed after a first batch of customers, a second one and an update."""
     customers, nations = S.customers(t), S.nations(t)

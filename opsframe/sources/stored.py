@@ -13,6 +13,7 @@ must be on a file system with an atomic rename (HDFS, a local disk).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -80,6 +81,16 @@ class Folder:
     def delete(self, name: str) -> None:
         self._files.delete(self._at(name), True)
 
+    def take(self, other: Folder, name: str, new: str) -> None:
+        """Move a file of another folder here; one that has been moved already is there."""
+        if not other.exists(name):
+            if self.exists(new):
+                return
+            raise FileNotFoundError(f"{other.path}/{name}")
+        self._files.mkdirs(self._at(new.rpartition("/")[0]))
+        if not self._files.rename(other._at(name), self._at(new)):
+            raise OSError(f"cannot move {other.path}/{name} to {self.path}/{new}")
+
 
 EMPTY = {"version": 0, "schema": None, "files": [], "batches": {}, "more": {}}
 
@@ -135,6 +146,36 @@ class StoredTable:
             raise ValueError(f"columns {df.schema.simpleString()} do not fit {kind.simpleString()}")
         return base["schema"]
 
+    def create_like(self, other: StoredTable) -> int:
+        """An empty table with the columns of another; an existing one must have them."""
+        last, schema = self.manifest(), other.manifest()["schema"]
+        if last["schema"] is None:
+            return self.commit(last, schema, [])
+        self._schema(other.read(), last)
+        return last["version"]
+
+    def append_from(self, other: StoredTable) -> int:
+        """``ALTER TABLE .. APPEND FROM``: every row of ``other`` moves here, which leaves it empty. Files are renamed, not
+        rewritten. The move counts once: called again after it broke off anywhere, it goes on where it stopped. Readers of
+        ``other`` must have finished, as for the warehouse's statement; both tables must lie on one file system."""
+        from_, last = other.manifest(), self.manifest()
+        batch = f"append from {other.folder.path} version {from_['version']}"
+        if from_["files"]:
+            if batch not in last["batches"]:
+                schema = self._schema(other.scan([], from_["schema"]), last)
+                inside = "moved-" + hashlib.sha256(batch.encode()).hexdigest()[:16]
+                moved = {f: f"{inside}/{f.replace('/', '-')}" for f in from_["files"]}
+                for old, new in moved.items():
+                    self.folder.take(other.folder, f"data/{old}", f"data/{new}")
+                while batch not in last["batches"]:
+                    try:
+                        self.commit(last, schema, [*last["files"], *moved.values()], {**last["batches"], batch: last["version"] + 1})
+                    except Conflict:  # another batch came in between
+                        pass
+                    last = self.manifest()
+            other.commit(from_, from_["schema"], [])
+        return self.version()
+
     def append(self, df: DataFrame, batch: str, by: Sequence[str] = (), ranges: int | None = None, base: dict | None = None) -> int:
         """The rows of a batch, once. Sent again, it changes nothing and costs one look at the manifest. Rows that other
         writers add meanwhile stay; with ``base``, the append holds for that version only and raises ``Conflict`` otherwise."""

@@ -77,6 +77,61 @@ def test_other_columns_are_turned_down(spark, tmp_path):
         StoredTable(spark, str(tmp_path / "none")).read()
 
 
+def test_a_table_moves_as_it_is(spark, tmp_path):
+    old, new = StoredTable(spark, str(tmp_path / "old")), StoredTable(spark, str(tmp_path / "new"))
+    rows = [(k, f"g{k % 3}", float(k)) for k in range(40)]
+    old.append(frame(spark, rows), "one")
+    assert new.create_like(old) == new.create_like(old) == 1 and new.read().count() == 0 and new.read().schema == old.read().schema
+    new.append(frame(spark, [(100, "x", 1.0)]), "own")
+    before = sorted(digests(old).values())
+    new.append_from(old)
+    assert old.read().count() == 0 and values(new.read()) == sorted([*rows, (100, "x", 1.0)])
+    assert set(before) <= set(digests(new).values())  # the same files
+    version = new.version()
+    assert new.append_from(old) == version  # nothing left to move
+    old.append(frame(spark, rows[:3]), "two")
+    new.append_from(old)
+    assert new.read().count() == 44
+    with pytest.raises(ValueError):
+        new.append_from(_other_columns(spark, tmp_path))
+
+
+def _other_columns(spark, tmp_path):
+    table = StoredTable(spark, str(tmp_path / "other"))
+    table.append(spark.createDataFrame([(1,)], "k long"), "one")
+    return table
+
+
+@pytest.mark.parametrize("step", ["second file", "publish new", "publish old"])
+def test_a_move_that_breaks_off_goes_on(spark, tmp_path, monkeypatch, step):
+    from opsframe.sources.stored import Folder
+
+    old, new = StoredTable(spark, str(tmp_path / "old")), StoredTable(spark, str(tmp_path / "new"))
+    rows = [(k, f"g{k % 8}", float(k)) for k in range(80)]
+    old.append(frame(spark, rows), "one", by=["g"], ranges=4)
+    new.create_like(old)
+    take, publish, taken = Folder.take, Folder.publish, []
+
+    def broken_take(self, other, name, to):
+        taken.append(name)
+        if step == "second file" and len(taken) == 2:
+            raise RuntimeError("lost")
+        return take(self, other, name, to)
+
+    def broken_publish(self, name, text):
+        if step == f"publish {'new' if self.path == new.folder.path else 'old'}":
+            raise RuntimeError("lost")
+        return publish(self, name, text)
+
+    monkeypatch.setattr(Folder, "take", broken_take)
+    monkeypatch.setattr(Folder, "publish", broken_publish)
+    with pytest.raises(RuntimeError):
+        new.append_from(old)
+    monkeypatch.undo()
+    new.append_from(old)
+    assert values(new.read()) == sorted(rows) and old.read().count() == 0
+
+
 def test_an_update_leaves_other_files_alone(spark, tmp_path):
     table = StoredTable(spark, str(tmp_path / "t"))
     rows = [(k, f"g{k % 8}", float(k)) for k in range(800)] + [(900, None, 1.0)]
