@@ -1,6 +1,6 @@
 """Operator 3: language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of 0, 1 or 2 words (``DEPTH``), kept by a divergence test; a token is scored in the
+States are contexts of 0, 1 or 2 words, kept by a divergence test; a token is scored in the
 longest kept suffix of what precedes it. The root is the smoothed unigram distribution. With c(s) the
 training tokens that follow a context s, n(s, x) those that are x, counted if x recurs there (2 or more),
 and rest(s) = c(s) - sum of the counted, a state's distribution is
@@ -14,8 +14,10 @@ How it runs: texts become codes in a chunk's dictionary, written once to the sha
 send each different word with its training count; its owner adds up, and answers with the global count and id. Chunks then
 send each different (two words before, token) with its count to the owner of the
 word before the token: all contexts that end in that word are grown, tested and
-smoothed there. The answer is a pair (a, b) with P = a + b P(root), from which the chunk scores its texts. Everything that is
-gathered grows with the corpus; no table is collected or broadcast. Only three totals reach the driver.
+smoothed there. A word with more than ``HOT_TOKENS`` training tokens is *hot*: the counts of its pairs (it, token) are added up
+by the owners of the pairs, its own state follows from sums over them, and its contexts of two words are dealt to
+owners by both words, each entry with what the state of its last word makes of it. So no owner holds all that follows one word. The answer is a pair (a, b) with P = a + b P(root), from which the chunk scores its texts. Everything that is
+gathered grows with the corpus; no table is broadcast. Totals reach the driver, and the figures of hot words: one for so many tokens at most.
 
 Words and contexts are known by 64-bit hashes and ids. Defined cases: null text is empty and scores its end token alone;
 null and repeated ids are kept, a row out for each row in; a condition that is null is no training; without training rows
@@ -33,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.chunks import bucketed, parts, planes, unplaned
+from opsframe.llm.chunks import bucketed, parts, planes, table, unplaned
 
 #: Characters of text that one chunk gathers before it is written.
 CHUNK_CHARS = 10 << 20
-DEPTH = 2
+#: Training tokens of a word beyond which its contexts are split over owners, and triples of training tokens that an owner holds on average.
+HOT_TOKENS, OWNER_TOKENS = 1 << 22, 1 << 21
 #: Entries of contexts of two words that are tested together.
 TOGETHER = 1 << 19
 PSEUDO = 1.0
@@ -101,9 +104,9 @@ def _coded(dests: int):
     return run
 
 
-_WORDS = "chunk long, dest int, first binary, second binary, tokens long, known long"
+_WORDS = "chunk long, dest int, first binary, second binary, tokens long, known long, top long"
 _WORDS_SCHEMA = pa.schema([("chunk", pa.int64()), ("dest", pa.int32()), ("first", pa.binary()), ("second", pa.binary()),
-                           ("tokens", pa.int64()), ("known", pa.int64())])
+                           ("tokens", pa.int64()), ("known", pa.int64()), ("top", pa.int64())])
 
 
 def _counted_words(t: pa.Table) -> pa.Table:
@@ -119,14 +122,15 @@ def _counted_words(t: pa.Table) -> pa.Table:
     n = len(own)
     return pa.table([t.column("chunk").combine_chunks(), pa.array([t.column("dest")[0].as_py()] * n, pa.int32()),
                      pa.array([planes(number[i]) for i in own], pa.binary()), pa.array([planes(total[i], "<u8") for i in own], pa.binary()),
-                     pa.array([int(total.sum())] * n, pa.int64()), pa.array([int((total > 0).sum())] * n, pa.int64())], schema=_WORDS_SCHEMA)
+                     pa.array([int(total.sum())] * n, pa.int64()), pa.array([int((total > 0).sum())] * n, pa.int64()),
+                     pa.array([int(total.max())] * n, pa.int64())], schema=_WORDS_SCHEMA)
 
 
 class _Chunk:
     """A chunk's tokens with the ids and training counts of their words, and its
     different (before last, last, token) triples in the order of their owners."""
 
-    def __init__(self, coded: pa.Table, dests: int, owners: int) -> None:
+    def __init__(self, coded: pa.Table, dests: int, owners: int, hot: int) -> None:
         words = sorted(coded.column("words")[0].as_py(), key=lambda w: w["dest"])
         codes = unplaned(coded.column("codes")[0].as_py()).astype(np.int32)
         places = unplaned(coded.column("places")[0].as_py())
@@ -152,40 +156,151 @@ class _Chunk:
         pair, self.before = pair[triple // size], triple % size
         self.last, self.token = pair // size, pair % size
         count = np.bincount(of_triple, train[self.inner], len(triple)).astype(np.int64)
-        owner = (self.number[self.last - 1] * 2654435761 >> 7) % owners
+        last, token = self.number[self.last - 1], self.number[self.token]
+        owner = (last * 2654435761 >> 7) % owners
+        self.hot = self.total[self.last - 1] > hot
+        if self.hot.any():  # by both words; where there is no second one, by the token
+            second = np.where(self.before > 0, self.number[self.before - 1] + 1, -1 - token)
+            owner = np.where(self.hot, _dealt(last, second, owners), owner)
         order = np.argsort(owner, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.of_triple, self.owner, self.count = place[of_triple], owner[order], count[order]
-        self.before, self.last, self.token = self.before[order], self.last[order], self.token[order]
+        self.before, self.last, self.token, self.hot = self.before[order], self.last[order], self.token[order], self.hot[order]
+
+    def hot_pairs(self, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different (last, token) with a hot last word, in the order of their owners: words' codes, training count, owner, and for
+        each hot triple which of them it has."""
+        size = len(self.number) + 1
+        pair, of = np.unique(self.last[self.hot] * size + self.token[self.hot], return_inverse=True)
+        last, token = pair // size, pair % size
+        owner = _dealt(self.number[last - 1], self.number[token], owners)
+        order = np.argsort(owner, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return last[order], token[order], np.bincount(of, self.count[self.hot], len(pair)).astype(np.int64)[order], owner[order], place[of]
+
 
+def _dealt(a: np.ndarray, b: np.ndarray, owners: int) -> np.ndarray:
+    """Owners of pairs of numbers."""
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % owners
 
-_TRIPLES = "dest int, chunk long, last binary, token binary, total binary, before binary, count binary"
-_TRIPLES_SCHEMA = pa.schema([("dest", pa.int32()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("last", "token", "total", "before", "count")])
 
+_PAIRS = "dest int, chunk long, last binary, token binary, total binary, count binary"
+_PAIRS_SCHEMA = pa.schema([("dest", pa.int32()), ("chunk", pa.int64())] + [(c, pa.binary()) for c in ("last", "token", "total", "count")])
 
-def _sent_triples(dests: int, owners: int):
+
+def _sent_pairs(dests: int, owners: int, hot: int):
+    """Each chunk's pairs of a hot word and the token after it, with their training counts."""
     def run(coded: pa.Table) -> pa.Table:
-        c = _Chunk(coded, dests, owners)
+        c = _Chunk(coded, dests, owners, hot)
+        last, token, count, owner, _ = c.hot_pairs(owners)
+        cuts = _runs(owner)
+        rows = [(int(owner[a]), planes(c.number[last[a:b] - 1], "<u8"), planes(c.number[token[a:b]], "<u8"), planes(c.total[token[a:b]], "<u8"),
+                 planes(count[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(owner)))]
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array([coded.column("chunk")[0].as_py()] * len(rows), pa.int64())]
+                        + [pa.array(x, pa.binary()) for x in columns[1:]], schema=_PAIRS_SCHEMA)
+
+    return run
+
+
+def _added_pairs(t: pa.Table) -> pa.Table:
+    """To each chunk the training counts of its pairs in all (rows with a chunk), and the different pairs (without one)."""
+    parts_of = {name: [unplaned(x, kind) for x in t.column(name).to_pylist()] for name, kind in (("last", "<u8"), ("token", "<u8"), ("total", "<u8"), ("count", "<u4"))}
+    ends = np.cumsum([len(x) for x in parts_of["last"]])
+    last, token, total, count = (np.concatenate(parts_of[c]).astype(np.int64) for c in ("last", "token", "total", "count"))
+    order = np.lexsort((token, last))
+    fresh = np.concatenate(([True], (last[order][1:] != last[order][:-1]) | (token[order][1:] != token[order][:-1])))
+    summed = np.add.reduceat(count[order], np.flatnonzero(fresh))
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    head, dest, none = order[fresh], t.column("dest")[0].as_py(), b""
+    rows = [(dest, chunk, none, none, none, planes(summed[inverse[e - len(x):e]])) for chunk, x, e in zip(t.column("chunk").to_pylist(), parts_of["last"], ends)]
+    rows.append((dest, None, planes(last[head], "<u8"), none, planes(total[head], "<u8"), planes(summed)))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PAIRS_SCHEMA)], schema=_PAIRS_SCHEMA)
+
+
+_SUMS = "last long, whole double, seen double, gain double"
+
+
+def _summed_pairs(tokens: int, known: int, sums: dict[int, tuple[float, float]]):
+    """Of each hot word among the different pairs: their counts, those that recur, and with ``sums`` (both over all pairs) the
+    gain of the recurring ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for last, total, count in zip(*(batch.column(c).to_pylist() for c in ("last", "total", "count"))):
+                last, total, n = unplaned(last, "<u8").astype(np.int64), unplaned(total, "<u8").astype(float), unplaned(count).astype(float)
+                words, of = np.unique(last, return_inverse=True)
+                counted, gain = np.where(n >= 2, n, 0.0), np.zeros(len(n))
+                if sums:
+                    whole, seen = (np.array([sums[w][k] for w in words.tolist()])[of] for k in (0, 1))
+                    root = (total + 0.5) / (tokens + 0.5 * (known + 1))
+                    p = (counted + (whole - seen + PSEUDO) * root) / (whole + PSEUDO)
+                    gain = np.where(counted > 0, counted * np.log(p / root) - PENALTY, 0.0)
+                each = [np.bincount(of, x, len(words)) for x in (n, counted, gain)]
+                yield pa.RecordBatch.from_arrays([pa.array(words), *map(pa.array, each)], names=["last", "whole", "seen", "gain"])
+
+    return run
+
+
+def hot_states(pairs: DataFrame, tokens: int, known: int) -> dict[int, tuple[float, float, bool]]:
+    """Of each hot word (one for ``HOT_TOKENS`` tokens at most): the tokens that follow it, those that recur there, and whether its state stays."""
+    different = pairs.filter("chunk is null")
+
+    def added(sums: dict) -> list:
+        return different.mapInArrow(_summed_pairs(tokens, known, sums), _SUMS).groupBy("last").agg(F.sum("whole"), F.sum("seen"), F.sum("gain")).collect()
+
+    sums = {r[0]: (r[1], r[2]) for r in added({})}
+    out = {}
+    for word, whole, seen, gain in added(sums):
+        alone = whole - seen
+        out[word] = (whole, seen, bool(seen > 0 and gain + alone * np.log((alone + PSEUDO) / (whole + PSEUDO)) > 0))
+    return out
+
+
+_TRIPLES = "dest int, chunk long, last binary, token binary, total binary, before binary, count binary, first binary, second binary"
+_TRIPLES_SCHEMA = pa.schema([("dest", pa.int32()), ("chunk", pa.int64())]
+                            + [(c, pa.binary()) for c in ("last", "token", "total", "before", "count", "first", "second")])
+
+
+def _sent_triples(dests: int, owners: int, hot: int, states: dict[int, tuple[float, float, bool]]):
+    """Each chunk's triples; those of a hot last word with (a, b) of its state."""
+    def run(coded: pa.Table, added: pa.Table | None = None) -> pa.Table:
+        if not coded.num_rows:
+            return _TRIPLES_SCHEMA.empty_table()
+        c = _Chunk(coded, dests, owners, hot)
         before = np.where(c.before > 0, c.number[c.before - 1] + 1, 0)
+        a = b = np.full(len(c.last), np.nan)
+        if c.hot.any():
+            last, _, _, _, of = c.hot_pairs(owners)
+            n = np.concatenate([unplaned(x) for x in added.sort_by("dest").column("count").to_pylist()]).astype(float)
+            whole, seen, kept = (np.array([states[w][k] for w in c.number[last - 1].tolist()]) for k in range(3))
+            a[c.hot] = np.where(kept, np.where(n >= 2, n, 0.0) / (whole + PSEUDO), 0.0)[of]
+            b = a.copy()
+            b[c.hot] = np.where(kept, (whole - seen + PSEUDO) / (whole + PSEUDO), 1.0)[of]
         cuts = _runs(c.owner)
         rows = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(c.owner))):
-            s = slice(a, b)
-            rows.append((int(c.owner[a]), planes(c.number[c.last[s] - 1], "<u8"), planes(c.number[c.token[s]], "<u8"),
-                         planes(c.total[c.token[s]], "<u8"), planes(before[s], "<u8"), planes(c.count[s])))
-        columns = list(zip(*rows)) or [()] * 6
+        for x, y in zip(cuts, np.append(cuts[1:], len(c.owner))):
+            s = slice(x, y)
+            given = [planes(v[s].astype("<f4").view("<u4")) for v in (a, b)] if c.hot[s].any() else [b"", b""]
+            rows.append((int(c.owner[x]), planes(c.number[c.last[s] - 1], "<u8"), planes(c.number[c.token[s]], "<u8"),
+                         planes(c.total[c.token[s]], "<u8"), planes(before[s], "<u8"), planes(c.count[s]), *given))
+        columns = list(zip(*rows)) or [()] * 8
         return pa.table([pa.array(columns[0], pa.int32()), pa.array([coded.column("chunk")[0].as_py()] * len(rows), pa.int64())]
                         + [pa.array(x, pa.binary()) for x in columns[1:]], schema=_TRIPLES_SCHEMA)
 
-    return run
+    # Spark looks at the number of arguments
+    return run if states else lambda coded: run(coded)
 
 
-def grown(last, token, before, count, root) -> tuple[np.ndarray, np.ndarray]:
+def grown(last, token, before, count, root, given=None) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) of each different (before, last, token) with its training count: P = a + b * root.
 
     ``root``: the root's probability of the token; ``before`` 0: no second word. The triples are in
-    order of (last, token, before), and all with one ``last`` are here."""
+    order of (last, token, before), and all with one ``last`` are here, or all with one (before, last) where ``given`` has (a, b) of
+    the last word's state (not a number elsewhere)."""
 
     def states(context: np.ndarray, n: np.ndarray, parent: np.ndarray, some: np.ndarray):
         """(kept, numerator, share of the parent) for entries (context number, count)."""
@@ -206,6 +321,8 @@ def grown(last, token, before, count, root) -> tuple[np.ndarray, np.ndarray]:
     one = (np.cumsum(new_last) - 1)[head]
     kept, a, b = states(one, np.add.reduceat(count, head).astype(float), root[head], np.ones(int(one[-1]) + 1, bool))
     a, b = np.where(kept, a, 0.0)[pair], np.where(kept, b, 1.0)[pair]
+    if given is not None:
+        a, b = (np.where(np.isnan(g), x, g) for g, x in zip(given, (a, b)))
     # contexts of two words, each beside the state (or the root) of its last word; some contexts at a time
     by = np.lexsort((before, last))
     fresh = np.flatnonzero(np.concatenate(([True], (last[by][1:] != last[by][:-1]) | (before[by][1:] != before[by][:-1]))))
@@ -246,7 +363,11 @@ def _grown_contexts(tokens: int, known: int):
         del order, fresh
         last, token, before = last[head], token[head], before[head]
         root = (column("total", "<u8")[head] + 0.5) / (tokens + 0.5 * (known + 1))
-        a, b = grown(last, token, before, summed, root)
+        given = None
+        if any(t.column("first").to_pylist()):
+            given = [np.concatenate([unplaned(x).view("<f4") if x else np.full(n, np.nan, "<f4") for x, n in zip(t.column(c).to_pylist(), sizes)])[head].astype(float)
+                     for c in ("first", "second")]
+        a, b = grown(last, token, before, summed, root, given)
         own = [slice(e - n, e) for n, e in zip(sizes, np.cumsum(sizes))]
         return pa.table([t.column("chunk").combine_chunks(), pa.array([t.column("dest")[0].as_py()] * len(own), pa.int32()),
                          *[pa.array([planes(x[inverse[s]].view("<u4")) for s in own], pa.binary()) for x in (a.astype("<f4"), b.astype("<f4"))]],
@@ -258,13 +379,13 @@ def _grown_contexts(tokens: int, known: int):
 _SCORED = "id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(dests: int, owners: int, tokens: int, known: int):
+def _scored(dests: int, owners: int, hot: int, tokens: int, known: int):
     kind = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(coded: pa.Table, answers: pa.Table) -> pa.Table:
         if not coded.num_rows:
             return kind.empty_table()
-        c = _Chunk(coded, dests, owners)
+        c = _Chunk(coded, dests, owners, hot)
         states = answers.sort_by("dest")
         a, b = (np.concatenate([unplaned(x).view("<f4") for x in states.column(s).to_pylist()] or [np.zeros(0, "<f4")]).astype(float) for s in ("first", "second"))
         root = ((c.total + 0.5) / (tokens + 0.5 * (known + 1)))[c.codes]
@@ -279,18 +400,24 @@ def _scored(dests: int, owners: int, tokens: int, known: int):
 
 def scored(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row. ``is_training``: a condition on the columns of ``docs``."""
-    dests = parts(docs.sparkSession)
-    owners = 4 * dests
+    dests, hot = parts(docs.sparkSession), HOT_TOKENS
     bodies = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_training, F.lit(False)).alias("train"), F.col(text).cast("string").alias("body"))
     coded = bucketed(bodies.mapInArrow(_coded(dests), _CODED), "chunk", "tokens")
     words = bucketed(coded.filter("dest is not null").select("dest", "chunk", "hashes", "trained").groupBy("dest")
                      .applyInArrow(_counted_words, _WORDS), "chunk", "words")
-    totals = words.groupBy("dest").agg(F.first("tokens").alias("tokens"), F.first("known").alias("known")).agg(F.sum("tokens"), F.sum("known")).first()
-    tokens, known = (int(x or 0) for x in totals)
+    totals = words.groupBy("dest").agg(*[F.first(c).alias(c) for c in ("tokens", "known", "top")]).agg(F.sum("tokens"), F.sum("known"), F.max("top")).first()
+    tokens, known, top = (int(x or 0) for x in totals)
+    owners = max(4 * dests, -(-tokens // OWNER_TOKENS))
     own = words.groupBy("chunk").agg(F.collect_list(F.struct("dest", "first", "second")).alias("words"))  # a row per owner
     # both tables are bucketed by chunk: neither moves for the join, nor when the answers come
     chunks = coded.filter("dest is null").select("chunk", "ids", "train", "counts", "codes", "places").join(own, "chunk")
-    answers = (chunks.groupBy("chunk").applyInArrow(_sent_triples(dests, owners), _TRIPLES)
-               .groupBy("dest").applyInArrow(_grown_contexts(tokens, known), _ANSWERS))
-    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(dests, owners, tokens, known), _SCORED)
+    if top > hot:
+        pairs = table(chunks.groupBy("chunk").applyInArrow(_sent_pairs(dests, owners, hot), _PAIRS).groupBy("dest").applyInArrow(_added_pairs, _PAIRS), "pairs")
+        states = hot_states(pairs, tokens, known)
+        added = pairs.filter("chunk is not null").select(F.col("chunk").alias("of"), "dest", "count")
+        sent = chunks.groupBy("chunk").cogroup(added.groupBy("of")).applyInArrow(_sent_triples(dests, owners, hot, states), _TRIPLES)
+    else:  # no word is hot
+        sent = chunks.groupBy("chunk").applyInArrow(_sent_triples(dests, owners, hot, {}), _TRIPLES)
+    answers = sent.groupBy("dest").applyInArrow(_grown_contexts(tokens, known), _ANSWERS)
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored(dests, owners, hot, tokens, known), _SCORED)
     return found.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -254,6 +254,21 @@ def test_suffix_tree_scores(spark, docs):
     assert any(x[4] > x[3] for x in a)
 
 
+def test_suffix_tree_with_hot_words(spark, monkeypatch):
+    """A word that a third of all tokens are, split over owners, has the same states; no owner holds all that follows it."""
+    rng = random.Random(14)
+    rows = [(k, " ".join(x for _ in range(rng.randint(1, 60)) for x in ("the", rng.choice(["of", f"w{int(rng.paretovariate(0.5)) % 400}", "of the", "cat sat on"])))) for k in range(150)]
+    rows += [(200 + k, rows[k][1]) for k in range(20)] + [(300, ""), (301, None), (302, "the"), (303, "the the the the")]
+    want = brute.tree_scores([(t, i % 5 != 1) for i, t in rows], suffix_tree.PSEUDO, suffix_tree.PENALTY)
+    for most in (1 << 22, 60, 3):
+        monkeypatch.setattr(suffix_tree, "HOT_TOKENS", most)
+        got = {r.id: r for r in suffix_tree.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") % 5 != 1).collect()}
+        for (i, _), (n, known, base, score) in zip(rows, want):
+            assert (got[i].n_tokens, got[i].n_known) == (n, known)
+            assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(score, rel=1e-5, abs=1e-6), (most, i)
+    assert any(w[3] > w[2] for w in want)
+
+
 def test_suffix_tree_without_training(spark):
     got = suffix_tree.scored(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(0, 0, 0.0, 0.0)] * 2
