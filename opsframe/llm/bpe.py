@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.chunks import bucketed, pack_binary, parts, planes, ranges, unplaned
+from opsframe.llm.chunks import bucketed, give_back, pack_binary, parts, planes, ranges, unplaned
 
 #: Characters of text that one chunk gathers before it is written.
 CHUNK_CHARS = 6 << 20
@@ -141,8 +141,11 @@ def _coded(pattern: str, dests: int):
                 if chars >= CHUNK_CHARS:
                     yield written()
                     known, codes, ids, counts, chars, number = {}, array("I"), [], [], 0, number + 1
+            del batch
         if ids:
             yield written()
+        del known, codes, ids, counts
+        give_back()
 
     return run
 
@@ -170,6 +173,8 @@ def _encoded_words(vocabulary: Vocabulary):
             out.append((chunk, planes(np.array([len(x) for x in tokens], np.uint32)),
                         planes(np.frombuffer(b"".join(x.tobytes() for x in tokens), np.uint32))))
         dest = t.column("dest")[0].as_py()
+        del once, own, tokens, data
+        give_back()
         return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "dest": pa.array([dest] * len(out), pa.int32()),
                          "sizes": pa.array([x[1] for x in out], pa.binary()), "tokens": pa.array([x[2] for x in out], pa.binary())})
 
@@ -194,6 +199,8 @@ def _reassembled(coded: pa.Table, answers: pa.Table) -> pa.Table:
     per_word = length[codes]
     ends = np.concatenate(([0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(counts)))]
     ids = tokens[ranges(start[codes], per_word)].astype(np.int32)
+    del codes, places, sizes, tokens, start, length, per_word
+    give_back()
     return pa.table([coded.column("ids").combine_chunks().flatten(),
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], schema=_ENCODED_SCHEMA)
 
@@ -225,6 +232,8 @@ def decoded(encodings: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False
                 until = max(row + 1, int(np.searchsorted(edges, edges[row] + SLICE_IDS, "right")) - 1)
                 yield piece(batch.slice(row, until - row), data, starts, lengths)
                 row = until
+            del batch
+            give_back()
 
     def piece(batch: pa.RecordBatch, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
         lists = batch.column("ids")

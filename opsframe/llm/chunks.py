@@ -8,6 +8,7 @@ addresses the same chunk reuses the one shuffle of the texts.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -88,8 +89,11 @@ def pack_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def give_back() -> None:
-    """Hand freed Arrow memory back to the system at the end of a task: its worker lives on, and other stages need the room."""
+    """Hand freed memory back to the system at the end of a task: its worker lives on, and other stages need the room."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

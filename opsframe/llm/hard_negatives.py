@@ -36,7 +36,7 @@ from opsframe.llm.chunks import table
 from opsframe.llm.vectors import finite, matrix
 
 #: Anchors of a block, and rows of a section on average.
-BLOCK, SECTION = 1024, 8192
+BLOCK, SECTION = 8192, 8192
 #: Reference directions, and the rows that they are chosen from.
 REFERENCES, SAMPLE = 16, 2000
 #: Radians by which every angle may be off: arccos near 1 keeps half of a double's digits.
