@@ -46,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): token ids of each row, and a digest of the bytes they decode to."""
     words = queries.vocabulary()
-    found = bpe.decoded(bpe.encoded(docs, words), words, keep_ids=True)
+    # written between encoding and decoding: a task then needs one Python worker at a time
+    found = bpe.decoded(table(bpe.encoded(docs, words), "encoded"), words, keep_ids=True)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
