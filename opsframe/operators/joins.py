@@ -164,105 +164,147 @@ def member_join(left: DataFrame, left_col: str, right: DataFrame, array_col: str
 
 
 GRAM = 3
+#: Sizes of the substrings under which texts and names meet; a run of literals takes the largest that fits.
+SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Kinds of keys: the empty one, substrings of these sizes, and (below 0) those of ``GRAM`` with one character skipped after the first.
+KINDS = (0, *SIZES, *(-k for k in range(1, GRAM)))
 
 
-def _text_keys(text: Column) -> Column:
-    """Keys under which a text can be found: its substrings of 1 to ``GRAM`` characters, those of
-    ``GRAM`` with any one character inside skipped (written as two parts), and the empty one."""
-    n = F.char_length(text)
+def _key(kind: Column, a: Column, b: Column) -> Column:
+    """A key's hash: two that share it only meet in vain."""
+    return F.xxhash64(kind, a, b)
 
-    def every(size: int, key) -> Column:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, key)
 
-    def whole(size: int):
-        return lambda i: F.struct(text.substr(i, F.lit(size)).alias("a"), F.lit("").alias("b"))
+def _text_keys(text: Column, kinds: Sequence[int] = KINDS) -> Column:
+    """Keys under which a text can be found, those of the given kinds."""
+    n, none = F.char_length(text), F.lit("")
 
-    def parted(k: int):
-        return lambda i: F.struct(text.substr(i, F.lit(k)).alias("a"), text.substr(i + k + 1, F.lit(GRAM - k)).alias("b"))
+    def at(kind: int):
+        if kind > 0:
+            return lambda i: _key(F.lit(kind), text.substr(i, F.lit(kind)), none)
+        return lambda i: _key(F.lit(kind), text.substr(i, F.lit(-kind)), text.substr(i - kind + 1, F.lit(GRAM + kind)))
 
-    plain = [every(k, whole(k)) for k in range(1, GRAM + 1)]
-    skipped = [every(GRAM + 1, parted(k)) for k in range(1, GRAM)]
-    return F.array_distinct(F.concat(F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b"))), *plain, *skipped))
+    found = [F.array(_key(F.lit(0), none, none))] if 0 in kinds else []
+    for kind in (k for k in kinds if k):
+        width = kind if kind > 0 else GRAM + 1
+        starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
+        found.append(F.transform(starts, at(kind)))
+    return F.array_distinct(F.concat(*found))
 
 
 def _pattern_keys(pattern: Column) -> Column:
-    """Keys that every text matching the pattern has: of the keys above, those without a wildcard at a literal place. The
-    empty key is the only one of a pattern without literals, and of one with an escape."""
-    every = F.struct(F.lit("").alias("a"), F.lit("").alias("b"))
-    literal = lambda x: ~x.contains("%") & ~x.contains("_")
-    # a skipped place may hold "_" or a literal, but not "%", which stands for any number of characters
-    n = F.char_length(pattern)
-
-    def key(size: int, skip: int):
-        """At each place: ``size`` characters, the one after the first ``skip`` left out (0: none)."""
+    """Keys that every text matching the pattern has, with their kinds. Each run of literals brings the substrings of the largest of
+    ``SIZES`` that fits, end to end; each "_" the ``GRAM`` characters around it. Shorter runs count only if there is nothing longer.
+    The empty key is the only one of a pattern without literals, and of one with an escape."""
+    none = F.lit("")
+
+    def of_run(run: Column) -> Column:
+        n = F.char_length(run)
+        size = F.coalesce(*[F.when(n >= s, F.lit(s)) for s in reversed(SIZES)])
+        last = n - size + 1
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, size), F.array(last)))
+        return F.transform(starts, lambda i: F.struct(size.alias("size"), size.alias("kind"), _key(size, run.substr(i, size), none).alias("g")))
+
+    def around(k: int):
         def at(i: Column) -> Column:
-            first = size if not skip else skip
-            a, b = pattern.substr(i, F.lit(first)), pattern.substr(i + skip + 1, F.lit(size - skip - 1)) if skip else F.lit("")
-            fits = literal(a) & literal(b)
-            if skip:
-                fits = fits & (pattern.substr(i + skip, F.lit(1)) != "%")
-            return F.when(fits, F.struct(a.alias("a"), b.alias("b")))
+            a, b = pattern.substr(i, F.lit(k)), pattern.substr(i + k + 1, F.lit(GRAM - k))
+            fits = (pattern.substr(i + k, F.lit(1)) == "_") & ~F.concat(a, b).rlike("[%_]")
+            return F.when(fits, F.struct(F.lit(GRAM).alias("size"), F.lit(-k).alias("kind"), _key(F.lit(-k), a, b).alias("g")))
         return at
 
-    keys = []
-    for size, skip in [(k, 0) for k in range(1, GRAM + 1)] + [(GRAM + 1, k) for k in range(1, GRAM)]:
-        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        keys.append(F.filter(F.transform(starts, key(size, skip)), lambda k: k.isNotNull()))
-    return F.when(pattern.contains("\\"), F.array(every)).otherwise(F.array_distinct(F.concat(F.array(every), *keys)))
+    runs = F.filter(F.split(pattern, "[%_]"), lambda r: F.char_length(r) > 0)
+    n = F.char_length(pattern)
+    starts = F.when(n > GRAM, F.sequence(F.lit(1), n - GRAM)).otherwise(F.array().cast("array<int>"))
+    parted = [F.filter(F.transform(starts, around(k)), lambda key: key.isNotNull()) for k in range(1, GRAM)]
+    keys = F.concat(F.flatten(F.transform(runs, of_run)), *parted)
+    least = F.least(F.lit(GRAM), F.array_max(F.transform(keys, lambda key: key["size"])))
+    empty = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).alias("kind"), _key(F.lit(0), none, none).alias("g")))
+    return (F.when(pattern.contains("\\") | (F.size(keys) == 0), empty)
+            .otherwise(F.array_distinct(F.filter(keys, lambda key: key["size"] >= least))))
 
 
 #: Hash values of the mask below: so many rows it has at most, whatever the number of names.
 MASK = 1 << 20
 
 
+def _partitions(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _masked(of_text: DataFrame, wanted: DataFrame) -> DataFrame:
     """Text keys whose hash a wanted key has. The mask holds one long for each hash value, ``MASK`` at most, and is
     broadcast on that proof; a key that slips through by its hash meets nothing later."""
-    bit = lambda: F.pmod(F.xxhash64("_g"), F.lit(MASK))
+    bit = lambda: F.pmod("_g", F.lit(MASK))
     return of_text.join(F.broadcast(wanted.select(bit().alias("_bit")).distinct()), bit() == F.col("_bit"), "left_semi")
 
 
 def contains_keys(L: DataFrame, text_col: str, R: DataFrame, name_col: str, lid: str, rid: str) -> tuple[DataFrame, DataFrame]:
-    """((lid, key) of the texts, (rid, key) of the names): the names' side first. Every name brings the keys that all its
-    matches have, only its longest ones; texts count those alone; every name keeps its rarest; and texts send the keys kept."""
-    keys = F.explode(_pattern_keys(F.col(name_col)))
-    size = F.char_length("_g.a") + F.char_length("_g.b")
-    of_name = R.filter(F.col(name_col).isNotNull()).select(rid, keys.alias("_g")).withColumn("_size", size)
-    longest = of_name.groupBy(rid).agg(F.max("_size").alias("_most")).withColumnRenamed(rid, "_rid")
-    of_name = of_name.join(longest, (F.col(rid) == F.col("_rid")) & (F.col("_size") == F.col("_most"))).select(rid, "_g")
+    """((lid, key) of the texts, (rid, key) of the names): the names' side first. Every name brings keys that all its
+    matches have; texts count those alone; every name keeps its rarest; and texts send the keys kept."""
+    of_name = (R.filter(F.col(name_col).isNotNull()).select(rid, F.explode(_pattern_keys(F.col(name_col))).alias("_k"))
+               .select(rid, F.col("_k.kind").alias("_kind"), F.col("_k.g").alias("_g")))
     of_name = pin(of_name, "contains_names")
+    kinds = sorted(r[0] for r in of_name.select("_kind").distinct().collect())  # of KINDS
     # cut out of the texts once: counted here, sent below
-    of_text = pin(_masked(L.select(lid, F.explode(_text_keys(F.col(text_col))).alias("_g")), of_name), "contains_keys")
+    of_text = pin(_masked(L.select(lid, F.explode(_text_keys(F.col(text_col), kinds or KINDS)).alias("_g")), of_name), "contains_keys")
     often = of_text.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
-    choice = (of_name.join(often, "_g", "left")
+    choice = (of_name.select(rid, "_g").distinct().join(often, "_g", "left")
               .groupBy(rid).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_c"))
               .filter("_c.f > 0").select(rid, F.col("_c.g").alias("_g")))
     choice = pin(choice, "contains_choice")
     return _masked(of_text, choice), choice
 
 
+#: Rows that a task of ``contains_join`` makes, about.
+MADE = 1 << 20
+
+
 def contains_join(left: DataFrame, text_col: str, right: DataFrame, name_col: str) -> DataFrame:
     """``left.text LIKE '%' || right.name || '%'`` without a cartesian product.
 
-    Every name picks, of the short substrings that all texts matching it must have, the one that the fewest
-    texts have. ``_`` wildcards inside a substring are stepped over, so names like ``NATION_7`` are
-    found under what differs (``N_7``), not under what all share. Texts send only the substrings that some name has picked
+    Different texts and names meet first, each once. Every name picks, of the substrings that all texts matching it must
+    have, the one that the fewest texts have: as long as its runs of literals allow (``SIZES``), so that names which differ
+    are found under different keys however many they are. ``_`` wildcards are stepped over, so names like ``NATION_7`` are
+    found under what differs (``ON_7``), not under what all share. Texts send only the substrings that some name has picked
     (``contains_keys``), so the rows that move are bounded by what the names can match. Texts and names meet
     in an equi-join on that key and the LIKE decides. A name without any
     literal meets every text, as its result does. Crowded keys are split by adaptive
     execution (an inner join).
+
+    Then rows with the same text or name take part in what these have found. The rows to come are counted, so there
+    are partitions for them; a text with many is dealt over several, its rows sent to each.
     """
-    lid, rid = "_cj_lid", "_cj_rid"
-    L = left.withColumn(lid, F.monotonically_increasing_id())
-    R = right.withColumn(rid, F.monotonically_increasing_id())
+    lid, rid, text, name = "_cj_lid", "_cj_rid", "_cj_text", "_cj_name"
     # pin the ids: both sides are read more than once below
-    L, R = pin(L, "contains_left"), pin(R, "contains_right")
-    of_text, choice = contains_keys(L, text_col, R, name_col, lid, rid)
-    met = of_text.join(choice, "_g").select(lid, rid)
-    return (met.join(L, lid).join(R, rid)
-            .filter(F.like(F.col(text_col), F.concat(F.lit("%"), F.col(name_col), F.lit("%"))))
-            .drop(lid, rid))
+    L, R = pin(left, "contains_left"), pin(right.withColumn(rid, F.monotonically_increasing_id()), "contains_right")
+
+    def different(rows: DataFrame, col: str, as_: str, id_: str, n: str) -> DataFrame:
+        d = rows.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias(as_)).agg(F.count(F.lit(1)).alias(n))
+        return pin(d.withColumn(id_, F.monotonically_increasing_id()), f"contains{as_}")
+
+    texts, names = different(L, text_col, text, lid, "_cj_nl"), different(R, name_col, name, "_cj_nid", "_cj_nr")
+    of_text, choice = contains_keys(texts, text, names, name, lid, "_cj_nid")
+    met = of_text.join(choice, "_g").select(lid, "_cj_nid")
+    pairs = pin(met.join(texts, lid).join(names, "_cj_nid")
+                .filter(F.like(F.col(text), F.concat(F.lit("%"), F.col(name), F.lit("%"))))
+                .select(text, name, (F.col("_cj_nl") * F.col("_cj_nr")).alias("_cj_n")), "contains_pairs")
+
+    made = pairs.groupBy(F.col(text).alias("_cj_t")).agg(F.sum("_cj_n").alias("_cj_n"))
+    parts = max(_partitions(left), 1 + int((made.agg(F.sum("_cj_n")).first()[0] or 0) // MADE))
+    crowded = made.filter(F.col("_cj_n") > MADE).select("_cj_t", F.ceil(F.col("_cj_n") / MADE).cast("int").alias("_cj_s"))
+
+    def shares(rows: DataFrame, col: str) -> DataFrame:
+        return rows.join(crowded, rows[col] == crowded["_cj_t"], "left").withColumn("_cj_s", F.coalesce("_cj_s", F.lit(1))).drop("_cj_t")
+
+    # under names of their own: the sides may share some
+    l_cols, r_cols = [f"_cj_l{i}" for i in range(len(left.columns))], [f"_cj_r{i}" for i in range(len(right.columns))]
+    lt, rn = l_cols[left.columns.index(text_col)], r_cols[right.columns.index(name_col)]
+    found = pairs.select(text, name).join(R.toDF(*r_cols, rid), F.col(name) == F.col(rn))
+    found = shares(found, text).withColumn("_cj_p", F.pmod(F.xxhash64(rid), F.col("_cj_s")).cast("int"))
+    held = shares(L.toDF(*l_cols), lt).withColumn("_cj_q", F.explode(F.sequence(F.lit(0), F.col("_cj_s") - 1)))
+    found, held = found.repartition(parts, text, "_cj_p"), held.repartition(parts, lt, "_cj_q")
+    out = held.join(found, (F.col(lt) == F.col(text)) & (F.col("_cj_q") == F.col("_cj_p")))
+    return out.select(*l_cols, *r_cols).toDF(*left.columns, *right.columns)
 
 
 def _minute_bucket(ts: Column, bucket_minutes: int) -> Column:

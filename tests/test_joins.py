@@ -153,3 +153,35 @@ def test_contains_join_steps_over_wildcards(spark):
     right.createOrReplaceTempView("cj_r")
     want = spark.sql("select id, name from cj_l join cj_r on text like concat('%', name, '%')")
     assert rows(contains_join(left, "text", right, "name"), "id", "name") == rows(want, "id", "name")
+
+
+def test_texts_and_names_meet_in_proportion_to_their_number(spark):
+    """Numbered names meet the texts that hold their number, not all texts that share three of its digits."""
+    from opsframe.operators.joins import contains_keys
+    for n in (500, 2000):
+        texts = spark.range(2 * n).select(F.col("id").alias("t"), F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("text"))
+        names = spark.range(n // 10).select(F.col("id").alias("n"), F.concat(F.lit("#"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("_")).alias("name"))
+        keys, choice = contains_keys(texts, "text", names, "name", "t", "n")
+        assert n <= keys.join(choice, "_g").count() <= 2 * n
+
+
+def test_contains_join_deals_copies_out(spark, monkeypatch):
+    """Copies of texts and names meet once; the rows of a text with many matches come from several tasks."""
+    from opsframe.operators import joins
+    monkeypatch.setattr(joins, "MADE", 500)
+    texts = spark.range(400).select("id", F.when(F.col("id") % 4 < 3, F.concat(F.lit("group A_"), F.col("id") % 2)).alias("text"))
+    names = spark.range(60).select(F.col("id").alias("n"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("A_"), F.col("id") % 3)).alias("name"))
+    got = joins.contains_join(texts, "text", names, "name")
+    brute = texts.crossJoin(names).filter(F.expr("text like concat('%', name, '%')"))
+    assert got.columns == ["id", "text", "n", "name"]
+    assert rows(got, "id", "n") == rows(brute, "id", "n")
+    per_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(per_task) == 4800 and max(per_task) < 3200  # 3,200 rows are of one text
+
+
+def test_contains_join_keeps_names_shared_by_both_sides(spark):
+    left = spark.createDataFrame([(1, "abcdefgh 12345"), (2, None)], "id long, name string")
+    right = spark.createDataFrame([(7, "fgh"), (7, "fgh"), (8, "12_45"), (9, "fgj"), (9, None)], "id long, name string")
+    got = contains_join(left, "name", right, "name")
+    assert got.columns == ["id", "name", "id", "name"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "abcdefgh 12345", 7, "fgh")] * 2 + [(1, "abcdefgh 12345", 8, "12_45")]
