@@ -245,8 +245,9 @@ def contains_keys(L: DataFrame, text_col: str, R: DataFrame, name_col: str, lid:
                .select(rid, F.col("_k.kind").alias("_kind"), F.col("_k.g").alias("_g")))
     of_name = pin(of_name, "contains_names")
     kinds = sorted(r[0] for r in of_name.select("_kind").distinct().collect())  # of KINDS
-    # cut out of the texts once: counted here, sent below
-    of_text = pin(_masked(L.select(lid, F.explode(_text_keys(F.col(text_col), kinds or KINDS)).alias("_g")), of_name), "contains_keys")
+    # cut out of the texts once: counted here, sent below; few bytes of text are much work, so they are dealt out first
+    dealt = L.select(lid, text_col).repartition(_partitions(L), lid)
+    of_text = pin(_masked(dealt.select(lid, F.explode(_text_keys(F.col(text_col), kinds or KINDS)).alias("_g")), of_name), "contains_keys")
     often = of_text.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     choice = (of_name.select(rid, "_g").distinct().join(often, "_g", "left")
               .groupBy(rid).agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_g").alias("g"))).alias("_c"))
