@@ -108,11 +108,13 @@ def r4_appointment_detail(t: Tables, appointment_number: str | None = None) -> D
     # distinct (driver, appointment, resource). The source left-joins the
     # drivers to their assignments; a driver without one has a null
     # appointment and can never meet an appointment below, so the join is
-    # inner here.
+    # inner here (J7). Each side is made distinct by itself: their join then is,
+    # and no task groups the joined rows, names and all, once more.
+    ser = ser.select("id", "name").distinct()
     d = aar.select("service_appointment_id", "service_resource_id").distinct()
     appt_res = (ser.join(d, ser.id == d.service_resource_id)
                 .select(F.col("name").alias("ar_name"), F.col("service_appointment_id").alias("ar_appt"),
-                        F.col("service_resource_id").alias("ar_res")).distinct())
+                        F.col("service_resource_id").alias("ar_res")))
     # several drivers per appointment: a hot appointment must not sit in one task
     sa = left_outer(sa, appt_res, [("id", "ar_appt")]).alias("sa")
     wo = S.work_orders(t).alias("wo")

@@ -113,3 +113,25 @@ def test_remote_costs_equal_those_of_the_pairs(spark, monkeypatch):
     assert got == {i: (len(cs), sorted(set(cs))[:2]) for i, cs in pairs.items()} and sum(map(len, pairs.values())) > 10_000
     plan = found._jdf.queryExecution().toString()
     assert "created_time" not in plan.split("Physical Plan")[-1]  # what is joined there comes from the pinned order
+
+
+def test_r4_groups_no_joined_rows_and_keeps_one_row_a_driver(spark):
+    """Repeated lines and suppliers name a driver once; the rows of drivers joined to assignments are not made distinct again."""
+    import datetime as dt
+
+    from opsframe.plans.field_service import r4_appointment_detail
+    from opsframe.sources.tables import Tables
+    day = dt.datetime(1996, 1, 2)
+    t = Tables(spark, "/nowhere", aliases={
+        "nation": spark.createDataFrame([(0, "NATION_0")], "n_nationkey int, n_name string"),
+        "customer": spark.createDataFrame([(1, "C1", 0)], "c_custkey long, c_name string, c_nationkey int"),
+        "supplier": spark.createDataFrame([(3, "S3"), (3, "S3"), (3, "S3b"), (10, "S10"), (None, "S")], "s_suppkey long, s_name string"),
+        "orders": spark.createDataFrame([(k, 1, "F", 9.0, day, "1-URGENT") for k in (2, 4, 6)],
+                                        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": spark.createDataFrame([(2, 3, "N", day), (2, 3, "R", day), (2, 10, "N", day), (4, None, "N", day), (None, 3, "N", day)],
+                                          "l_orderkey long, l_suppkey long, l_returnflag string, l_shipdate timestamp_ntz")})
+    got = r4_appointment_detail(t)
+    found = sorted(((r["service_appointment"], r["driver_name"]) for r in got.collect()), key=str)
+    assert found == sorted([("SA-2", "S3"), ("SA-2", "S3b"), ("SA-2", None), ("SA-4", None), ("SA-6", None)], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate [ar_name" not in plan and "Aggregate [name#" not in plan
